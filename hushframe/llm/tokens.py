@@ -18,8 +18,8 @@ import numpy as np
 #: White space other than the plain blank and the newline, in Python's or Unicode's sense.
 _UNUSUAL = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _DOUBLE = ("  ", " \n", "\n ", "\n\n", "\0")
-#: A full stop or comma after a letter, at the end of a word.
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+#: A full stop or comma at the end of a word, after a Latin letter that stays one letter in lower case and NFC.
+_STOP = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,])(?=[ \n]|$)")
 
 
 @lru_cache(maxsize=4)
