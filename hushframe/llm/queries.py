@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, wavelet
+from . import exact_dedup, near_dedup, packing, wavelet
 from .common import documents
 from .tokens import default_path
 
@@ -40,3 +40,8 @@ FROM d WINDOW w AS (PARTITION BY t)
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), default_path("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), least=0.75, words=5)

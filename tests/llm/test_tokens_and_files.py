@@ -41,7 +41,7 @@ def _docs(spark, texts, ids=None):
 def test_shards_read_back(spark):
     texts = [*ODD, "dup dup", "dup dup"]
     tokenizer = default_path("word_bpe_49k.json")
-    shards = wavelet.write_shards(_docs(spark, texts).repartition(3), tokenizer, shard_tokens=100)
+    shards = wavelet.write_shards(_docs(spark, texts).repartition(3), tokenizer, shard_tokens=20)
     assert shards.count() > 2
     got = wavelet.read_shards(shards).orderBy("doc_id").collect()
     reference, start = Tokenizer.from_file(tokenizer), 0
