@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, wavelet
+from . import chat, exact_dedup, near_dedup, packing, quality_rules, wavelet
 from .common import documents
 from .tokens import default_path
 
@@ -45,3 +46,44 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), least=0.75, words=5)
+
+
+#: What conversation -1 says, beside the table's own.
+EXTRA_TURN = "</s>[INST] ok [/INST]"
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{EXTRA_TURN}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_chats(rows)
+    turns = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "")
+    return made.select(
+        "conv_id",
+        F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op8_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS same,
+  length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '<\||</?s>|<</?SYS>>|\[/?INST\]')) AS size,
+  length(role) + length(role) - length(replace(role, '\', '')) + len(regexp_extract_all(role, '<\||</?s>|<</?SYS>>|\[/?INST\]')) AS role_size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size + CASE WHEN same THEN 8 ELSE role_size + 23 END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.judged(docs, quality_rules.fit(docs, documents(spark, sf_dir, "labels")))
