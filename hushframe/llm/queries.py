@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, near_dedup, packing, quality_rules, wavelet
+from . import chat, exact_dedup, hpylm, near_dedup, packing, quality_rules, wavelet
 from .common import documents
 from .tokens import default_path
 
@@ -20,6 +20,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(documents(spark, sf_dir))
+
+
 @query
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(documents(spark, sf_dir), default_path("word_bpe_49k.json"), end_id=1)
