@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hpylm, near_dedup, packing, quality_rules, wavelet
+from . import chat, exact_dedup, hpylm, near_dedup, packing, pii, quality_rules, wavelet
 from .common import documents
 from .tokens import default_path
 
@@ -43,6 +43,11 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+@query
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), default_path("byte_bpe_50k.json"), window=1024, end_id=0)
