@@ -167,31 +167,23 @@ def _local_classes(docs: DataFrame, words: int, family: Family) -> DataFrame:
     return written(docs.mapInArrow(run, "members array<bigint>, low long, n long, set_key binary, signature array<bigint>, bands array<bigint>"), "shingled")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, least: float, words: int) -> DataFrame:
-    """Of the pairs (u, v) of document ids, those whose full shingle sets are similar enough."""
-    percent = round(least * 100)
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """id and sorted shingles (array) of the classes named by `ids`, from their whole texts."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingles(x, words).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.record_batch({"id": batch.column(0), "set_key": pa.array([_key(x) for x in values], pa.binary()), "values": pa.array(values, pa.binary())})
+            values = [shingles(x, words) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch({"id": batch.column(0), "set_key": pa.array([_key(x.tobytes()) for x in values], pa.binary()), "values": pa.array([x.view(np.int64) for x in values], pa.list_(pa.int64()))})
+
+    texts = docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    found = texts.mapInArrow(run, "id long, set_key binary, values array<bigint>").join(keys, ["id", "set_key"], "left_semi")
+    return written(found.dropDuplicates(["id"]).drop("set_key"), "sets")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    found = texts.mapInArrow(sets, "id long, set_key binary, values binary").join(keys, ["id", "set_key"], "left_semi")
-    found = written(found.dropDuplicates(["id"]), "sets")
-    first = pairs.join(found.select(F.col("id").alias("u"), F.col("values").alias("a")), "u")
-    both = first.join(found.select(F.col("id").alias("v"), F.col("values").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+def _similar(x: Column, y: Column, least: float) -> Column:
+    """Whether two sets reach the similarity, in whole numbers."""
+    percent, common = round(least * 100), F.size(F.array_intersect(x, y)).cast("long")
+    return 100 * common >= percent * (F.size(x) + F.size(y) - common)
 
 
 def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, family: Family | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,8 +205,12 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, fam
     keys = classes.select("id", "set_key")
     exploded = classes.select("id", F.explode("bands").alias("band"))
     # Buckets of one class end here; hot buckets are counted map-side.
-    buckets = exploded.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("band", "pivot")
-    bucketed = written(exploded.join(buckets, "band"), "buckets")
+    sizes = exploded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(exploded.join(sizes, "band"), "buckets")
+    # The class that meets most others over all its bands is a bucket's pivot: it stands in the middle of a group of copies.
+    weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    pivots = shared.join(weights, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
+    bucketed = shared.join(pivots.select("band", (-F.col("top.id")).alias("pivot")), "band").select("band", "id", "pivot")
     signatures = classes.select("id", "signature")
     lowest = family.lowest_estimate(least)
 
@@ -224,18 +220,27 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, fam
         return checkpointed(y.where(family.estimate(F.col("x"), F.col("y")) >= lowest).select("u", "v"))
 
     stars = promising(bucketed.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct())
-    links = checkpointed(_confirmed(stars, source, keys, least, words))
+    values = _sets(source, stars.select(F.explode(F.array("u", "v")).alias("id")), keys, words)
+    both = stars.join(values.select(F.col("id").alias("u"), F.col("values").alias("a")), "u").join(values.select(F.col("id").alias("v"), F.col("values").alias("b")), "v")
+    links = checkpointed(both.where(_similar(F.col("a"), F.col("b"), least)).select("u", "v"))
     labels = components(links)
-    # Buckets that the stars left in several components: only their unconnected classes meet.
+    # Buckets that the stars left in several components: only their unconnected classes meet, each pair in the first
+    # bucket it shares, and the join itself drops what the estimate or the full sets refuse.
     labelled = bucketed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
     several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    open_ = checkpointed(labelled.join(several, "band", "left_semi").join(signatures, "id").select("band", "id", "label", "signature"))
-    left, right = open_.alias("l"), open_.alias("r")
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label")) & (family.estimate(F.col("l.signature"), F.col("r.signature")) >= lowest))
-    rest = checkpointed(met.select(F.col("l.id").alias("u"), F.col("r.id").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, source, keys, least, words))
-        labels = components(links)
+    open_ = checkpointed(labelled.join(several, "band", "left_semi"))
+    if not open_.isEmpty():
+        more = _sets(source, open_.select("id"), keys, words).join(classes.select("id", "signature", "bands"), "id")
+        full = written(open_.join(more, "id"), "unconnected")
+        left, right, col = full.alias("l"), full.alias("r"), F.col
+        met = left.join(
+            right,
+            (col("l.band") == col("r.band")) & (col("l.id") < col("r.id")) & (col("l.label") != col("r.label")) & (family.estimate(col("l.signature"), col("r.signature")) >= lowest)
+            & (F.array_intersect(col("l.bands"), col("r.bands"))[0] == col("l.band")) & _similar(col("l.values"), col("r.values"), least),
+        )
+        found = checkpointed(met.select(col("l.id").alias("u"), col("r.id").alias("v")))
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
     named = sets.select("set_key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     rows = local.select("members", "n", "set_key").join(named, "set_key", "left")
     rows = rows.select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "set_key")
