@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hpylm, near_dedup, packing, pii, quality_rules, wavelet
+from . import chat, exact_dedup, hpylm, near_dedup, packing, pii, quality_rules, sentencepiece_lattice, wavelet, wordpiece
 from .common import documents
 from .tokens import default_path
 
@@ -48,6 +48,12 @@ def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(documents(spark, sf_dir)))
 
 
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_lattice.encode_vocabulary(documents(spark, sf_dir), default_path("piece_bpe_32k.model"))
+    return found.select("word", "n", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), default_path("byte_bpe_50k.json"), window=1024, end_id=0)
@@ -97,3 +103,8 @@ FROM m GROUP BY conv_id
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.judged(docs, quality_rules.fit(docs, documents(spark, sf_dir, "labels")))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(documents(spark, sf_dir), default_path("piece_bpe_32k.model"))
