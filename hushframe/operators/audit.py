@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -175,23 +176,23 @@ class Frontier:
             mu = max(mu, norm_isf(fpr) - norm_ppf(fnr)) if fpr < 1 and fnr < 1 else mu
         return 0.0 if mu <= 0 else gaussian_epsilon(mu, delta)
 
-    def _one_run(self, bound: Callable[[int, int, float], float], significance: float, threshold: float | None) -> float:
-        """The best bound over the thresholds' guesses; thresholds share the significance."""
+    def _one_run(self, bound: Callable[[int, int, float, float], float], significance: float, threshold: float | None) -> float:
+        """The best bound over the thresholds' guesses; thresholds share the significance, and those that can't beat the best are left at once."""
         _significance(significance)
         n = len(self.thresholds)
         rows = [k for k in range(n) if self.tp[k] > 0] if threshold is None else [int(np.searchsorted(self.thresholds, threshold).clip(0, n - 1))]
         level, best = significance / (n if threshold is None else 1), 0.0
         for k in sorted(rows, key=lambda k: -self.tp[k] / (self.tp[k] + self.fp[k])):
-            best = max(best, bound(int(self.tp[k]), int(self.tp[k] + self.fp[k]), level))
+            best = max(best, bound(int(self.tp[k]), int(self.tp[k] + self.fp[k]), level, best))
         return best
 
     def epsilon_one_run(self, significance: float, delta: float = 0.0, *, threshold: float | None = None) -> float:
         m = int(self.n_in + self.n_out)
-        return self._one_run(lambda right, guesses, level: one_run_epsilon(m, guesses, right, level, delta), significance, threshold)
+        return self._one_run(lambda right, guesses, level, best: one_run_epsilon(m, guesses, right, level, delta, at_least=best), significance, threshold)
 
     def epsilon_one_run_fdp(self, significance: float, delta: float, *, threshold: float | None = None) -> float:
         m = int(self.n_in + self.n_out)
-        return self._one_run(lambda right, guesses, level: one_run_fdp_epsilon(m, guesses, right, level, delta), significance, threshold)
+        return self._one_run(lambda right, guesses, level, best: one_run_fdp_epsilon(m, guesses, right, level, delta, at_least=best), significance, threshold)
 
 
 def _significance(x: float) -> None:
@@ -213,33 +214,38 @@ def gaussian_epsilon(mu: float, delta: float, most: float = 100.0) -> float:
     return 0.0 if gaussian_delta(mu, 0.0) <= delta else bisect(lambda e: gaussian_delta(mu, e) - delta, 0.0, most)
 
 
+@lru_cache(maxsize=8)
+def _log_factorials(size: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size + 1)))])
+
+
 def one_run_p_value(m: int, guesses: int, right: int, epsilon: float, delta: float) -> float:
     """How likely so many right guesses are under (epsilon, delta): a binomial tail and the worst case's share of delta."""
     q = 1 / (1 + math.exp(-epsilon))
     beta = binom_sf(right - 1, guesses, q)
     if delta == 0:
         return beta
-    worst, total = 0.0, 0.0
-    for i in range(1, right + 1):
-        total = binom_sf(right - i - 1, guesses, q) - beta
-        worst = max(worst, total / i)
+    f, k = _log_factorials(1 << max(guesses, 1).bit_length()), np.arange(right)
+    log_pmf = f[guesses] - f[k] - f[guesses - k] + k * math.log(q) + (guesses - k) * math.log1p(-q) if q < 1 else np.full(right, -np.inf)
+    worst = float((np.cumsum(np.exp(log_pmf[::-1])) / np.arange(1, right + 1)).max()) if right else 0.0
     return min(1.0, beta + 2 * m * delta * worst)
 
 
-def one_run_epsilon(m: int, guesses: int, right: int, significance: float, delta: float) -> float:
-    if guesses == 0 or one_run_p_value(m, guesses, right, 0.0, delta) > significance:
+def one_run_epsilon(m: int, guesses: int, right: int, significance: float, delta: float, *, at_least: float = 0.0) -> float:
+    """The largest epsilon that the guesses refute, or 0 if it isn't larger than `at_least`."""
+    if guesses == 0 or one_run_p_value(m, guesses, right, at_least, delta) > significance:
         return 0.0
-    high = 1.0
+    high = max(1.0, 2 * at_least)
     while one_run_p_value(m, guesses, right, high, delta) < significance and high < 200:
         high *= 2
-    return bisect(lambda e: one_run_p_value(m, guesses, right, e, delta) - significance, 0.0, high, tolerance=1e-9)
+    return bisect(lambda e: one_run_p_value(m, guesses, right, e, delta) - significance, at_least, high, tolerance=1e-9)
 
 
 def _gaussian_mu(epsilon: float, delta: float) -> float:
     return bisect(lambda mu: gaussian_delta(mu, epsilon) - delta, 1e-6, 60.0)
 
 
-def one_run_fdp_epsilon(m: int, guesses: int, right: int, significance: float, delta: float) -> float:
+def one_run_fdp_epsilon(m: int, guesses: int, right: int, significance: float, delta: float, *, at_least: float = 0.0) -> float:
     """The largest epsilon whose Gaussian trade-off curve the right guesses refute, by a recursion on the numbers of guesses."""
     if guesses == 0:
         return 0.0
@@ -256,13 +262,13 @@ def one_run_fdp_epsilon(m: int, guesses: int, right: int, significance: float, d
             r[i] = r[i + 1] + i / max(guesses - i, 1) * (h[i] - h[i + 1])
         return r[0] + h[0] > guesses / m
 
-    if not refuted(1e-3):
+    low = max(at_least, 1e-3)
+    if not refuted(low):
         return 0.0
-    high = 1.0
+    high = max(1.0, 2 * low)
     while refuted(high) and high < 100:
-        high *= 2
-    low = high / 2 if high > 1 else 1e-3
-    for _ in range(40):
+        low, high = high, 2 * high
+    for _ in range(26):
         mid = (low + high) / 2
         low, high = (mid, high) if refuted(mid) else (low, mid)
     return low
