@@ -40,9 +40,11 @@ class ChunkEncoder:
     kept; more only cost time.
     """
 
-    def __init__(self, path: str, *, spaces_matter: bool, remembered: int = 800_000) -> None:
+    def __init__(self, path: str, *, spaces_matter: bool, remembered: int = 400_000) -> None:
         self._tokenizer, self._spaces, self._limit = load(path), spaces_matter, remembered
         self._known: dict[str, bytes] = {}
+        # Its own cache would be full of words that are remembered here.
+        getattr(self._tokenizer.model, "_resize_cache", lambda _: None)(0)
         vocab = self._tokenizer.get_vocab()
         self._edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self._edge[[i for x, i in vocab.items() if (x.startswith("\u0120") if spaces_matter else x.endswith("</w>"))]] = True
@@ -51,7 +53,7 @@ class ChunkEncoder:
         if _UNUSUAL.search(text):
             return None
         if not self._spaces:
-            return _STOP.sub(r" \1", text).split()
+            return _STOP.sub(r" \1", text.lower() if text.isascii() else text).split()
         if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _DOUBLE):
             return None
         return _STOP.sub("\0\\1", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
