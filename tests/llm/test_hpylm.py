@@ -74,6 +74,15 @@ def test_keys_pack():
     assert len(H._keys(H._squeeze(keys[:0]))) == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_lookup(n):
+    r = np.random.default_rng(n)
+    keys = r.permutation(np.unique(np.concatenate([r.integers(0, 1 << 62, n).astype(np.uint64), np.zeros(min(n, 1), np.uint64)])))
+    values = r.integers(0, 99, len(keys))
+    query = r.integers(0, max(len(keys), 1), 3 * len(keys))
+    assert (H.Lookup(keys, values)[keys[query]] == values[query]).all()
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "A a"), (4, "A a"), (None, "a"), (5, "wörd " * 9000), (6, "x" * 30000)]
     docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, block int, kind string").repartition(3)
