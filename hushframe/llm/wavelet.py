@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .tokens import encoder
 MAGIC = b"WMX1"
 #: Bits between two rank counts.
 BLOCK = 512
+#: Values that are partitioned at a time.
+CHUNK = 1 << 18
 
 
 class WaveletMatrix:
@@ -46,13 +49,17 @@ class WaveletMatrix:
         now = values.astype(np.uint16 if top < 1 << 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for bit in reversed(range(max(1, top.bit_length()))):
-            ones = (now & now.dtype.type(1 << bit)).astype(bool)
+            ones = (now & now.dtype.type(1 << bit)) != 0
             packed = np.packbits(ones)
             planes.append(packed)
             ranks.append(cls._ranks(packed))
-            left = now[~ones]
-            zeros.append(len(left))
-            now = np.concatenate([left, now[ones]])
+            left, right = [], []
+            for i in range(0, len(now), CHUNK):  # what fits the cache
+                part, mask = now[i : i + CHUNK], ones[i : i + CHUNK]
+                left.append(part.take(np.flatnonzero(~mask)))
+                right.append(part.take(np.flatnonzero(mask)))
+            zeros.append(sum(map(len, left)))
+            now = np.concatenate([now[:0], *left, *right])
         return cls(len(values), planes, zeros, ranks)
 
     @staticmethod
@@ -129,19 +136,24 @@ class WaveletMatrix:
         """The whole sequence, by undoing the partitions from the last plane up."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for bit, (packed, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
-            ones = np.unpackbits(packed, count=self.n).astype(bool)
-            above = np.empty_like(now)
-            above[~ones] = now[:zeros]
-            above[ones] = now[zeros:] | now.dtype.type(1 << bit)
+            ones = np.unpackbits(packed, count=self.n).view(bool)
+            now[zeros:] |= now.dtype.type(1 << bit)
+            above, low, high = np.empty_like(now), 0, zeros
+            for i in range(0, self.n, CHUNK):
+                part, mask = above[i : i + CHUNK], ones[i : i + CHUNK]
+                left, right = np.flatnonzero(~mask), np.flatnonzero(mask)
+                part[left], part[right] = now[low : low + len(left)], now[high : high + len(right)]
+                low, high = low + len(left), high + len(right)
             now = above
         return now
 
 
 def dump(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
-    """The bytes of a shard's file: magic, header length, header, deflated blocks."""
+    """The bytes of a shard's file: magic, header length, header, zstd blocks."""
     m = WaveletMatrix.of(ids)
-    blocks = [zlib.compress(x.tobytes(), 1) for x in (*m.planes, *m.ranks)]
-    table = zlib.compress(json.dumps([doc_ids, lengths]).encode(), 1)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    blocks = [squeeze(x.tobytes()) for x in (*m.planes, *m.ranks)]
+    table = squeeze(json.dumps([doc_ids, lengths]).encode())
     head = json.dumps({"n": m.n, "zeros": m.zeros, "blocks": [len(x) for x in blocks], "table": len(table)}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, table, *blocks])
 
@@ -150,12 +162,13 @@ def open_shard(file: bytes) -> tuple[WaveletMatrix, list[int | None], list[int]]
     """The wavelet matrix of a shard's file, its documents' ids and their token counts."""
     if file[:4] != MAGIC:
         raise ValueError("not a wavelet shard")
+    expand = zstandard.ZstdDecompressor().decompress
     (size,) = struct.unpack_from("<I", file, 4)
     head, at = json.loads(file[8 : 8 + size]), 8 + size
-    doc_ids, lengths = json.loads(zlib.decompress(file[at : at + head["table"]]))
+    doc_ids, lengths = json.loads(expand(file[at : at + head["table"]]))
     at, blocks = at + head["table"], []
     for length in head["blocks"]:
-        blocks.append(zlib.decompress(file[at : at + length]))
+        blocks.append(expand(file[at : at + length]))
         at += length
     half = len(blocks) // 2
     planes = [np.frombuffer(x, np.uint8) for x in blocks[:half]]
