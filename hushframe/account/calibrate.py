@@ -17,6 +17,12 @@ def epsilon(events: list[Event], delta: float, accountant: str = "pld") -> float
 def calibrate_noise(event: Callable[[float], Event], eps: float, delta: float, *, low: float = 1e-2, high: float = 1e3, accountant: str = "pld", tolerance: float = 1e-6) -> float:
     """The smallest noise multiplier whose event stays within (eps, delta)."""
     fits = lambda s: epsilon([event(s)], delta, accountant) <= eps
+    if accountant == "pld":
+        # Loss grids are long where there is little noise, so the search starts from what the quick accountant asks for.
+        high = min(high, calibrate_noise(event, eps, delta, low=low, high=high, accountant="rdp", tolerance=1e-2))
+        floor, low = low, max(low, high / 1.5)
+        while low > floor and fits(low):
+            low, high = max(floor, low / 1.5), low
     while not fits(high):
         low, high = high, 2 * high
         if high > 1e9:
