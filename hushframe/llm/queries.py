@@ -50,8 +50,8 @@ def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentencepiece_lattice.encode_vocabulary(documents(spark, sf_dir), default_path("piece_bpe_32k.model"))
-    return found.select("word", "n", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    found = sentencepiece_lattice.round_trip(documents(spark, sf_dir), default_path("piece_bpe_32k.model"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"), "ids", "text")
 
 
 @query

@@ -81,6 +81,12 @@ def _ids(word: Column, edges: Column, cuts: Column, first_byte: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), one))
 
 
+def text_of(body: str) -> Column:
+    """A spelling with its signs as blanks, without the first one."""
+    blank = F.replace(F.col(body), F.lit(_BLANK), F.lit(" "))
+    return F.when(F.startswith(blank, F.lit(" ")), F.substring(blank, F.lit(2), F.length(blank))).otherwise(blank)
+
+
 def encode_words(words: DataFrame, pieces: DataFrame, *, longest: int = 16, first_byte: int = 3) -> DataFrame:
     """word, n and ids of distinct non-empty words (columns word, n).
 
@@ -106,22 +112,47 @@ def encode_vocabulary(docs: DataFrame, model: str, *, text: str = "text") -> Dat
     return encode_words(words, piece_table(docs.sparkSession, model))
 
 
+def _encoded(docs: DataFrame, model: str, *, doc_id: str, text: str) -> DataFrame:
+    """row (a number for each input row), doc_id and ids, dealt out by row.
+
+    The words with their ids are the smaller side of the join and are hashed, so that occurrences need no sort.
+    """
+    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    each = rows.select("row", "doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
+    known = encode_vocabulary(docs, model, text=text).select("word", "ids").hint("shuffle_hash")
+    gathered = each.join(known, "word", "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    return gathered.select("row", "doc_id", F.flatten(F.filter(F.transform("parts", lambda x: x["ids"]), lambda x: x.isNotNull())).alias("ids"))
+
+
 def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids of whole texts; null and empty texts have an empty array. Repeated rows are encoded each.
 
     Every occurrence of a word is joined to its ids and gathered by document.
     """
-    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    each = rows.select("row", "doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
-    known = encode_vocabulary(docs, model, text=text).select("word", "ids")
-    gathered = each.join(known, "word", "left").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return gathered.select("doc_id", F.flatten(F.filter(F.transform("parts", lambda x: x["ids"]), lambda x: x.isNotNull())).alias("ids"))
+    return _encoded(docs, model, doc_id=doc_id, text=text).select("doc_id", "ids")
+
+
+def _spelled(rows: DataFrame, model: str, key: str, ids: str) -> DataFrame:
+    """`key`, ids and body (the spelling of the ids, blanks as signs) of id arrays, by joining ids to the piece table; other columns of `rows` are their first value by key."""
+    others = [c for c in rows.columns if c not in (key, ids)]
+    each = rows.select(key, *others, F.posexplode_outer(ids).alias("pos", "id"))
+    found = each.join(F.broadcast(piece_table(rows.sparkSession, model).select("id", "hex")), "id", "left")
+    parts = F.sort_array(F.collect_list(F.struct("pos", "id", F.coalesce("hex", F.lit("")).alias("hex")))).alias("parts")
+    whole = found.groupBy(key).agg(*[F.first(c).alias(c) for c in others], parts)
+    body = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")), "UTF-8")
+    return whole.select(key, *others, F.filter(F.transform("parts", lambda x: x["id"]), lambda x: x.isNotNull()).alias("ids"), body.alias("body"))
+
+
+def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids and text, one row per input row: every whole text encoded, and the text that those ids decode to.
+
+    Null and empty texts have no ids and decode to an empty text; signs in a text come back as blanks. Rows that repeat or share an id are taken each; an empty table gives no rows; other
+    columns are not read. Decoding groups by the row by which ids are dealt out already, so that they are not shuffled again.
+    """
+    return _spelled(_encoded(docs, model, doc_id=doc_id, text=text), model, "row", "ids").select("doc_id", "ids", text_of("body").alias("text"))
 
 
 def decode(rows: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """`key` and text of id arrays, by joining ids to the piece table; the first blank's sign is dropped. Rows that share a key are put together in no set order, so keys should differ."""
-    each = rows.select(key, F.posexplode_outer(ids).alias("pos", "id"))
-    found = each.join(F.broadcast(piece_table(rows.sparkSession, model).select("id", "hex")), "id", "left")
-    whole = found.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("hex", F.lit("")).alias("hex")))), lambda x: x["hex"]), "").alias("hex"))
-    body = F.replace(F.decode(F.unhex("hex"), "UTF-8"), F.lit(_BLANK), F.lit(" "))
-    return whole.select(key, F.when(F.startswith(body, F.lit(" ")), F.substring(body, F.lit(2), F.length(body))).otherwise(body).alias("text"))
+    whole = _spelled(rows.select(key, ids), model, key, ids)
+    return whole.select(key, text_of("body").alias("text"))

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 import sentencepiece
@@ -80,6 +81,17 @@ def test_vocabulary_of_the_table(spark):
         assert m.decode(r.ids) == r.word.replace("▁", " ").removeprefix(" ") or r.word[0] != "▁"
 
 
+def test_query_encodes_and_decodes_every_document(spark, tmp_path):
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [*enumerate(ODD), (7, "the cat"), (7, "cat the"), (None, "x y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_sentencepiece"](spark, str(tmp_path)).collect()
+    texts = [(i, t or "") for i, t in rows]
+    assert sorted(((r.doc_id, r.ids) for r in got), key=repr) == sorted(((i, m.encode(t)) for i, t in texts), key=repr)
+    assert sorted(r.text for r in got) == sorted(t.replace("▁", " ") for _, t in texts)
+    assert all(r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(",".join(map(str, r.ids)).encode()) for r in got)
+
+
 @pytest.mark.parametrize("word", ["", "▁"])
 def test_empty_words(word):
     assert W.Automaton(["▁"], []).count(word) == len(word)
