@@ -1,15 +1,13 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
-The field labels candidate words, those with a digit, an at sign or an equals sign; all other words are outside by
-constraint, so the chain falls apart into short windows between them. It is trained on a small labelled
-table by full-batch gradient ascent with exact marginals and decoded by Viterbi over windows of one length at a time.
+The field labels every word of a text, so that the chain is the text. It is trained on a small labelled table by full-batch
+gradient ascent with exact marginals and decoded by Viterbi over many texts at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -67,12 +65,14 @@ def joined(spans: Iterable[Span]) -> str:
 
 # --- windows and features ----------------------------------------------------------------------------------------
 
-_CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@=]*+[0-9@=][^\x20\x09-\x0D]*+")
-_WORD_BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
-_SPACE = re.compile(r"[\x20\x09-\x0D]+\Z")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words whose neighbourhood tells; fixed values.
 CUES = {
-    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "auth", "credential"),
+    "secret": ("token", "key", "secret", "apikey", "api_key", "access_key", "auth", "credential"),
+    "pass": ("password", "passwd", "pwd", "passphrase"),
+    "at": ("at",),
+    "dot": ("dot",),
+    "domain": ("com", "org", "net", "edu", "gov", "io", "co", "uk", "de", "info"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "telephone", "ext"),
     "count": ("version", "v", "no", "page", "figure", "section", "chapter", "in", "of", "year", "table", "release"),
     "money": ("$", "usd", "eur", "price", "total"),
@@ -95,12 +95,26 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=50_000)
-def _own(word: str) -> tuple[str, ...]:
+def _assigned(core: str) -> tuple[str, str]:
+    """Name and value of a word that assigns: at its last equals sign, or at a colon after a word that tells of secrets."""
+    name, _, value = core.rpartition("=")
+    if not name and not core.startswith("="):
+        first, _, rest = core.partition(":")
+        if rest and _CUE.get(first.lower().strip(_TRIM)) in ("secret", "pass"):
+            return first, rest
+    return name, value
+
+
+@lru_cache(maxsize=100_000)
+def _own(word: str) -> tuple[tuple[str, ...], str | None, str]:
+    """A word's own features, what it tells about its neighbours, and the sign (= or :) with which it assigns to the next."""
     core = word.strip(_TRIM)
-    value = core.rpartition("=")[2].strip(_TRIM)
+    name, value = _assigned(core)
+    value = value.strip(_TRIM)
     digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
-    found = ["bias", f"len{min(len(value).bit_length(), 7)}", f"digits{min(digits, 6)}"]
+    size = min(len(value).bit_length(), 7)
+    plain = "letters" if value.isalpha() else "other"
+    found = ["bias", f"len{size}", f"digits{min(digits, 6)}"]
     form = shape(core)
     found.append("shape:" + (form if len(form) <= 14 else "long"))
     mixed = digits and letters and value.isalnum()
@@ -108,38 +122,59 @@ def _own(word: str) -> tuple[str, ...]:
         ("at", "@" in core), ("equals", "=" in word), ("assigned", "=" in core and bool(value)), ("only=", core == "="), ("plus", core.startswith("+")), ("paren", word.startswith("(")), ("dots3", core.count(".") == 3), ("dots1", core.count(".") == 1),
         ("dashes", core.count("-") >= 1), ("quoted", word[:1] in "\"'"), ("mixed16", mixed and len(value) >= 16), ("mixed12", mixed and 10 <= len(value) < 16), ("caps16", mixed and len(value) >= 16 and value.upper() == value),
         ("hex16", len(value) >= 16 and all(c in "0123456789abcdefABCDEF" for c in value)), ("number13", value.isdigit() and len(value) >= 13), ("number", value.isdigit()), ("url", "://" in word),
+        (f"capsletters16:{value[:2]}", len(value) >= 16 and value.isalpha() and value.isupper()), ("cases", value.isalpha() and len(value) >= 12 and any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)),
     ) if x]
-    key = core.rpartition("=")[0].lower().strip(_TRIM)
+    key = name.lower().strip(_TRIM)
     if key:
-        found.append("assigns:" + _CUE.get(key, "other"))
-    return tuple(found)
+        found += ["assigns:" + _CUE.get(key, "other"), f"assigns:{_CUE.get(key, 'other')}:{plain}{size}"]
+    cue = _CUE.get(core.strip("=").lower().strip(_TRIM))
+    if cue:
+        found.append("is:" + cue)
+    bare = word.rstrip("\"'`")
+    return tuple(found), cue, bare[-1:] if bare[-1:] in ("=", ":") else ""
 
 
 @dataclass
 class Window:
-    """Candidate words in a row: their offsets and features."""
+    """Words in a row: their offsets and features."""
 
     spans: list[tuple[int, int]]
     features: list[tuple[str, ...]]
 
 
+def _size(word: str) -> str:
+    value = word.strip(_TRIM)
+    return f"{'letters' if value.isalpha() else 'other'}{min(len(value).bit_length(), 7)}"
+
+
 def windows(text: str) -> list[Window]:
-    out: list[Window] = []
-    end = -1
-    for m in _CANDIDATE.finditer(text):
-        joins = end >= 0 and _SPACE.match(text[end : m.start()]) if m.start() - end < 8 else False
-        if joins:
-            last = out[-1]
-            before = [text[a:b] for a, b in last.spans[-2:]]
-        else:
-            out.append(last := Window([], []))
-            before = _WORD_BEFORE.findall(text[max(0, m.start() - 40) : m.start()])[-2:]
-        cues = [f"cue{i}:{_CUE[w]}" for i, x in enumerate(reversed(before)) if (w := x.lower().strip(_TRIM)) in _CUE]
-        cues += ["after="] if before and before[-1] == "=" else []
-        last.spans.append(m.span())
-        last.features.append((*_own(m[0]), *cues))
-        end = m.end()
-    return out
+    """All words of a text as one window; none for a text without words."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if not spans:
+        return []
+    words = _WORD.findall(text)
+    known = list(map(_own, words))
+    features, last = [x[0] for x in known], len(words)
+    # Only words that tell something or assign have neighbours to be told.
+    for i, (_, cue, sign) in enumerate(known):
+        if cue is None and not sign:
+            continue
+        if cue:
+            for j in (1, 2):
+                if i + j < last:
+                    features[i + j] += (f"cue{j - 1}:{cue}",)
+        if sign and i + 1 < last:
+            lone = not words[i].strip(_TRIM + "=")
+            named = known[i - 1][1] if lone and i else cue
+            features[i + 1] += ("after" + sign, f"to:{named or 'other'}", f"to:{named or 'other'}:{_size(words[i + 1])}")
+        if cue == "dot" and i > 1 and known[i - 2][1] == "at" and i + 1 < last:
+            end = i + 1
+            while end + 2 < last and known[end + 1][1] == "dot":
+                end += 2
+            mark = ("spelled", "spelled:domain" if known[end][1] == "domain" else "spelled:other")
+            for j in range(max(0, i - 3), end + 1):
+                features[j] += (*mark, "spelled:" + (known[j][1] or "name"))
+    return [Window(spans, features)]
 
 
 # --- the field ---------------------------------------------------------------------------------------------------
@@ -156,35 +191,53 @@ class Field:
     move: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS), len(LABELS))))
 
     def scores(self, found: list[Window]) -> np.ndarray:
-        """Emissions of windows of one length: window, position, label."""
-        out = np.zeros((len(found), len(found[0].spans), len(LABELS)))
-        for i, w in enumerate(found):
-            for j, features in enumerate(w.features):
-                rows = [k for f in features if (k := self.index.get(f)) is not None]
-                out[i, j] = self.emit[rows].sum(axis=0)
+        """Emissions of windows: window, position, label; nothing beyond a window's end."""
+        kinds: dict[tuple[str, ...], int] = {}
+        places = [[kinds.setdefault(f, len(kinds)) for f in w.features] for w in found]
+        each = np.zeros((len(kinds), len(LABELS)))
+        for features, at in kinds.items():
+            each[at] = self.emit[[k for f in features if (k := self.index.get(f)) is not None]].sum(axis=0)
+        out = np.zeros((len(found), max(map(len, places)), len(LABELS)))
+        for i, rows in enumerate(places):
+            out[i, : len(rows)] = each[rows]
         return out
 
-    def decode(self, found: list[Window]) -> list[list[str]]:
-        """The best labels of each window by Viterbi, all windows of one length together."""
-        by_length, out = defaultdict(list), [[] for _ in found]
-        for i, w in enumerate(found):
-            by_length[len(w.spans)].append(i)
-        for length, rows in by_length.items():
-            emit = self.scores([found[i] for i in rows])
-            best, back = emit[:, 0] + self.move[0], []
-            for j in range(1, length):
-                paths = best[:, :, None] + self.move
-                back.append(paths.argmax(axis=1))
-                best = paths.max(axis=1) + emit[:, j]
-            label = (best + self.move[:, 0]).argmax(axis=1)
-            path = [label]
-            for step in reversed(back):
-                label = np.take_along_axis(step, label[:, None], 1)[:, 0]
-                path.append(label)
-            for i, labels in zip(rows, np.stack(path[::-1], axis=1), strict=True):
-                out[i] = [LABELS[k] for k in labels]
+    def decode(self, found: list[Window], most: int = 400_000) -> list[list[str]]:
+        """The best labels of each window by Viterbi, windows of like length together, at most `most` padded positions of several at a time."""
+        out: list[list[str]] = [[] for _ in found]
+        order = sorted(range(len(found)), key=lambda i: -len(found[i].spans))
+        at = 0
+        while at < len(order):
+            take = max(1, most // max(1, len(found[order[at]].spans)))
+            self._decode([(i, found[i]) for i in order[at : at + take] if found[i].spans], out)
+            at += take
         return out
 
+    def _decode(self, part: list[tuple[int, Window]], out: list[list[str]]) -> None:
+        """Windows from long to short: at each position only those that reach it take part."""
+        if not part:
+            return
+        emit = self.scores([w for _, w in part])
+        sizes = np.array([len(w.spans) for _, w in part])
+        alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+        best = emit[:, 0] + self.move[0]
+        back = np.zeros((sizes[0], len(part), len(LABELS)), np.int8)
+        into = np.ascontiguousarray(self.move.T)
+        for j in range(1, sizes[0]):
+            n = alive[j]
+            paths = best[:n, None, :] + into
+            back[j, :n] = paths.argmax(axis=2)
+            best[:n] = paths.max(axis=2) + emit[:n, j]
+        label = (best + self.move[:, 0]).argmax(axis=1)
+        path = np.zeros((len(part), sizes[0]), np.int8)
+        rows = np.arange(len(part))
+        for j in range(sizes[0] - 1, -1, -1):
+            n = alive[j]
+            path[:n, j] = label[:n]
+            label[:n] = back[j, rows[:n], label[:n]]
+        for (i, w), labels in zip(part, path, strict=True):
+            out[i] = [LABELS[k] for k in labels[: len(w.spans)]]
+
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
@@ -201,36 +254,35 @@ def train(table: Iterable[tuple[str, list[Span]]], *, steps: int = 200, rate: fl
             gold.append([next((1 + KINDS.index(k) for k, a, b in spans if a < e and s < b), 0) for s, e in w.spans])
     model = Field({f: i for i, f in enumerate(sorted({f for w in found for x in w.features for f in x}))})
     model.emit = np.zeros((len(model.index), len(LABELS)))
-    groups = defaultdict(list)
-    for i, w in enumerate(found):
-        groups[len(w.spans)].append(i)
-    ready = []
-    for length, rows in groups.items():
-        where = [(n, j, [model.index[f] for f in found[i].features[j]]) for n, i in enumerate(rows) for j in range(length)]
-        flat = np.array([(n, j, k) for n, j, ks in where for k in ks])
-        ready.append((length, flat, np.array([gold[i] for i in rows])))
+    sizes = np.array([len(w.spans) for w in found])
+    n, length = len(found), int(sizes.max())
+    flat = np.array([(i, j, model.index[f]) for i, w in enumerate(found) for j, features in enumerate(w.features) for f in features])
+    y = np.array([labels + [0] * (length - len(labels)) for labels in gold])
+    inside = np.arange(length) < sizes[:, None]
+    ends = np.arange(length) == sizes[:, None] - 1
     state = [np.zeros_like(model.emit), np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros_like(model.move)]
     for step in range(1, steps + 1):
         grad_emit, grad_move = -penalty * model.emit, -penalty * model.move
-        for length, flat, y in ready:
-            n = len(y)
-            emit = np.zeros((n, length, len(LABELS)))
-            np.add.at(emit, (flat[:, 0], flat[:, 1]), model.emit[flat[:, 2]])
-            ahead, behind = np.empty_like(emit), np.empty_like(emit)
-            ahead[:, 0], behind[:, -1] = emit[:, 0] + model.move[0], model.move[:, 0]
-            for j in range(1, length):
-                ahead[:, j] = _logsumexp(ahead[:, j - 1, :, None] + model.move, 1) + emit[:, j]
-                k = length - 1 - j
-                behind[:, k] = _logsumexp(model.move + (emit[:, k + 1] + behind[:, k + 1])[:, None, :], 2)
-            total = _logsumexp(ahead[:, -1] + behind[:, -1], 1)
-            wrong = np.eye(len(LABELS))[y] - np.exp(ahead + behind - total[:, None, None])
-            np.add.at(grad_emit, flat[:, 2], wrong[flat[:, 0], flat[:, 1]])
-            grad_move[0] += wrong[:, 0].sum(axis=0)
-            grad_move[:, 0] += wrong[:, -1].sum(axis=0)
-            for j in range(1, length):
-                pair = np.exp(ahead[:, j - 1, :, None] + model.move + (emit[:, j] + behind[:, j])[:, None, :] - total[:, None, None])
-                np.add.at(grad_move, (y[:, j - 1], y[:, j]), 1.0)
-                grad_move -= pair.sum(axis=0)
+        emit = np.zeros((n, length, len(LABELS)))
+        np.add.at(emit, (flat[:, 0], flat[:, 1]), model.emit[flat[:, 2]])
+        ahead, behind = np.empty_like(emit), np.empty_like(emit)
+        ahead[:, 0], behind[:, -1] = emit[:, 0] + model.move[0], model.move[:, 0]
+        for j in range(1, length):
+            # Beyond a window's end nothing moves; at its end the chain goes outside.
+            ahead[:, j] = np.where(inside[:, j, None], _logsumexp(ahead[:, j - 1, :, None] + model.move, 1) + emit[:, j], ahead[:, j - 1])
+            k = length - 1 - j
+            behind[:, k] = np.where(ends[:, k, None], model.move[:, 0], _logsumexp(model.move + (emit[:, k + 1] + behind[:, k + 1])[:, None, :], 2))
+        total = _logsumexp(ahead[:, -1] + model.move[:, 0], 1)
+        share = np.exp(np.where(inside[:, :, None], ahead + behind - total[:, None, None], -np.inf))
+        wrong = np.eye(len(LABELS))[y] * inside[:, :, None] - share
+        np.add.at(grad_emit, flat[:, 2], wrong[flat[:, 0], flat[:, 1]])
+        grad_move[0] += wrong[:, 0].sum(axis=0)
+        grad_move[:, 0] += wrong[ends].sum(axis=0)
+        for j in range(1, length):
+            on = inside[:, j]
+            pair = np.exp(ahead[on, j - 1, :, None] + model.move + (emit[on, j] + behind[on, j])[:, None, :] - total[on, None, None])
+            np.add.at(grad_move, (y[on, j - 1], y[on, j]), 1.0)
+            grad_move -= pair.sum(axis=0)
         for value, grad, m, v in ((model.emit, grad_emit, state[0], state[1]), (model.move, grad_move, state[2], state[3])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
@@ -254,7 +306,7 @@ def labelled_table(rows: int = 500, seed: int = 1) -> list[tuple[str, list[Span]
 
     def item() -> tuple[str, str, str, str]:
         """Before, kind or nothing, value, after."""
-        match r.integers(16):
+        match r.integers(25):
             case 0:
                 return "", "email", f"{of('abcdefgh', 5)}{pick('', '.' + digits(2), '_x')}@{of('mailbox', 4)}{digits(1)}.{pick('com', 'org', 'example.com')}", ""
             case 1:
@@ -285,6 +337,25 @@ def labelled_table(rows: int = 500, seed: int = 1) -> list[tuple[str, list[Span]
                 return "", "", pick(f"{digits(3)}.{digits(2)}.{digits(1)}", f"({digits(2)})", f"{digits(2)}:{digits(2)}", f"{digits(4)}", f"@{of('abc', 5)}", f"https://{of('abc', 6)}.com/{digits(3)}"), ""
             case 14:
                 return "", "", pick(f"ISBN {digits(3)}-{digits(1)}-{digits(4)}", f"{digits(2)} {digits(3)}", f"{digits(1)} + {digits(1)} = {digits(2)}", f"{digits(5)} {of('abc', 4)}"), ""
+            case 15:
+                return pick("password: ", "Password: ", "passwd: ", "pwd: ", "password = ", "passwd = ", "pwd = ", 'password = "', "password:", "password=", "pwd="), "secret", of("abcdefghijklmnopqrstuvwxyz", r.integers(8, 25)), ""
+            case 16:
+                return pick("token: ", "secret = ", "api_key: ", "key = ", "token=", "secret=", "api_key=", "auth: ", "password: ", "password = "), "secret", "aK" + of("abcdefghkmnprstuvwxyzABCDEFGHKMNPRSTUVWXYZ", r.integers(12, 38)), ""
+            case 17:
+                at, dot = (" at ", " dot ") if r.integers(2) else pick((" (at) ", " (dot) "), (" [at] ", " [dot] "))
+                return pick("", "mail ", "write to "), "email", of("abcdefghij", r.integers(2, 9)) + at + of("mailbox", r.integers(3, 8)) + dot + pick("com", "org", "net", "edu", f"co{dot}uk"), ""
+            case 18:
+                return "", "secret", pick("AKIA", "ASIA") + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), ""
+            case 19:
+                return pick("the ", "your ", "a "), "", pick("password", "token", "key", "secret") + pick(" is ", " of ", " to ", ", ", ". ", " and ", ": ", " = ") + pick("the", "a", "this", "no", "value", "lost", "none", "your"), ""
+            case 20:
+                return pick("Note: ", "author: ", "title: ", "name = ", "x = ", "see: ", "Subject: "), "", pick(words(1).title(), of("aeioulnrstdmc", r.integers(5, 20)), words(2)), ""
+            case 21:
+                return pick("at ", "look at ", "met at ", "(at) "), "", pick("the dot on it", "noon", "a dot", f"{words(1)} point", "the end of the dot", f"{words(1)}.com"), ""
+            case 22:
+                return "", "", pick(of("ABCDEILMNORST", r.integers(2, 20)), of("aeioulnrstdmc", r.integers(9, 24)), words(1).title(), f"{words(1)}-{words(1)}", f"({words(2)})", f'"{words(2)}"', f"{words(1)}'s", f"{words(1)}/{words(1)}", "—", "é" + words(1), f"{words(1).title()}{words(1).title()}"), ""
+            case 23:
+                return pick("call ", "phone ", "Tel: ", "total ", "version ", "mobile: "), "", words(2), ""
             case _:
                 return "", "", "", ""
 
@@ -303,6 +374,8 @@ def labelled_table(rows: int = 500, seed: int = 1) -> list[tuple[str, list[Span]
 def _value_span(text: str, start: int, end: int) -> tuple[int, int]:
     """A labelled stretch without quotes and signs around it, and without the name it is assigned to."""
     cut = text.rfind("=", start, end)
+    if cut < 0 and (name := _assigned(text[start:end].strip(_TRIM))[0]):
+        cut = text.index(name, start) + len(name)
     if 0 <= cut < end - 1 and text[cut + 1 : end].strip(_TRIM):
         start = cut + 1
     while start < end and text[start] in _TRIM + " \t\n" and not (text[start] == "(" and ")" in text[start:end].rstrip(_TRIM)):
@@ -314,6 +387,20 @@ def _value_span(text: str, start: int, end: int) -> tuple[int, int]:
 
 def added_spans(texts: list[str], base: list[list[Span]], model: Field) -> list[list[Span]]:
     """What the field finds beyond the patterns: labelled stretches that overlap none of their spans."""
+    out: list[list[Span]] = []
+    at = 0
+    while at < len(texts):
+        # Not more than about a million characters are held as words at once, unless one text is longer.
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= 1_000_000:
+            size += len(texts[end])
+            end += 1
+        out += _added(texts[at:end], base[at:end], model)
+        at = end
+    return out
+
+
+def _added(texts: list[str], base: list[list[Span]], model: Field) -> list[list[Span]]:
     found = [windows(x) for x in texts]
     labels = iter(model.decode([w for part in found for w in part]))
     out = []
@@ -321,13 +408,20 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Field) -> list[
         spans: list[Span] = []
         for w in part:
             run: list = []
-            for (s, e), label in zip(w.spans, next(labels), strict=True):
-                if run and run[0] == label and label in ("phone", "card"):
+            kinds = next(labels)
+            for (s, e), label in zip(w.spans, kinds, strict=True):
+                if label == "outside":
+                    if run:
+                        spans.append(tuple(run))
+                        run = []
+                    continue
+                # Several words make one number, or one address that is spelled out.
+                if run and run[0] == label and (label in ("phone", "card") or label == "email" and "@" not in text[run[1] : e]):
                     run[2] = e
                     continue
                 if run:
                     spans.append(tuple(run))
-                run = [] if label == "outside" else [label, s, e]
+                run = [label, s, e]
             if run:
                 spans.append(tuple(run))
         spans = [(k, *_value_span(text, a, b)) for k, a, b in spans]

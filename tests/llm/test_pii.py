@@ -91,3 +91,24 @@ def test_rows(spark):
     assert got == {(None, None), ("", None), ("[EMAIL] [IP]", 12), ("call [PHONE] now é@b.cd", 23), ("plain", 5)}
     assert P.find(docs.limit(0)).count() == 0
     assert P.redact(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("set password: correcthorsebattery now", "secret", "correcthorsebattery"), ("password = hunterhunter", "secret", "hunterhunter"), ("and write to jo at mail dot org today", "email", "jo at mail dot org"),
+    ("the password is required", None, None), ("we met at noon and saw the dot on it", None, None),
+])
+def test_words_of_letters_only(text, kind, value):
+    found = P.added_spans([text], [P.base_spans(text)], P.default_model())[0]
+    assert found == ([] if kind is None else [(kind, text.index(value), text.index(value) + len(value))])
+
+
+def test_the_chain_is_the_whole_text():
+    texts = ["one two\n three 4x", "", " ", "a"]
+    assert [[s for w in P.windows(x) for s in w.spans] for x in texts] == [[m.span() for m in re.finditer(r"\S+", x)] for x in texts]
+
+
+def test_viterbi_over_windows_of_several_lengths():
+    r = np.random.default_rng(1)
+    model = P.Field({f"f{k}": k for k in range(5)}, r.normal(size=(5, 6)), r.normal(size=(6, 6)))
+    ws = [P.Window([(0, 1)] * n, [(f"f{k}",) for k in r.integers(0, 5, n)]) for n in r.integers(1, 30, 50)]
+    assert model.decode(ws) == [model.decode([w])[0] for w in ws] == model.decode(ws, most=40)
