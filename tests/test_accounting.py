@@ -48,6 +48,17 @@ def test_arguments():
     assert events.zcdp_rho(0) == math.inf
 
 
+@pytest.mark.parametrize(("n", "batch"), [(1, 64), (1, 1), (10, 64), (1000, 16)])
+def test_a_row_drawn_with_replacement_may_fill_the_batch(n, batch):
+    event = events.fixed_size(300.0, 3, n, batch, replace=True)
+    for order in (2, 3, 8):
+        # What the row in all slots, replaced by another, gives on its own; at n = 1 it always is.
+        assert rdp.of_event(event, order) >= 3 * rdp.fixed_gaussian(order, 300.0 / batch, 1 - (1 - 1 / n) ** batch) * (1 - 1e-9)
+    if n == 1:
+        assert rdp.of_event(event, 4) == pytest.approx(3 * 2 * 4 * batch**2 / 300.0**2)
+    assert rdp.of_event(events.fixed_size(1.0, 1, n, 0, replace=True), 2) == 0
+
+
 def test_special_functions():
     assert special.beta_cdf(0.3, 2, 5) == pytest.approx(sum(special.math.comb(6, k) * 0.3**k * 0.7 ** (6 - k) for k in range(2, 7)))
     assert special.beta_ppf(special.beta_cdf(0.2, 3, 7), 3, 7) == pytest.approx(0.2)
