@@ -6,6 +6,7 @@ gradient ascent with exact marginals and decoded by Viterbi over many texts at a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -105,9 +106,27 @@ def _assigned(core: str) -> tuple[str, str]:
     return name, value
 
 
-@lru_cache(maxsize=100_000)
-def _own(word: str) -> tuple[tuple[str, ...], str | None, str]:
-    """A word's own features, what it tells about its neighbours, and the sign (= or :) with which it assigns to the next."""
+Known = tuple[tuple[str, ...], "tuple[str | None, str] | None"]
+
+
+#: Words met by this worker; it is emptied when it grows long.
+_SEEN: dict[str, Known] = {}
+
+
+def _known(word: str) -> Known:
+    """As `_own`; plain words, lower case or with one capital, differ in length only."""
+    core = word[:-1] if word[-1] in ",." else word
+    if core.isalpha() and core.isascii() and core.lower() not in _CUE:
+        if core.islower():
+            return _own("a" * min(len(core), 64))
+        if len(core) > 1 and core.istitle():
+            return _own("A" + "a" * min(len(core) - 1, 63))
+    return _own(word)
+
+
+@lru_cache(maxsize=50_000)
+def _own(word: str) -> Known:
+    """A word's own features and, if it tells about its neighbours, its cue and the sign (= or :) with which it assigns to the next."""
     core = word.strip(_TRIM)
     name, value = _assigned(core)
     value = value.strip(_TRIM)
@@ -131,7 +150,8 @@ def _own(word: str) -> tuple[tuple[str, ...], str | None, str]:
     if cue:
         found.append("is:" + cue)
     bare = word.rstrip("\"'`")
-    return tuple(found), cue, bare[-1:] if bare[-1:] in ("=", ":") else ""
+    sign = bare[-1:] if bare[-1:] in ("=", ":") else ""
+    return tuple(found), (cue, sign) if cue or sign else None
 
 
 @dataclass
@@ -153,27 +173,33 @@ def windows(text: str) -> list[Window]:
     if not spans:
         return []
     words = _WORD.findall(text)
-    known = list(map(_own, words))
+    if len(_SEEN) > 200_000:
+        _SEEN.clear()
+    known = list(map(_SEEN.get, words))
+    if None in known:
+        for i, x in enumerate(known):
+            if x is None:
+                known[i] = _SEEN[words[i]] = _known(words[i])
     features, last = [x[0] for x in known], len(words)
+    cue_of = lambda i: known[i][1] and known[i][1][0]
     # Only words that tell something or assign have neighbours to be told.
-    for i, (_, cue, sign) in enumerate(known):
-        if cue is None and not sign:
-            continue
+    for i in [i for i, x in enumerate(known) if x[1]]:
+        cue, sign = known[i][1]
         if cue:
             for j in (1, 2):
                 if i + j < last:
                     features[i + j] += (f"cue{j - 1}:{cue}",)
         if sign and i + 1 < last:
             lone = not words[i].strip(_TRIM + "=")
-            named = known[i - 1][1] if lone and i else cue
+            named = cue_of(i - 1) if lone and i else cue
             features[i + 1] += ("after" + sign, f"to:{named or 'other'}", f"to:{named or 'other'}:{_size(words[i + 1])}")
-        if cue == "dot" and i > 1 and known[i - 2][1] == "at" and i + 1 < last:
+        if cue == "dot" and i > 1 and cue_of(i - 2) == "at" and i + 1 < last:
             end = i + 1
-            while end + 2 < last and known[end + 1][1] == "dot":
+            while end + 2 < last and cue_of(end + 1) == "dot":
                 end += 2
-            mark = ("spelled", "spelled:domain" if known[end][1] == "domain" else "spelled:other")
+            mark = ("spelled", "spelled:domain" if cue_of(end) == "domain" else "spelled:other")
             for j in range(max(0, i - 3), end + 1):
-                features[j] += (*mark, "spelled:" + (known[j][1] or "name"))
+                features[j] += (*mark, "spelled:" + (cue_of(j) or "name"))
     return [Window(spans, features)]
 
 
@@ -236,7 +262,7 @@ class Field:
             path[:n, j] = label[:n]
             label[:n] = back[j, rows[:n], label[:n]]
         for (i, w), labels in zip(part, path, strict=True):
-            out[i] = [LABELS[k] for k in labels[: len(w.spans)]]
+            out[i] = [LABELS[k] for k in labels[: len(w.spans)].tolist()] if labels.any() else ["outside"] * len(w.spans)
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -395,7 +421,14 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Field) -> list[
         while end < len(texts) and size + len(texts[end]) <= 1_000_000:
             size += len(texts[end])
             end += 1
-        out += _added(texts[at:end], base[at:end], model)
+        # Words make many small objects without cycles, which the collector would only walk over.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            out += _added(texts[at:end], base[at:end], model)
+        finally:
+            if collects:
+                gc.enable()
         at = end
     return out
 
@@ -409,6 +442,8 @@ def _added(texts: list[str], base: list[list[Span]], model: Field) -> list[list[
         for w in part:
             run: list = []
             kinds = next(labels)
+            if kinds.count("outside") == len(kinds):
+                continue
             for (s, e), label in zip(w.spans, kinds, strict=True):
                 if label == "outside":
                     if run:
