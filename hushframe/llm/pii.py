@@ -54,7 +54,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """What the patterns find: leftmost, without overlap within a kind, code points, end exclusive."""
     out: list[Span] = [("email", *x) for x in _emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split("."))]
     out += [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := _DIGITS.sub("", m[0])) <= 19 and luhn(d)]
     out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_DIGITS.sub("", m[0])) <= 15] if "+" in text else []
     return out
@@ -85,7 +85,7 @@ _TRIM = "\"'`.,;:!?()[]{}<>*#%&$|"
 def shape(word: str) -> str:
     """Runs of digits with their length up to five, runs of letters as one sign, other characters as they are."""
     out, last, n = [], "", 0
-    for ch in word[:200] + "\0":
+    for ch in word + "\0":
         kind = "d" if "0" <= ch <= "9" else "X" if "A" <= ch <= "Z" else "x" if ch.isalpha() else ch
         if kind == last and kind in "dXx":
             n += 1

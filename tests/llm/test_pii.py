@@ -34,6 +34,17 @@ def test_patterns_on_random_texts():
         assert P.base_spans(text) == brute(text), text
 
 
+def test_parts_of_many_digits():
+    for text in ("0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 9000, "9" * 5000 + ".2.3.4", "0" * 6000 + ".0.0.0"):
+        strip = [p.lstrip("0") or "0" for p in text.split(".")]
+        wanted = [("ip", 0, len(text))] if all(len(x) < 4 and int(x) <= 255 for x in strip) else []
+        assert [s for s in P.base_spans(text) if s[0] == "ip"] == wanted
+
+
+def test_shape_reads_whole_words():
+    assert P.shape("a" * 300 + "1") == "xd1" and P.shape("7" * 300 + "-") == "d5-"
+
+
 def test_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
     for r in QUERIES["op4_pii_crf"](spark, f"{DATA}/sf0.01").collect():
