@@ -1,6 +1,6 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
-The field labels every word of a text, so that the chain is the text. It is trained on a small labelled table by full-batch
+The chain is the whole text: the field labels every word, where most are proved to be outside by their own scores and need no search. It is trained on a small labelled table by full-batch
 gradient ascent with exact marginals and decoded by Viterbi over many texts at a time.
 """
 
@@ -80,6 +80,7 @@ CUES = {
 }
 _CUE = {w: k for k, words in CUES.items() for w in words}
 _TRIM = "\"'`.,;:!?()[]{}<>*#%&$|"
+_HEX = frozenset("0123456789abcdefABCDEF")
 
 
 def shape(word: str) -> str:
@@ -109,18 +110,17 @@ def _assigned(core: str) -> tuple[str, str]:
 Known = tuple[tuple[str, ...], "tuple[str | None, str] | None"]
 
 
-#: Words met by this worker; it is emptied when it grows long.
-_SEEN: dict[str, Known] = {}
-
-
 def _known(word: str) -> Known:
-    """As `_own`; plain words, lower case or with one capital, differ in length only."""
-    core = word[:-1] if word[-1] in ",." else word
-    if core.isalpha() and core.isascii() and core.lower() not in _CUE:
+    """As `_own`: of plain words in lower case, with one capital or in capitals only the length matters."""
+    core = word.strip(_TRIM)
+    if core.isalpha() and ":" not in word and word[0] not in "(\"'" and core.lower() not in _CUE and (len(core) < 16 or not _HEX.issuperset(core)):
+        n = len(core)
         if core.islower():
-            return _own("a" * min(len(core), 64))
-        if len(core) > 1 and core.istitle():
-            return _own("A" + "a" * min(len(core) - 1, 63))
+            return _own("g" * min(n, 64))
+        elif core[1:].islower():
+            return _own(("G" if core[0].isascii() else "g") + "g" * min(n - 1, 63))
+        elif n < 16 and core.isascii() and core.isupper():
+            return _own("G" * n)
     return _own(word)
 
 
@@ -140,7 +140,7 @@ def _own(word: str) -> Known:
     found += [n for n, x in (
         ("at", "@" in core), ("equals", "=" in word), ("assigned", "=" in core and bool(value)), ("only=", core == "="), ("plus", core.startswith("+")), ("paren", word.startswith("(")), ("dots3", core.count(".") == 3), ("dots1", core.count(".") == 1),
         ("dashes", core.count("-") >= 1), ("quoted", word[:1] in "\"'"), ("mixed16", mixed and len(value) >= 16), ("mixed12", mixed and 10 <= len(value) < 16), ("caps16", mixed and len(value) >= 16 and value.upper() == value),
-        ("hex16", len(value) >= 16 and all(c in "0123456789abcdefABCDEF" for c in value)), ("number13", value.isdigit() and len(value) >= 13), ("number", value.isdigit()), ("url", "://" in word),
+        ("hex16", len(value) >= 16 and _HEX.issuperset(value)), ("number13", value.isdigit() and len(value) >= 13), ("number", value.isdigit()), ("url", "://" in word),
         (f"capsletters16:{value[:2]}", len(value) >= 16 and value.isalpha() and value.isupper()), ("cases", value.isalpha() and len(value) >= 12 and any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)),
     ) if x]
     key = name.lower().strip(_TRIM)
@@ -167,24 +167,21 @@ def _size(word: str) -> str:
     return f"{'letters' if value.isalpha() else 'other'}{min(len(value).bit_length(), 7)}"
 
 
-def windows(text: str) -> list[Window]:
-    """All words of a text as one window; none for a text without words."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    if not spans:
-        return []
-    words = _WORD.findall(text)
-    if len(_SEEN) > 200_000:
-        _SEEN.clear()
-    known = list(map(_SEEN.get, words))
-    if None in known:
-        for i, x in enumerate(known):
-            if x is None:
-                known[i] = _SEEN[words[i]] = _known(words[i])
-    features, last = [x[0] for x in known], len(words)
-    cue_of = lambda i: known[i][1] and known[i][1][0]
-    # Only words that tell something or assign have neighbours to be told.
-    for i in [i for i, x in enumerate(known) if x[1]]:
-        cue, sign = known[i][1]
+class _Features(dict):
+    """Features by position, a word's own ones at first."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+
+    def __missing__(self, i: int) -> tuple[str, ...]:
+        return _known(self.words[i])[0]
+
+
+def _told(words: list[str], telling: dict[int, tuple[str | None, str]], features: _Features) -> None:
+    """Add what words that tell something or assign say about their neighbours; only those have any to be told."""
+    last = len(words)
+    cue_of = lambda i: telling[i][0] if i in telling else None
+    for i, (cue, sign) in telling.items():
         if cue:
             for j in (1, 2):
                 if i + j < last:
@@ -200,7 +197,63 @@ def windows(text: str) -> list[Window]:
             mark = ("spelled", "spelled:domain" if cue_of(end) == "domain" else "spelled:other")
             for j in range(max(0, i - 3), end + 1):
                 features[j] += (*mark, "spelled:" + (cue_of(j) or "name"))
-    return [Window(spans, features)]
+
+
+def windows(text: str) -> list[Window]:
+    """All words of a text as one window; none for a text without words."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if not spans:
+        return []
+    words = _WORD.findall(text)
+    features = _Features(words)
+    _told(words, {i: tell for i, x in enumerate(words) if (tell := _known(x)[1])}, features)
+    return [Window(spans, [features[i] for i in range(len(words))])]
+
+
+def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a text's words."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(code) + 2, np.int8)
+    inside[1:-1] = (code != 32) & ((code < 9) | (code > 13))
+    step = np.diff(inside)
+    return np.flatnonzero(step > 0), np.flatnonzero(step < 0)
+
+
+def open_windows(text: str, model: "Field") -> list[Window]:
+    """The parts of a text's chain that aren't decided yet, in order.
+
+    Where a word's own score for outside is ahead of any other label's by more than transitions can make up for, the best path is
+    outside there, whatever its neighbours are. Such words part the chain, and what lies between them, with outside on both sides, has
+    the labels that it has in the whole chain.
+    """
+    words = _WORD.findall(text)
+    seen = model.seen
+    if len(seen) > 200_000:
+        seen.clear()
+    known = list(map(seen.get, words))
+    if None in known:
+        for i, x in enumerate(known):
+            if x is None:
+                own = _known(words[i])
+                known[i] = seen[words[i]] = own if own[1] or not model.outside(own[0]) else ()
+    asked = [i for i, x in enumerate(known) if x]
+    if not asked:
+        return []
+    features = _Features(words)
+    for i in asked:
+        features[i] = known[i][0]
+    _told(words, {i: known[i][1] for i in asked if known[i][1]}, features)
+    left = sorted(i for i, f in features.items() if not model.outside(f))
+    if not left:
+        return []
+    starts, ends = _spans(text)
+    out: list[Window] = []
+    for n, i in enumerate(left):
+        if not n or left[n - 1] != i - 1:
+            out.append(Window([], []))
+        out[-1].spans.append((int(starts[i]), int(ends[i])))
+        out[-1].features.append(features[i])
+    return out
 
 
 # --- the field ---------------------------------------------------------------------------------------------------
@@ -215,6 +268,26 @@ class Field:
     index: dict[str, int] = field(default_factory=dict)
     emit: np.ndarray = field(default_factory=lambda: np.zeros((0, len(LABELS))))
     move: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS), len(LABELS))))
+    #: What open_windows found out about words under these weights; not a part of the model.
+    seen: dict[str, tuple] = field(default_factory=dict, repr=False, compare=False)
+    _sure: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "seen": {}, "_sure": {}}
+
+    def outside(self, features: tuple[str, ...]) -> bool:
+        """Whether a word with these features is outside on the best path of every chain, for a fitted model."""
+        found = self._sure.get(features)
+        if found is None:
+            if "gain" not in self._sure:
+                # The most that transitions into and out of a label can be better than those of outside.
+                through = self.move[:, :, None] + self.move[None, :, :]
+                self._sure["gain"] = (through - self.move[:, 0][:, None, None] - self.move[0][None, None, :]).max(axis=(0, 2))
+            emit = self.emit[[k for f in features if (k := self.index.get(f)) is not None]].sum(axis=0)
+            if len(self._sure) > 200_000:
+                self._sure = {"gain": self._sure["gain"]}
+            found = self._sure[features] = bool(np.all(emit[0] - emit[1:] > self._sure["gain"][1:] + 1e-6))
+        return found
 
     def scores(self, found: list[Window]) -> np.ndarray:
         """Emissions of windows: window, position, label; nothing beyond a window's end."""
@@ -434,7 +507,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Field) -> list[
 
 
 def _added(texts: list[str], base: list[list[Span]], model: Field) -> list[list[Span]]:
-    found = [windows(x) for x in texts]
+    found = [open_windows(x, model) for x in texts]
     labels = iter(model.decode([w for part in found for w in part]))
     out = []
     for text, part, known in zip(texts, found, base, strict=True):

@@ -118,6 +118,31 @@ def test_the_chain_is_the_whole_text():
     assert [[s for w in P.windows(x) for s in w.spans] for x in texts] == [[m.span() for m in re.finditer(r"\S+", x)] for x in texts]
 
 
+def test_plain_words_are_known_by_their_length():
+    import pyarrow.parquet as pq
+
+    words = {w for x in pq.read_table(f"{DATA}/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() for w in P._WORD.findall(x or "")}
+    words |= {x for n in (1, 2, 15, 16, 17, 70) for a in "aAgGÉé" for x in (a * n, a + "b" * n, a * n + "!!", f"({a * n})", a * n + ":", f"'{a * n}'")}
+    assert all(P._known(w) == P._own(w) for w in words)
+
+
+def test_open_windows_lose_no_label_of_the_whole_chain():
+    import pyarrow.parquet as pq
+
+    model = P.default_model()
+    texts = [x or "" for x in pq.read_table(f"{DATA}/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += [x for x, _ in P.labelled_table(300, seed=5)]
+    texts += ["password :", "of in of in = x7", "a at b dot c dot com", "x\x1c y\u2003z password= q9q9q9q9q9q9q9"]
+    for text in texts:
+        whole, labels = P.windows(text), {}
+        for w, kinds in zip(whole, model.decode(whole), strict=True):
+            labels |= {s: k for s, k in zip(w.spans, kinds, strict=True) if k != "outside"}
+        parts, found = P.open_windows(text, model), {}
+        for w, kinds in zip(parts, model.decode(parts), strict=True):
+            found |= {s: k for s, k in zip(w.spans, kinds, strict=True) if k != "outside"}
+        assert found == labels
+
+
 def test_viterbi_over_windows_of_several_lengths():
     r = np.random.default_rng(1)
     model = P.Field({f"f{k}": k for k in range(5)}, r.normal(size=(5, 6)), r.normal(size=(6, 6)))
