@@ -1,8 +1,8 @@
 """Exact token ids from a `tokenizers` file, with each distinct chunk encoded once.
 
 A text is cut where the pre-tokenizer always cuts, so that the ids of a text are the ids of its chunks put together; every chunk
-is encoded by the library itself. Chunks are found, hashed and looked up for many texts at once in NumPy, by 64-bit hashes. Texts with
-unusual white space, where cutting could change the result, are handed to the library whole.
+is encoded by the library itself. Chunks are found, hashed and looked up for many texts at once in NumPy; a chunk that is found by its
+64-bit hash is compared with the one remembered, byte for byte. Texts with unusual white space, where cutting could change the result, are handed to the library whole.
 """
 
 from __future__ import annotations
@@ -13,16 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 
+from .hashing import Ranges
+
 _U = np.uint64
 #: White space other than the plain blank and the newline, in Python's or Unicode's sense, and the zero byte.
 _UNUSUAL = re.compile("[\\0\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_RANDOM = np.random.Generator(np.random.PCG64(31))
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = _U(int(_RANDOM.integers(1 << 61, 1 << 62)) * 2 + 1)
-
 
 @lru_cache(maxsize=4)
 def load(path: str):
@@ -90,11 +88,11 @@ class ChunkEncoder:
         vocab = self._tokenizer.get_vocab()
         self._edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self._edge[[i for x, i in vocab.items() if (x.startswith("Ġ") if spaces_matter else x.endswith("</w>"))]] = True
-        self._powers = np.multiply.accumulate(np.full(1 << 12, _BASE, _U))
         self._forget()
 
     def _forget(self) -> None:
         self._known, self._ids, self._used, self._ends = _Known(), np.empty(1 << 20, "<u4"), 0, np.zeros(1, np.int64)
+        self._blocks, self._first, self._sizes = np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _whole(self, text: str) -> bool:
         """Whether a text must not be cut."""
@@ -111,7 +109,7 @@ class ChunkEncoder:
             return self._encode(words)
         return np.split(ids, edges[1:] if self._spaces else edges[:-1] + 1)
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+    def _ids_of(self, chunks: list[str]) -> list[np.ndarray]:
         plain = [i for i, x in enumerate(chunks) if x[:1] == " " and x[1:].isalpha()]
         found: list = [None] * len(chunks)
         for i in range(0, len(plain), 2_000):
@@ -123,14 +121,28 @@ class ChunkEncoder:
             part = other[i : i + 20_000]
             for k, ids in zip(part, self._encode([chunks[k] for k in part]), strict=True):
                 found[k] = ids
+        return found
+
+    def _learn(self, keys: np.ndarray, chunks: list[str], ranges: Ranges) -> None:
+        """Chunks with distinct keys; `ranges` are their bytes."""
+        found = self._ids_of(chunks)
         every = np.concatenate(found)
         while self._used + len(every) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
         self._ids[self._used : self._used + len(every)] = every
         self._used += len(every)
         self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum([len(x) for x in found])])
+        self._first = np.concatenate([self._first, len(self._blocks) + ranges.first])
+        self._sizes = np.concatenate([self._sizes, ranges.sizes])
+        self._blocks = np.concatenate([self._blocks, ranges.blocks])
         self._known.add(keys)
 
+    def _same(self, ranges: Ranges, number: np.ndarray) -> np.ndarray:
+        """Whether chunks are the remembered ones with these numbers. No chunk holds a zero byte, so blocks tell lengths too."""
+        at = np.repeat(self._first[number], ranges.sizes) + ranges.place
+        equal = np.take(self._blocks, at, mode="clip") == ranges.blocks
+        return np.logical_and.reduceat(equal, ranges.first) & (self._sizes[number] == ranges.sizes)
+
     def _cut(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where chunks start: at texts' starts, at blanks, at and after newlines, and at a full stop or comma that ends a word after a letter."""
         space, line = data == 32, data == 10
@@ -152,23 +164,28 @@ class ChunkEncoder:
         ends = np.cumsum(sizes)
         starts = self._cut(data, (ends - sizes)[sizes > 0])
         stops = np.append(starts[1:], len(data))
-        within = np.arange(len(data), dtype=np.int64) - np.repeat(starts, stops - starts)
-        longest = int(within.max())
-        if longest >= len(self._powers):
-            self._powers = np.multiply.accumulate(np.full(2 * longest, _BASE, _U))
-        keys = np.add.reduceat(_BYTE[data] * self._powers[within], starts)
-        keys ^= keys >> _U(29)
+        raw = data.tobytes()
+        ranges = Ranges(raw, starts, stops)
+        keys = ranges.hashes()
         number = self._known.find(keys)
+        chunks = lambda at: [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
         if len(new := np.flatnonzero(number < 0)):
             _, once = np.unique(keys[new], return_index=True)
             new = new[once]
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+            self._learn(keys[new], chunks(new), Ranges(raw, starts[new], stops[new]))
             number = self._known.find(keys)
+        other = np.flatnonzero(~self._same(ranges, number))
         begin = self._ends[number]
         length = self._ends[number + 1] - begin
         after = np.cumsum(length)
-        ids = self._ids[np.repeat(begin - after + length, length) + np.arange(after[-1])].tobytes()
+        ids = self._ids[np.repeat(begin - after + length, length) + np.arange(after[-1])]
+        if len(other):
+            # Another chunk with the same hash is remembered; these are encoded each time.
+            parts = np.split(ids, after[:-1])
+            for i, found in zip(other.tolist(), self._ids_of(chunks(other)), strict=True):
+                parts[i] = found
+            ids, after = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        ids = ids.tobytes()
         bounds = np.concatenate([[0], 4 * after])[np.searchsorted(starts, np.concatenate([[0], ends]))].tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 

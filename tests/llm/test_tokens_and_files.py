@@ -18,6 +18,65 @@ def test_chunks_give_the_library_ids(file, spaces):
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [reference.encode(x or "", add_special_tokens=False).ids for x in ODD]
 
 
+def thue_morse(n, a="q", b="z"):
+    """Two words of n letters on which every polynomial hash modulo a power of two agrees."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+@pytest.mark.parametrize(("file", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_that_polynomials_confuse(file, spaces, n):
+    reference = Tokenizer.from_file(default_path(file))
+    texts = [*thue_morse(n), "a " + thue_morse(n)[1], "a " + thue_morse(n)[0]]
+    for order in (texts, texts[::-1]):
+        found = ChunkEncoder(default_path(file), spaces_matter=spaces).encode(order)
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [reference.encode(x, add_special_tokens=False).ids for x in order]
+
+
+def test_chunks_with_one_hash_are_told_apart(monkeypatch):
+    from hushframe.llm import tokens
+
+    monkeypatch.setattr(tokens.Ranges, "hashes", lambda self: self.lengths.astype(np.uint64) % np.uint64(3))
+    for file, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        reference = Tokenizer.from_file(default_path(file))
+        reference.encode_special_tokens = True
+        texts = [*ODD, "some words, of several sizes. and more of them", "of several words", "aaaaaaaaaaaaaaaa aaaaaaaaaaaaaaab aaaaaaaa", "x"]
+        e = ChunkEncoder(default_path(file), spaces_matter=spaces)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [reference.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("query", ["op2_wavelet_shards", "op6_packing"])
+def test_ids_of_the_table(spark, query):
+    """Each document's ids, read back from the query's own output by their checksums."""
+    from hushframe.llm.queries import QUERIES
+
+    file, end = ("word_bpe_49k.json", 1) if query.startswith("op2") else ("byte_bpe_50k.json", 0)
+    reference = Tokenizer.from_file(default_path(file))
+    reference.encode_special_tokens = True
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    ids = {i: np.array([*x.ids, end], "<u4") for i, x in zip(texts, reference.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
+    rows, seen = QUERIES[query](spark, "/root/testdata/sf0.01").collect(), dict.fromkeys(texts, 0)
+    if end:
+        begin = 0
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            assert (r.start, r.n_tokens, r.ids_crc32) == (begin, len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id].tobytes()))
+            begin += len(ids[r.doc_id])
+        assert len(rows) == len(texts)
+        return
+    used = {}
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert (r.doc_tokens, r.ids_crc32, len(part)) == (len(ids[r.doc_id]), zlib.crc32(part.tobytes()), r.length)
+        seen[r.doc_id] += r.length
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert seen == {i: len(x) for i, x in ids.items()}
+    for parts in used.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
+
+
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5, 1, 5, 0, 5], list(np.random.default_rng(1).integers(0, 60000, 3000))])
 def test_wavelet_matrix_against_lists(values):
     m = wavelet.WaveletMatrix.of(np.array(values, np.uint32))
