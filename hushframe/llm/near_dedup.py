@@ -23,42 +23,21 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, written
 from .components import components
+from .hashing import Ranges, mixed
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_BYTE[_SPACE] = 0
-_BASE, _STEP = (int(x) | 1 for x in _RANDOM.integers(1 << 60, 1 << 63, 2))
-_POWERS = np.multiply.accumulate(np.full(1 << 12, _BASE, _U))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(31))
-    x = x * _U(0x9E3779B97F4A7C15)
-    x = x ^ (x >> _U(29))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(32))
+_STEP = 0x9E3779B97F4A7C15
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word of the text, A-Z in lower case."""
-    global _POWERS
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    space = _SPACE[data]
-    first = ~space
-    first[1:] &= space[:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.empty(0, _U)
-    data = data[starts[0] :]
-    starts = starts - starts[0]
-    within = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
-    longest = int(within.max())
-    if longest >= len(_POWERS):
-        _POWERS = np.multiply.accumulate(np.full(2 * longest, _BASE, _U))
-    return _mixed(np.add.reduceat(_BYTE[data] * _POWERS[within], starts))
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[np.frombuffer(raw, np.uint8)]
+    step = np.diff(inside)
+    return Ranges(raw, np.flatnonzero(step > 0), np.flatnonzero(step < 0)).hashes()
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -70,14 +49,13 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
         folded = _U(len(h))
         with np.errstate(over="ignore"):
             for x in h:
-                folded = folded * _U(_STEP) + x
-        return _mixed(np.array([folded], _U))
+                folded = mixed(folded * _U(_STEP) + x)
+        return np.array([folded], _U)
     n = len(h) - words + 1
     folded = h[:n].copy()
     for k in range(1, words):
-        folded *= _U(_STEP)
-        folded += h[k : k + n]
-    return np.unique(_mixed(folded))
+        folded = mixed(folded * _U(_STEP) + h[k : k + n])
+    return np.unique(folded)
 
 
 @dataclass(frozen=True)
@@ -113,7 +91,7 @@ class Family:
     def band_keys(self, minima: np.ndarray) -> list[int]:
         keys = np.arange(1, self.bands + 1, dtype=np.uint64)
         for part in minima.reshape(self.bands, self.rows).T:
-            keys = _mixed(keys * _U(_STEP) + part)
+            keys = mixed(keys * _U(_STEP) + part)
         return keys.view(np.int64).tolist()
 
     def estimate(self, x: Column, y: Column) -> Column:
