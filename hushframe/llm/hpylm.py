@@ -16,7 +16,8 @@ that share two last bytes form one subtree, sampled in one task given the top of
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .near_dedup import word_hashes
 
 _U = np.uint64
 #: Bytes of a gram: a context of five and the byte that follows.
 ORDER = 6
 _PAD = b"\n" * (ORDER - 1)
 GRAMS, WORDS = 0, 1
-_END = _U(1)
+#: The end of a text among words, none of which is empty.
+_END = b""
 _EXACT = 64
 
 
@@ -203,9 +204,9 @@ def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.cumsum(sizes)
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word, and one for the end."""
-    return np.append(word_hashes(text), _END)
+def tokens(text: str | None) -> list[bytes]:
+    """The words of a text, and its end."""
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), _END]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -247,10 +248,17 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _bucket(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
-    """Grams are dealt by their context's last two bytes, words by their hash."""
-    if kind == WORDS:
-        return (keys % _U(buckets)).astype(np.int64)
+def _join(words: Iterable[bytes]) -> bytes:
+    """Sorted words, which hold no newline, as they are: nothing but themselves tells them apart."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def _words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Grams are dealt by their context's last two bytes."""
     return ((((keys >> _U(8)) & _U(0xFFFF)) * _U(40503) >> _U(4)) % _U(buckets)).astype(np.int64)
 
 
@@ -290,35 +298,54 @@ class Lookup:
 PACKED = "kind int, bucket int, block long, keys binary, counts binary"
 
 
-def _packed(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    bucket = _bucket(keys, kind, buckets)
-    rows = [(b, at) for b in range(buckets) if len(at := np.flatnonzero(bucket == b))] if len(keys) else []
+def _rows(kind: int, block: int, parts: Iterable[tuple[int, bytes, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of one block: bucket, packed keys and their counts."""
+    parts = list(parts)
     return pa.record_batch({
-        "kind": pa.array([kind] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()),
-        "keys": pa.array([_squeeze(keys[at]) for _, at in rows], pa.binary()), "counts": pa.array([_pack(counts[at], "<i8") for _, at in rows], pa.binary()),
+        "kind": pa.array([kind] * len(parts), pa.int32()), "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int64()),
+        "keys": pa.array([k for _, k, _ in parts], pa.binary()), "counts": pa.array([_pack(c, "<i8") for _, _, c in parts], pa.binary()),
     })
 
 
+def _packed_grams(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    return _rows(GRAMS, block, [(int(bucket[at[0]]), _squeeze(keys[at]), counts[at]) for at in np.split(order, cuts) if len(at)])
+
+
+def _packed_words(block: int, counts: dict[bytes, int], buckets: int) -> pa.RecordBatch:
+    dealt: dict[int, list[bytes]] = {}
+    for word in sorted(counts):
+        dealt.setdefault(zlib.crc32(word) % buckets, []).append(word)
+    return _rows(WORDS, block, [(b, _join(part), np.array([counts[x] for x in part], np.int64)) for b, part in dealt.items()])
+
+
 def _block_counts(rows: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
     """Per block: its distinct grams and words with their training counts (0 where only held-out texts have them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        words: dict[int, Counter] = {}
         waiting: dict[int, list] = {}
 
         def fold(block: int) -> None:
             part = waiting.pop(block)
-            for kind in (GRAMS, WORDS):
-                found = [[], []]
-                for out in (False, True):
-                    texts = [x for x, o in part if o == out]
-                    if texts:
-                        values = grams([stream(x) for x in texts])[0] if kind == GRAMS else np.concatenate([tokens(x) for x in texts])
-                        keys, counts = _counted(values)
-                        found[0].append(keys)
-                        found[1].append(counts * (not out))
-                old = held.setdefault((kind, block), [np.empty(0, _U), np.empty(0, np.int64)])
-                held[kind, block] = list(_added([old[0], *found[0]], [old[1], *found[1]]))
+            old = held.get(block, (np.empty(0, _U), np.empty(0, np.int64)))
+            found = [[old[0]], [old[1]]]
+            known = words.setdefault(block, Counter())
+            for out in (False, True):
+                texts = [x for x, o in part if o == out]
+                if texts:
+                    keys, counts = _counted(grams([stream(x) for x in texts])[0])
+                    found[0].append(keys)
+                    found[1].append(counts * (not out))
+                    for x in texts:
+                        if out:
+                            known.update(dict.fromkeys(tokens(x), 0))
+                        else:
+                            known.update(tokens(x))
+            held[block] = _added(*found)
 
         sizes: dict[int, int] = {}
         for batch in batches:
@@ -330,8 +357,9 @@ def _block_counts(rows: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFr
                     sizes[block] = 0
         for block in list(waiting):
             fold(block)
-        for (kind, block), (keys, counts) in held.items():
-            yield _packed(kind, block, keys, counts, buckets)
+        for block in held:
+            yield _packed_grams(block, *held[block], buckets)
+            yield _packed_words(block, words[block], buckets)
 
     return written(rows.select("block", "doc_id", "text").mapInArrow(run, PACKED), "counts")
 
@@ -341,8 +369,18 @@ def _totals(counts: DataFrame, blocks: int, fan_in: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         row = table.slice(0, 1).to_pylist()[0]
-        keys, totals = _added([_keys(x.as_py()) for x in table.column("keys")], [_unpack(x.as_py(), "<i8") for x in table.column("counts")])
-        return pa.table({"kind": pa.array([row["kind"]], pa.int32()), "bucket": pa.array([row["bucket"]], pa.int32()), "block": pa.array([row["block"] // fan_in], pa.int64()), "keys": pa.array([_squeeze(keys)], pa.binary()), "counts": pa.array([_pack(totals, "<i8")], pa.binary())})
+        counts = [_unpack(x.as_py(), "<i8") for x in table.column("counts")]
+        if row["kind"] == GRAMS:
+            found, totals = _added([_keys(x.as_py()) for x in table.column("keys")], counts)
+            keys = _squeeze(found)
+        else:
+            known: dict[bytes, int] = {}
+            for packed, part in zip(table.column("keys"), counts, strict=True):
+                for word, n in zip(_words(packed.as_py()), part.tolist(), strict=True):
+                    known[word] = known.get(word, 0) + n
+            words = sorted(known)
+            keys, totals = _join(words), np.array([known[x] for x in words], np.int64)
+        return pa.table({"kind": pa.array([row["kind"]], pa.int32()), "bucket": pa.array([row["bucket"]], pa.int32()), "block": pa.array([row["block"] // fan_in], pa.int64()), "keys": pa.array([keys], pa.binary()), "counts": pa.array([_pack(totals, "<i8")], pa.binary())})
 
     while True:
         counts = counts.groupBy("kind", "bucket", F.floor(F.col("block") / fan_in).alias("group")).applyInArrow(add, PACKED)
@@ -375,8 +413,9 @@ def _values(totals: DataFrame, base: np.ndarray, sweeps: int, burn: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = _keys(row["keys"]), _unpack(row["counts"], "<i8")
+                counts = _unpack(row["counts"], "<i8")
                 if row["kind"] == GRAMS:
+                    keys = _keys(row["keys"])
                     tree = Tree(keys[counts > 0], counts[counts > 0], 2, 1000 + row["bucket"])
                     where, total = tree.lookup(keys), np.zeros(len(keys))
                     for i in range(burn + sweeps):
@@ -391,29 +430,46 @@ def _values(totals: DataFrame, base: np.ndarray, sweeps: int, burn: int) -> Data
     return written(totals.mapInArrow(run, "kind int, bucket int, all_keys binary, all_values binary"), "values")
 
 
-def _answers(counts: DataFrame, values: DataFrame) -> DataFrame:
-    """For each block's keys their values."""
+def _answers(counts: DataFrame, values: DataFrame, tasks: int) -> DataFrame:
+    """For each block's keys their values.
+
+    A bucket's values come first in its task and are read once; the blocks' requests run past them one by one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                form = "<f4" if row["kind"] == GRAMS else "<i8"
-                found = _unpack(row["all_values"], form)[np.searchsorted(_keys(row["all_keys"]), _keys(row["keys"]))]
-                yield pa.record_batch({"block": pa.array([row["block"]], pa.int64()), "kind": pa.array([row["kind"]], pa.int32()), "keys": pa.array([row["keys"]], pa.binary()), "found": pa.array([_pack(found, form)], pa.binary())})
+                grams_ = row["kind"] == GRAMS
+                form = "<f4" if grams_ else "<i8"
+                if row["block"] < 0:
+                    known, found = (_keys if grams_ else _words)(row["keys"]), _unpack(row["found"], form)
+                    at = known if grams_ else dict(zip(known, found.tolist(), strict=True))
+                    continue
+                if grams_:
+                    out = found[np.searchsorted(at, _keys(row["keys"]))]
+                else:
+                    words = _words(row["keys"])
+                    out = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+                yield pa.record_batch({"block": pa.array([row["block"]], pa.int64()), "kind": pa.array([row["kind"]], pa.int32()), "keys": pa.array([row["keys"]], pa.binary()), "found": pa.array([_pack(out, form)], pa.binary())})
 
-    return counts.drop("counts").join(values, ["kind", "bucket"]).mapInArrow(run, "block long, kind int, keys binary, found binary")
+    asked = counts.select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("found"))
+    known = values.select("kind", "bucket", F.lit(-1).cast("long").alias("block"), F.col("all_keys").alias("keys"), F.col("all_values").alias("found"))
+    dealt = known.unionByName(asked).repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
+    return dealt.mapInArrow(run, "block long, kind int, keys binary, found binary")
 
 
-def score(docs: DataFrame, *, sweeps: int = 3, burn: int = 2, buckets: int = 96, fan_in: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, sweeps: int = 3, burn: int = 2, buckets: int | None = None, fan_in: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model and the base learn from the documents that are not `held_out`. Null texts count as empty: their only token is
     the end. A null id's text is empty for the split. Rows that repeat or share an id count and are scored each. An
     empty table gives no rows; without training text every token is an unknown one. Other
-    columns are not read. A block is a partition of the input and must fit a worker's memory.
+    columns are not read. A block is a partition of the input and must fit a worker's memory; there are as many `buckets` of contexts
+    and words as blocks, from 96 to 4,096, unless a number is given.
     """
     source = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"), F.spark_partition_id().cast("long").alias("block"))
     blocks = max(1, docs.rdd.getNumPartitions())
+    buckets = buckets or min(4096, max(96, blocks))
     rows = written(source, "blocks")
     counts = _block_counts(rows, buckets)
     totals = _totals(counts, blocks, fan_in)
@@ -435,25 +491,26 @@ def score(docs: DataFrame, *, sweeps: int = 3, burn: int = 2, buckets: int = 96,
     values = _values(totals, base, sweeps, burn)
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        table = {}
-        for kind, form in ((GRAMS, "<f4"), (WORDS, "<i8")):
-            part = [r for r in answers.to_pylist() if r["kind"] == kind]
-            keys = np.concatenate([np.empty(0, _U), *[_keys(r["keys"]) for r in part]])
-            found = np.concatenate([np.empty(0, form), *[_unpack(r["found"], form) for r in part]])
-            table[kind] = Lookup(keys, found)
+        part = answers.to_pylist()
+        packed = [(_keys(r["keys"]), _unpack(r["found"], "<f4")) for r in part if r["kind"] == GRAMS]
+        logs_of = Lookup(np.concatenate([np.empty(0, _U), *[k for k, _ in packed]]), np.concatenate([np.empty(0, "<f4"), *[v for _, v in packed]]))
+        known: dict[bytes, int] = {}
+        for r in part:
+            if r["kind"] == WORDS:
+                known.update(zip(_words(r["keys"]), _unpack(r["found"], "<i8").tolist(), strict=True))
         ids, out = texts.column("doc_id").to_pylist(), {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         bodies = texts.column("text").to_pylist()
         for i in range(0, len(ids), 500):
             part = bodies[i : i + 500]
             every, ends = grams([stream(x) for x in part])
-            logs = table[GRAMS][every].astype(float)
+            logs = logs_of[every].astype(float)
             last = every & _U(0xFF)
             closes = np.flatnonzero((last == _U(32)) | (last == _U(10)))
             spelled = np.add.reduceat(logs, np.concatenate([[0], closes[:-1] + 1])) + log_old
             at = 0
             for x in part:
                 t = tokens(x)
-                c = table[WORDS][t]
+                c = np.fromiter(map(known.__getitem__, t), np.int64, len(t))
                 out["score"].append(float(np.where(c > 0, spelled[at : at + len(t)], log_new).sum()))
                 at += len(t)
                 out["n_tokens"].append(len(t))
@@ -465,4 +522,6 @@ def score(docs: DataFrame, *, sweeps: int = 3, burn: int = 2, buckets: int = 96,
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(_answers(counts, values).groupBy("block")).applyInArrow(finish, schema)
+    # As many tasks as blocks, so that a task's share doesn't grow with the input.
+    answers = _answers(counts, values, buckets).repartition(blocks, "block")
+    return rows.repartition(blocks, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

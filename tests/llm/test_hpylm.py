@@ -35,6 +35,17 @@ def test_whole_table(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_words_that_polynomials_confuse(spark, tmp_path):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = ("".join("qz"[b ^ k] for b in bits) for k in (0, 1))
+    rows = [(1, f"{x} {x} a"), (2, f"{y} a"), (3, f"{x} {y} é"), (0, ""), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = base(rows)
+    for r in QUERIES["op1_hpylm_score"](spark, str(tmp_path)).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == wanted[r.doc_id][:4]
+        assert r.base_score == pytest.approx(wanted[r.doc_id][4], rel=1e-9)
+
+
 def test_probabilities_sum_to_one():
     r = np.random.default_rng(0)
     texts = ["".join(r.choice(list("ab cd"), 40)) for _ in range(60)]
