@@ -6,7 +6,7 @@ equal low bits the similarity is estimated with the chance agreement taken out.
 pass the estimate are confirmed on the full shingle sets.
 
 No bucket is expanded into all its pairs. Texts with equal sets are one class. In a bucket each class first
-meets the bucket's smallest class only; what these links connect needs no further comparison, and only
+meets the bucket's pivot only; what these links connect needs no further comparison, and only
 classes of a bucket that are still unconnected are compared with each other.
 """
 
@@ -145,17 +145,20 @@ def _local_classes(docs: DataFrame, words: int, family: Family) -> DataFrame:
     return written(docs.mapInArrow(run, "members array<bigint>, low long, n long, set_key binary, signature array<bigint>, bands array<bigint>"), "shingled")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """id and sorted shingles (array) of the classes named by `ids`, from their whole texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """id and sorted shingles (array) of the classes that `wanted` names, from the whole text of a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [shingles(x, words) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch({"id": batch.column(0), "set_key": pa.array([_key(x.tobytes()) for x in values], pa.binary()), "values": pa.array([x.view(np.int64) for x in values], pa.list_(pa.int64()))})
+            yield pa.record_batch({"set_key": pa.array([_key(x.tobytes()) for x in values], pa.binary()), "values": pa.array([x.view(np.int64) for x in values], pa.list_(pa.int64()))})
 
-    texts = docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    found = texts.mapInArrow(run, "id long, set_key binary, values array<bigint>").join(keys, ["id", "set_key"], "left_semi")
-    return written(found.dropDuplicates(["id"]).drop("set_key"), "sets")
+    named = checkpointed(classes.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "set_key", "low"))
+    # A class is read by its smallest id; one without any by the rows that have none.
+    low = named.select(F.col("low").alias("_low")).distinct()
+    texts = docs.join(low, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("doc_id", "text")
+    found = texts.mapInArrow(run, "set_key binary, values array<bigint>").join(named.select("id", "set_key"), "set_key").drop("set_key")
+    return written(found.dropDuplicates(["id"]), "sets")
 
 
 def _similar(x: Column, y: Column, least: float) -> Column:
@@ -164,23 +167,22 @@ def _similar(x: Column, y: Column, least: float) -> Column:
     return 100 * common >= percent * (F.size(x) + F.size(y) - common)
 
 
-def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, family: Family | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, family: Family | None = None, part: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when their sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
     `least` or more, and component_id is the smallest id reachable over links. A text with fewer words is one
     shingle; a text without words, or null, has none and is linked with nothing. Rows with a null id join
-    the component of their text but never name it; if no row of it has an id, component_id is null and they are kept.
-    Rows that share an id each follow their own text; two sets whose smallest id is the same id count as linked.
+    the component of their text but never name it; if no row of a component has an id, component_id is null and they are kept.
+    Rows that share an id each follow their own text, and each of their texts is searched.
     An empty table gives no rows; other columns are not read.
     """
     family = family or Family()
     source = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
     local = _local_classes(source, words, family)
-    sets = local.where("set_key IS NOT NULL AND low IS NOT NULL").groupBy("set_key").agg(F.min("low").alias("id"), F.first(F.struct("signature", "bands")).alias("hashed"))
-    # One class for each id, also where rows share one.
-    classes = written(sets.groupBy("id").agg(F.min("set_key").alias("set_key"), F.min_by("hashed", "set_key").alias("hashed")).select("id", "set_key", "hashed.*"), "classes")
-    keys = classes.select("id", "set_key")
+    sets = local.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first(F.struct("signature", "bands")).alias("hashed"))
+    # Classes of equal sets have a number of their own, which is written with them.
+    classes = written(sets.select(F.monotonically_increasing_id().alias("id"), "set_key", "low", "n", "hashed.*"), "classes")
     exploded = classes.select("id", F.explode("bands").alias("band"))
     # Buckets of one class end here; hot buckets are counted map-side.
     sizes = exploded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -189,37 +191,46 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, fam
     weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     pivots = shared.join(weights, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
     bucketed = shared.join(pivots.select("band", (-F.col("top.id")).alias("pivot")), "band").select("band", "id", "pivot")
-    signatures = classes.select("id", "signature")
+    signatures = classes.select("id", "n", "signature")
     lowest = family.lowest_estimate(least)
 
-    def promising(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(signatures.select(F.col("id").alias("u"), F.col("signature").alias("x")), "u")
-        y = x.join(signatures.select(F.col("id").alias("v"), F.col("signature").alias("y")), "v")
-        return checkpointed(y.where(family.estimate(F.col("x"), F.col("y")) >= lowest).select("u", "v"))
+    def promising(x: str, y: str) -> Column:
+        """Whether two classes may be similar, by the sizes of their sets and their signatures."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return (100 * F.least(n, m) >= round(least * 100) * F.greatest(n, m)) & (family.estimate(F.col(f"{x}.signature"), F.col(f"{y}.signature")) >= lowest)
 
-    stars = promising(bucketed.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct())
-    values = _sets(source, stars.select(F.explode(F.array("u", "v")).alias("id")), keys, words)
-    both = stars.join(values.select(F.col("id").alias("u"), F.col("values").alias("a")), "u").join(values.select(F.col("id").alias("v"), F.col("values").alias("b")), "v")
-    links = checkpointed(both.where(_similar(F.col("a"), F.col("b"), least)).select("u", "v"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are similar by their full sets."""
+        values = _sets(source, pairs.select(F.explode(F.array("u", "v")).alias("id")), classes, words)
+        both = pairs.join(values.select(F.col("id").alias("u"), F.col("values").alias("a")), "u").join(values.select(F.col("id").alias("v"), F.col("values").alias("b")), "v")
+        return checkpointed(both.where(_similar(F.col("a"), F.col("b"), least)).select("u", "v"))
+
+    met = bucketed.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    met = met.join(signatures.alias("x"), F.col("x.id") == F.col("u")).join(signatures.alias("y"), F.col("y.id") == F.col("v"))
+    links = confirmed(checkpointed(met.where(promising("x", "y")).select("u", "v")))
     labels = components(links)
-    # Buckets that the stars left in several components: only their unconnected classes meet, each pair in the first
-    # bucket it shares, and the join itself drops what the estimate or the full sets refuse.
+    # Buckets that the stars left in several components: only their unconnected classes meet, in the join itself, which drops what sizes and
+    # signatures refuse; full sets are fetched for the few that are left.
     labelled = bucketed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    open_ = checkpointed(labelled.join(several, "band", "left_semi"))
+    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
+    # A hot bucket is dealt out in parts of about `part` classes, and each two parts meet in a task of their own.
+    parts = F.ceil(F.col("size") / part).cast("int")
+    open_ = written(labelled.join(several.select("band", parts.alias("parts")), "band").select("band", "id", "label", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "unconnected")
     if not open_.isEmpty():
-        more = _sets(source, open_.select("id"), keys, words).join(classes.select("id", "signature", "bands"), "id")
-        full = written(open_.join(more, "id"), "unconnected")
-        left, right, col = full.alias("l"), full.alias("r"), F.col
-        met = left.join(
-            right,
-            (col("l.band") == col("r.band")) & (col("l.id") < col("r.id")) & (col("l.label") != col("r.label")) & (family.estimate(col("l.signature"), col("r.signature")) >= lowest)
-            & (F.array_intersect(col("l.bands"), col("r.bands"))[0] == col("l.band")) & _similar(col("l.values"), col("r.values"), least),
-        )
-        found = checkpointed(met.select(col("l.id").alias("u"), col("r.id").alias("v")))
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
-    named = sets.select("set_key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+        full = open_.join(signatures, "id")
+        dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("band", "id", "label", "part", "n", "signature", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+        left, right, col = dealt.alias("l"), dealt.alias("r"), F.col
+        cell = (col("l.band") == col("r.band")) & (col("l.p") == col("r.p")) & (col("l.q") == col("r.q"))
+        once = (F.least("l.part", "r.part") == col("l.p")) & (F.greatest("l.part", "r.part") == col("l.q"))
+        pairs = left.join(right, cell & once & (col("l.id") < col("r.id")) & (col("l.label") != col("r.label")) & promising("l", "r"))
+        more = checkpointed(pairs.select(col("l.id").alias("u"), col("r.id").alias("v")).distinct())
+        if not more.isEmpty():
+            found = confirmed(more)
+            if not found.isEmpty():
+                labels = components(links.unionByName(found))
+    placed = classes.select("id", "set_key", "low").join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_key", "low", F.coalesce("component", "id").alias("label"))
+    named = placed.join(placed.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("set_key", "component_id")
     rows = local.select("members", "n", "set_key").join(named, "set_key", "left")
     rows = rows.select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "set_key")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -95,6 +95,26 @@ def test_null_and_repeated_ids(spark):
     assert N.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_texts_under_one_id_are_each_searched(spark):
+    """Near copies of a text whose id has another text, and of rows without an id, are linked."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (9, b + " z"), (None, c), (None, c + " z"), (11, c + " y"), (12, a + " z"), (3, "only five words are here")]
+    got = {(r.doc_id, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (9, 5), (None, 11), (11, 11), (12, 5), (3, 3)}
+
+
+def test_hot_buckets_in_parts(spark):
+    """Alike below the threshold, so that buckets are shared and nothing is linked but two chains; parts of a few classes give the same result."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(120)]
+    rows = [(i, " ".join([*shared, *[f"u{i}x{k}" for k in range(70)]])) for i in range(60)]
+    rows += [(100 + i, " ".join([*shared, *[f"u7x{k}" for k in range(70)], *[f"v{rng.randrange(9)}" for _ in range(i)]])) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute(rows)
+    assert as_dict(N.near_duplicates(docs)) == wanted
+    assert as_dict(N.near_duplicates(docs, part=7)) == wanted
+
+
 def test_estimate_is_close(spark):
     family = N.Family()
     a, b = family.parameters()
