@@ -473,3 +473,6 @@ def private_training(spark, sf):
     plan = BandMFConfig((1.0, 0.5), 5, 1.0, noise_multiplier=1.0, num_examples=500).make()
     state = Trainer(plan, logistic_gradient, SGD(0.5), seed=1).fit(data, np.zeros(64))
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(state["params"])], "coord int, weight double")
+
+
+from . import catalogue_more  # noqa: E402, F401 - adds its queries

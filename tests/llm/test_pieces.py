@@ -74,11 +74,48 @@ def test_encodes_like_the_library_and_decodes(spark):
 
 def test_vocabulary_of_the_table(spark):
     m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    got = QUERIES["op5_sentencepiece"](spark, f"{DATA}/sf0.001").collect()
-    total = sum(r.n * r.n_pieces for r in got)
-    assert total == sum(len(m.encode(r.text)) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect())
-    for r in random.Random(2).sample(got, 300):
-        assert m.decode(r.ids) == r.word.replace("▁", " ").removeprefix(" ") or r.word[0] != "▁"
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    got = L.encode_vocabulary(docs, MODEL).collect()
+    total = sum(r.n * len(r.ids) for r in got)
+    assert total == sum(len(m.encode(r.text)) for r in docs.collect())
+    for r in got:
+        assert r.ids == library_ids(m, r.word)
+
+
+def library_ids(m, word):
+    """The library's ids of a word behind a line end, as words needn't start with a blank."""
+    return m.encode("\n" + word.replace("▁", " "))[2:]
+
+
+def test_query_on_the_whole_table(spark):
+    """Every document's ids are the library's, and decode to its text."""
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    got = QUERIES["op5_sentencepiece"](spark, f"{DATA}/sf0.01").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.ids == m.encode(texts[r.doc_id])
+        assert r.text == texts[r.doc_id].replace("▁", " ")
+
+
+def test_words_that_no_dictionary_knows(spark):
+    """Random strings of pieces, repeats and unknown characters, with dictionaries of no and of few words."""
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(4)
+    pieces = [p for p, _ in L.load(MODEL).pieces]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))).replace("▁", " ") for _ in range(400)]
+    texts += ["".join(rng.choice(x) for _ in range(rng.randrange(1, 50))) for x in ("abt", " =", "漢字\U0001f600ae ", ") {}\r\n;", "0123 .²½", "\u0301e\u0300a") for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for remembered in (0, 50):
+        got = {r.doc_id: (r.ids, r.text) for r in L.round_trip(docs, MODEL, remembered=remembered).collect()}
+        assert got == {i: (m.encode(t), t) for i, t in enumerate(texts)}
+
+
+def test_a_long_word_takes_one_pass(spark):
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    word = "".join(random.Random(5).choice("abcdeinrst") for _ in range(20_000))
+    got = L.encode(spark.createDataFrame([(1, word)], "doc_id long, text string"), MODEL).collect()
+    assert got[0].ids == m.encode(word)
 
 
 def test_query_encodes_and_decodes_every_document(spark, tmp_path):
