@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import rng
 from hushframe.functions.special import beta_ppf, binom_sf, bisect, log_diff, norm_cdf, norm_isf, norm_ppf
+from hushframe.sources.tables import checkpointed
 
 
 def check_scores(scores: DataFrame) -> None:
@@ -28,12 +29,20 @@ def check_scores(scores: DataFrame) -> None:
 
 
 def counts(scores: DataFrame) -> DataFrame:
-    """threshold, tn, fn at each distinct score and infinity: out and in canaries strictly below."""
+    """threshold, tn, fn at each distinct score and infinity: out and in canaries strictly below.
+
+    Ranges of scores add up their own; the totals of the ranges before, as few as partitions, are added to them.
+    """
     each = scores.groupBy("score").agg(F.sum(F.when(F.col("is_in"), 0).otherwise(1)).alias("o"), F.sum(F.col("is_in").cast("int")).alias("i"))
     end = scores.sparkSession.range(1).select(F.lit(math.inf).alias("score"), F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("i"))
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    add = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
-    return each.unionByName(end).select(F.col("score").alias("threshold"), add("o").alias("tn"), add("i").alias("fn"))
+    # Written once, so that the borders of the ranges are the same for rows and totals.
+    part = checkpointed(each.unionByName(end).repartitionByRange("score").withColumn("_part", F.spark_partition_id()))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = part.groupBy("_part").agg(F.sum("o").alias("_o"), F.sum("i").alias("_i"))
+    ahead = totals.select("_part", *[F.coalesce(F.sum(c).over(earlier().orderBy("_part")), F.lit(0)).alias(c) for c in ("_o", "_i")])
+    within = earlier("_part").orderBy("score")
+    add = lambda c: (F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_{c}")).cast("long")
+    return part.join(ahead, "_part").select(F.col("score").alias("threshold"), add("o").alias("tn"), add("i").alias("fn"))
 
 
 def _hull(points: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
@@ -91,6 +100,13 @@ class Frontier:
         points = _hull(list(zip(t.tolist(), np.searchsorted(o, t).tolist(), np.searchsorted(i, t).tolist(), strict=True)))
         return cls(*(np.array(x, float) for x in zip(*points, strict=True)))
 
+    @classmethod
+    def of_counts(cls, scores: np.ndarray, inside: np.ndarray, outside: np.ndarray) -> Frontier:
+        """From how often each of the sorted distinct scores occurs."""
+        met = inside + outside > 0
+        points = _hull(list(zip([*scores[met].tolist(), math.inf], [0, *np.cumsum(outside[met]).tolist()], [0, *np.cumsum(inside[met]).tolist()], strict=True)))
+        return cls(*(np.array(x, float) for x in zip(*points, strict=True)))
+
     @property
     def n_out(self) -> float:
         return self.tn[-1]
@@ -312,8 +328,10 @@ def epsilon_with(scores: DataFrame, strategy, significance: float, delta: float
         return Frontier.of(scores).epsilon_clopper_pearson(significance, delta, threshold=strategy.threshold)[0]
     many = isinstance(strategy, MultiSplit)
     level, n = (significance / 2, strategy.splits) if many else (significance, 1)
-    splits = scores.withColumn("canary", F.xxhash64("score", "is_in")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = splits.withColumn("picks", rng.uniform(strategy.seed, "split", "canary_id" if "canary_id" in scores.columns else "canary", "split") < strategy.share)
+    if "canary_id" not in scores.columns:
+        raise ValueError("splits need a canary_id: equal scores must not share a side")
+    splits = scores.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = splits.withColumn("picks", rng.uniform(strategy.seed, "split", "canary_id", "split") < strategy.share)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = lambda p: Frontier.of_arrays(pdf.score[p & pdf.is_in], pdf.score[p & ~pdf.is_in])
@@ -351,26 +369,33 @@ class Bootstrap:
         return cls(quantiles=((1 - confidence) / 2, (1 + confidence) / 2), **options)
 
 
-def bootstrap(scores: DataFrame, metric: Callable[[Frontier], float], how: Bootstrap) -> list[float]:
-    """Quantiles of a metric over resamples of both sides with replacement, resamples in parallel. The canaries are broadcast: they are the audit's, a few thousand."""
-    rows = scores.select("score", "is_in").collect()
-    inside, outside = np.sort([r.score for r in rows if r.is_in]), np.sort([r.score for r in rows if not r.is_in])
+def bootstrap(scores: DataFrame, metric: Callable[[Frontier], float], how: Bootstrap, *, most: int = 10_000_000) -> list[float]:
+    """Quantiles of a metric over resamples of both sides with replacement, resamples in parallel.
+
+    A resample needs only how often each distinct score occurs. These counts are broadcast; more than `most` of them are refused, as every task
+    draws from all.
+    """
+    sides = scores.groupBy("score").agg(F.sum(F.col("is_in").cast("long")).alias("i"), F.sum((~F.col("is_in")).cast("long")).alias("o"))
+    if sides.count() > most:
+        raise ValueError(f"more than {most} distinct scores: round them, or raise `most`")
+    table = sides.orderBy("score").toPandas()
+    value, weights = table.score.to_numpy(float), [table[k].to_numpy(np.int64) for k in "io"]
 
     def run(batches):
         for pdf in batches:
             out = []
             for k in pdf.id:
                 g = np.random.default_rng([how.seed, int(k)])
-                out.append(metric(Frontier.of_arrays(g.choice(inside, len(inside)), g.choice(outside, len(outside)))))
+                out.append(metric(Frontier.of_counts(value, *(g.multinomial(w.sum(), w / w.sum()) for w in weights))))
             yield pd.DataFrame({"value": out})
 
     found = scores.sparkSession.range(how.resamples).mapInPandas(run, "value double")
     quantiles = list(how.quantiles)
     if how.bias_correction:
-        normal, actual = NormalDist(), metric(Frontier.of_arrays(inside, outside))
+        normal, actual = NormalDist(), metric(Frontier.of_counts(value, *weights))
         below = found.where(F.col("value") < actual).count()
         z0 = normal.inv_cdf((below + 1) / (how.resamples + 2))
-        a = _acceleration(inside, outside, metric) if how.acceleration else 0.0
+        a = _acceleration(*(np.repeat(value, w) for w in weights), metric) if how.acceleration else 0.0
         shift = lambda q: z0 + (z0 + normal.inv_cdf(q)) / (1 - a * (z0 + normal.inv_cdf(q)))
         quantiles = [normal.cdf(shift(q)) for q in quantiles]
     return list(found.agg(F.percentile("value", quantiles)).first()[0])

@@ -105,12 +105,13 @@ class MinSepSampling:
     def draw(self, c: np.ndarray, m: int, g: np.random.Generator) -> np.ndarray:
         return banded_multiply(c, self.marks(m, g))
 
-    def loss(self, c: np.ndarray, y: np.ndarray, sigma: float) -> np.ndarray:
-        """Backwards: the ratio from step t on is that of no draw, or of a draw and the rest after its separation."""
-        if len(c) > self.min_sep:
-            raise ValueError("the band is wider than the separation")
-        single, n, b = _window_ratios(c, y, sigma), self.steps, self.min_sep
-        after = np.zeros((n + b + 1, y.shape[1]))
+    def mixed(self, single: np.ndarray) -> np.ndarray:
+        """The log of the mean, over draws of the marks, of the product of what each mark contributes (logs, steps by samples).
+
+        Backwards: from step t on there is no draw, or one and the rest after its separation.
+        """
+        n, b = self.steps, self.min_sep
+        after = np.zeros((n + b + 1, single.shape[1]))
         with np.errstate(divide="ignore"):
             stay, go = (math.log1p(-self.p) if self.p < 1 else -np.inf), math.log(self.p) if self.p else -np.inf
         for t in range(n - 1, -1, -1):
@@ -120,39 +121,69 @@ class MinSepSampling:
         starts = np.stack([math.log1p(-self._busy) + after[0], *[math.log(self._busy / (b - 1)) + after[min(r, n)] for r in range(1, b)]])
         return logsumexp(starts, axis=0)
 
+    def loss(self, c: np.ndarray, y: np.ndarray, sigma: float) -> np.ndarray:
+        if len(c) > self.min_sep:
+            raise ValueError("the band is wider than the separation")
+        return self.mixed(_window_ratios(c, y, sigma))
+
+    def batch_sizes(self, rows: int, m: int, g: np.random.Generator) -> np.ndarray:
+        """How many of `rows` independent rows draw at each step (steps by samples), by the numbers of rows with so many steps of rest left."""
+        b = self.min_sep
+        shares = [1 - self._busy, *[self._busy / (b - 1)] * (b - 1)] if b > 1 else [1.0]
+        waiting = list(g.multinomial(rows, shares, m).T)
+        out = np.empty((self.steps, m), np.int64)
+        for t in range(self.steps):
+            out[t] = g.binomial(waiting[0], self.p)
+            if b > 1:
+                waiting = [waiting[0] - out[t] + waiting[1], *waiting[2:], out[t]]
+        return out
+
 
 @dataclass(frozen=True)
 class TruncatedMinSep:
-    """Minimum separation with batches cut at `batch` of `n` rows: the row's presence also pushes another out.
+    """Minimum separation over `n` rows with batches cut at random to `batch`; the sizes that the other rows' batches had before are known.
 
-    A mark is 2 where the row is kept in a full batch (it adds itself and removes another), -1 where it draws and is cut, 1 else. The
-    loss treats marks as known, which bounds it from above.
+    Where the others don't fill a batch, the row adds itself. Where they do, it is kept with the batch's share of the rows that drew:
+    with the row in the table its place is one that another would have had, which counts as twice its weight; without, as minus its weight.
+    A row that is cut rests as well.
     """
 
     inner: MinSepSampling
     n: int
     batch: int
 
-    def draw(self, c: np.ndarray, m: int, g: np.random.Generator) -> np.ndarray:
-        x = self.inner.marks(m, g)
-        rate = self.inner.p / (1 + (self.inner.min_sep - 1) * self.inner.p)
-        others = g.binomial(self.n - 1, rate, x.shape)
-        kept = g.random(x.shape) < self.batch / np.maximum(others + 1, self.batch)
+    @property
+    def steps(self) -> int:
+        return self.inner.steps
+
+    def sample(self, c: np.ndarray, m: int, g: np.random.Generator, positive: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Means of m outputs, and the others' batch sizes."""
+        drawn, others = self.inner.marks(m, g) > 0, self.inner.batch_sizes(self.n - 1, m, g)
+        kept = g.random(drawn.shape) * (others + 1) < self.batch
+        mark = np.where(others >= self.batch, np.where(kept, 2.0 if positive else -1.0, 0.0), 1.0 if positive else 0.0)
+        return banded_multiply(c, np.where(drawn, mark, 0.0)), others
+
+    def loss(self, c: np.ndarray, y: np.ndarray, sigma: float, others: np.ndarray) -> np.ndarray:
+        """Both sides are mixtures: the log ratio of each to pure noise, and their difference."""
+        if len(c) > self.inner.min_sep:
+            raise ValueError("the band is wider than the separation")
         full = others >= self.batch
-        return banded_multiply(c, np.where(x > 0, np.where(full, np.where(kept, 2.0, -1.0), 1.0), 0.0))
-
-    def loss(self, c: np.ndarray, y: np.ndarray, sigma: float) -> np.ndarray:
-        return self.inner.loss(2 * c, y, sigma)
+        with np.errstate(divide="ignore"):
+            kept = np.log(np.minimum(1.0, self.batch / (others + 1)))
+            cut = np.log1p(-np.minimum(1.0, self.batch / (others + 1)))
+        at = lambda weight: np.logaddexp(kept + _window_ratios(c, y, sigma, weight), cut)
+        single = _window_ratios(c, y, sigma)
+        return self.inner.mixed(np.where(full, at(2.0), single)) - self.inner.mixed(np.where(full, at(-1.0), 0.0))
 
 
-def _window_ratios(c: np.ndarray, y: np.ndarray, sigma: float) -> np.ndarray:
-    """For each step the log-likelihood ratio of one participation there: (<c, y from t> - |c|^2 / 2) / sigma^2."""
+def _window_ratios(c: np.ndarray, y: np.ndarray, sigma: float, weight: float = 1.0) -> np.ndarray:
+    """For each step the log-likelihood ratio of one participation of a weight w there: (w <c, y from t> - w^2 |c|^2 / 2) / sigma^2."""
     n = len(y)
     dots, norms = np.zeros_like(y), np.zeros(n)
     for k, v in enumerate(c[:n]):
         dots[: n - k] += v * y[k:]
         norms[: n - k] += v * v
-    return (dots - norms[:, None] / 2) / (sigma * sigma)
+    return (weight * dots - weight * weight * norms[:, None] / 2) / (sigma * sigma)
 
 
 def losses(spark: SparkSession, sampling, coefs: Sequence[float], sigmas: Sequence[float], samples: int, seed: int, *, chunk: int = 20_000) -> DataFrame:
@@ -166,9 +197,12 @@ def losses(spark: SparkSession, sampling, coefs: Sequence[float], sigmas: Sequen
             for i, positive, k in pdf.itertuples(index=False):
                 m = min(chunk, samples - k * chunk)
                 g = np.random.default_rng([seed, int(i), int(positive), int(k)])
-                noise = sigmas[i] * g.standard_normal((sampling.inner.steps if hasattr(sampling, "inner") else sampling.steps, m))
-                y = sampling.draw(c, m, g) + noise if positive else noise
-                found = sampling.loss(c, y, sigmas[i])
+                noise = sigmas[i] * g.standard_normal((sampling.steps, m))
+                if hasattr(sampling, "sample"):
+                    mean, known = sampling.sample(c, m, g, bool(positive))
+                    found = sampling.loss(c, mean + noise, sigmas[i], known)
+                else:
+                    found = sampling.loss(c, sampling.draw(c, m, g) + noise if positive else noise, sigmas[i])
                 yield pd.DataFrame({"param_idx": i, "positive": positive, "loss": found if positive else -found, "count": 1.0})
 
     cells = spark.createDataFrame(grid, "param_idx int, positive boolean, chunk int").repartition(len(grid))

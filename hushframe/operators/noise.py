@@ -54,18 +54,25 @@ def correlated(df: DataFrame, noising: Sequence[float], seed: int, stddev: float
 
 
 def dense_correlated(df: DataFrame, matrix: np.ndarray, seed: int, stddev: float, *, by: Sequence[str] = (), step: str = "step", value: str = "value") -> DataFrame:
-    """Add stddev times (matrix Z)[step] for any matrix of noise coefficients; zero entries make no draw."""
+    """Add stddev times (matrix Z)[step] for any matrix of noise coefficients; zero entries make no draw.
+
+    The matrix has a row and a column for each step. Its entries are broadcast up to a million of them and shuffled by step beyond.
+    """
     matrix = np.asarray(matrix, float)
     if matrix.ndim != 2:
         raise ValueError("the matrix must have two dimensions")
     entries = df.sparkSession.createDataFrame([(int(i), int(j), float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix), strict=True)], f"{step} int, _source int, _coef double")
-    noise = df.select(step, *by).join(F.broadcast(entries), step).withColumn("_z", F.col("_coef") * rng.normal(seed, "noise", *by, F.col("_source")))
+    entries = F.broadcast(entries) if np.count_nonzero(matrix) <= 1_000_000 else entries.repartition(step)
+    noise = df.select(step, *by).join(entries, step).withColumn("_z", F.col("_coef") * rng.normal(seed, "noise", *by, F.col("_source")))
     total = noise.groupBy(step, *by).agg((stddev * F.sum("_z")).alias("_noise"))
     return df.join(total, [step, *by], "left").withColumn(value, F.col(value) + F.coalesce("_noise", F.lit(0.0))).drop("_noise")
 
 
 def recurrent(df: DataFrame, operator, seed: int, stddev: float, *, by: Sequence[str] = (), step: str = "step", value: str = "value") -> DataFrame:
-    """Add stddev times a step operator applied to each coordinate's draws in step order, for operators without short coefficients."""
+    """Add stddev times a step operator applied to each coordinate's draws in step order, for operators without short coefficients.
+
+    A coordinate's steps are worked off in order by one task; without `by` there is one coordinate, as long as there are steps.
+    """
     z = df.withColumn("_z", rng.normal(seed, "noise", *by, step))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

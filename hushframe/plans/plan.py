@@ -36,6 +36,8 @@ class Plan:
     event: Event | None
     relation: Relation
     flags: Flags = Flags()
+    #: The band that `noising` inverts, by which noise is made from a few rows; without it, from all lags.
+    strategy: tuple[float, ...] = ()
 
     def epsilon(self, delta: float) -> float:
         return math.inf if self.event is None else epsilon([self.event], delta)
@@ -103,7 +105,7 @@ class BandMFConfig:
         noising = toeplitz.inverse(toeplitz.padded(self.coefs, self.iterations))
         size = 1.0 if self.num_examples is None else max(1.0, self.num_examples // self.bands * self.sampling_prob)
         norm = math.sqrt(toeplitz.single_sensitivity_squared(self.coefs))
-        return Plan(sampler, self.clip_norm, size, tuple(noising), self.noise_multiplier * self.clip_norm / size * norm, self.event(self.noise_multiplier), self.relation, flags)
+        return Plan(sampler, self.clip_norm, size, tuple(noising), self.noise_multiplier * self.clip_norm / size * norm, self.event(self.noise_multiplier), self.relation, flags, self.coefs)
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -86,20 +86,36 @@ class Trainer:
     gradient: Gradient
     optimizer: Optimizer
     seed: int = 0
+    #: The last step whose noise was made, and the rows that the next one needs.
+    _last: int = field(default=-1, repr=False, compare=False)
+    _rows: list = field(default_factory=list, repr=False, compare=False)
 
     def init(self, params: np.ndarray) -> dict:
         params = np.asarray(params, float)
         return {"step": 0, "params": params.tolist(), "optimizer": _listed(self.optimizer.init(params))}
 
+    def _draw(self, step: int, width: int) -> np.ndarray:
+        return np.random.default_rng([self.seed, self.plan.flags.noise_seed, step]).standard_normal(width)
+
     def noise(self, step: int, width: int) -> np.ndarray:
-        """The step's correlated noise; draws are keyed by step, so any step can be made alone."""
-        out = np.zeros(width)
+        """The step's correlated noise; draws are keyed by step, so that any step can be made again.
+
+        With a banded strategy a step's row follows from its draw and the rows of the last b - 1 steps, which are kept; after a
+        restart they are made once more from the first step on.
+        """
         if self.plan.stddev == 0:
-            return out
-        for lag, coef in enumerate(self.plan.noising[: step + 1]):
-            if abs(coef) > 1e-15:
-                out += coef * np.random.default_rng([self.seed, self.plan.flags.noise_seed, step - lag]).standard_normal(width)
-        return self.plan.stddev * out
+            return np.zeros(width)
+        if not self.plan.strategy:
+            lags = [(lag, coef) for lag, coef in enumerate(self.plan.noising[: step + 1]) if abs(coef) > 1e-15]
+            return self.plan.stddev * sum((coef * self._draw(step - lag, width) for lag, coef in lags), np.zeros(width))
+        first, *rest = self.plan.strategy
+        if self._last > step or any(len(x) != width for x in self._rows):
+            self._last, self._rows = -1, []
+        while self._last < step:
+            self._last += 1
+            row = (self._draw(self._last, width) - sum(c * x for c, x in zip(rest, self._rows, strict=False))) / first
+            self._rows = [row, *self._rows][: max(1, len(rest))]
+        return self.plan.stddev * self._rows[0]
 
     def step(self, state: dict, batch: DataFrame) -> dict:
         params, inner = np.array(state["params"]), _arrays(state["optimizer"])

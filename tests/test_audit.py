@@ -3,6 +3,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hushframe.operators import audit as A
 
@@ -61,8 +62,13 @@ def test_strategies_and_bootstrap(spark):
     r = np.random.default_rng(2)
     scores = table(spark, r.normal(2, 1, 300), r.normal(0, 1, 300))
     A.check_scores(scores)
+    numbered = scores.withColumn("canary_id", F.monotonically_increasing_id())
     for s in (A.Bonferroni(), A.Explicit(2.5), A.Split(), A.MultiSplit(splits=5)):
-        assert 0 < A.epsilon_with(scores, s, 0.05) < 8
+        assert 0 < A.epsilon_with(numbered, s, 0.05) < 8
+    with pytest.raises(ValueError):  # equal scores would share a side
+        A.epsilon_with(scores, A.Split(), 0.05)
+    with pytest.raises(ValueError):
+        A.bootstrap(scores, lambda f: f.auroc(), A.Bootstrap(10), most=5)
     for how in (A.Bootstrap(100), A.Bootstrap(100, bias_correction=True)):
         low, high = A.bootstrap(scores, lambda f: f.auroc(), how)
         assert 0.85 < low < high < 0.98
@@ -70,3 +76,16 @@ def test_strategies_and_bootstrap(spark):
         A.Bootstrap(acceleration=True)
     with pytest.raises(ValueError):
         A.check_scores(scores.where("is_in"))
+
+
+def test_counts_over_many_ranges(spark):
+    """Ranges of scores in many partitions give the counts of one sorted pass."""
+    r = np.random.default_rng(3)
+    inside, outside = r.integers(0, 400, 3000) / 7, r.integers(0, 400, 3000) / 7
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, A.counts(table(spark, inside, outside)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    t = [*np.unique(np.concatenate([inside, outside])).tolist(), float("inf")]
+    assert got == [(x, int((outside < x).sum()), int((inside < x).sum())) for x in t]

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -234,6 +235,52 @@ def test_losses_are_likelihood_ratios(s):
     assert np.exp(s.loss(c, y, sigma)).mean() == pytest.approx(1, abs=0.01)
 
 
+@pytest.mark.parametrize("warm", [True, False])
+@pytest.mark.parametrize(("n", "batch"), [(2, 1), (5, 2), (30, 4)])
+def test_truncated_losses_are_likelihood_ratios(n, batch, warm):
+    """exp(loss) has mean 1 without the row, exp(-loss) with it."""
+    s, c, sigma, g = M.TruncatedMinSep(M.MinSepSampling(6, 2, 0.4, warm), n, batch), np.array([1.0, 0.5]), 3.0, np.random.default_rng(3)
+    for positive, sign in ((False, 1), (True, -1)):
+        mean, others = s.sample(c, 300_000, g, positive)
+        found = s.loss(c, mean + sigma * g.standard_normal(mean.shape), sigma, others)
+        assert np.exp(sign * found).mean() == pytest.approx(1, abs=0.02)
+
+
+def test_nothing_is_cut_when_the_batch_holds_all_rows():
+    inner, c, g = M.MinSepSampling(6, 2, 0.4), np.array([1.0, 0.5]), np.random.default_rng(4)
+    s = M.TruncatedMinSep(inner, 7, 7)
+    mean, others = s.sample(c, 500, g, False)
+    assert not mean.any() and others.max() < 7
+    y = 2 * g.standard_normal((6, 500))
+    assert s.loss(c, y, 2.0, others) == pytest.approx(inner.loss(c, y, 2.0))
+
+
+@pytest.mark.parametrize(("positive", "modes", "shares"), [
+    (False, [[-1, -0.5, -1], [-1, -0.5, 0], [0, -1, -0.5], [0, 0, -1], [0, 0, 0]], [2, 14, 4, 7, 101]),
+    (True, [[2, 1, 2], [2, 1, 1], [2, 1, 0], [1, 0.5, 2], [1, 0.5, 1], [1, 0.5, 0], [0, 2, 1], [0, 1, 0.5], [0, 0, 2], [0, 0, 1], [0, 0, 0]], None),
+])
+def test_modes_of_truncated_batches(positive, modes, shares):
+    """Two rows, batches of one, three steps from a cold start; with the row, shares are counted over all eight draws of each side."""
+    s, m = M.TruncatedMinSep(M.MinSepSampling(3, 2, 0.5, False), 2, 1), 60_000
+    mean, _ = s.sample(np.array([1.0, 0.5]), m, np.random.default_rng(5), positive)
+    if shares is None:
+        draws = {(0, 0, 0): 1 / 8, (0, 0, 1): 1 / 8, (0, 1, 0): 1 / 4, (1, 0, 0): 1 / 4, (1, 0, 1): 1 / 4}
+        found = dict.fromkeys(map(tuple, modes), 0.0)
+        for x, p in draws.items():
+            for z, q in draws.items():
+                options = [[(1, 1.0)] if a and not b else [(2, 0.5), (0, 0.5)] if a else [(0, 1.0)] for a, b in zip(x, z, strict=True)]
+                for marks in itertools.product(*options):
+                    v = [w for w, _ in marks]
+                    out = (v[0], v[1] + v[0] / 2, v[2] + v[1] / 2)
+                    found[tuple(float(k) for k in out)] = found.get(tuple(float(k) for k in out), 0.0) + p * q * np.prod([w for _, w in marks])
+        modes, wanted = [list(k) for k in found], list(found.values())
+    else:
+        wanted = [x / 128 for x in shares]
+    got = [float((np.abs(mean.T - np.array(k)).max(axis=1) < 1e-9).mean()) for k in modes]
+    assert got == pytest.approx(wanted, abs=0.01)
+    assert sum(got) == pytest.approx(1)
+
+
 def test_guarantees():
     assert M.overall_delta(1e-6, 10**9) < 2e-6
     base = M.base_delta(1e-3, 10**6)

@@ -94,3 +94,16 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path, operator):
     wanted = sorted(wanted.itertuples(index=False, name=None))
     assert [t[:3] for t in sorted(got)] == [t[:3] for t in wanted]
     assert [t[3] for t in sorted(got)] == pytest.approx([t[3] for t in wanted], abs=1e-9)
+
+
+def test_banded_noise_by_recurrence_is_the_inverse_of_the_band():
+    """Rows made from the last few are those made from all lags, also when steps are made out of order or anew."""
+    import dataclasses
+
+    plan = BandMFConfig((1.0, 0.5, 0.2), 12, 2.0, noise_multiplier=1.0).make()
+    lags = Trainer(dataclasses.replace(plan, strategy=()), linear_gradient, SGD(0.1), seed=3)
+    rows = Trainer(plan, linear_gradient, SGD(0.1), seed=3)
+    for step in (0, 1, 2, 5, 11, 3, 4):
+        assert rows.noise(step, 7) == pytest.approx(lags.noise(step, 7))
+    assert len(rows._rows) == 2
+    assert rows.noise(2, 4) == pytest.approx(lags.noise(2, 4))
