@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, fam
     met = met.join(signatures.alias("x"), F.col("x.id") == F.col("u")).join(signatures.alias("y"), F.col("y.id") == F.col("v"))
     links = confirmed(checkpointed(met.where(promising("x", "y")).select("u", "v")))
     labels = components(links)
-    # Buckets that the stars left in several components: only their unconnected classes meet, in the join itself, which drops what sizes and
-    # signatures refuse; full sets are fetched for the few that are left.
+    # Buckets that the stars left in several components: only their unconnected classes meet. First each asks whether there is any that sizes
+    # and signatures don't refuse; those that find one meet again with their full sets, and the join itself drops all pairs that aren't similar.
     labelled = bucketed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
     several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
     # A hot bucket is dealt out in parts of about `part` classes, and each two parts meet in a task of their own.
@@ -223,10 +223,16 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, fam
         left, right, col = dealt.alias("l"), dealt.alias("r"), F.col
         cell = (col("l.band") == col("r.band")) & (col("l.p") == col("r.p")) & (col("l.q") == col("r.q"))
         once = (F.least("l.part", "r.part") == col("l.p")) & (F.greatest("l.part", "r.part") == col("l.q"))
-        pairs = left.join(right, cell & once & (col("l.id") < col("r.id")) & (col("l.label") != col("r.label")) & promising("l", "r"))
-        more = checkpointed(pairs.select(col("l.id").alias("u"), col("r.id").alias("v")).distinct())
-        if not more.isEmpty():
-            found = confirmed(more)
+        maybe = cell & once & (col("l.id") != col("r.id")) & (col("l.label") != col("r.label")) & promising("l", "r")
+        asked = checkpointed(left.join(right, maybe, "left_semi").select("band", "p", "q", "part", "label", "id"))
+        if not asked.isEmpty():
+            more = _sets(source, asked.select("id"), classes, words).join(classes.select("id", "n", "signature", "bands"), "id")
+            full = written(asked.join(more, "id"), "meeting")
+            left, right = full.alias("l"), full.alias("r")
+            # Each pair is compared in the first bucket that it shares.
+            first = F.array_intersect("l.bands", "r.bands")[0] == col("l.band")
+            met = left.join(right, (col("l.id") < col("r.id")) & maybe & first & _similar(col("l.values"), col("r.values"), least))
+            found = checkpointed(met.select(col("l.id").alias("u"), col("r.id").alias("v")))
             if not found.isEmpty():
                 labels = components(links.unionByName(found))
     placed = classes.select("id", "set_key", "low").join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_key", "low", F.coalesce("component", "id").alias("label"))
