@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from hushframe.account import events as ev
 from hushframe.account import rdp
+from hushframe.functions import rng
 from hushframe.functions.rng import normal_sql, uniform_sql
 from hushframe.operators import audit, bounded, montecarlo, noise, owners, padding, sampling, steps
-from hushframe.sources.tables import read, scratch
+from hushframe.sources.tables import gather, read, scratch
 from hushframe.strategy import banded, blt, dense, sensitivity, toeplitz
 
-from .catalogue import _BATCHES, _DAILY, _HULL, _SPLIT, _batches, _daily, _examples, _plan_sql, _scores, query
+from .catalogue import _BATCHES, _DAILY, _HULL, _SPLIT, ORACLES, _batches, _daily, _examples, _plan_sql, _scores, query
 
 
 def _table(spark, rows: list[tuple], schema: str, **digits: int) -> DataFrame:
@@ -560,3 +561,75 @@ def canary_sizes(spark, sf):
     """The border ends where everything is called in."""
     f = audit.Frontier.of(_scores(spark, sf))
     return _table(spark, [(int(f.n_in), int(f.n_out), float(f.tp.max() / f.n_in), float(f.fp.max() / f.n_out))], "n_in long, n_out long, tpr double, fpr double", tpr=8, fpr=8)
+
+
+_BISECT = """u(id, side, x, n, level, lo, hi, it) AS (SELECT *, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM asked UNION ALL SELECT id, side, x, n, level, CASE WHEN tail > level THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tail > level THEN hi ELSE (lo + hi) / 2 END, it + 1
+FROM (SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)))) AS tail FROM u WHERE it < 45 AND x < n)),
+b AS (SELECT id, side, CASE WHEN x >= n THEN 1.0 ELSE (lo + hi) / 2 END AS p FROM u WHERE it = 45 OR x >= n)"""
+
+# Lower bounds of both sides' rates at every corner of the border, which share the significance.
+ORACLES["canary_eps_cp"] = f"""
+WITH RECURSIVE {_HULL}, m AS (SELECT count(*) AS m FROM r), asked AS (SELECT k AS id, 0 AS side, n_in - tp AS x, n_in AS n, 0.025 / m AS level FROM r, z, m UNION ALL SELECT k, 1, fp, n_out, 0.025 / m FROM r, z, m), {_BISECT}
+SELECT round(coalesce(greatest(max(ln(1 - l.p) - ln(h.p)), 0), 0), 8) AS epsilon FROM b l JOIN b h USING (id) WHERE l.side = 0 AND h.side = 1 AND l.p < 1
+"""
+
+
+#: Canaries whose scores tell: hashed normals, two apart, on a grid.
+_TELLING = _HULL[: _HULL.index("s AS (")] + f"s AS (SELECT round({normal_sql(31, 'canary', 'doc_id')} + 2 * (doc_id % 2), 1) AS score, doc_id % 2 = 1 AS is_in FROM documents)" + _HULL[_HULL.index(",\nt AS (") :]
+
+
+def _telling(spark, sf) -> DataFrame:
+    inside = F.col("doc_id") % 2
+    return read(spark, sf, "documents").select(F.round(rng.normal(31, "canary", "doc_id") + 2 * inside, 1).alias("score"), (inside == 1).alias("is_in"))
+
+
+def _bound_sql(asked: str) -> str:
+    return f"""WITH RECURSIVE {_TELLING}, m AS (SELECT count(*) AS m FROM r), {asked}, {_BISECT}
+SELECT round(coalesce(greatest(max(ln(1 - l.p) - ln(h.p)), 0), 0), 8) AS epsilon FROM b l JOIN b h USING (id) WHERE l.side = 0 AND h.side = 1 AND l.p < 1"""
+
+
+@query(_bound_sql("asked AS (SELECT k AS id, 0 AS side, n_in - tp AS x, n_in AS n, 0.025 / m AS level FROM r, z, m UNION ALL SELECT k, 1, fp, n_out, 0.025 / m FROM r, z, m)"))
+def canary_eps_telling(spark, sf):
+    return _table(spark, [(audit.Frontier.of(_telling(spark, sf)).epsilon_clopper_pearson(0.05)[0],)], "epsilon double", epsilon=8)
+
+
+@query(_bound_sql("a AS (SELECT max(k) AS k FROM r WHERE threshold >= 2), asked AS (SELECT k AS id, 0 AS side, n_in - tp AS x, n_in AS n, 0.025::DOUBLE AS level FROM r JOIN a USING (k), z UNION ALL SELECT k, 1, fp, n_out, 0.025 FROM r JOIN a USING (k), z)"))
+def canary_eps_explicit(spark, sf):
+    """The bound at one threshold, which has all of the significance: the border's first corner from there on."""
+    return _table(spark, [(audit.Frontier.of(_telling(spark, sf)).epsilon_clopper_pearson(0.05, threshold=2.0)[0],)], "epsilon double", epsilon=8)
+
+
+@query(f"""WITH RECURSIVE {_TELLING}, l AS (SELECT max(k) AS k FROM r, z WHERE fp <= 5), i AS (SELECT 5 / n_out::DOUBLE AS fpr, a.tpr + (5 / n_out::DOUBLE - a.fpr) / (b.fpr - a.fpr) * (b.tpr - a.tpr) AS tpr FROM z, l JOIN r a USING (k) JOIN r b ON b.k = a.k + 1),
+p AS (SELECT fpr, tpr FROM r WHERE fp >= 5 UNION ALL SELECT fpr, tpr FROM i) SELECT round(greatest(max(ln((tpr - 0.01) / fpr)), 0), 8) AS epsilon FROM p WHERE tpr > 0.01""")
+def canary_eps_raw_telling(spark, sf):
+    return _table(spark, [(audit.Frontier.of(_telling(spark, sf)).epsilon_raw(5, 0.01),)], "epsilon double", epsilon=8)
+
+
+@query(f"WITH {_HULL} SELECT round(max(tpr * 0.9 + (1 - fpr) * 0.1), 8) AS accuracy FROM r")
+def canary_weighted_accuracy(spark, sf):
+    return _table(spark, [(audit.Frontier.of(_scores(spark, sf)).max_accuracy(0.9),)], "accuracy double", accuracy=8)
+
+
+@query("SELECT * FROM (VALUES ('joint', round(0.5::DOUBLE / 10, 9)), ('leaves', round(sqrt(0.3::DOUBLE ** 2 + 0.4::DOUBLE ** 2), 9)), ('rescaled', round(sqrt(2.0::DOUBLE) / 4, 9)), ('grid', 1024.0::DOUBLE), ('tightened', round(0.5::DOUBLE - 8 * (0.5::DOUBLE / 1024) / 2, 9)), ('replaced', round(2 * 0.5::DOUBLE, 9))) t(kind, bound)")
+def clip_bounds(spark, sf):
+    """How far a row moves a sum under each way to clip."""
+    leaves = {"a": 0.3, "b": 0.4}
+    replaced = bounded.BoundedAggregate(spark.range(0), 0.5, ()).sensitivity(bounded.Relation.REPLACE_ONE)
+    rows = [("joint", bounded.bound_of(0.5, normalize_by=10)), ("leaves", bounded.bound_of(leaves)), ("rescaled", bounded.bound_of(leaves, rescale=True, normalize_by=4)), ("grid", bounded.bound_of(0.5, grid=1024)), ("tightened", bounded.tightened_clip(0.5, 1024, 64)), ("replaced", replaced)]
+    return _table(spark, [(k, float(v)) for k, v in rows], "kind string, bound double", bound=9)
+
+
+@query(f"WITH b AS ({_BATCHES}), n AS (SELECT step, count(*) AS n, sum(o_totalprice) AS total FROM b JOIN orders ON example_id = o_orderkey GROUP BY step) SELECT step, ((n + 15) // 16) * 16 AS rows, round(total, 2) AS total FROM n")
+def gathered_with_padding(spark, sf):
+    """Padding stays in a gathered batch, with zeros."""
+    data = read(spark, sf, "orders").select(F.col("o_orderkey").alias("example_id"), "o_totalprice")
+    full = gather(padding.padded(_batches(spark, sf), 16), data, padded=True)
+    return full.groupBy("step").agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT 40::INTEGER AS steps, 32.0::DOUBLE AS normalize_by, 0.0::DOUBLE AS stddev, true AS unbounded")
+def non_private_plan(spark, sf):
+    from .plan import NonPrivateConfig
+
+    plan = NonPrivateConfig(40, 32).make()
+    return spark.createDataFrame([(plan.sampler.iterations, plan.normalize_by, plan.stddev, math.isinf(plan.epsilon(1e-6)))], "steps int, normalize_by double, stddev double, unbounded boolean")
