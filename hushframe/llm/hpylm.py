@@ -15,9 +15,11 @@ that share two last bytes form one subtree, sampled in one task given the top of
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ _PAD = b"\n" * (ORDER - 1)
 GRAMS, WORDS = 0, 1
 #: The end of a text among words, none of which is empty.
 _END = b""
-_EXACT = 64
+#: Customers up to which all numbers of tables are weighed, and tables that are weighed where there are more customers.
+_EXACT, _FEW = 64, 40
 
 
 # --- seatings -------------------------------------------------------------------------------------------------
@@ -52,13 +55,41 @@ def log_stirling(d: float, size: int = _EXACT) -> np.ndarray:
     return out
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, for arguments from 20 on."""
+    y = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+
+
+@lru_cache(maxsize=64)
+def _few_terms(d: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of the sum in `log_stirling_few` that doesn't depend on the customers: signed weights by t and j, and log(t! d^t)."""
+    j = np.arange(1, most + 1)
+    inverse_gamma = np.array([-math.gamma(1 + d * k) * math.sin(math.pi * d * k) / math.pi for k in j])
+    choose = np.array([[math.comb(t, k) if k <= t else 0 for k in j] for t in j], float)
+    return choose * (inverse_gamma * (-1.0) ** j), np.cumsum(np.log(j * d))
+
+
+def log_stirling_few(c: np.ndarray, d: float, most: int) -> np.ndarray:
+    """Logarithms of the generalized Stirling numbers of many customers at 1 to `most` tables, less log Gamma(c - d).
+
+    S_d(c, t) is the sum over j from 1 to t of (-1)^j C(t, j) Gamma(c - d j) / Gamma(-d j), over t! d^t; its terms fall with c^(-d j).
+    """
+    weights, scale = _few_terms(d, most)
+    j = np.arange(1, most + 1)
+    falls = np.exp(_log_gamma(c[:, None] - d * j) - _log_gamma(c - d)[:, None])
+    total = falls @ weights.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(total > 0, np.log(np.maximum(total, 1e-300)), -np.inf) - scale
+
+
 def sample_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
     """One Gibbs draw of each dish's number of tables, given its customers, the tables of other dishes in its
     restaurant and the parent's probability of the dish.
 
     The conditional is S_d(c, t) p^t (theta + d others)(theta + d others + d)...; up to 64 customers it is drawn exactly. For
-    more, its mode is found from the saddle point of the Stirling number's generating function, and it is drawn as a
-    normal distribution of the curvature there.
+    more, its mode is found from the saddle point of the Stirling number's generating function. Where it is small, the draw
+    is exact over as many tables as can matter; where it is large, it is that of a normal distribution of the curvature there.
     """
     t = np.minimum(c, 1).astype(np.int64)
     start = theta + d * others
@@ -90,6 +121,12 @@ def sample_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, th
         bend = -(slope(y2) - slope(y)) / np.where(np.abs(tables(y2) - tables(y)) > 1e-9, tables(y2) - tables(y), np.inf)
         spread = np.where(bend > 0, 1 / np.sqrt(np.maximum(bend, 1e-12)), 0.0)
         t[big] = np.clip(np.rint(mode + np.minimum(spread, mode / 2) * rng.standard_normal(len(big))), 1, n)
+        few = np.flatnonzero(mode <= (_FEW / 4 if d >= 0.3 else 0))  # with a small discount the sum's terms cancel
+        for rows in np.array_split(few, max(1, len(few) * _FEW // 2_000_000)):
+            if len(rows):
+                each, back = np.unique(c[big[rows]], return_inverse=True)
+                weight = np.cumsum(np.log(start[big[rows], None] + d * np.arange(_FEW) + 1e-12) + np.log(q[rows, None]), axis=1) + log_stirling_few(each.astype(float), d, _FEW)[back]
+                t[big[rows]] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
     return t
 
 

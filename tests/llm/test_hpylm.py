@@ -79,6 +79,23 @@ def test_large_dishes_continue_the_exact_draw(c, p, d, others, monkeypatch):
     assert draw().mean() == pytest.approx(mean, rel=0.15, abs=0.5)
 
 
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.9])
+def test_draws_of_many_customers_at_few_tables_are_exact(d):
+    """Above the limit of the full table of Stirling numbers, by the sum over singular terms."""
+    table = H.log_stirling(d, 400)
+    for c in (65, 400):
+        few = H.log_stirling_few(np.array([float(c)]), d, 20)[0] + math.lgamma(c - d)
+        assert few == pytest.approx(table[c, 1:21], abs=1e-6)
+        for p, others in ((0.3, 0), (0.02, 20), (0.0005, 500)):
+            t = np.arange(1, c + 1)
+            weight = table[c, 1 : c + 1] + t * np.log(p) + np.cumsum(np.log(1 + d * others + d * np.arange(c)))
+            weight = np.exp(weight - weight.max()) / np.exp(weight - weight.max()).sum()
+            mean = (weight * t).sum()
+            if mean < 9:
+                drawn = H.sample_tables(np.full(20_000, c), np.full(20_000, others), np.full(20_000, p), d, 1.0, np.random.default_rng(7))
+                assert drawn.mean() == pytest.approx(mean, rel=0.02)
+
+
 def test_keys_pack():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (H._keys(H._squeeze(keys)) == keys).all()
