@@ -3,7 +3,8 @@
 A shard is one self-contained compressed file: the ids of consecutive documents as
 succinct bit-planes (highest bit first, each plane stably partitioned by the one above)
 with rank counts beside them. From that file alone any token can be read, and tokens can be
-counted and located, without decoding the rest. Shards are cut so that one fits a worker.
+counted and located, on the planes as they are, without putting the sequence together again; opening a file
+expands its compressed planes. Shards are cut so that one fits a worker.
 
 Spark's own writer commits the shards, one to a file, so that a lost executor or a repeated
 task leaves no half-written shard, and any store that Spark reads will do.
@@ -129,8 +130,14 @@ class WaveletMatrix:
         return i
 
     def locate(self, value: int) -> np.ndarray:
-        """All positions of a value, ascending."""
-        return np.array([self.select(value, k) for k in range(self.count(value))], np.int64)
+        """All positions of a value, ascending: the run of its occurrences is taken up through each plane at once."""
+        a, b = self._range(value, self.n)
+        at = np.arange(a, b, dtype=np.int64)
+        for level in reversed(range(len(self.planes)) if len(at) else ()):
+            bit = value >> (len(self.planes) - 1 - level) & 1
+            stands = np.flatnonzero(np.unpackbits(self.planes[level], count=self.n) == bit)
+            at = stands[at - self.zeros[level] * bit]
+        return at
 
     def decode(self) -> np.ndarray:
         """The whole sequence, by undoing the partitions from the last plane up."""
