@@ -16,12 +16,14 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) does a temporary folder stand in.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and Spark runs on one
+    machine does a temporary folder stand in.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='hushframe-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)

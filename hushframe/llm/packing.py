@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 1024, end_id: int = 0
 
 def _grouped(run):
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        table = table.sort_by([(x, "ascending") for x in ("part", "doc_id", "start", "doc_tokens", "ids")])
         return pa.Table.from_batches(run(iter(table.to_batches())))
 
     return one

@@ -192,6 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, listed: int =
     chosen = rows.where("labelled IS NOT NULL").groupBy("labelled").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     # At most `sample` rows of three narrow columns: small by construction.
     known = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    # Of rows that share an id one text counts, so that the bound on labels bounds rows.
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("bad").alias("bad"), F.first("toxic").alias("toxic"))
     each = F.array_distinct(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", " ")), " "))
     sizes = known.agg(F.sum(F.col("toxic").cast("int")), F.count("*")).first()
     marks: list[str] = []

@@ -52,3 +52,23 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
         assert out.columns == docs.columns
         assert out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_take_odd_rows_and_extra_columns(spark):
+    """Nulls in any column, repeated rows and ids, empty and very long texts, and names that stages use themselves."""
+    words = [f"w{i % 97}x{i}" for i in range(70)]
+    long = " ".join(f"t{i}" for i in range(60_000))
+    rows = [
+        (1, " ".join(words), None, None, None), (1, " ".join(words), "en", "a", 7), (None, " ".join(words), "en", "a", 7), (None, None, None, None, None), (2, "", "en", "a", 0),
+        (3, long, "en", "a", len(long)), (4, " ".join(reversed(words)) + " mail me@x.org", "en", None, 3), (5, " \n\t ", "de", "b", 4), (6, "one two", "de", "b", 7),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "k", "b") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id int, set_key string, band string")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.written(stage(spark, now, SF), name)
+        assert now.columns == docs.columns
+    kept = {(r.doc_id, r.text) for r in now.collect()}
+    assert {i for i, _ in kept} <= {1, 3, 4, None}
+    assert all("me@x.org" not in t for _, t in kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in kept}
