@@ -1,51 +1,140 @@
 """SentencePiece encoding and decoding as relational work.
 
-Texts are cut into words that no piece can cross. Each distinct word's substrings up to the longest piece are exploded and joined
-to the piece table; the edges that exist are grouped by word again, and a fold of higher-order functions finds the best
-segmentation on that lattice.
+Texts are cut into words that no piece can cross. A word's substrings up to the longest piece are exploded and joined to the piece table;
+the edges are grouped by word again, and a fold of higher-order functions finds the path through that lattice.
 
-The models at hand are BPE models. Their encoder doesn't look for the path with the largest sum of scores, which plain Viterbi would
-find, but merges the neighbours whose piece has the best score until none is left. The fold replays exactly that on the lattice: its
-state is the list of cuts of the word, and a step removes the cut under the best edge that joins two neighbours.
+The models at hand are BPE models: their encoder merges the neighbours whose piece has the best score until none is left, and the
+path with the largest sum of scores is another one. But the merges leave two neighbours apart or not whatever stands around them, so the path they
+leave is the only one in which every two neighbours stay apart. The fold is a Viterbi search for it: over end
+positions, with the last piece of the best path to each of them, and with transitions allowed or not by `_apart`. It takes one pass.
+
+Most occurrences are of few words. The most frequent words are encoded once, in a dictionary of bounded size that every task gets; the
+others go through the lattice by document. Which words are in the dictionary changes no result.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: More than any piece's length; a lattice's edges are keyed by start * WIDTH + length.
-WIDTH = 32
-_BLANK = "▁"
-_ID_BITS, _AT_BITS = 16, 28
-
-
-def piece_table(spark: SparkSession, model: str) -> DataFrame:
-    """piece, id, value and hex (UTF-8 bytes) of a model's ordinary and byte pieces; as long as the vocabulary.
+from .common import written
 
-    A value holds how many scores are better than the piece's, and in its low 16 bits the id.
+_BLANK = "▁"
+#: Words of more characters are put together by `long_word`: an array of all their substrings would be too large.
+LONG = 50_000
+#: Numbers that Python counts among word characters but not among digits; they stand with the signs.
+_NUMBERS = "²³¹¼-¾⁰-₟⅐-↏①-⓿"
+#: Ways to cut a text, the finest first: at changes between letters, digits and signs; at blanks and line ends; not at all.
+_CUTS = (
+    rf"{_BLANK}*[^\W\d_{_NUMBERS}]+|\d|{_BLANK}*(?:[^\w{_BLANK}\n\t]|[_{_NUMBERS}])+|{_BLANK}+|[\n\t]",
+    rf"{_BLANK}*[^{_BLANK}\n\t]+|{_BLANK}+|[\n\t]",
+    r"(?s:.+)",
+)
+
+
+@dataclass(frozen=True)
+class Model:
+    """What the lattice needs to know of a model.
+
+    An edge's value holds its place among the scores, where its piece is cut by its own last merge, its length, and its id; a
+    substring that is no piece has the place of `none`.
     """
+
+    pieces: tuple[tuple[str, int], ...]
+    spelled: tuple[bytes, ...]
+    first_byte: int
+    longest: int
+    depth: int
+    id_bits: int
+    cut_bits: int
+    none: int
+    cut: str
+
+    @property
+    def shift(self) -> int:
+        return self.id_bits + 2 * self.cut_bits
+
+    def length(self, value: Column) -> Column:
+        return F.shiftright(value, self.id_bits).bitwiseAND(F.lit((1 << self.cut_bits) - 1)).cast("int")
+
+
+def _merged(text: str, places: dict[str, int]) -> tuple[list[str], dict[str, tuple[int, int]]]:
+    """A text's symbols after all merges; of each symbol made, its place and the length of its left part."""
+    symbols, made = list(text), {}
+    while True:
+        best = min(((places[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in places), default=None)
+        if best is None:
+            return symbols, made
+        i = best[1]
+        made[symbols[i] + symbols[i + 1]] = (best[0], len(symbols[i]))
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+
+@lru_cache(maxsize=4)
+def load(path: str) -> Model:
+    """A BPE model with byte pieces. Pieces that their own merges don't make are never made and take no part."""
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=model)
-    rows = []
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    ordinary, spelled, bytes_at = [], [], {}
     for i in range(m.get_piece_size()):
-        if m.is_control(i) or m.is_unknown(i):
-            continue
         piece = m.id_to_piece(i)
         if m.is_byte(i):
-            rows.append((None, i, None, piece[3:5]))
+            bytes_at[int(piece[3:5], 16)] = i
+            spelled.append(bytes([int(piece[3:5], 16)]))
+        elif m.is_control(i) or m.is_unknown(i):
+            spelled.append(b"")
         else:
-            rows.append((piece, i, float(m.get_score(i)), piece.encode().hex().upper()))
-    order = {s: k for k, s in enumerate(sorted({r[2] for r in rows if r[2] is not None}, reverse=True))}
-    rows = [(p, i, None if s is None else order[s] << _ID_BITS | i, h) for p, i, s, h in rows]
-    return spark.createDataFrame(rows, "piece string, id int, value long, hex string")
-
-
-def words_of(text: Column) -> Column:
-    """The words of a text: blanks as signs with one in front; a word starts where signs do, and line ends and tabs stand alone, as no piece holds them."""
-    marked = F.concat(F.lit(_BLANK), F.replace(text, F.lit(" "), F.lit(_BLANK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"({_BLANK}*[^{_BLANK}\\n\\t\\r]+|{_BLANK}+|[\\n\\t\\r])"), 1))
+            ordinary.append((piece, i, m.get_score(i)))
+            spelled.append(piece.encode())
+    first = bytes_at.get(0, -1)
+    if bytes_at != {k: first + k for k in range(256)}:
+        raise ValueError("the model has no run of 256 byte pieces")
+    order = {s: k for k, s in enumerate(sorted({s for _, _, s in ordinary}, reverse=True))}
+    places = {p: order[s] for p, _, s in ordinary}
+    longest = max(len(p) for p in places)
+    id_bits, cut_bits, place_bits = len(spelled).bit_length(), longest.bit_length(), (len(order) + 1).bit_length()
+    pieces, cuts = [], {}
+    for piece, i, _ in ordinary:
+        symbols, made = _merged(piece, places)
+        ranks = [place for place, _ in made.values()]
+        if ranks != sorted(ranks):
+            raise ValueError(f"the merges of {piece!r} aren't in the order of their scores")
+        if len(symbols) == 1:
+            cuts[piece] = made[piece][1] if len(piece) > 1 else 0
+            pieces.append((piece, ((places[piece] << cut_bits | cuts[piece]) << cut_bits | len(piece)) << id_bits | i))
+
+    def depth(piece: str, left: bool) -> int:
+        n = 0
+        while len(piece) > 1:
+            piece, n = piece[: cuts[piece]] if left else piece[cuts[piece] :], n + 1
+        return n
+
+    deepest = max(depth(p, True) for p in cuts) + max(depth(p, False) for p in cuts)
+    cut = next(c for c in _CUTS if all(re.findall(c, p) == [p] for p in places))
+    return Model(tuple(pieces), tuple(spelled), first, longest, deepest, id_bits, cut_bits, (1 << place_bits) - 1 << id_bits + 2 * cut_bits, cut)
+
+
+def words(text: str | None, cut: re.Pattern[str]) -> list[str]:
+    """The words of a text: blanks as signs with one in front; none of an empty text."""
+    return cut.findall(_BLANK + text.replace(" ", _BLANK)) if text else []
+
+
+def _chunks(text: str) -> list[str] | None:
+    """What stands between single blanks, each of which can be cut into words by itself; nothing if there are signs or blanks in a row or at an end, whose runs no chunk may part."""
+    return None if "  " in text or _BLANK in text or text[0] == " " or text[-1] == " " else text.split(" ")
 
 
 def _bound(value: Column, f) -> Column:
@@ -53,106 +142,434 @@ def _bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _cuts(word: Column, edges: Column) -> Column:
-    """The cuts of a word after all merges: the fold over at most one step per character."""
+def _before(end: Column, longest: int) -> Column:
+    """How many substrings up to the longest piece end at or before a position of a word."""
+    q = F.least(end, F.lit(longest))
+    return (end - q) * longest + F.shiftright(q * (q + 1), 1)
 
-    def step(acc: Column, _: Column) -> Column:
-        cuts = acc["cuts"]
-        # One whole number for each pair of neighbours: first the piece's place among the scores, then the pair's.
-        join = lambda i: F.shiftleft(F.shiftright(F.element_at(edges, cuts[i] * WIDTH + cuts[i + 2] - cuts[i]), _ID_BITS), _AT_BITS) + i
-        best = F.array_min(F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), join))
-        left = lambda b: F.filter(cuts, lambda _, i: i != b.bitwiseAND(F.lit((1 << _AT_BITS) - 1)) + 1)
-        drop = lambda b: F.struct(F.when(b.isNull(), cuts).otherwise(left(b)).alias("cuts"), b.isNull().alias("done"))
-        return F.when(acc["done"] | (F.size(cuts) < 3), acc).otherwise(_bound(best, drop))
 
-    start = F.struct(F.sequence(F.lit(0), F.length(word)).alias("cuts"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: acc["cuts"])
+def _apart(model: Model, lattice: Column, tops: Column, at: Column, before: Column, after: Column) -> Column:
+    """Whether the merges leave the pieces apart that meet at a position, given their lengths.
 
+    The merges of both are taken back from the last one on, until two characters are left. If at some time the two symbols that meet
+    make a piece with a better place than the merges that took them up, that one would have come first. Of equal places the left one comes first.
+    """
+    edge = lambda end, n: lattice[tops[end] - n]
+    place = lambda end, n: F.shiftright(edge(end, n), model.shift)
+    made = lambda end, n: F.when(n == 1, F.lit(-1).cast("long")).otherwise(place(end, n))
+    cut = lambda end, n: F.shiftright(edge(end, n), model.id_bits + model.cut_bits).bitwiseAND(F.lit((1 << model.cut_bits) - 1)).cast("int")
+    top = F.lit(model.none >> model.shift).cast("long")
+    never = F.lit((model.none >> model.shift) - 1).cast("long")
 
-def _ids(word: Column, edges: Column, cuts: Column, first_byte: int) -> Column:
-    """Ids of the cut word; characters without a piece become their bytes' ids."""
+    def state(left: Column, right: Column, taken_left: Column, taken_right: Column, done: Column) -> Column:
+        return F.struct(left.alias("l"), right.alias("r"), taken_left.alias("tl"), taken_right.alias("tr"), done.alias("done"))
 
-    def one(i: Column) -> Column:
-        known = F.element_at(edges, cuts[i] * WIDTH + cuts[i + 1] - cuts[i]).bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")
-        spelled = F.hex(F.encode(F.substring(word, cuts[i] + 1, F.lit(1)), "UTF-8"))
-        each = _bound(spelled, lambda h: F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), lambda k: F.conv(F.substring(h, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + first_byte))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(each)
+    def back(s: Column, _: Column) -> Column:
+        n, m = s["l"], s["r"]
+        joined = F.when(n + m > model.longest, top).otherwise(place(at + m, n + m))
+        undo_right = made(at + m, m) >= made(at, n)
+        one = F.when(undo_right, state(n, cut(at + m, m), s["tl"], place(at + m, m), F.lit(0))).otherwise(state(n - cut(at, n), m, place(at, n), s["tr"], F.lit(0)))
+        meet = (joined < s["tl"]) & (joined <= s["tr"])
+        return F.when(s["done"] != 0, s).when(meet, state(n, m, s["tl"], s["tr"], F.lit(1))).when((n == 1) & (m == 1), state(n, m, s["tl"], s["tr"], F.lit(2))).otherwise(one)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), one))
+    begin = state(before, after, never, never, F.lit(0))
+    most = F.least(before + after - 2, F.lit(model.depth))  # each step takes a merge back, and two characters have none
+    return F.aggregate(F.sequence(F.lit(0), most), begin, back, lambda s: s["done"] == 2)
 
 
-def text_of(body: str) -> Column:
-    """A spelling with its signs as blanks, without the first one."""
-    blank = F.replace(F.col(body), F.lit(_BLANK), F.lit(" "))
-    return F.when(F.startswith(blank, F.lit(" ")), F.substring(blank, F.lit(2), F.length(blank))).otherwise(blank)
+def _path(model: Model, n: Column, lattice: Column, tops: Column) -> Column:
+    """Viterbi: the last edge of the path to each position, and before them a zero for the start. A character that is no piece is an edge of its own.
 
+    `tops` says for each position how many substrings end there or before; those that end at one stand from long to short.
+    """
 
-def encode_words(words: DataFrame, pieces: DataFrame, *, longest: int = 16, first_byte: int = 3) -> DataFrame:
-    """word, n and ids of distinct non-empty words (columns word, n).
+    def step(best: Column, j: Column) -> Column:
+        def candidate(found: Column, edge: Column) -> Column:
+            size = model.length(edge)
+            fits = (size == j) | _apart(model, lattice, tops, j - size, model.length(best[j - size]), size)
+            return F.when(found.isNotNull(), found).when(((edge < model.none) | (size == 1)) & fits, edge)
 
-    Exploded substrings meet the piece table, which is broadcast as it is bounded by the vocabulary, and are grouped by the word by
-    which their rows are dealt out already, so that the lattice is never shuffled.
-    """
-    span = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - s)), lambda n: F.struct(s.alias("start"), n.alias("length"))))))
-    lattice = words.select("word", "n", span.alias("span")).select("word", "n", (F.col("span.start") * WIDTH + F.col("span.length")).alias("key"), F.substring(F.col("word"), F.col("span.start") + 1, F.col("span.length")).alias("piece"))
-    # A word without any piece keeps one row.
-    edges = lattice.join(F.broadcast(pieces.where("piece IS NOT NULL").select("piece", "value")), "piece", "left").where("value IS NOT NULL OR key = 1")
-    entry = F.struct("key", "value")
-    found = edges.groupBy("word").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(entry)).alias("edges"))
-    cut = found.select("word", "n", "edges", _cuts(F.col("word"), F.col("edges")).alias("cuts"))
-    return cut.select("word", "n", _ids(F.col("word"), F.col("edges"), F.col("cuts"), first_byte).alias("ids"))
+        ending = F.slice(lattice, tops[j - 1] + 1, tops[j] - tops[j - 1])
+        return F.concat(best, F.array(F.aggregate(ending, F.lit(None).cast("long"), candidate)))
 
+    return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0).cast("long")), step)
 
-def encode_vocabulary(docs: DataFrame, model: str, *, text: str = "text") -> DataFrame:
-    """word, n (occurrences in all whole texts) and ids of every distinct word of the texts: what a text's ids are put together from.
 
-    Null and empty texts have no words; an empty table gives no rows; other columns are not read.
-    """
-    words = docs.select(F.explode(words_of(F.coalesce(docs[f"`{text}`"], F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return encode_words(words, piece_table(docs.sparkSession, model))
+def _ids(model: Model, word: Column, n: Column, path: Column) -> Column:
+    """Ids of the path's edges from the last one back; characters without a piece become their bytes' ids."""
+    spelled = lambda j: F.hex(F.encode(F.substring(word, j, F.lit(1)), "UTF-8"))
+    in_bytes = lambda h: F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), lambda k: F.conv(F.substring(h, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + model.first_byte)
 
+    def take(s: Column, j: Column) -> Column:
+        known = F.array(path[j].bitwiseAND(F.lit((1 << model.id_bits) - 1)).cast("int"))
+        ids = F.when(path[j] < model.none, known).otherwise(_bound(spelled(j), in_bytes))
+        moved = F.struct((j - model.length(path[j])).alias("at"), F.concat(ids, s["ids"]).alias("ids"))
+        return F.when(s["at"] == j, moved).otherwise(s)
 
-def _encoded(docs: DataFrame, model: str, *, doc_id: str, text: str) -> DataFrame:
-    """row (a number for each input row), doc_id and ids, dealt out by row.
+    begin = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
+    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), begin, take, lambda s: s["ids"])
 
-    The words with their ids are the smaller side of the join and are hashed, so that occurrences need no sort.
-    """
-    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    each = rows.select("row", "doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
-    known = encode_vocabulary(docs, model, text=text).select("word", "ids").hint("shuffle_hash")
-    gathered = each.join(known, "word", "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return gathered.select("row", "doc_id", F.flatten(F.filter(F.transform("parts", lambda x: x["ids"]), lambda x: x.isNotNull())).alias("ids"))
 
+def piece_table(spark: SparkSession, model: Model) -> DataFrame:
+    """piece and value of a model's ordinary pieces; as long as the vocabulary."""
+    return spark.createDataFrame(pa.table({"piece": pa.array([p for p, _ in model.pieces], pa.string()), "value": pa.array([v for _, v in model.pieces], pa.int64())}))
 
-def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids of whole texts; null and empty texts have an empty array. Repeated rows are encoded each.
 
-    Every occurrence of a word is joined to its ids and gathered by document.
+def segmented(rows: DataFrame, model: Model) -> DataFrame:
+    """bundle, part, other columns and ids (an array for each word) of rows with an array `words`, dealt out by `bundle` and told apart by bundle and part.
+
+    The piece table is broadcast: it is bounded by the vocabulary. The lattice is grouped where its words are, so that it is never
+    shuffled, and carries words and other columns once. Words that share a row share a group, as many small ones cost more.
     """
-    return _encoded(docs, model, doc_id=doc_id, text=text).select("doc_id", "ids")
+    others = [c for c in rows.columns if c not in ("bundle", "part")]
+    size = model.longest
+    sizes = lambda w: _before(F.length(w), size)
+    bases = F.aggregate("words", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + sizes(w))))
+    whole = rows.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("")))).select("*", bases.alias("bases"))
+    each = whole.select("bundle", "part", *others, "bases", F.posexplode("words").alias("at", "word"))
+    each = each.select("bundle", "part", "at", "word", F.col("bases")[F.col("at")].alias("base"), *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in (*others, "bases")])
+    ends = each.select("*", F.explode_outer(F.when(F.col("word") != "", F.sequence(F.lit(1), F.length("word")))).alias("end"))
+    spans = ends.select("*", F.explode_outer(F.when(F.col("end").isNotNull(), F.sequence(F.least("end", F.lit(size)), F.lit(1), F.lit(-1)))).alias("size"))
+    once = F.coalesce(F.col("size") == F.least("end", F.lit(size)), F.lit(True)) & (F.coalesce("end", F.lit(1)) == 1) & (F.col("at") == 0)
+    pieces = spans.select(
+        "bundle", "part", "size", (F.col("base") + _before(F.col("end"), size) - F.col("size")).alias("pos"), F.expr("substring(word, end - size + 1, size)").alias("piece"),
+        F.when(once, F.struct(*others, "bases")).alias("held"),
+    )
+    edges = pieces.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left")
+    bits = model.none.bit_length()
+    entry = F.shiftleft(F.col("pos").cast("long"), bits) + F.coalesce("value", F.lit(model.none) + F.shiftleft(F.col("size").cast("long"), model.id_bits))
+    # What is held once is collected, too: a first value would be copied for every row.
+    found = edges.groupBy("bundle", "part").agg(F.sort_array(F.collect_list(entry)).alias("lattice"), F.collect_list("held")[0].alias("held"))
+    ready = found.select("bundle", "part", "held.*", F.transform("lattice", lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))).alias("lattice"))
+
+    def ids_of(word: Column, i: Column) -> Column:
+        n = F.length(word)
+        tops = F.transform(F.sequence(F.lit(0), n), lambda j: F.col("bases")[i] + _before(j, size))
+        path = lambda t: _bound(_path(model, n, F.col("lattice"), t), lambda p: _ids(model, word, n, p))
+        return F.when(word != "", _bound(tops, path)).otherwise(F.array().cast("array<int>"))
+
+    return ready.select("bundle", "part", *others, F.transform("words", ids_of).alias("ids"))
+
+
+class _Link:
+    """A symbol in a chain: its text and its neighbours."""
+
+    __slots__ = ("after", "before", "text")
+
+    def __init__(self, text: str, before: "_Link | None") -> None:
+        self.text, self.before, self.after = text, before, None
+        if before:
+            before.after = self
+
+
+def long_word(word: str, model: Model) -> list[int]:
+    """The ids of a word too long for an array of its substrings, by a queue of merges."""
+    values = dict(model.pieces)
+    heap, last = [], None
+    spot: dict[int, _Link] = {}
+
+    def offer(at: int, left: _Link) -> None:
+        value = values.get(left.text + left.after.text) if left.after else None
+        if value is not None:
+            heappush(heap, (value >> model.shift, at, left.text, left.after.text))
+
+    for i, c in enumerate(word):
+        spot[i] = last = _Link(c, last)
+    starts = {id(x): i for i, x in spot.items()}
+    for i, x in spot.items():
+        offer(i, x)
+    while heap:
+        _, at, a, b = heappop(heap)
+        left = spot.get(at)
+        if left is None or left.text != a or left.after is None or left.after.text != b:
+            continue
+        gone = left.after
+        left.text, left.after = a + b, gone.after
+        if gone.after:
+            gone.after.before = left
+        del spot[starts.pop(id(gone))]
+        offer(at, left)
+        if left.before:
+            offer(starts[id(left.before)], left.before)
+    out, mask = [], (1 << model.id_bits) - 1
+    for i in sorted(spot):
+        text = spot[i].text
+        out += [values[text] & mask] if text in values else [model.first_byte + x for x in text.encode()]
+    return out
+
+
+def _counted(docs: DataFrame, cut: str, *, least: int, most: int = 500_000, longest: int | None = None) -> DataFrame:
+    """word and n; of every part of a partition that has `most` distinct words, those found `least` times in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern, chunks, found = re.compile(cut), Counter(), Counter()
+        parting = cut != _CUTS[-1]
+
+        def part() -> pa.RecordBatch:
+            for chunk, n in chunks.items():
+                for word in words(chunk, pattern) if chunk else [_BLANK]:
+                    found[word] += n
+            kept = [(w, n) for w, n in found.items() if n >= least and (longest is None or len(w) <= longest)]
+            chunks.clear()
+            found.clear()
+            return pa.record_batch({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                each = _chunks(text) if parting else None
+                if each is None:
+                    found.update(words(text, pattern))
+                else:
+                    chunks.update(each)
+                if len(found) + len(chunks) > most:
+                    yield part()
+        yield part()
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _vocabulary(counted: DataFrame, model: Model) -> DataFrame:
+    """word and ids of distinct words, in bundles of 512 or fewer."""
+    table = written(counted, "words")
+
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[str] = []
+
+        def bundle(part: list[str]) -> pa.RecordBatch:
+            long = [long_word(w, model) if len(w) > LONG else None for w in part]
+            return pa.record_batch({"words": pa.array([["" if x else w for w, x in zip(part, long, strict=True)]], pa.list_(pa.string())), "texts": pa.array([part], pa.list_(pa.string())), "long": pa.array([long], pa.list_(pa.list_(pa.int32())))})
+
+        size = 0
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                if len(waiting) == 512 or waiting and size + len(word) > LONG:
+                    yield bundle(waiting)
+                    waiting, size = [], 0
+                waiting.append(word)
+                size += len(word)
+        if waiting:
+            yield bundle(waiting)
+
+    dealt = table.select("word").mapInArrow(bundles, "words array<string>, texts array<string>, long array<array<int>>")
+    # Numbers given while reading a written table are the same when a task is run again. A task's bundles are few enough to be grouped by hashing.
+    rows = dealt.select(F.monotonically_increasing_id().alias("bundle"), F.lit(0).alias("part"), "*").repartition(table.count() // 40_000 + 1, "bundle")
+    pairs = F.explode(F.arrays_zip("texts", "long", "ids")).alias("x")
+    return segmented(rows, model).select(pairs).select(F.col("x.texts").alias("word"), F.coalesce("x.long", "x.ids").alias("ids"))
+
 
+def encode_vocabulary(docs: DataFrame, model: str, *, text: str = "text") -> DataFrame:
+    """word, n (occurrences in all whole texts) and ids of every distinct word of the texts.
+
+    Null and empty texts have no words; an empty table gives no rows; other columns are not read.
+    """
+    m = load(model)
+    counted = written(_counted(docs.select(docs[f"`{text}`"].alias("text")), m.cut, least=1), "counted")
+    return counted.join(_vocabulary(counted, m), "word")
 
-def _spelled(rows: DataFrame, model: str, key: str, ids: str) -> DataFrame:
-    """`key`, ids and body (the spelling of the ids, blanks as signs) of id arrays, by joining ids to the piece table; other columns of `rows` are their first value by key."""
-    others = [c for c in rows.columns if c not in (key, ids)]
-    each = rows.select(key, *others, F.posexplode_outer(ids).alias("pos", "id"))
-    found = each.join(F.broadcast(piece_table(rows.sparkSession, model).select("id", "hex")), "id", "left")
-    parts = F.sort_array(F.collect_list(F.struct("pos", "id", F.coalesce("hex", F.lit("")).alias("hex")))).alias("parts")
-    whole = found.groupBy(key).agg(*[F.first(c).alias(c) for c in others], parts)
-    body = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")), "UTF-8")
-    return whole.select(key, *others, F.filter(F.transform("parts", lambda x: x["id"]), lambda x: x.isNotNull()).alias("ids"), body.alias("body"))
 
+def _frequent(source: DataFrame, model: Model, remembered: int) -> bytes:
+    """The dictionary, packed: at most `remembered` words of at most 32 characters, the most frequent first.
 
-def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    Counts leave out what is rare within a partition. The threshold comes from a histogram of at most 10,000 counts.
+    """
+    counted = written(_counted(source, model.cut, least=2, longest=32), "frequent")
+    sizes = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("size")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(sizes, reverse=True):
+        total += r["size"]
+        if total > remembered:
+            break
+        least = r["n"]
+    frequent = counted.where(F.col("n") >= least)
+    table = frequent.join(_vocabulary(frequent, model), "word").select("word", "n", "ids").toArrow()
+    order = np.argsort(-table.column("n").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.select(["word", "ids"]).schema) as out:
+        out.write_table(table.select(["word", "ids"]))
+    return zstandard.ZstdCompressor().compress(sink.getvalue().to_pybytes())
+
+
+@dataclass
+class _Dictionary:
+    number: dict[str, int]
+    flat: np.ndarray
+    ends: np.ndarray
+    #: Chunks met by this worker: the numbers of those whose words are all known, and the words of others.
+    whole: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    mixed: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+
+_OPENED: dict[int, _Dictionary] = {}
+
+
+def _opened(packed: bytes) -> _Dictionary:
+    """The dictionary, once for all tasks of a worker."""
+    key = zlib.crc32(packed)
+    if key not in _OPENED:
+        _OPENED.clear()
+        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all().combine_chunks()
+        flat, ends = _ragged(table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())))
+        _OPENED[key] = _Dictionary({w: i for i, w in enumerate(table.column("word").to_pylist())}, flat, ends)
+    return _OPENED[key]
+
+
+def _ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of an array of lists, and where each list ends, after a zero."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), ends
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists asked for, one after the other, and their lengths."""
+    sizes = ends[at + 1] - ends[at]
+    after = np.cumsum(sizes)
+    total = int(after[-1]) if len(after) else 0
+    return flat[np.repeat(ends[at] - after + sizes, sizes) + np.arange(total)], sizes
+
+
+def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int = 400_000, most: int = 2_000) -> DataFrame:
+    """Documents in bundles of about so many characters: bundle, part, doc_ids, coded (numbers of each text's words, packed), words and long.
+
+    Words that aren't in the dictionary are numbered behind it, each once in a bundle, and spread over its parts, `most` to a part. The ids
+    of very long ones are in `long`, and an empty word stands for them.
+    """
+    cut = model.cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern, known = re.compile(cut), _opened(dictionary.value)
+        number, whole, mixed = known.number, known.whole, known.mixed
+        size, parting = len(number), cut != _CUTS[-1]
+        pack = zstandard.ZstdCompressor(level=1).compress
+        doc_ids, coded, other, held = [], [], {}, 0
+
+        def coded_words(text: str) -> np.ndarray:
+            each = _chunks(text) if parting else None
+            if each is None:
+                found = [number[w] if w in number else size + other.setdefault(w, len(other)) for w in words(text, pattern)]
+                return np.array(found, "<i4")
+            if len(whole) + len(mixed) > 150_000:
+                whole.clear()
+                mixed.clear()
+            found = list(map(whole.get, each))
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        chunk = each[i]
+                        parts = mixed.get(chunk)
+                        if parts is None:
+                            parts = tuple(words(chunk, pattern)) if chunk else (_BLANK,)
+                            if all(w in number for w in parts):
+                                found[i] = whole[chunk] = tuple(number[w] for w in parts)
+                                continue
+                            mixed[chunk] = parts
+                        found[i] = [number[w] if w in number else size + other.setdefault(w, len(other)) for w in parts]
+            return np.fromiter(chain.from_iterable(found), "<i4")
+
+        def bundle() -> pa.RecordBatch:
+            """The bundle's parts, the first one with its documents."""
+            rare = list(other)
+            parts = [[]]
+            for w in rare:
+                if len(parts[-1]) >= most or parts[-1] and sum(map(len, parts[-1])) + len(w) > LONG:
+                    parts.append([])
+                parts[-1].append(w)
+            long = [[long_word(w, model) if len(w) > LONG else None for w in part] for part in parts]
+            short = [["" if x else w for w, x in zip(part, done, strict=True)] for part, done in zip(parts, long, strict=True)]
+            n = len(parts)
+            return pa.record_batch({
+                "part": pa.array(range(n), pa.int32()), "doc_ids": pa.array([doc_ids] + [None] * (n - 1), pa.list_(pa.int64())), "coded": pa.array([coded] + [None] * (n - 1), pa.list_(pa.binary())),
+                "words": pa.array(short, pa.list_(pa.string())), "long": pa.array(long, pa.list_(pa.list_(pa.int32()))), "bundle": pa.array([doc_rows[0]] * n, pa.int64()),
+            })
+
+        doc_rows: list[int] = []
+        for batch in batches:
+            for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = coded_words(text) if text else np.empty(0, "<i4")
+                coded.append(pack(found.view(np.uint8).reshape(-1, 4).T.tobytes()))
+                doc_ids.append(doc_id)
+                doc_rows.append(row)
+                held += len(text or "") + 100
+                if held > characters:
+                    yield bundle()
+                    for x in (doc_ids, coded, other, doc_rows):
+                        x.clear()
+                    held = 0
+        if doc_ids:
+            yield bundle()
+
+    schema = "part int, doc_ids array<bigint>, coded array<binary>, words array<string>, long array<array<int>>, bundle long"
+    return source.select("row", "doc_id", "text").mapInArrow(run, schema)
+
+
+def _spell(flat: np.ndarray, sizes: np.ndarray, spelled: tuple[bytes, ...]) -> list[str]:
+    """The texts of ids, `sizes` to a text: their spellings in a row, signs as blanks, without the first one."""
+    data, ends = np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
+    body, each = _gather(data, ends, flat)
+    raw = body.tobytes()
+    bounds = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    texts = (raw[a:b].decode("utf-8", "replace").replace(_BLANK, " ") for a, b in zip(bounds, bounds[1:], strict=False))
+    return [x.removeprefix(" ") for x in texts]
+
+
+def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", remembered: int = 250_000) -> DataFrame:
     """doc_id, ids and text, one row per input row: every whole text encoded, and the text that those ids decode to.
 
     Null and empty texts have no ids and decode to an empty text; signs in a text come back as blanks. Rows that repeat or share an id are taken each; an empty table gives no rows; other
-    columns are not read. Decoding groups by the row by which ids are dealt out already, so that they are not shuffled again.
+    columns are not read. The dictionary of the `remembered` most frequent words is broadcast, 32 characters to a word at most; all
+    other words go through the lattice once per document.
     """
-    return _spelled(_encoded(docs, model, doc_id=doc_id, text=text), model, "row", "ids").select("doc_id", "ids", text_of("body").alias("text"))
+    m, spark = load(model), docs.sparkSession
+    source = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"), F.monotonically_increasing_id().alias("row"))
+    dictionary = spark.sparkContext.broadcast(_frequent(source, m, remembered))
+    # Tasks have few bundles, so that they are grouped by hashing.
+    coded = _looked_up(source, m, dictionary).repartition(2 * max(1, docs.rdd.getNumPartitions()), "bundle")
+    rare = F.sort_array(F.collect_list(F.struct("part", F.zip_with("ids", "long", lambda x, done: F.coalesce(done, x)).alias("ids")))).alias("rare")
+    whole = segmented(coded, m).groupBy("bundle").agg(F.collect_list("doc_ids")[0].alias("doc_ids"), F.collect_list("coded")[0].alias("coded"), rare)
+    ready = whole.select("doc_ids", "coded", F.flatten(F.transform("rare", lambda x: x["ids"])).alias("rare"))
+    spelled = m.spelled
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _opened(dictionary.value)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(batch.num_rows):
+                doc_ids, coded, rare = (batch.column(i)[at] for i in range(3))
+                numbers = [np.ascontiguousarray(np.frombuffer(unpack(x.as_py()), np.uint8).reshape(4, -1).T).view("<i4").ravel() for x in coded]
+                local, local_ends = _ragged(rare.values)
+                number = np.concatenate(numbers).astype(np.int64)
+                is_rare = number >= len(known.number)
+                head, head_sizes = _gather(known.flat, known.ends, number[~is_rare])
+                tail, tail_sizes = _gather(local, local_ends, number[is_rare] - len(known.number))
+                sizes = np.empty(len(number), np.int64)
+                sizes[~is_rare], sizes[is_rare] = head_sizes, tail_sizes
+                from_rare = np.repeat(is_rare, sizes)
+                ids = np.empty(len(from_rare), np.int32)
+                ids[~from_rare], ids[from_rare] = head, tail
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.record_batch({"doc_id": pa.array(doc_ids.as_py(), pa.int64()), "ids": lists, "text": pa.array(_spell(ids, np.diff(ends), spelled), pa.string())})
+
+    return ready.mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids of whole texts; null and empty texts have an empty array. Repeated rows are encoded each."""
+    return round_trip(docs, model, doc_id=doc_id, text=text).select("doc_id", "ids")
 
 
 def decode(rows: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """`key` and text of id arrays, by joining ids to the piece table; the first blank's sign is dropped. Rows that share a key are put together in no set order, so keys should differ."""
-    whole = _spelled(rows.select(key, ids), model, key, ids)
-    return whole.select(key, text_of("body").alias("text"))
+    """`key` and text of id arrays, one row for each; null and empty arrays give an empty text, control ids nothing, and the first blank's sign is dropped."""
+    spelled = load(model).spelled
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = _ragged(batch.column(1))
+            yield pa.record_batch({key: batch.column(0), "text": pa.array(_spell(flat, np.diff(ends), spelled), pa.string())})
+
+    source = rows.select(rows[f"`{key}`"].alias(key), rows[f"`{ids}`"].cast("array<int>").alias("ids"))
+    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, text string")

@@ -118,6 +118,18 @@ def test_a_long_word_takes_one_pass(spark):
     assert got[0].ids == m.encode(word)
 
 
+def test_very_long_words_by_a_queue(spark):
+    m, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), L.load(MODEL)
+    rng = random.Random(6)
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "漢字a", " ="):
+        word = "▁" + "".join(rng.choice(letters) for _ in range(3_000)).replace(" ", "▁")
+        assert L.long_word(word, model) == m.encode(word[1:].replace("▁", " "))
+    text = "one " + "".join(rng.choice("etaoin") for _ in range(L.LONG + 10)) + " two é漢"
+    rows = [(1, text), (2, "short"), (3, None)]
+    got = {r.doc_id: (r.ids, r.text) for r in L.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()}
+    assert got == {i: (m.encode(t or ""), t or "") for i, t in rows}
+
+
 def test_query_encodes_and_decodes_every_document(spark, tmp_path):
     m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = [*enumerate(ODD), (7, "the cat"), (7, "cat the"), (None, "x y")]
