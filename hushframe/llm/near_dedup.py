@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import checkpointed, written
 from .components import components
@@ -153,9 +154,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int) ->
             values = [shingles(x, words) for x in batch.column(1).to_pylist()]
             yield pa.record_batch({"set_key": pa.array([_key(x.tobytes()) for x in values], pa.binary()), "values": pa.array([x.view(np.int64) for x in values], pa.list_(pa.int64()))})
 
-    named = checkpointed(classes.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "set_key", "low"))
+    named = checkpointed(classes.join(wanted.select("id"), "id", "left_semi").select("id", "set_key", "low"))
     # A class is read by its smallest id; one without any by the rows that have none.
-    low = named.select(F.col("low").alias("_low")).distinct()
+    low = named.select(F.col("low").alias("_low"))
     texts = docs.join(low, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("doc_id", "text")
     found = texts.mapInArrow(run, "set_key binary, values array<bigint>").join(named.select("id", "set_key"), "set_key").drop("set_key")
     return written(found.dropDuplicates(["id"]), "sets")
@@ -177,6 +178,11 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, fam
     Rows that share an id each follow their own text, and each of their texts is searched.
     An empty table gives no rows; other columns are not read.
     """
+    return _found(docs, least, words, family, part, doc_id, text).drop("set_key")
+
+
+def _found(docs: DataFrame, least: float, words: int, family: Family | None, part: int, doc_id: str, text: str) -> DataFrame:
+    """The rows of `near_duplicates` with the key of each one's set."""
     family = family or Family()
     source = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
     local = _local_classes(source, words, family)
@@ -209,41 +215,55 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.75, words: int = 5, fam
     met = met.join(signatures.alias("x"), F.col("x.id") == F.col("u")).join(signatures.alias("y"), F.col("y.id") == F.col("v"))
     links = confirmed(checkpointed(met.where(promising("x", "y")).select("u", "v")))
     labels = components(links)
-    # Buckets that the stars left in several components: only their unconnected classes meet. First each asks whether there is any that sizes
-    # and signatures don't refuse; those that find one meet again with their full sets, and the join itself drops all pairs that aren't similar.
+    # Buckets that the stars left in several components: only their unconnected classes meet, each pair in the first bucket it shares, and the
+    # join itself drops what sizes, signatures or the full sets refuse.
     labelled = bucketed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
     several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
     # A hot bucket is dealt out in parts of about `part` classes, and each two parts meet in a task of their own.
     parts = F.ceil(F.col("size") / part).cast("int")
     open_ = written(labelled.join(several.select("band", parts.alias("parts")), "band").select("band", "id", "label", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "unconnected")
     if not open_.isEmpty():
-        full = open_.join(signatures, "id")
-        dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("band", "id", "label", "part", "n", "signature", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-        left, right, col = dealt.alias("l"), dealt.alias("r"), F.col
+        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("band", "id", "label", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+        more = _sets(source, open_.select("id"), classes, words).join(classes.select("id", "n", "signature", "bands"), "id")
+        full = written(dealt.join(more, "id"), "meeting")
+        left, right, col = full.alias("l"), full.alias("r"), F.col
         cell = (col("l.band") == col("r.band")) & (col("l.p") == col("r.p")) & (col("l.q") == col("r.q"))
         once = (F.least("l.part", "r.part") == col("l.p")) & (F.greatest("l.part", "r.part") == col("l.q"))
-        maybe = cell & once & (col("l.id") != col("r.id")) & (col("l.label") != col("r.label")) & promising("l", "r")
-        asked = checkpointed(left.join(right, maybe, "left_semi").select("band", "p", "q", "part", "label", "id"))
-        if not asked.isEmpty():
-            more = _sets(source, asked.select("id"), classes, words).join(classes.select("id", "n", "signature", "bands"), "id")
-            full = written(asked.join(more, "id"), "meeting")
-            left, right = full.alias("l"), full.alias("r")
-            # Each pair is compared in the first bucket that it shares.
-            first = F.array_intersect("l.bands", "r.bands")[0] == col("l.band")
-            met = left.join(right, (col("l.id") < col("r.id")) & maybe & first & _similar(col("l.values"), col("r.values"), least))
-            found = checkpointed(met.select(col("l.id").alias("u"), col("r.id").alias("v")))
-            if not found.isEmpty():
-                labels = components(links.unionByName(found))
+        first = F.array_intersect("l.bands", "r.bands")[0] == col("l.band")
+        met = left.join(right, cell & (col("l.id") < col("r.id")) & (col("l.label") != col("r.label")) & once & promising("l", "r") & first & _similar(col("l.values"), col("r.values"), least))
+        found = checkpointed(met.select(col("l.id").alias("u"), col("r.id").alias("v")))
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
     placed = classes.select("id", "set_key", "low").join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_key", "low", F.coalesce("component", "id").alias("label"))
     named = placed.join(placed.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("set_key", "component_id")
     rows = local.select("members", "n", "set_key").join(named, "set_key", "left")
     rows = rows.select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "set_key")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_key")
 
 
 def deduplicate(docs: DataFrame, *, least: float = 0.75, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the documents that `near_duplicates` keeps, with all their columns; rows that share an id stay or go together."""
-    kept = near_duplicates(docs, least=least, words=words, doc_id=doc_id, text=text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[f"`{doc_id}`"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of the documents that `near_duplicates` keeps, with all their columns.
+
+    Null ids and texts, repeated rows and empty tables are as there. Where rows with different texts share an id, each stays or goes by its own text; equal rows stay or go together.
+    """
+    found = written(_found(docs, least, words, None, 4096, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_set"), "kept"), "found")
+    by_id = found.groupBy("_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
+    # Columns are named by their tables, as documents may have any names.
+    among = lambda rows, ids: rows.join(ids, rows[f"`{doc_id}`"].cast("long").eqNullSafe(ids["_id"]), "left_semi")
+    kept = among(docs, by_id.where("all").select("_id"))
+    split = checkpointed(by_id.where("some AND NOT all").select("_id"))
+    if split.isEmpty():
+        return kept
+    at = docs.columns.index(text)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [shingles(x, words) for x in batch.column(at).to_pylist()]
+            yield batch.append_column("_set_of", pa.array([_key(x.tobytes()) if len(x) else None for x in values], pa.binary()))
+
+    mine = among(docs, split).mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_set_of", BinaryType())]))
+    chosen = found.where("kept").join(split, "_id", "left_semi").select("_id", "_set").distinct()
+    one = mine.join(chosen, mine[f"`{doc_id}`"].cast("long").eqNullSafe(chosen["_id"]) & mine["_set_of"].eqNullSafe(chosen["_set"]), "left_semi")
+    return kept.unionByName(one.drop("_set_of"))

@@ -101,6 +101,10 @@ def test_texts_under_one_id_are_each_searched(spark):
     rows = [(5, a), (5, b), (9, b + " z"), (None, c), (None, c + " z"), (11, c + " y"), (12, a + " z"), (3, "only five words are here")]
     got = {(r.doc_id, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(5, 5), (9, 5), (None, 11), (11, 11), (12, 5), (3, 3)}
+    # A near copy under an id whose other text stays is dropped for itself; rows without text stay.
+    rows = [(5, a, 1), (5, b, 2), (4, b + " z", 3), (None, None, 4), (6, "", 5)]
+    kept = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _set int"))
+    assert sorted(r._set for r in kept.collect()) == [1, 3, 4, 5]
 
 
 def test_hot_buckets_in_parts(spark):
