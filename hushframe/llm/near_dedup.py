@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int) ->
             values = [shingles(x, words) for x in batch.column(1).to_pylist()]
             yield pa.record_batch({"set_key": pa.array([_key(x.tobytes()) for x in values], pa.binary()), "values": pa.array([x.view(np.int64) for x in values], pa.list_(pa.int64()))})
 
-    named = checkpointed(classes.join(wanted.select("id"), "id", "left_semi").select("id", "set_key", "low"))
+    named = classes.join(wanted.select("id"), "id", "left_semi").select("id", "set_key", "low")
     # A class is read by its smallest id; one without any by the rows that have none.
     low = named.select(F.col("low").alias("_low"))
     texts = docs.join(low, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("doc_id", "text")
