@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hpylm, near_dedup, packing, pii, quality_rules, sentencepiece_lattice, wavelet, wordpiece
+from hushframe.functions.rng import uniform_sql
+
+from . import chat, exact_dedup, hpylm, mixing, near_dedup, packing, pii, quality_rules, sentencepiece_lattice, wavelet, wordpiece
 from .common import documents
 from .tokens import default_path
 
@@ -108,3 +110,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(documents(spark, sf_dir), default_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(documents(spark, sf_dir))
+
+
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+ORACLES["op13_source_mix"] = f"""
+WITH d AS (SELECT doc_id, source, {_SIZE} AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM d GROUP BY source),
+o AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(weight) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS others FROM s WINDOW w AS (ORDER BY source_size / weight::DOUBLE, source)),
+f AS (SELECT *, cap * others < rest * weight AS over FROM o),
+l AS (SELECT 1.5::DOUBLE * sum(source_size) - coalesce(sum(cap) FILTER (over), 0) AS rest, sum(weight) FILTER (NOT over) AS others FROM f),
+t AS (SELECT source, source_size, CASE WHEN over THEN cap ELSE l.rest::DOUBLE * weight / l.others::DOUBLE END AS target FROM f, l),
+p AS (SELECT doc_id, d.source, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY {uniform_sql(13, "mix", "coalesce(doc_id::VARCHAR, 'null')")}, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source, source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE floor(target)::BIGINT // source_size * size + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END)::BIGINT AS taken FROM p
+"""
