@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.rng import uniform_sql
 
-from . import chat, exact_dedup, hpylm, mixing, near_dedup, packing, pii, quality_rules, sentencepiece_lattice, wavelet, wordpiece
+from . import chat, divergence, exact_dedup, hpylm, mixing, near_dedup, packing, pii, quality_rules, sentencepiece_lattice, spelling, wavelet, wordpiece
 from .common import documents
 from .tokens import default_path
 
@@ -130,3 +130,46 @@ p AS (SELECT doc_id, d.source, size, source_size, target, sum(size) OVER (PARTIT
 SELECT doc_id, size::BIGINT AS size, source, source_size, target,
   (CASE WHEN size = 0 THEN 0 ELSE floor(target)::BIGINT // source_size * size + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END)::BIGINT AS taken FROM p
 """
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(lang_total), 0) AS lang_total, coalesce(any_value(total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + v)::HUGEINT AS q FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS MATERIALIZED (SELECT id, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(range(1, length(id) + length(run) + 2), lambda i: CASE WHEN ord(substr(id || ':' || run, i, 1)) < 128 THEN [ord(substr(id || ':' || run, i, 1))::BIGINT] ELSE [192 + (ord(substr(id || ':' || run, i, 1)) >> 6)::BIGINT, 128 + (ord(substr(id || ':' || run, i, 1)) & 63)::BIGINT] END)) AS bytes FROM r),
+h AS MATERIALIZED (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, tab),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM x a JOIN v b ON a.rest = b.word),
+q AS (SELECT word, count(*) AS n_near FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT word, other AS form, other_n AS form_n FROM (SELECT p.*, v.n, row_number() OVER (PARTITION BY p.word ORDER BY other_n DESC, other) AS k FROM p JOIN v USING (word)) WHERE k = 1 AND other_n >= 2 * n),
+c(word, root, steps) AS (SELECT word, form, 1 FROM f UNION ALL SELECT c.word, f.form, steps + 1 FROM c JOIN f ON f.word = c.root)
+SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, v.word) AS root FROM v LEFT JOIN q USING (word) LEFT JOIN f USING (word) LEFT JOIN (SELECT word, arg_max(root, steps) AS root FROM c GROUP BY word) USING (word)
+"""
