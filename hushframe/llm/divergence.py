@@ -115,8 +115,8 @@ def skyband(n: np.ndarray, lang_n: np.ndarray, place: np.ndarray, k: int, chunk:
     return kept
 
 
-def _skybands(rows: DataFrame, k: int, held: int = 50_000) -> DataFrame:
-    """Of the rows gid, n, lang_n, term of each partition, the skyband of every group; reduced whenever `held` rows wait."""
+def _skybands(rows: DataFrame, k: int, held: int = 400_000) -> DataFrame:
+    """Of the rows gid, n, lang_n, term of each partition, the skyband of every group; reduced whenever `held` rows and twice those left before wait."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
@@ -133,10 +133,10 @@ def _skybands(rows: DataFrame, k: int, held: int = 50_000) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             waiting = table if waiting is None else pa.concat_tables([waiting, table])
-            if len(waiting) > held + left:
+            if len(waiting) > held + 2 * left:
                 waiting = reduced(waiting)
                 left = len(waiting)
-                if left > 8 * held:  # of very many groups each has few rows: the merge goes on with them
+                if left > 2 * held:  # of very many groups each has few rows: the merge goes on with them
                     yield from waiting.to_batches(max_chunksize=10_000)
                     waiting, left = None, 0
         if waiting is not None and len(waiting):
