@@ -6,6 +6,8 @@ draw have no rows. Each strategy's `plan` takes a table with an `example_id` col
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import rng
+from hushframe.sources.tables import checkpointed
 
 
 class Partition(Enum):
@@ -70,9 +73,50 @@ def _checked(p: float) -> None:
         raise ValueError("the sampling probability must lie in [0, 1]")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chain(start: Column, going: Callable[[Column], Column], ahead: Callable[[Column, Column], Column], likely: int, most: int) -> Column:
+    """The array of at_1, at_2, ... with at_k = ahead(at_(k-1), k) from `start`, as long as going(at_(k-1)); `most` links at most are known to do.
+
+    A fold over the first `likely` links is all that most rows need. Where a chain goes on, another fold of twice the length
+    follows, and so on up to `most`: rows that are done skip them, and no chain is cut.
+    """
+    empty = F.array().cast("array<bigint>")
+
+    def link(acc: Column, k: Column) -> Column:
+        more = _bound(ahead(acc["at"], k), lambda x: F.struct(x.alias("at"), F.concat(acc["seen"], F.array(x)).alias("seen")))
+        return F.when(going(acc["at"]), more).otherwise(acc)
+
+    def folded(low: int, high: int) -> Callable[[Column], Column]:
+        # The bound hangs on the row, so that the plan holds no array of all numbers.
+        numbers = lambda s: F.sequence(F.lit(low), F.lit(high) + (s["at"] * 0).cast("int"))
+        return lambda s: F.aggregate(F.when(going(s["at"]), numbers(s)).otherwise(F.array().cast("array<int>")), s, link)
+
+    state = F.struct(start.cast("bigint").alias("at"), empty.alias("seen"))
+    low, size = 1, max(1, likely)
+    while low <= most:
+        high = min(low + size - 1, most)
+        state = _bound(state, folded(low, high))
+        low, size = high + 1, 2 * size
+    return state["seen"]
+
+
+def _jumps(seed: int, p: float, visits: Column, most: int) -> Column:
+    """The numbers in [0, visits) that an example is drawn at, each with probability p: it jumps from draw to draw by geometric gaps."""
+    mean = most * p
+    seen = _chain(F.lit(-1), lambda at: at < visits, lambda at, k: at + rng.geometric(seed, "gap", p, "example_id", k), int(mean + 4 * mean**0.5 + 4), most + 1)
+    return F.filter(seen, lambda at: at < visits)
+
+
 @dataclass(frozen=True)
 class CyclicPoisson:
-    """At each step every member of group `step mod cycle` is drawn with probability p; one group is plain Poisson sampling."""
+    """At each step every member of group `step mod cycle` is drawn with probability p; one group is plain Poisson sampling.
+
+    A plan makes a row per draw: an example jumps over the visits of its group by geometric gaps.
+    """
 
     sampling_prob: float
     iterations: int
@@ -86,31 +130,21 @@ class CyclicPoisson:
             raise ValueError("truncated_batch_size must be positive")
 
     def plan(self, examples: DataFrame, seed: int) -> DataFrame:
-        dealt = groups(examples, self.cycle_length, self.partition, seed)
-        # A member meets the steps of its group only, so a row is made per visit; at a small p see `sparse_poisson`.
-        visits = F.sequence(F.col("grp").cast("int"), F.lit(self.iterations - 1), F.lit(self.cycle_length))
-        steps = dealt.where(F.col("grp") < self.iterations).select("example_id", F.explode(visits).alias("step"))
-        drawn = steps.where(rng.uniform(seed, "draw", "step", "example_id") < self.sampling_prob)
-        return _positioned(drawn, seed, self.truncated_batch_size)
+        dealt = groups(examples, self.cycle_length, self.partition, seed).where(F.col("grp") < self.iterations)
+        visits = F.floor((F.lit(self.iterations - 1) - F.col("grp")) / self.cycle_length) + 1
+        if self.sampling_prob == 0:
+            visits, at = F.lit(0), F.array().cast("array<bigint>")
+        elif self.sampling_prob == 1:
+            at = F.sequence(F.lit(0).cast("bigint"), visits - 1)
+        else:
+            at = _jumps(seed, self.sampling_prob, visits, -(-self.iterations // self.cycle_length))
+        drawn = dealt.select("example_id", "grp", F.explode(at).alias("visit"))
+        return _positioned(drawn.select((F.col("grp") + F.col("visit") * self.cycle_length).alias("step"), "example_id"), seed, self.truncated_batch_size)
 
 
 def sparse_poisson(examples: DataFrame, p: float, iterations: int, seed: int) -> DataFrame:
-    """Poisson sampling that costs as much as it draws: each example jumps by geometric gaps.
-
-    Same law as filtering every step, without a row per step and example.
-    """
-    _checked(p)
-    if p == 0:
-        return examples.select(F.lit(0).alias("step"), F.lit(0).alias("pos"), "example_id").limit(0)
-    most = int(iterations * p + 12 * (iterations * p) ** 0.5 + 24) if p < 1 else iterations
-    gap = lambda k: rng.geometric(seed, "gap", p, "example_id", k)
-    jumps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(min(most, iterations))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("steps")),
-        lambda acc, k: F.when(acc["at"] > iterations, acc).otherwise(F.struct((acc["at"] + gap(k)).alias("at"), F.concat(acc["steps"], F.array(acc["at"] + gap(k) - 1)).alias("steps"))),
-        lambda acc: F.filter(acc["steps"], lambda s: s < iterations),
-    )
-    return _positioned(examples.select("example_id", F.explode(jumps).alias("step")), seed)
+    """Plain Poisson sampling of every example at every step."""
+    return CyclicPoisson(p, iterations).plan(examples, seed)
 
 
 @dataclass(frozen=True)
@@ -126,22 +160,34 @@ class BallsInBins:
 
 @dataclass(frozen=True)
 class RandomAllocation:
-    """Each example takes part in exactly k of the steps, uniformly."""
+    """Each example takes part in exactly k of the steps, uniformly.
+
+    An example makes as many draws as it takes part in, or stays out of, whichever is less: for each j of the last steps, one of the steps up to
+    j is drawn, and j itself stands in for one that was drawn before, so that all sets of k are as likely.
+    """
 
     iterations: int
     participations: int
 
     def plan(self, examples: DataFrame, seed: int) -> DataFrame:
-        if not 0 <= self.participations <= self.iterations:
+        t, k = self.iterations, self.participations
+        if not 0 <= k <= t:
             raise ValueError("participations must lie between 0 and the number of steps")
-        steps = F.transform(F.sequence(F.lit(0), F.lit(self.iterations - 1)), lambda s: F.struct(rng.uniform(seed, "allot", s, "example_id").alias("u"), s.alias("step")))
-        chosen = F.slice(F.array_sort(steps), 1, self.participations) if self.participations else F.slice(F.array_sort(steps), 1, 0)
-        return _positioned(examples.select("example_id", F.explode(chosen).alias("c")).select("example_id", F.col("c.step").alias("step")), seed)
+        few = min(k, t - k)
+        numbers = F.sequence(F.lit(t - few), F.lit(t - 1)) if few else F.array().cast("array<int>")
+        draw = lambda j: rng.below(seed, "allot", j + 1, "example_id", j).cast("int")
+        drawn = F.aggregate(numbers, F.array().cast("array<int>"), lambda acc, j: _bound(draw(j), lambda s: F.concat(acc, F.array(F.when(F.array_contains(acc, s), j).otherwise(s)))))
+        steps = drawn if few == k else F.array_except(F.sequence(F.lit(0), F.lit(t - 1)), drawn)
+        return _positioned(examples.select("example_id", F.explode(steps).alias("step")), seed)
 
 
 @dataclass(frozen=True)
 class FixedBatch:
-    """Batches of one size: distinct uniform rows per step, or independent draws with replacement."""
+    """Batches of one size: distinct uniform rows per step, or independent draws with replacement.
+
+    Rows are numbered, and draws are numbers; only the rows drawn are made. Distinct rows are the first different ones of independent draws. Should
+    these give too few at a step, there are twice as many, of which the first are the same. Batches of more than half of all rows are what such draws leave.
+    """
 
     batch_size: int
     iterations: int
@@ -149,23 +195,33 @@ class FixedBatch:
 
     def plan(self, examples: DataFrame, seed: int, *, total: int | None = None) -> DataFrame:
         total = examples.count() if total is None else total
-        if self.batch_size > total and not self.replace:
+        size, t = self.batch_size, self.iterations
+        if size > total and not self.replace:
             raise ValueError("the batch is larger than the table")
+        ids = numbered(examples.select("example_id"), [F.col("example_id")], "rank")
         if self.replace:
-            ids = numbered(examples.select("example_id"), [F.col("example_id")], "rank")
-            slots = examples.sparkSession.range(self.iterations * self.batch_size).select((F.col("id") / self.batch_size).cast("int").alias("step"), (F.col("id") % self.batch_size).cast("int").alias("pos"))
+            slots = examples.sparkSession.range(t * size).select((F.col("id") / size).cast("int").alias("step"), (F.col("id") % size).cast("int").alias("pos"))
             draws = slots.withColumn("rank", rng.below(seed, "pick", total, "step", "pos") + 1)
             return draws.join(ids, "rank").select("step", "pos", "example_id")
-        u = rng.uniform(seed, "draw", "step", "example_id")
-        # Only rows with small draws can be among the smallest; should a step come up short, all rows are ranked.
-        share = self.batch_size / total
-        most = min(1.0, share + 8 * (share / total) ** 0.5 + 16 / total)
-        every = examples.select("example_id", F.explode(F.sequence(F.lit(0), F.lit(self.iterations - 1))).alias("step")).withColumn("u", u)
-        some = every.where(F.col("u") < most)
-        short = most < 1 and (some.groupBy("step").count().where(F.col("count") >= self.batch_size).count() < self.iterations)
-        order = Window.partitionBy("step").orderBy("u", "example_id")
-        ranked = (every if short else some).withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
-        return ranked.where(F.col("pos") < self.batch_size).select("step", "pos", "example_id")
+        if 2 * size <= total:
+            return self._distinct(ids, size, total, seed).join(ids, "rank").select("step", "pos", "example_id")
+        left = self._distinct(ids, total - size, total, seed)
+        every = ids.select("rank", "example_id", F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("step"))
+        return _positioned(every.join(left, ["step", "rank"], "left_anti").select("step", "example_id"), seed)
+
+    def _distinct(self, ids: DataFrame, size: int, total: int, seed: int) -> DataFrame:
+        """step, pos, rank: `size` different numbers in [1, total] for every step."""
+        t, spark = self.iterations, ids.sparkSession
+        expected = -total * math.log1p(-size / total)
+        draws = int(expected + 6 * expected**0.5 + 8)
+        while True:
+            rows = spark.range(t * draws).select((F.col("id") / draws).cast("int").alias("step"), (F.col("id") % draws).alias("k"))
+            first = rows.withColumn("rank", rng.below(seed, "draw", total, "step", "k") + 1).groupBy("step", "rank").agg(F.min("k").alias("k"))
+            pos = F.row_number().over(Window.partitionBy("step").orderBy("k")) - 1
+            found = checkpointed(first.select("step", "rank", pos.cast("int").alias("pos")).where(F.col("pos") < size))
+            if found.count() == t * size:
+                return found
+            draws *= 2
 
 
 @dataclass(frozen=True)

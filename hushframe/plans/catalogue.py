@@ -128,11 +128,18 @@ def _plan_sql(drawn: str, seed: int, cap: int | None = None) -> str:
     return f"SELECT * FROM (SELECT step::INTEGER AS step, (row_number() OVER (PARTITION BY step ORDER BY {uniform_sql(seed, 'order', 'step', 'example_id')}, example_id) - 1)::INTEGER AS pos, example_id FROM ({drawn})){cut}"
 
 
+def _jumps_sql(seed: int, p: float, source: str, step: str = "spot") -> str:
+    """Draws of the rows (example_id, grp, visits) of a table."""
+    gap = f"greatest(ceil(ln({uniform_sql(seed, 'gap', 'example_id', 'k + 1')}) / {math.log1p(-p)!r}::DOUBLE), 1)::BIGINT"
+    return f"""WITH RECURSIVE w(example_id, grp, visits, k, spot) AS (SELECT example_id, grp, visits, 0, -1::BIGINT FROM ({source})
+UNION ALL SELECT example_id, grp, visits, k + 1, spot + {gap} FROM w WHERE spot < visits) SELECT {step} AS step, example_id FROM w WHERE k > 0 AND spot < visits"""
+
+
 def _examples(spark, sf, table, key) -> DataFrame:
     return read(spark, sf, table).select(F.col(key).cast("long").alias("example_id"))
 
 
-@query(_plan_sql(f"SELECT step, event_id AS example_id FROM events, range(0, 20) r(step) WHERE {uniform_sql(3, 'draw', 'step', 'event_id')} < 0.01", 3))
+@query(_plan_sql(_jumps_sql(3, 0.01, "SELECT event_id AS example_id, 0 AS grp, 20 AS visits FROM events"), 3))
 def poisson_batches(spark, sf):
     return sampling.CyclicPoisson(0.01, 20).plan(_examples(spark, sf, "events", "event_id"), 3)
 
@@ -140,7 +147,7 @@ def poisson_batches(spark, sf):
 _SPLIT = f"""WITH r AS (SELECT o_orderkey AS example_id, row_number() OVER (ORDER BY {uniform_sql(4, "split", "o_orderkey")}, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders),
 g AS (SELECT example_id, CASE WHEN k < (n % 8) * (n // 8 + 1) THEN k // (n // 8 + 1) ELSE n % 8 + (k - (n % 8) * (n // 8 + 1)) // (n // 8) END AS grp,
   CASE WHEN k < (n % 8) * (n // 8 + 1) THEN k % (n // 8 + 1) ELSE (k - (n % 8) * (n // 8 + 1)) % (n // 8) END AS within, n // 8 AS size FROM r)"""
-_CYCLIC = f"SELECT step, example_id FROM g, range(0, 16) t(step) WHERE within < size AND step % 8 = grp AND {uniform_sql(4, 'draw', 'step', 'example_id')} < 0.05"
+_CYCLIC = _jumps_sql(4, 0.05, "SELECT example_id, grp, 2 AS visits FROM g WHERE within < size", "grp + 8 * spot")
 
 
 @query(f"{_SPLIT} {_plan_sql(_CYCLIC, 4)}")
@@ -158,16 +165,33 @@ def balls_in_bins_sizes(spark, sf):
     return sampling.BallsInBins(16, 8).plan(_examples(spark, sf, "customer", "c_custkey"), 5).groupBy("step").agg(F.count("*").alias("n"), F.sum("example_id").alias("ids"))
 
 
-@query(_plan_sql(f"SELECT step, example_id FROM (SELECT step, c_custkey AS example_id, row_number() OVER (PARTITION BY c_custkey ORDER BY {uniform_sql(6, 'allot', 'step', 'c_custkey')}, step) AS k FROM customer, range(0, 12) t(step)) WHERE k <= 3", 6))
+_ALLOTTED = f"""WITH RECURSIVE w(example_id, j, chosen) AS (SELECT c_custkey, 9, []::BIGINT[] FROM customer UNION ALL
+SELECT example_id, j + 1, list_append(chosen, CASE WHEN list_contains(chosen, floor({uniform_sql(6, 'allot', 'example_id', 'j')} * (j + 1))::BIGINT) THEN j ELSE floor({uniform_sql(6, 'allot', 'example_id', 'j')} * (j + 1))::BIGINT END) FROM w WHERE j < 12)
+SELECT unnest(chosen) AS step, example_id FROM w WHERE j = 12"""
+
+
+@query(_plan_sql(_ALLOTTED, 6))
 def random_allocation(spark, sf):
     return sampling.RandomAllocation(12, 3).plan(_examples(spark, sf, "customer", "c_custkey"), 6)
 
 
-@query(f"SELECT step::INTEGER AS step, pos::INTEGER AS pos, example_id FROM (SELECT step, p_partkey AS example_id, row_number() OVER (PARTITION BY step ORDER BY {uniform_sql(8, 'draw', 'step', 'p_partkey')}, p_partkey) - 1 AS pos FROM part, range(0, 10) t(step)) WHERE pos < 32")
+@query(f"""WITH r AS (SELECT p_partkey AS example_id, row_number() OVER (ORDER BY p_partkey) - 1 AS rank FROM part),
+d AS (SELECT step, k, floor({uniform_sql(8, 'draw', 'step', 'k')} * (SELECT count(*) FROM part))::BIGINT AS rank FROM range(0, 10) t(step), range(0, 200) u(k)), f AS (SELECT step, rank, min(k) AS k FROM d GROUP BY ALL)
+SELECT step::INTEGER AS step, (row_number() OVER (PARTITION BY step ORDER BY k) - 1)::INTEGER AS pos, example_id FROM f JOIN r USING (rank) QUALIFY pos < 32""")
 def fixed_batch(spark, sf):
     return sampling.FixedBatch(32, 10).plan(_examples(spark, sf, "part", "p_partkey"), 8)
 
 
+@query(f"""WITH r AS (SELECT c_custkey AS example_id, row_number() OVER (ORDER BY c_custkey) - 1 AS rank FROM customer), n AS (SELECT count(*) AS n FROM customer),
+d AS (SELECT step, k, floor({uniform_sql(19, 'draw', 'step', 'k')} * n)::BIGINT AS rank FROM n, range(0, 3) t(step), range(0, 4 * n) u(k)), f AS (SELECT step, rank, row_number() OVER (PARTITION BY step ORDER BY min(k)) AS k FROM d GROUP BY step, rank),
+s AS (SELECT step, example_id FROM r, range(0, 3) t(step) WHERE (step, rank) NOT IN (SELECT (step, rank) FROM f, n WHERE k <= n - n * 2 // 3)),
+p AS ({_plan_sql("SELECT * FROM s", 19)}) SELECT step, pos, example_id FROM p""")
+def fixed_batch_of_most(spark, sf):
+    """Batches of two thirds of the customers: what draws of the others leave."""
+    rows = _examples(spark, sf, "customer", "c_custkey")
+    return sampling.FixedBatch(rows.count() * 2 // 3, 3).plan(rows, 19)
+
+
 @query(f"""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rank, count(*) OVER () AS n FROM part),
 s AS (SELECT id // 32 AS step, id % 32 AS pos FROM range(0, 320) t(id)), d AS (SELECT step, pos, floor({uniform_sql(9, "pick", "step", "pos")} * (SELECT count(*) FROM part))::BIGINT + 1 AS rank FROM s)
 SELECT step::INTEGER AS step, pos::INTEGER AS pos, p_partkey AS example_id FROM d JOIN p USING (rank)""")
@@ -187,7 +211,7 @@ def b_min_sep(spark, sf):
     return sampling.MinSeparation(_P, _T, _B).plan(_examples(spark, sf, "events", "event_id"), 10)
 
 
-@query(f"""WITH u AS ({_plan_sql(f"SELECT step, user_id AS example_id FROM (SELECT DISTINCT user_id FROM events), range(0, 10) t(step) WHERE {uniform_sql(11, 'draw', 'step', 'user_id')} < 0.05", 11)}),
+@query(f"""WITH u AS ({_plan_sql(_jumps_sql(11, 0.05, "SELECT DISTINCT user_id AS example_id, 0 AS grp, 10 AS visits FROM events"), 11)}),
 v AS (SELECT step, pos AS user_pos, example_id AS user_id, row_number() OVER (PARTITION BY example_id ORDER BY step, pos) - 1 AS visit FROM u),
 o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS spot, count(*) OVER (PARTITION BY user_id) AS owned FROM events),
 s AS (SELECT v.*, slot, (visit * 2 + slot) % owned AS spot FROM v JOIN (SELECT user_id, owned FROM o WHERE spot = 0) USING (user_id), range(0, 2) t(slot))
@@ -197,7 +221,7 @@ def user_selection(spark, sf):
     return sampling.UserSelection(sampling.CyclicPoisson(0.05, 10), 2).plan(rows, 11)
 
 
-_BATCHES = _plan_sql(f"SELECT step, o_orderkey AS example_id FROM orders, range(0, 5) t(step) WHERE {uniform_sql(12, 'draw', 'step', 'o_orderkey')} < 0.02", 12)
+_BATCHES = _plan_sql(_jumps_sql(12, 0.02, "SELECT o_orderkey AS example_id, 0 AS grp, 5 AS visits FROM orders"), 12)
 
 
 def _batches(spark, sf) -> DataFrame:
@@ -258,7 +282,27 @@ def greedy_bound(spark, sf):
     return owners.greedy_bound(_edges(spark, sf), 3)
 
 
-@query("SELECT 40::BIGINT AS slots, 0::BIGINT AS too_close")
+def _schedule_sql(batch: int, steps: int, apart: int) -> str:
+    """The schedule example by example: each round of the recursion takes the next example that may come, ends a pass, or loosens the caps."""
+    return f"""RECURSIVE e AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS u FROM lineitem), o AS MATERIALIZED (SELECT id, list(u) AS us, row_number() OVER (ORDER BY count(*), id) AS rank FROM e GROUP BY id),
+s(filled, spot, cap, moved, progress, used, seen, round, slots) AS (
+  SELECT 0, 0::BIGINT, 1, false, false, list_transform(range(0, (SELECT max(u) + 1 FROM e)), lambda x: 0), list_transform(range(0, (SELECT max(u) + 1 FROM e)), lambda x: -1000000), []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT filled + (nxt IS NOT NULL)::INT, CASE WHEN nxt IS NULL THEN 0 ELSE nxt.rank END, CASE WHEN nxt IS NULL AND NOT moved AND NOT progress THEN cap + 1 ELSE cap END, nxt IS NOT NULL, CASE WHEN nxt IS NULL THEN moved ELSE progress OR moved END,
+    CASE WHEN nxt IS NULL THEN used ELSE list_transform(used, lambda x, i: x + list_contains(nxt.us, i - 1)::INT) END, CASE WHEN nxt IS NULL THEN seen ELSE list_transform(seen, lambda x, i: CASE WHEN list_contains(nxt.us, i - 1) THEN filled // {batch} ELSE x END) END,
+    CASE WHEN nxt IS NULL THEN CASE WHEN moved THEN round ELSE [] END ELSE list_append(round, nxt.rank) END, CASE WHEN nxt IS NULL THEN slots ELSE list_append(slots, nxt.id) END
+  FROM (SELECT s.*, arg_min({{'id': o.id, 'rank': o.rank, 'us': o.us}}, o.rank) AS nxt FROM s LEFT JOIN o ON o.rank > s.spot AND NOT list_contains(s.round, o.rank) AND len(list_filter(s.slots, lambda x: x = o.id)) < s.cap
+    AND list_bool_and(list_transform(o.us, lambda u: s.used[u + 1] < s.cap AND s.filled // {batch} - s.seen[u + 1] >= {apart})) WHERE s.filled < {batch * steps} GROUP BY ALL)),
+p AS (SELECT unnest(slots) AS example_id, unnest(range(0, len(slots))) AS slot FROM s WHERE filled = {batch * steps}), plan AS (SELECT (slot // {batch})::INTEGER AS step, (slot % {batch})::INTEGER AS pos, example_id FROM p)"""
+
+
+@query(f"WITH {_schedule_sql(3, 40, 2)} SELECT * FROM plan")
+def min_sep_schedule(spark, sf):
+    """Orders by supplier: 120 slots of three a step, no supplier twice within two steps."""
+    return owners.MinSepSchedule(3, 40, 2).plan(_edges(spark, sf))
+
+
+@query(f"""WITH {_schedule_sql(2, 20, 2)}, v AS (SELECT step, pos, step - lag(step) OVER (PARTITION BY u ORDER BY step, pos) AS gap FROM plan JOIN e ON id = example_id)
+SELECT count(DISTINCT (step, pos)) AS slots, count(*) FILTER (gap < 2) AS too_close FROM v""")
 def min_sep_schedule_check(spark, sf):
     """The schedule's slots, and how often a supplier comes again within two steps."""
     edges = _edges(spark, sf)

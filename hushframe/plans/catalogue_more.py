@@ -16,7 +16,7 @@ from hushframe.operators import audit, bounded, montecarlo, noise, owners, paddi
 from hushframe.sources.tables import gather, read, scratch
 from hushframe.strategy import banded, blt, dense, sensitivity, toeplitz
 
-from .catalogue import _BATCHES, _DAILY, _HULL, _SPLIT, ORACLES, _batches, _daily, _examples, _plan_sql, _scores, query
+from .catalogue import _BATCHES, _DAILY, _HULL, _SPLIT, ORACLES, _batches, _daily, _examples, _jumps_sql, _plan_sql, _scores, query
 
 
 def _table(spark, rows: list[tuple], schema: str, **digits: int) -> DataFrame:
@@ -339,10 +339,7 @@ def fixed_order_epochs(spark, sf):
     return plan.groupBy("step").agg(F.count("*").alias("n"), F.sum("example_id").alias("ids"))
 
 
-_GAP = f"greatest(ceil(ln({uniform_sql(15, 'gap', 'example_id', 'k + 1')}) / {math.log1p(-0.02)!r}::DOUBLE), 1)::BIGINT"
-
-
-@query(f"WITH RECURSIVE w(example_id, k, spot) AS (SELECT event_id, 0, 0::BIGINT FROM events UNION ALL SELECT example_id, k + 1, spot + {_GAP} FROM w WHERE spot <= 25) " + _plan_sql("SELECT spot - 1 AS step, example_id FROM w WHERE k > 0 AND spot <= 25", 15))
+@query(_plan_sql(_jumps_sql(15, 0.02, "SELECT event_id AS example_id, 0 AS grp, 25 AS visits FROM events"), 15))
 def sparse_poisson(spark, sf):
     """Poisson sampling by jumps."""
     return sampling.sparse_poisson(_examples(spark, sf, "events", "event_id"), 0.02, 25, 15).select(F.col("step").cast("int").alias("step"), F.col("pos").cast("int").alias("pos"), "example_id")
@@ -362,7 +359,7 @@ def masked_means(spark, sf):
     return full.groupBy("step").agg(F.round(bounded.masked_mean(F.coalesce("o_totalprice", F.lit(0.0)), F.col("example_id").isNull()), 4).alias("mean"))
 
 
-_DRAWN = _plan_sql(f"SELECT step, event_id AS example_id FROM events, range(0, 40) r(step) WHERE {uniform_sql(3, 'draw', 'step', 'event_id')} < 0.01", 3)
+_DRAWN = _plan_sql(_jumps_sql(3, 0.01, "SELECT event_id AS example_id, 0 AS grp, 40 AS visits FROM events"), 3)
 
 
 @query(f"""WITH n AS (SELECT step, count(*) AS n FROM ({_DRAWN}) GROUP BY step), z AS (SELECT max(n) AS z FROM n), c AS (SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT n FROM n) a, (SELECT DISTINCT n FROM n) b WHERE a.n <= b.n)

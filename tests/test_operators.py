@@ -99,6 +99,27 @@ def test_frequencies(spark):
     assert sampling.sparse_poisson(ids(spark, n), 0.0, t, 5).count() == 0
 
 
+def test_no_draw_is_lost(spark, monkeypatch):
+    """Chains that one fold doesn't end go on, and give what one long fold gives."""
+    whole = sampling.CyclicPoisson(0.9, 200).plan(ids(spark, 40), 5).collect()
+    chain = sampling._chain
+    monkeypatch.setattr(sampling, "_chain", lambda start, going, ahead, likely, most: chain(start, going, ahead, 3, most))
+    assert sorted(sampling.CyclicPoisson(0.9, 200).plan(ids(spark, 40), 5).collect()) == sorted(whole)
+    assert len(whole) == pytest.approx(40 * 200 * 0.9, rel=0.02)
+
+
+def test_allocations_and_batches_are_uniform(spark):
+    for k in (2, 4):
+        sets = {}
+        for r in sampling.RandomAllocation(5, k).plan(ids(spark, 4000), 3).groupBy("example_id").agg(F.sort_array(F.collect_list("step")).alias("s")).collect():
+            sets[tuple(r.s)] = sets.get(tuple(r.s), 0) + 1
+        assert len(sets) == math.comb(5, k) and all(v == pytest.approx(4000 / math.comb(5, k), rel=0.2) for v in sets.values())
+    for size in (2, 7, 10):
+        rows = sampling.FixedBatch(size, 600).plan(ids(spark, 10), 4)
+        assert {r["count"] for r in rows.groupBy("step").count().collect()} == {size} and rows.distinct().count() == 600 * size
+        assert all(r["count"] == pytest.approx(60 * size, rel=0.25) for r in rows.groupBy("example_id").count().collect())
+
+
 def test_users(spark):
     rows = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2)], "example_id long, user_id long")
     out = sampling.UserSelection(sampling.CyclicPoisson(1.0, 3), 2).plan(rows, 1)
@@ -172,7 +193,7 @@ def test_schedule_and_checks(spark):
     rows = owners.MinSepSchedule(3, 5, 2).plan(edges).collect()
     assert len(rows) == 15 and len({r.example_id for r in rows}) == 15
     with pytest.raises(ValueError):
-        owners.MinSepSchedule(4, 4, 4)._fill({0: [0], 1: [1]})
+        owners.MinSepSchedule(4, 4, 4).plan(edges_of(spark, [{0}, {1}]))
     owners.check_edges(edges)
     for bad in (edges.limit(0), edges.unionByName(edges), spark.createDataFrame([(-1, 0)], edges.schema)):
         with pytest.raises(ValueError):
@@ -183,6 +204,44 @@ def test_schedule_and_checks(spark):
     assert owners.degree_class_order(edges, 1).select("rank").distinct().count() == 15
 
 
+def filled(schedule, owned):
+    """The schedule example by example."""
+    wanted, out, last, used, times, user_cap, example_cap = schedule.batch_size * schedule.iterations, [], {}, {}, {}, 1, 1
+    while len(out) < wanted:
+        waiting, progress = sorted(range(len(owned)), key=lambda e: (len(owned[e]), e)), False
+        while waiting and len(out) < wanted:
+            again, before = [], len(out)
+            for e in waiting:
+                if len(out) == wanted:
+                    break
+                if times.get(e, 0) >= example_cap or any(used.get(u, 0) >= user_cap for u in owned[e]):
+                    continue
+                step = len(out) // schedule.batch_size
+                if any(step - last.get(u, -1000) < schedule.min_sep for u in owned[e]):
+                    again.append(e)
+                    continue
+                out.append(e)
+                times[e] = times.get(e, 0) + 1
+                for u in owned[e]:
+                    last[u], used[u] = step, used.get(u, 0) + 1
+            progress |= len(out) > before
+            waiting = again if len(out) > before else []
+        if not progress:
+            user_cap += 1
+            example_cap = -(-user_cap // schedule.max_user_to_example_ratio)
+    return out
+
+
+@pytest.mark.parametrize(("separation", "window", "ratio"), [(1, 16, 1.0), (3, 16, 2.0), (2, 4096, 1.0)])
+def test_schedule_is_the_greedy_one(spark, separation, window, ratio):
+    r = random.Random(separation)
+    owned = [set(r.sample(range(15), r.randint(1, 3))) for _ in range(60)]
+    schedule = owners.MinSepSchedule(2, 14, separation, ratio, window=window)
+    rows = schedule.plan(edges_of(spark, owned)).orderBy("step", "pos").collect()
+    assert [r_.example_id for r_ in rows] == filled(schedule, owned)
+    assert [(r_.step, r_.pos) for r_ in rows] == [(i // 2, i % 2) for i in range(28)]
+
+
 # --- noise
 
 
