@@ -28,21 +28,22 @@ def check_scores(scores: DataFrame) -> None:
         raise ValueError("there must be canaries in and out")
 
 
-def counts(scores: DataFrame) -> DataFrame:
-    """threshold, tn, fn at each distinct score and infinity: out and in canaries strictly below.
+def counts(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """threshold, tn, fn at each distinct score and infinity: out and in canaries strictly below. With `by`, of each of its keys.
 
     Ranges of scores add up their own; the totals of the ranges before, as few as partitions, are added to them.
     """
-    each = scores.groupBy("score").agg(F.sum(F.when(F.col("is_in"), 0).otherwise(1)).alias("o"), F.sum(F.col("is_in").cast("int")).alias("i"))
-    end = scores.sparkSession.range(1).select(F.lit(math.inf).alias("score"), F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("i"))
+    each = scores.groupBy(*by, "score").agg(F.sum(F.when(F.col("is_in"), 0).otherwise(1)).alias("o"), F.sum(F.col("is_in").cast("int")).alias("i"))
+    keys = each.select(*by).distinct() if by else scores.sparkSession.range(1)
+    end = keys.select(*by, F.lit(math.inf).alias("score"), F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("i"))
     # Written once, so that the borders of the ranges are the same for rows and totals.
-    part = checkpointed(each.unionByName(end).repartitionByRange("score").withColumn("_part", F.spark_partition_id()))
-    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    totals = part.groupBy("_part").agg(F.sum("o").alias("_o"), F.sum("i").alias("_i"))
-    ahead = totals.select("_part", *[F.coalesce(F.sum(c).over(earlier().orderBy("_part")), F.lit(0)).alias(c) for c in ("_o", "_i")])
-    within = earlier("_part").orderBy("score")
+    part = checkpointed(each.unionByName(end).repartitionByRange(*by, "score").withColumn("_part", F.spark_partition_id()))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    totals = part.groupBy("_part", *by).agg(F.sum("o").alias("_o"), F.sum("i").alias("_i"))
+    ahead = totals.select("_part", *by, *[F.coalesce(F.sum(c).over(earlier(*by).orderBy("_part")), F.lit(0)).alias(c) for c in ("_o", "_i")])
+    within = earlier("_part", *by).orderBy("score")
     add = lambda c: (F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_{c}")).cast("long")
-    return part.join(ahead, "_part").select(F.col("score").alias("threshold"), add("o").alias("tn"), add("i").alias("fn"))
+    return part.join(ahead, ["_part", *by]).select(*by, F.col("score").alias("threshold"), add("o").alias("tn"), add("i").alias("fn"))
 
 
 def _hull(points: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
@@ -59,23 +60,31 @@ def _hull(points: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
     return out
 
 
+def _bordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    kept = _hull(sorted(pdf[["threshold", "tn", "fn"]].itertuples(index=False, name=None), key=lambda p: (p[1], p[2], p[0])))
+    return pd.DataFrame(kept, columns=["threshold", "tn", "fn"])
+
+
+def _runs(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The borders of runs of thresholds, each from a partition."""
+
+    def local(batches):
+        rows = pd.concat(list(batches), ignore_index=True)
+        for key, pdf in rows.groupby(list(by)) if by else [((), rows)]:
+            if len(pdf):
+                yield _bordered(pdf).assign(**dict(zip(by, key, strict=True)))[[*by, "threshold", "tn", "fn"]]
+
+    kinds = dict(table.dtypes)
+    schema = "".join(f"{k} {kinds[k]}, " for k in by) + "threshold double, tn long, fn long"
+    return table.repartitionByRange(*by, "threshold").mapInPandas(lambda batches: local([*batches] or [pd.DataFrame(columns=[*by, "threshold", "tn", "fn"])]), schema)
+
+
 def frontier(scores: DataFrame) -> DataFrame:
     """The counts on the strict border of the ROC curve.
 
     Runs of thresholds lose what is inside their own border in parallel; the borders of the runs, which are few, are merged on the driver.
     """
-    table = counts(scores)
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = _hull(sorted(pdf.itertuples(index=False, name=None), key=lambda p: (p[1], p[2], p[0])))
-        return pd.DataFrame(kept, columns=["threshold", "tn", "fn"])
-
-    def runs(batches):
-        rows = pd.concat(list(batches), ignore_index=True) if batches else pd.DataFrame()
-        if len(rows):
-            yield local(rows[["threshold", "tn", "fn"]])
-
-    parts = table.repartitionByRange("threshold").mapInPandas(runs, "threshold double, tn long, fn long")
+    parts = _runs(counts(scores), ())
     merged = _hull(sorted([(r.threshold, r.tn, r.fn) for r in parts.collect()], key=lambda p: (p[1], p[2], p[0])))
     return scores.sparkSession.createDataFrame(merged, "threshold double, tn long, fn long")
 
@@ -326,26 +335,64 @@ def epsilon_with(scores: DataFrame, strategy, significance: float, delta: float
         return Frontier.of(scores).epsilon_clopper_pearson(significance, delta)[0]
     if isinstance(strategy, Explicit):
         return Frontier.of(scores).epsilon_clopper_pearson(significance, delta, threshold=strategy.threshold)[0]
-    many = isinstance(strategy, MultiSplit)
-    level, n = (significance / 2, strategy.splits) if many else (significance, 1)
     if "canary_id" not in scores.columns:
         raise ValueError("splits need a canary_id: equal scores must not share a side")
-    splits = scores.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = splits.withColumn("picks", rng.uniform(strategy.seed, "split", "canary_id", "split") < strategy.share)
+    return float(split_bounds(scores, strategy, significance, delta).agg(F.expr("percentile(epsilon, 0.5)")).first()[0])
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = lambda p: Frontier.of_arrays(pdf.score[p & pdf.is_in], pdf.score[p & ~pdf.is_in])
-        sides = [(pdf.picks == x) & (pdf.is_in == y) for x in (True, False) for y in (True, False)]
-        if not all(s.any() for s in sides):
-            return pd.DataFrame({"epsilon": [0.0]})
-        _, threshold = part(pdf.picks).epsilon_clopper_pearson(level, delta)
-        held = pdf[~pdf.picks]
-        inside, outside = held.score[held.is_in], held.score[~held.is_in]
-        low = 1 - clopper_pearson_upper(int((inside < threshold).sum()), len(inside), level / 2)
-        high = clopper_pearson_upper(int((outside >= threshold).sum()), len(outside), level / 2)
-        return pd.DataFrame({"epsilon": [max(0.0, math.log(low - delta) - math.log(high)) if low > delta else 0.0]})
+def _parted(scores: DataFrame, splits: int, share: float, seed: int, *, held: int = 10_000) -> DataFrame:
+    """split, score, is_in, picks: each split picks floor(share n) of either side's n canaries, those with the smallest hashed draws.
 
-    return float(dealt.groupBy("split").applyInPandas(run, "epsilon double").agg(F.expr("percentile(epsilon, 0.5)")).first()[0])
+    Draws fall into buckets of about `held` canaries. From the buckets' counts it follows in which bucket a side's picks end, and only its canaries are ranked.
+    """
+    sizes = {r.is_in: r.n for r in scores.groupBy("is_in").agg(F.count("*").alias("n")).collect()}
+    buckets = 1 + max(sizes.values()) // held
+    u = rng.uniform(seed, "split", "canary_id", "split")
+    rows = scores.select("canary_id", "score", "is_in", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split")).withColumn("u", u).withColumn("bucket", F.floor(F.col("u") * buckets))
+    wanted = F.when(F.col("is_in"), int(sizes.get(True, 0) * share)).otherwise(int(sizes.get(False, 0) * share))
+    filled = rows.groupBy("split", "is_in", "bucket").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("split", "is_in").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edges = filled.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("wanted", wanted)
+    edges = edges.where("before <= wanted AND wanted < before + n OR wanted = 0 AND before = 0").select("split", "is_in", F.col("bucket").alias("edge"), (F.col("wanted") - F.col("before")).alias("need"))
+    placed = rows.join(checkpointed(edges), ["split", "is_in"], "left")
+    sure = placed.where("edge IS NULL OR bucket <> edge").select("split", "score", "is_in", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(True)).alias("picks"))
+    rank = F.row_number().over(Window.partitionBy("split", "is_in").orderBy("u", "canary_id"))
+    return sure.unionByName(placed.where("bucket = edge").select("split", "score", "is_in", (rank <= F.col("need")).alias("picks")))
+
+
+def split_bounds(scores: DataFrame, strategy: Split | MultiSplit, significance: float, delta: float = 0.0) -> DataFrame:
+    """split, threshold, epsilon: each split's picks choose a threshold from their border, and the canaries held back give the bound.
+
+    From rows (canary_id, score, is_in). Picks and counts are table work over all splits at once; only a split's border, and then two pairs of counts, meet in a task.
+    """
+    many = isinstance(strategy, MultiSplit)
+    level, n = (significance / 2, strategy.splits) if many else (significance, 1)
+    if not 0 < strategy.share < 1:
+        raise ValueError("the share must lie in (0, 1)")
+    rows = checkpointed(_parted(scores, n, strategy.share, strategy.seed))
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        border = _bordered(pdf)
+        found = Frontier(*(border[k].to_numpy(float) for k in ("threshold", "tn", "fn")))
+        at = found.epsilon_clopper_pearson(level, delta)[1] if found.n_in and found.n_out else math.inf
+        return pd.DataFrame({"split": [int(pdf["split"].iloc[0])], "threshold": [at]})
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples(index=False):
+            low = 1 - clopper_pearson_upper(int(r.missed), int(r.n_in), level / 2)
+            high = clopper_pearson_upper(int(r.false), int(r.n_out), level / 2)
+            out.append(max(0.0, math.log(low - delta) - math.log(high)) if low > delta else 0.0)
+        return pdf[["split", "threshold"]].assign(epsilon=out)
+
+    thresholds = _runs(counts(rows.where("picks"), ["split"]), ["split"]).groupBy("split").applyInPandas(chosen, "split int, threshold double")
+    every = scores.sparkSession.range(n).select(F.col("id").cast("int").alias("split")).join(thresholds, "split", "left").fillna(math.inf, ["threshold"])
+    held = rows.where("NOT picks").join(every, "split")
+    sums = held.groupBy("split", "threshold").agg(
+        F.count_if(F.col("is_in") & (F.col("score") < F.col("threshold"))).alias("missed"), F.count_if("is_in").alias("n_in"),
+        F.count_if(~F.col("is_in") & (F.col("score") >= F.col("threshold"))).alias("false"), F.count_if(~F.col("is_in")).alias("n_out"),
+    )
+    return sums.mapInPandas(lambda batches: map(bound, batches), "split int, threshold double, epsilon double")
 
 
 @dataclass(frozen=True)
@@ -372,16 +419,18 @@ class Bootstrap:
 def bootstrap(scores: DataFrame, metric: Callable[[Frontier], float], how: Bootstrap, *, most: int = 10_000_000) -> list[float]:
     """Quantiles of a metric over resamples of both sides with replacement, resamples in parallel.
 
-    A resample needs only how often each distinct score occurs. These counts are broadcast; more than `most` of them are refused, as every task
+    A resample needs only how often each distinct score occurs. These counts are broadcast, 24 bytes to a score; more than `most` scores are refused, as every task
     draws from all.
     """
+    spark = scores.sparkSession
     sides = scores.groupBy("score").agg(F.sum(F.col("is_in").cast("long")).alias("i"), F.sum((~F.col("is_in")).cast("long")).alias("o"))
     if sides.count() > most:
         raise ValueError(f"more than {most} distinct scores: round them, or raise `most`")
     table = sides.orderBy("score").toPandas()
-    value, weights = table.score.to_numpy(float), [table[k].to_numpy(np.int64) for k in "io"]
+    shared = spark.sparkContext.broadcast((table.score.to_numpy(float), table.i.to_numpy(np.int64), table.o.to_numpy(np.int64)))
 
     def run(batches):
+        value, *weights = shared.value
         for pdf in batches:
             out = []
             for k in pdf.id:
@@ -389,23 +438,42 @@ def bootstrap(scores: DataFrame, metric: Callable[[Frontier], float], how: Boots
                 out.append(metric(Frontier.of_counts(value, *(g.multinomial(w.sum(), w / w.sum()) for w in weights))))
             yield pd.DataFrame({"value": out})
 
-    found = scores.sparkSession.range(how.resamples).mapInPandas(run, "value double")
+    found = checkpointed(spark.range(how.resamples).mapInPandas(run, "value double"))
     quantiles = list(how.quantiles)
     if how.bias_correction:
-        normal, actual = NormalDist(), metric(Frontier.of_counts(value, *weights))
+        normal, actual = NormalDist(), metric(Frontier.of_counts(*shared.value))
         below = found.where(F.col("value") < actual).count()
         z0 = normal.inv_cdf((below + 1) / (how.resamples + 2))
-        a = _acceleration(*(np.repeat(value, w) for w in weights), metric) if how.acceleration else 0.0
+        a = acceleration(spark, shared, metric) if how.acceleration else 0.0
         shift = lambda q: z0 + (z0 + normal.inv_cdf(q)) / (1 - a * (z0 + normal.inv_cdf(q)))
         quantiles = [normal.cdf(shift(q)) for q in quantiles]
     return list(found.agg(F.percentile("value", quantiles)).first()[0])
 
 
-def _acceleration(inside: np.ndarray, outside: np.ndarray, metric: Callable[[Frontier], float]) -> float:
-    values = [metric(Frontier.of_arrays(np.delete(inside, i), outside)) for i in range(len(inside))] + [metric(Frontier.of_arrays(inside, np.delete(outside, i))) for i in range(len(outside))]
-    d = np.mean(values) - np.array(values)
-    spread = (d**2).sum() ** 1.5
-    return float((d**3).sum() / (6 * spread)) if spread else 0.0
+def acceleration(spark, shared, metric: Callable[[Frontier], float]) -> float:
+    """The jackknife's acceleration: canaries with one score and side leave the same metric behind, so each such class is worked out once and weighs its canaries.
 
+    `shared` is a broadcast of distinct scores with the counts of both sides; classes are dealt to tasks.
+    """
 
-__all__ = ["Bonferroni", "Bootstrap", "Explicit", "Frontier", "MultiSplit", "Split", "bootstrap", "check_scores", "counts", "epsilon_with", "frontier", "log_diff", "one_run_epsilon", "one_run_fdp_epsilon"]
+    def left_out(batches):
+        value, *weights = shared.value
+        for pdf in batches:
+            out = []
+            for k in pdf.id:
+                side, at = divmod(int(k), len(value))
+                n = int(weights[side][at])
+                if n:
+                    less = [w.copy() for w in weights]
+                    less[side][at] -= 1
+                    out.append((metric(Frontier.of_counts(value, *less)), n))
+            yield pd.DataFrame(out, columns=["value", "n"])
+
+    rows = checkpointed(spark.range(2 * len(shared.value[0])).mapInPandas(left_out, "value double, n long"))
+    mean = rows.agg(F.sum(F.col("value") * F.col("n")) / F.sum("n")).first()[0]
+    d = F.lit(mean) - F.col("value")
+    square, cube = rows.agg(F.sum(F.col("n") * d * d), F.sum(F.col("n") * d * d * d)).first()
+    return float(cube / (6 * square**1.5)) if square else 0.0
+
+
+__all__ = ["Bonferroni", "Bootstrap", "Explicit", "Frontier", "MultiSplit", "Split", "bootstrap", "check_scores", "acceleration", "counts", "epsilon_with", "frontier", "log_diff", "one_run_epsilon", "one_run_fdp_epsilon", "split_bounds"]

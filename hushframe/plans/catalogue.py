@@ -18,6 +18,9 @@ from hushframe.strategy import sensitivity, toeplitz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: What is worked out from parameters alone and reads no table: held against SQL in tests, but no query of the driver.
+WORKED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+WORKED_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -30,6 +33,16 @@ def query(sql: str | None = None):
     return add
 
 
+def worked(sql: str | None = None):
+    def add(f):
+        WORKED[f.__name__] = f
+        if sql:
+            WORKED_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 # --- bounded aggregation -----------------------------------------------------------------------------------------------
 
 CLIP, SIGMA = 500_000.0, 0.1
@@ -238,7 +251,7 @@ def split_minibatches(spark, sf):
     return padding.minibatches(_batches(spark, sf), 16, microbatch=4).withColumn("example_id", F.coalesce("example_id", F.lit(-1).cast("long")))
 
 
-@query("SELECT i AS slot, (i % 12) * 4 + i // 12 AS position FROM range(0, 48) t(i)")
+@worked("SELECT i AS slot, (i % 12) * 4 + i // 12 AS position FROM range(0, 48) t(i)")
 def early_stopping_order(spark, sf):
     return spark.range(48).select(F.col("id").alias("slot"), padding.early_stop_position(F.col("id"), 48, 12).alias("position"))
 
@@ -333,7 +346,7 @@ def momentum_workload(spark, sf):
 _COEFS = "RECURSIVE c(k, x) AS (SELECT 0, 1::DOUBLE UNION ALL SELECT k + 1, x * (2 * k + 1) / (2 * k + 2) FROM c WHERE k < 31)"
 
 
-@query(f"WITH {_COEFS} SELECT k::INTEGER AS lag, round(x, 10) AS strategy, round(x - coalesce(lag(x) OVER (ORDER BY k), 0), 10) AS noising FROM c")
+@worked(f"WITH {_COEFS} SELECT k::INTEGER AS lag, round(x, 10) AS strategy, round(x - coalesce(lag(x) OVER (ORDER BY k), 0), 10) AS noising FROM c")
 def toeplitz_noising_coefs(spark, sf):
     c, d = toeplitz.max_error_strategy(32), toeplitz.max_error_noising(32)
     return spark.createDataFrame([(k, float(c[k]), float(d[k])) for k in range(32)], "lag int, strategy double, noising double").select("lag", F.round("strategy", 10).alias("strategy"), F.round("noising", 10).alias("noising"))
@@ -343,23 +356,23 @@ def _vector(spark, values) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "lag int, value double")
 
 
-@query("WITH a(i, x) AS (VALUES (0, 1.0::DOUBLE), (1, 0.5), (2, 0.2)), b(j, y) AS (VALUES (0, 1.0::DOUBLE), (1, 0.7), (2, 2.0)) SELECT (i + j)::INTEGER AS lag, round(sum(x * y), 10) AS value FROM a, b WHERE i + j < 3 GROUP BY i + j")
+@worked("WITH a(i, x) AS (VALUES (0, 1.0::DOUBLE), (1, 0.5), (2, 0.2)), b(j, y) AS (VALUES (0, 1.0::DOUBLE), (1, 0.7), (2, 2.0)) SELECT (i + j)::INTEGER AS lag, round(sum(x * y), 10) AS value FROM a, b WHERE i + j < 3 GROUP BY i + j")
 def toeplitz_product(spark, sf):
     return _vector(spark, toeplitz.multiply([1, 0.5, 0.2], [1, 0.7, 2])).select("lag", F.round("value", 10).alias("value"))
 
 
-@query("""WITH c(k, x) AS (VALUES (0, 1.0::DOUBLE), (1, 0.7), (2, 2.0), (3, 0.1), (4, -0.3), (5, 0.05)), m AS (SELECT k, max(abs(x)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS x FROM c),
+@worked("""WITH c(k, x) AS (VALUES (0, 1.0::DOUBLE), (1, 0.7), (2, 2.0), (3, 0.1), (4, -0.3), (5, 0.05)), m AS (SELECT k, max(abs(x)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS x FROM c),
 s AS (SELECT k + 2 * i AS k, sum(x) AS x FROM m, range(0, 3) t(i) WHERE k + 2 * i < 6 GROUP BY k + 2 * i) SELECT round(sum(x * x), 10) AS sensitivity_squared FROM s""")
 def minsep_sensitivity(spark, sf):
     return spark.createDataFrame([(toeplitz.minsep_sensitivity_squared([1, 0.7, 2, 0.1, -0.3, 0.05], 2),)], "x double").select(F.round("x", 10).alias("sensitivity_squared"))
 
 
-@query(f"WITH {_COEFS}, d AS (SELECT k, x - coalesce(lag(x) OVER (ORDER BY k), 0) AS x FROM c), b AS (SELECT k, sum(x) OVER (ORDER BY k) AS x FROM d) SELECT k::INTEGER AS lag, round(sum(x * x) OVER (ORDER BY k), 10) AS error FROM b")
+@worked(f"WITH {_COEFS}, d AS (SELECT k, x - coalesce(lag(x) OVER (ORDER BY k), 0) AS x FROM c), b AS (SELECT k, sum(x) OVER (ORDER BY k) AS x FROM d) SELECT k::INTEGER AS lag, round(sum(x * x) OVER (ORDER BY k), 10) AS error FROM b")
 def per_query_error(spark, sf):
     return _vector(spark, toeplitz.per_query_error(noising=toeplitz.max_error_noising(32))).select("lag", F.round("value", 10).alias("error"))
 
 
-@query("""WITH c(k, x) AS (VALUES (0, 1.0::DOUBLE), (1, 0.5), (2, 0.2)), m AS (SELECT j + k AS i, j, x FROM c, range(0, 12) t(j) WHERE j + k < 12), g AS (SELECT a.j AS p, b.j AS q, sum(a.x * b.x) AS x FROM m a JOIN m b USING (i) GROUP BY ALL)
+@worked("""WITH c(k, x) AS (VALUES (0, 1.0::DOUBLE), (1, 0.5), (2, 0.2)), m AS (SELECT j + k AS i, j, x FROM c, range(0, 12) t(j) WHERE j + k < 12), g AS (SELECT a.j AS p, b.j AS q, sum(a.x * b.x) AS x FROM m a JOIN m b USING (i) GROUP BY ALL)
 SELECT round(sqrt(max(s)), 10) AS sensitivity FROM (SELECT sum(abs(x)) AS s FROM g WHERE p % 4 = q % 4 GROUP BY p % 4)""")
 def fixed_epoch_sensitivity(spark, sf):
     c = toeplitz.materialize([1, 0.5, 0.2], 12)
@@ -449,7 +462,7 @@ def canary_eps_gdp(spark, sf):
 def canary_eps_splits(spark, sf):
     s = _scores(spark, sf).withColumnRenamed("doc_id", "canary_id")
     kinds = {"bonferroni": audit.Bonferroni(), "explicit": audit.Explicit(2000.0), "split": audit.Split(seed=2), "multi_split": audit.MultiSplit(splits=9, seed=2)}
-    return spark.createDataFrame([(k, float(audit.epsilon_with(s, v, 0.05))) for k, v in kinds.items()], "strategy string, epsilon double")
+    return spark.createDataFrame([(k, round(float(audit.epsilon_with(s, v, 0.05)), 6)) for k, v in kinds.items()], "strategy string, epsilon double")
 
 
 @query()
@@ -479,19 +492,19 @@ def mc_calibrate(spark, sf):
     return montecarlo.passing(_losses(spark, sf), 0.5, 0.08).select("param_idx", F.round("delta", 10).alias("delta"), "passes")
 
 
-@query()
+@worked()
 def mc_balls_in_bins(spark, sf):
     found = montecarlo.losses(spark, montecarlo.BinsSampling(64, 8), toeplitz.max_error_strategy(8), [2.0, 4.0], 20_000, 5)
     return montecarlo.deltas(montecarlo.binned(found, 1e-3), 1.0)
 
 
-@query("SELECT round(sum(id / (2 * (1 + id / 10.0) ** 2)), 8) AS rho FROM range(0, 50) t(id)")
+@worked("SELECT round(sum(id / (2 * (1 + id / 10.0) ** 2)), 8) AS rho FROM range(0, 50) t(id)")
 def budget_ledger_rho(spark, sf):
     rows = ev.ledger(spark, [ev.gaussian(1 + k / 10, k) for k in range(50)])
     return ev.composed_rho(rows).select(F.round("rho", 8).alias("rho"))
 
 
-@query()
+@worked()
 def accounting_sweep(spark, sf):
     """Epsilon of Poisson-sampled training over a grid, one task for each cell."""
     import pandas as pd

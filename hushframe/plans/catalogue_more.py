@@ -16,7 +16,7 @@ from hushframe.operators import audit, bounded, montecarlo, noise, owners, paddi
 from hushframe.sources.tables import gather, read, scratch
 from hushframe.strategy import banded, blt, dense, sensitivity, toeplitz
 
-from .catalogue import _BATCHES, _DAILY, _HULL, _SPLIT, ORACLES, _batches, _daily, _examples, _jumps_sql, _plan_sql, _scores, query
+from .catalogue import _BATCHES, _DAILY, _HULL, _SPLIT, ORACLES, _batches, _daily, _examples, _jumps_sql, _plan_sql, _scores, query, worked
 
 
 def _table(spark, rows: list[tuple], schema: str, **digits: int) -> DataFrame:
@@ -101,62 +101,62 @@ def _matrix(spark, m: np.ndarray, digits: int = 9) -> DataFrame:
 _CELLS = "cells AS (SELECT i, j FROM range(0, {n}) a(i), range(0, {n}) b(j) WHERE j <= i)"
 
 
-@query(f"WITH {_CELLS.format(n=8)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(list_sum(list_transform(range(0, i - j + 1), lambda k: (-0.5) ** k)), 9) AS value FROM cells")
+@worked(f"WITH {_CELLS.format(n=8)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(list_sum(list_transform(range(0, i - j + 1), lambda k: (-0.5) ** k)), 9) AS value FROM cells")
 def composed_operator_matrix(spark, sf):
     """Running totals of the inverse of a band of two."""
     return _matrix(spark, (steps.Prefix() @ toeplitz.inverse_operator([1.0, 0.5])).materialize(8))
 
 
-@query(f"WITH {_CELLS.format(n=10)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(2 * list_sum(list_transform(range(j, i + 1), lambda s: (CASE WHEN s = 0 THEN 0.1 ELSE 0.2 END) * 0.9 ** (s - j))), 9) AS value FROM cells")
+@worked(f"WITH {_CELLS.format(n=10)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(2 * list_sum(list_transform(range(j, i + 1), lambda s: (CASE WHEN s = 0 THEN 0.1 ELSE 0.2 END) * 0.9 ** (s - j))), 9) AS value FROM cells")
 def momentum_operator_matrix(spark, sf):
     """Momentum with rates that change, scaled."""
     return _matrix(spark, (2.0 * steps.Momentum(0.9, [0.1, 0.2])).materialize(10))
 
 
-@query(f"WITH {_CELLS.format(n=10)}, m AS (SELECT i, j, list_sum(list_transform(range(j, i + 1), lambda s: 0.1 * 0.9 ** (s - j))) AS x FROM cells) SELECT i::INTEGER AS i, round(sum(x * x), 9) AS value FROM m GROUP BY i")
+@worked(f"WITH {_CELLS.format(n=10)}, m AS (SELECT i, j, list_sum(list_transform(range(j, i + 1), lambda s: 0.1 * 0.9 ** (s - j))) AS x FROM cells) SELECT i::INTEGER AS i, round(sum(x * x), 9) AS value FROM m GROUP BY i")
 def operator_row_norms(spark, sf):
     return _table(spark, list(enumerate(steps.Momentum(0.9, [0.1]).row_norms_squared(10))), "i int, value double", value=9)
 
 
-@query("SELECT i::INTEGER AS i, round((i + 1) * (CASE WHEN i = 0 THEN 2.0 ELSE 3.0 END), 9) AS value FROM range(0, 6) t(i)")
+@worked("SELECT i::INTEGER AS i, round((i + 1) * (CASE WHEN i = 0 THEN 2.0 ELSE 3.0 END), 9) AS value FROM range(0, 6) t(i)")
 def identity_and_diagonal(spark, sf):
     op = steps.Diagonal([2.0, 3.0]) @ steps.Identity()
     return _table(spark, list(enumerate(op @ np.arange(1.0, 7.0))), "i int, value double", value=9)
 
 
-@query(f"WITH RECURSIVE {_BLT_INVERSE}, c AS (SELECT k AS lag, CASE WHEN k = 0 THEN 1.0 ELSE {_BLT_COEF} END AS coef FROM range(0, 64) t(k)), i AS (SELECT unnest(range(0, 64)) AS lag, unnest(l) AS inverse FROM inv WHERE t = 63) SELECT lag::INTEGER AS lag, round(coef, 9) AS coef, round(inverse, 9) AS inverse FROM c JOIN i USING (lag)")
+@worked(f"WITH RECURSIVE {_BLT_INVERSE}, c AS (SELECT k AS lag, CASE WHEN k = 0 THEN 1.0 ELSE {_BLT_COEF} END AS coef FROM range(0, 64) t(k)), i AS (SELECT unnest(range(0, 64)) AS lag, unnest(l) AS inverse FROM inv WHERE t = 63) SELECT lag::INTEGER AS lag, round(coef, 9) AS coef, round(inverse, 9) AS inverse FROM c JOIN i USING (lag)")
 def blt_coefs(spark, sf):
     """A buffered strategy's coefficients, and its inverse's from the inverse's own buffers."""
     pairs = zip(_BLT.coefs(64), _BLT.inverse().coefs(64), strict=True)
     return _table(spark, [(k, a, b) for k, (a, b) in enumerate(pairs)], "lag int, coef double, inverse double", coef=9, inverse=9)
 
 
-@query(f"WITH RECURSIVE {_BLT_INVERSE}, e(k) AS (SELECT unnest(range(0, 16))) SELECT k::INTEGER AS i, round(l[k + 1] + CASE WHEN k = 0 THEN 0 ELSE 2 * l[k] END, 9) AS value FROM inv, e WHERE t = 63")
+@worked(f"WITH RECURSIVE {_BLT_INVERSE}, e(k) AS (SELECT unnest(range(0, 16))) SELECT k::INTEGER AS i, round(l[k + 1] + CASE WHEN k = 0 THEN 0 ELSE 2 * l[k] END, 9) AS value FROM inv, e WHERE t = 63")
 def blt_operator(spark, sf):
     """The inverse's buffers applied to a series of 1, 2, 0, 0, ..."""
     return _table(spark, list(enumerate(_BLT.operator(inverse=True).apply([1.0, 2.0, *[0.0] * 14]))), "i int, value double", value=9)
 
 
-@query(f"WITH c AS (SELECT CASE WHEN k = 0 THEN 1.0 ELSE {_BLT_COEF} END AS x, k FROM range(0, 1000) t(k)) SELECT n, round(sum(x * x), 8) AS value FROM c, (VALUES (1), (10), (1000)) v(n) WHERE k < n GROUP BY n")
+@worked(f"WITH c AS (SELECT CASE WHEN k = 0 THEN 1.0 ELSE {_BLT_COEF} END AS x, k FROM range(0, 1000) t(k)) SELECT n, round(sum(x * x), 8) AS value FROM c, (VALUES (1), (10), (1000)) v(n) WHERE k < n GROUP BY n")
 def blt_sensitivity(spark, sf):
     """Squared sensitivity in closed form."""
     return _table(spark, [(n, _BLT.sensitivity_squared(n)) for n in (1, 10, 1000)], "n int, value double", value=8)
 
 
-@query(f"""WITH RECURSIVE {_BLT_INVERSE}, b AS (SELECT k, list_sum(l[1:k + 1]) AS x FROM inv, range(0, 64) r(k) WHERE t = 63), e AS (SELECT k, sum(x * x) OVER (ORDER BY k) AS error FROM b)
+@worked(f"""WITH RECURSIVE {_BLT_INVERSE}, b AS (SELECT k, list_sum(l[1:k + 1]) AS x FROM inv, range(0, 64) r(k) WHERE t = 63), e AS (SELECT k, sum(x * x) OVER (ORDER BY k) AS error FROM b)
 SELECT n, round(max(error), 7) AS worst, round(avg(error), 7) AS mean FROM e, (VALUES (1), (8), (64)) v(n) WHERE k < n GROUP BY n""")
 def blt_errors(spark, sf):
     return _table(spark, [(n, _BLT.error(n), _BLT.error(n, reduction="mean")) for n in (1, 8, 64)], "n int, worst double, mean double", worst=7, mean=7)
 
 
-@query(f"""WITH RECURSIVE {_BLT_INVERSE}, c AS (SELECT CASE WHEN k = 0 THEN 1.0 ELSE {_BLT_COEF} END AS x, k FROM range(0, 64) t(k)), s AS (SELECT k + 16 * i AS k, sum(x) AS x FROM c, range(0, 3) r(i) WHERE k + 16 * i < 64 GROUP BY k + 16 * i),
+@worked(f"""WITH RECURSIVE {_BLT_INVERSE}, c AS (SELECT CASE WHEN k = 0 THEN 1.0 ELSE {_BLT_COEF} END AS x, k FROM range(0, 64) t(k)), s AS (SELECT k + 16 * i AS k, sum(x) AS x FROM c, range(0, 3) r(i) WHERE k + 16 * i < 64 GROUP BY k + 16 * i),
 b AS (SELECT list_sum(l[1:k + 1]) AS x FROM inv, range(0, 64) r(k) WHERE t = 63) SELECT round((SELECT sum(x * x) FROM s) * (SELECT sum(x * x) FROM b), 6) AS loss""")
 def blt_minsep_loss(spark, sf):
     """Worst error times sensitivity for three participations 16 steps apart."""
     return _table(spark, [(_BLT.loss(64, min_sep=16, max_participations=3),)], "loss double", loss=6)
 
 
-@query("SELECT round(0.3 / 0.9 + 0.2 / 0.5, 9) AS pillutla, round((1 / (1 + 0.3 / 0.1 + 0.2 / 0.5)) ** 2, 9) AS limit_rate, round(0.4, 9) AS min_gap")
+@worked("SELECT round(0.3 / 0.9 + 0.2 / 0.5, 9) AS pillutla, round((1 / (1 + 0.3 / 0.1 + 0.2 / 0.5)) ** 2, 9) AS limit_rate, round(0.4, 9) AS min_gap")
 def blt_summary(spark, sf):
     """The inverse's total is one over the strategy's, so the error's rate of growth is its square."""
     return _table(spark, [(_BLT.pillutla_score(), _BLT.limit_error_rate(), _BLT.min_gap)], "pillutla double, limit_rate double, min_gap double", pillutla=9, limit_rate=9, min_gap=9)
@@ -165,7 +165,7 @@ def blt_summary(spark, sf):
 _RATIOS = (0.5, 0.999, 1.0, -0.5, 1.01)
 
 
-@query(f"SELECT r, n, round(list_sum(list_transform(range(0, n), lambda k: r ** k)), 6) AS value FROM (SELECT unnest({_list_sql(_RATIOS)}) AS r), (VALUES (1), (7), (400)) v(n)")
+@worked(f"SELECT r, n, round(list_sum(list_transform(range(0, n), lambda k: r ** k)), 6) AS value FROM (SELECT unnest({_list_sql(_RATIOS)}) AS r), (VALUES (1), (7), (400)) v(n)")
 def geometric_sums(spark, sf):
     return _table(spark, [(r, n, float(blt.geometric_sum(r, n))) for r in _RATIOS for n in (1, 7, 400)], "r double, n int, value double", value=6)
 
@@ -176,29 +176,29 @@ _BAND = (1.0, 0.5, 0.2)
 _BAND_INVERSE = "inv(t, a, b) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT t + 1, -0.5 * a - 0.2 * b, a FROM inv WHERE t < 31)"
 
 
-@query(f"WITH RECURSIVE {_BAND_INVERSE} SELECT t::INTEGER AS lag, round(a, 9) + 0.0 AS inverse FROM inv")
+@worked(f"WITH RECURSIVE {_BAND_INVERSE} SELECT t::INTEGER AS lag, round(a, 9) + 0.0 AS inverse FROM inv")
 def toeplitz_inverse(spark, sf):
     return _table(spark, list(enumerate(toeplitz.inverse(toeplitz.padded(_BAND, 32)))), "lag int, inverse double", inverse=9).withColumn("inverse", F.col("inverse") + 0.0)
 
 
-@query(f"WITH {_CELLS.format(n=9)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(coalesce({_list_sql(_BAND)}[i - j + 1], 0), 9) AS value FROM cells")
+@worked(f"WITH {_CELLS.format(n=9)} SELECT i::INTEGER AS i, j::INTEGER AS j, round(coalesce({_list_sql(_BAND)}[i - j + 1], 0), 9) AS value FROM cells")
 def toeplitz_matrix(spark, sf):
     return _matrix(spark, toeplitz.materialize(_BAND, 9))
 
 
-@query(f"WITH RECURSIVE {_BAND_INVERSE}, b AS (SELECT t, sum(a) OVER (ORDER BY t) AS x FROM inv) , e AS (SELECT t, sum(x * x) OVER (ORDER BY t) AS error FROM b) SELECT round(avg(error) * 1.29, 8) AS mean_loss, round(max(error) * 1.29, 8) AS max_loss FROM e")
+@worked(f"WITH RECURSIVE {_BAND_INVERSE}, b AS (SELECT t, sum(a) OVER (ORDER BY t) AS x FROM inv) , e AS (SELECT t, sum(x * x) OVER (ORDER BY t) AS error FROM b) SELECT round(avg(error) * 1.29, 8) AS mean_loss, round(max(error) * 1.29, 8) AS max_loss FROM e")
 def toeplitz_loss(spark, sf):
     """Mean and largest error of prefix sums times the squared sensitivity."""
     return _table(spark, [(toeplitz.loss(_BAND, 32), toeplitz.loss(_BAND, 32, reduction=toeplitz.max_error))], "mean_loss double, max_loss double", mean_loss=8, max_loss=8)
 
 
-@query("WITH RECURSIVE c(k, x) AS (SELECT 0, 1::DOUBLE UNION ALL SELECT k + 1, x * (2 * k - 1) / (2 * k + 2) FROM c WHERE k < 5) SELECT k::INTEGER AS lag, round(x, 10) AS noising FROM c")
+@worked("WITH RECURSIVE c(k, x) AS (SELECT 0, 1::DOUBLE UNION ALL SELECT k + 1, x * (2 * k - 1) / (2 * k + 2) FROM c WHERE k < 5) SELECT k::INTEGER AS lag, round(x, 10) AS noising FROM c")
 def bisr_noising(spark, sf):
     """The first coefficients of (1 - x) ** 0.5."""
     return _table(spark, list(enumerate(toeplitz.bisr_noising(40, 6))), "lag int, noising double", noising=10)
 
 
-@query(f"""WITH RECURSIVE r(k, x) AS (SELECT 0, 1::DOUBLE UNION ALL SELECT k + 1, x * (2 * k - 1) / (2 * k + 2) FROM r WHERE k < 3), d AS (SELECT list(x ORDER BY k) AS d FROM r),
+@worked(f"""WITH RECURSIVE r(k, x) AS (SELECT 0, 1::DOUBLE UNION ALL SELECT k + 1, x * (2 * k - 1) / (2 * k + 2) FROM r WHERE k < 3), d AS (SELECT list(x ORDER BY k) AS d FROM r),
 inv(t, l) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT t + 1, list_append(l, -list_sum(list_transform(range(1, least(t + 2, 4)), lambda k: (SELECT d FROM d)[k + 1] * l[t + 2 - k]))) FROM inv WHERE t < 23),
 c AS (SELECT unnest(range(0, 24)) AS k, unnest(l) AS x FROM inv WHERE t = 23), m AS (SELECT k, max(abs(x)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS x FROM c), s AS (SELECT k + 8 * i AS k, sum(x) AS x FROM m, range(0, 3) t(i) WHERE k + 8 * i < 24 GROUP BY k + 8 * i)
 SELECT round(sum(x * x), 8) AS sensitivity_squared FROM s""".replace("(SELECT d FROM d)", _list_sql(toeplitz.bisr_noising(24, 4))))
@@ -206,14 +206,14 @@ def banded_inverse_sensitivity(spark, sf):
     return _table(spark, [(toeplitz.banded_inverse_sensitivity_squared(toeplitz.bisr_noising(24, 4), 24, 8),)], "sensitivity_squared double", sensitivity_squared=8)
 
 
-@query(f"WITH c AS (SELECT unnest(range(0, 3)) AS k, unnest({_list_sql([1, 0.5, 0.375])}) AS x), p AS (SELECT j, k, x FROM range(0, 12) t(j), c WHERE j + k < 12), q AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY j)) AS norm FROM p) SELECT (j + k)::INTEGER AS i, j::INTEGER AS j, round(x / norm, 9) AS value FROM q")
+@worked(f"WITH c AS (SELECT unnest(range(0, 3)) AS k, unnest({_list_sql([1, 0.5, 0.375])}) AS x), p AS (SELECT j, k, x FROM range(0, 12) t(j), c WHERE j + k < 12), q AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY j)) AS norm FROM p) SELECT (j + k)::INTEGER AS i, j::INTEGER AS j, round(x / norm, 9) AS value FROM q")
 def banded_strategy(spark, sf):
     """Columns of unit norm, those at the end shorter."""
     m = banded.Banded.default(12, 3).materialize()
     return _table(spark, [(i, j, float(m[i, j])) for i in range(12) for j in range(max(0, i - 2), i + 1)], "i int, j int, value double", value=9)
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT j, list_transform(range(0, 3), lambda k: CASE WHEN j + k < 12 THEN {_list_sql([1, 0.5, 0.375])}[k + 1] ELSE 0 END) AS x FROM range(0, 12) t(j)),
+@worked(f"""WITH RECURSIVE w AS (SELECT j, list_transform(range(0, 3), lambda k: CASE WHEN j + k < 12 THEN {_list_sql([1, 0.5, 0.375])}[k + 1] ELSE 0 END) AS x FROM range(0, 12) t(j)),
 c AS (SELECT list(list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda u: u * u)))) ORDER BY j) AS c FROM w),
 s(t, j, a, b) AS (SELECT -1, j, 0.0::DOUBLE, 0.0::DOUBLE FROM range(0, 12) r(j)
   UNION ALL SELECT t + 1, j, ((t + 1 = j)::INT - (CASE WHEN t >= 0 THEN c[t + 1][2] * a ELSE 0 END) - (CASE WHEN t >= 1 THEN c[t][3] * b ELSE 0 END)) / c[t + 2][1], a FROM s, c WHERE t < 11),
@@ -224,7 +224,7 @@ def banded_strategy_error(spark, sf):
     return _table(spark, list(enumerate(banded.Banded.default(12, 3).per_query_error())), "step int, error double", error=8)
 
 
-@query("SELECT s AS min_sep, least(coalesce(m, 99), (12 + s - 1) // s)::INTEGER AS sensitivity_squared, m AS most FROM (VALUES (3), (4), (5), (12)) a(s), (VALUES (2), (NULL)) b(m)")
+@worked("SELECT s AS min_sep, least(coalesce(m, 99), (12 + s - 1) // s)::INTEGER AS sensitivity_squared, m AS most FROM (VALUES (3), (4), (5), (12)) a(s), (VALUES (2), (NULL)) b(m)")
 def banded_participations(spark, sf):
     """With unit columns that don't overlap, the squared sensitivity is the number of participations."""
     c = banded.Banded.default(12, 3)
@@ -232,7 +232,7 @@ def banded_participations(spark, sf):
     return spark.createDataFrame(rows, "min_sep int, sensitivity_squared int, most int")
 
 
-@query("SELECT i::INTEGER AS i, j::INTEGER AS j, (i = j OR (i - j) % 4 <> 0)::INTEGER AS free FROM range(0, 12) a(i), range(0, 12) b(j)")
+@worked("SELECT i::INTEGER AS i, j::INTEGER AS j, (i = j OR (i - j) % 4 <> 0)::INTEGER AS free FROM range(0, 12) a(i), range(0, 12) b(j)")
 def orthogonality_mask(spark, sf):
     m = dense.orthogonality_mask(12, 3)
     return spark.createDataFrame([(i, j, int(m[i, j])) for i in range(12) for j in range(12)], "i int, j int, free int")
@@ -241,7 +241,7 @@ def orthogonality_mask(spark, sf):
 _GRAM = np.eye(6) + 0.3 * (np.eye(6, k=1) + np.eye(6, k=-1)) + 0.1 * (np.eye(6, k=2) + np.eye(6, k=-2))
 
 
-@query("SELECT i::INTEGER AS i, j::INTEGER AS j, round(coalesce([1.0, 0.3, 0.1][abs(i - j) + 1], 0)::DOUBLE, 9) AS gram FROM range(0, 6) a(i), range(0, 6) b(j)")
+@worked("SELECT i::INTEGER AS i, j::INTEGER AS j, round(coalesce([1.0, 0.3, 0.1][abs(i - j) + 1], 0)::DOUBLE, 9) AS gram FROM range(0, 6) a(i), range(0, 6) b(j)")
 def dense_strategy_gram(spark, sf):
     """The strategy made from a Gram matrix has that Gram matrix."""
     c = dense.strategy_from_gram(_GRAM)
@@ -250,7 +250,7 @@ def dense_strategy_gram(spark, sf):
     return _table(spark, [(i, j, abs(float(g[i, j]))) for i in range(6) for j in range(6)], "i int, j int, gram double", gram=9)
 
 
-@query(f"WITH {_CELLS.format(n=7)}, d AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 1.0 / (1 + i * j) END AS x FROM cells), b AS (SELECT i, j, sum(x) OVER (PARTITION BY j ORDER BY i) AS x FROM d) SELECT i::INTEGER AS step, round(sum(x * x), 9) AS error FROM b GROUP BY i")
+@worked(f"WITH {_CELLS.format(n=7)}, d AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 1.0 / (1 + i * j) END AS x FROM cells), b AS (SELECT i, j, sum(x) OVER (PARTITION BY j ORDER BY i) AS x FROM d) SELECT i::INTEGER AS step, round(sum(x * x), 9) AS error FROM b GROUP BY i")
 def dense_noising_error(spark, sf):
     i, j = np.indices((7, 7))
     m = np.where(i == j, 1.0, np.where(j < i, 1.0 / (1 + i * j), 0.0))
@@ -263,13 +263,13 @@ _ENTRIES = (1.5, -0.3, 2.0, 0.7, 1.1, 0.2, -1.0, 0.9, 1.3, 0.4)
 _PICKS = "picks(spot, n, total) AS (SELECT -100, 0, 0.0::DOUBLE UNION ALL SELECT i, n + 1, total + {x}[i + 1] FROM picks, range(0, 10) t(i) WHERE i >= spot + 3 AND n < 3)"
 
 
-@query(f"WITH RECURSIVE {_PICKS.format(x=_list_sql(_ENTRIES))} SELECT round(max(total), 9) AS best FROM picks")
+@worked(f"WITH RECURSIVE {_PICKS.format(x=_list_sql(_ENTRIES))} SELECT round(max(total), 9) AS best FROM picks")
 def best_participation(spark, sf):
     """At most three entries, three apart, of the largest sum: a recursion against every choice."""
     return _table(spark, [(sensitivity.best_participation(_ENTRIES, 3, 3),)], "best double", best=9)
 
 
-@query("SELECT n, s AS min_sep, least((n + s - 1) // s, m)::INTEGER AS participations FROM (VALUES (7), (10), (100)) a(n), (VALUES (1), (3), (10)) b(s), (VALUES (2), (50)) c(m) WHERE m = 50 OR n = 10")
+@worked("SELECT n, s AS min_sep, least((n + s - 1) // s, m)::INTEGER AS participations FROM (VALUES (7), (10), (100)) a(n), (VALUES (1), (3), (10)) b(s), (VALUES (2), (50)) c(m) WHERE m = 50 OR n = 10")
 def participations(spark, sf):
     grid = [(n, s, m) for n in (7, 10, 100) for s in (1, 3, 10) for m in (2, 50) if m == 50 or n == 10]
     return spark.createDataFrame([(n, s, int(sensitivity.true_max_participations(n, s, m))) for n, s, m in grid], "n int, min_sep int, participations int")
@@ -278,7 +278,7 @@ def participations(spark, sf):
 _TEN = toeplitz.materialize(_BAND, 10)
 
 
-@query(f"WITH c AS (SELECT j, list_sum(list_transform({_list_sql(_BAND)}[1:10 - j], lambda x: x * x)) AS x FROM range(0, 10) t(j)) SELECT round(sqrt(max(x)), 9) AS single FROM c")
+@worked(f"WITH c AS (SELECT j, list_sum(list_transform({_list_sql(_BAND)}[1:10 - j], lambda x: x * x)) AS x FROM range(0, 10) t(j)) SELECT round(sqrt(max(x)), 9) AS single FROM c")
 def single_sensitivity(spark, sf):
     return _table(spark, [(sensitivity.single(_TEN),)], "single double", single=9)
 
@@ -286,13 +286,13 @@ def single_sensitivity(spark, sf):
 _COLUMN_NORMS = [float(x) for x in (_TEN**2).sum(axis=0)]
 
 
-@query(f"WITH RECURSIVE c AS (SELECT list(x ORDER BY j) AS x FROM (SELECT j, list_sum(list_transform({_list_sql(_BAND)}[1:10 - j], lambda x: x * x)) AS x FROM range(0, 10) t(j))), picks(spot, n, total) AS (SELECT -100, 0, 0.0::DOUBLE UNION ALL SELECT i, n + 1, total + x[i + 1] FROM picks, c, range(0, 10) t(i) WHERE i >= spot + 3 AND n < 3) SELECT round(sqrt(max(total)), 9) AS exact FROM picks")
+@worked(f"WITH RECURSIVE c AS (SELECT list(x ORDER BY j) AS x FROM (SELECT j, list_sum(list_transform({_list_sql(_BAND)}[1:10 - j], lambda x: x * x)) AS x FROM range(0, 10) t(j))), picks(spot, n, total) AS (SELECT -100, 0, 0.0::DOUBLE UNION ALL SELECT i, n + 1, total + x[i + 1] FROM picks, c, range(0, 10) t(i) WHERE i >= spot + 3 AND n < 3) SELECT round(sqrt(max(total)), 9) AS exact FROM picks")
 def banded_sensitivity(spark, sf):
     """Exact for a band no wider than the separation."""
     return _table(spark, [(sensitivity.of_strategy(sensitivity.banded, _TEN, 3, 3),)], "exact double", exact=9)
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT j + k AS i, j, {_list_sql(_BAND)}[k + 1] AS x FROM range(0, 10) a(j), range(0, 3) b(k) WHERE j + k < 10), g AS (SELECT a.j AS p, b.j AS q, sum(a.x * b.x) AS x FROM m a JOIN m b USING (i) GROUP BY ALL),
+@worked(f"""WITH RECURSIVE m AS (SELECT j + k AS i, j, {_list_sql(_BAND)}[k + 1] AS x FROM range(0, 10) a(j), range(0, 3) b(k) WHERE j + k < 10), g AS (SELECT a.j AS p, b.j AS q, sum(a.x * b.x) AS x FROM m a JOIN m b USING (i) GROUP BY ALL),
 full_ AS (SELECT p, list(coalesce(abs(x), 0) ORDER BY q) AS x FROM (SELECT p, q FROM range(0, 10) a(p), range(0, 10) b(q)) LEFT JOIN g USING (p, q) GROUP BY p),
 picks(p, spot, n, total) AS (SELECT p, -100, 0, 0.0::DOUBLE FROM full_ UNION ALL SELECT picks.p, i, n + 1, total + x[i + 1] FROM picks JOIN full_ USING (p), range(0, 10) t(i) WHERE i >= spot + 4 AND n < 2),
 best AS (SELECT list(b ORDER BY p) AS b FROM (SELECT p, max(total) AS b FROM picks GROUP BY p)), outer_(spot, n, total) AS (SELECT -100, 0, 0.0::DOUBLE UNION ALL SELECT i, n + 1, total + b[i + 1] FROM outer_, best, range(0, 10) t(i) WHERE i >= spot + 4 AND n < 2)
@@ -302,7 +302,7 @@ def minsep_upper_bound(spark, sf):
     return _table(spark, [(sensitivity.of_strategy(sensitivity.minsep_upper_bound, _TEN, 4, 2),)], "bound double", bound=9)
 
 
-@query("SELECT i::INTEGER AS i, j::INTEGER AS j, (i - j BETWEEN 0 AND 2)::INTEGER AS lower, (abs(i - j) < 3)::INTEGER AS symmetric FROM range(0, 6) a(i), range(0, 6) b(j)")
+@worked("SELECT i::INTEGER AS i, j::INTEGER AS j, (i - j BETWEEN 0 AND 2)::INTEGER AS lower, (abs(i - j) < 3)::INTEGER AS symmetric FROM range(0, 6) a(i), range(0, 6) b(j)")
 def band_masks(spark, sf):
     a, b = sensitivity.band_mask(6, 3), sensitivity.band_mask(6, 3, symmetric=True)
     return spark.createDataFrame([(i, j, int(a[i, j]), int(b[i, j])) for i in range(6) for j in range(6)], "i int, j int, lower int, symmetric int")
@@ -476,13 +476,13 @@ _LOG_BINOM = "lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1)"
 _POISSON_RDP = f"ln(list_sum(list_transform(range(0, a + 1), lambda k: exp({_LOG_BINOM} + k * ln(0.02) + (a - k) * ln(0.98) + (k * k - k) / 4.5)))) / (a - 1)"
 
 
-@query(f"SELECT a::INTEGER AS \"order\", round({_POISSON_RDP}, 10) AS rdp FROM range(2, 33) t(a)")
+@worked(f"SELECT a::INTEGER AS \"order\", round({_POISSON_RDP}, 10) AS rdp FROM range(2, 33) t(a)")
 def poisson_rdp(spark, sf):
     """Renyi divergences of a sampled Gaussian step at whole orders."""
     return _table(spark, [(a, rdp.poisson_gaussian(a, 1.5, 0.02)) for a in range(2, 33)], "order int, rdp double", rdp=10)
 
 
-@query(f"SELECT steps, round(greatest(min(steps * ({_POISSON_RDP}) + ln(1 - 1.0 / a) - (ln(1e-6) + ln(a)) / (a - 1)), 0), 8) AS epsilon FROM range(2, 33) t(a), (VALUES (1), (100), (2000)) s(steps) GROUP BY steps")
+@worked(f"SELECT steps, round(greatest(min(steps * ({_POISSON_RDP}) + ln(1 - 1.0 / a) - (ln(1e-6) + ln(a)) / (a - 1)), 0), 8) AS epsilon FROM range(2, 33) t(a), (VALUES (1), (100), (2000)) s(steps) GROUP BY steps")
 def poisson_epsilon(spark, sf):
     """Composed over steps and converted, over whole orders."""
     return _table(spark, [(t, rdp.epsilon([ev.poisson(1.5, t, 0.02)], 1e-6, orders=range(2, 33))) for t in (1, 100, 2000)], "steps int, epsilon double", epsilon=8)
@@ -491,13 +491,13 @@ def poisson_epsilon(spark, sf):
 _FIXED = "ln(1 + exp(2 * ln(0.01) + ln(a * (a - 1) / 2) + least(ln(4) + ln(exp(4.0 / 16) - 1), 4.0 / 16 + ln(2))) + coalesce(list_sum(list_transform(range(3, a + 1), lambda k: exp(k * ln(0.01) + lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + (k - 1) * 2 * k / 16.0 + ln(2)))), 0)) / (a - 1)"
 
 
-@query(f"SELECT a::INTEGER AS \"order\", round({_FIXED}, 10) AS rdp FROM range(2, 25) t(a)")
+@worked(f"SELECT a::INTEGER AS \"order\", round({_FIXED}, 10) AS rdp FROM range(2, 25) t(a)")
 def fixed_batch_rdp(spark, sf):
     """The bound for batches of one size without replacement."""
     return _table(spark, [(a, rdp.of_event(ev.fixed_size(4.0, 1, 1000, 10), a)) for a in range(2, 25)], "order int, rdp double", rdp=10)
 
 
-@query("SELECT n, b AS bands, p, ((n + b - 1) // b)::BIGINT AS count, kind FROM (VALUES (128), (100)) a(n), (VALUES (1), (16)) c(b), (SELECT unnest([0.01, 0.1]::DOUBLE[]) AS p), (VALUES ('poisson'), ('truncated')) k(kind)")
+@worked("SELECT n, b AS bands, p, ((n + b - 1) // b)::BIGINT AS count, kind FROM (VALUES (128), (100)) a(n), (VALUES (1), (16)) c(b), (SELECT unnest([0.01, 0.1]::DOUBLE[]) AS p), (VALUES ('poisson'), ('truncated')) k(kind)")
 def banded_events(spark, sf):
     """A participant of a banded strategy meets one step in as many as there are bands."""
     grid = [(n, b, p, k) for n in (128, 100) for b in (1, 16) for p in (0.01, 0.1) for k in ("poisson", "truncated")]
@@ -505,7 +505,7 @@ def banded_events(spark, sf):
     return spark.createDataFrame([(n, b, e.p, e.count, e.kind) for (n, b, _, _), e in zip(grid, made, strict=True)], "n int, bands int, p double, count long, kind string")
 
 
-@query("SELECT q, p, round(CASE WHEN q > 0 THEN q * ln(q / p) ELSE 0 END + CASE WHEN q < 1 THEN (1 - q) * ln((1 - q) / (1 - p)) ELSE 0 END, 10) AS kl, round(exp(-500 * (CASE WHEN q > 0 THEN q * ln(q / least(1.5 * q, 1)) ELSE 0 END + (1 - q) * ln((1 - q) / (1 - least(1.5 * q, 0.999))))), 10) AS failure FROM (SELECT unnest([0.01, 0.1, 0.5]::DOUBLE[]) AS q), (SELECT unnest([0.02, 0.3]::DOUBLE[]) AS p)")
+@worked("SELECT q, p, round(CASE WHEN q > 0 THEN q * ln(q / p) ELSE 0 END + CASE WHEN q < 1 THEN (1 - q) * ln((1 - q) / (1 - p)) ELSE 0 END, 10) AS kl, round(exp(-500 * (CASE WHEN q > 0 THEN q * ln(q / least(1.5 * q, 1)) ELSE 0 END + (1 - q) * ln((1 - q) / (1 - least(1.5 * q, 0.999))))), 10) AS failure FROM (SELECT unnest([0.01, 0.1, 0.5]::DOUBLE[]) AS q), (SELECT unnest([0.02, 0.3]::DOUBLE[]) AS p)")
 def sampling_bounds(spark, sf):
     """Divergences of coins, and how likely 500 samples deceive by a factor of 1.5."""
     return _table(spark, [(q, p, montecarlo.kl(q, p), montecarlo.hoeffding(q, 1.5, 500)) for q in (0.01, 0.1, 0.5) for p in (0.02, 0.3)], "q double, p double, kl double, failure double", kl=10, failure=10)
@@ -514,7 +514,7 @@ def sampling_bounds(spark, sf):
 # --- plans ---------------------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE inv(t, a) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT t + 1, -0.5 * a FROM inv WHERE t < 19), b AS (SELECT t, sum(a) OVER (ORDER BY t) AS x FROM inv), e AS (SELECT sum(x * x) OVER (ORDER BY t) * 1.25 AS error FROM b)
+@worked("""WITH RECURSIVE inv(t, a) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT t + 1, -0.5 * a FROM inv WHERE t < 19), b AS (SELECT t, sum(a) OVER (ORDER BY t) AS x FROM inv), e AS (SELECT sum(x * x) OVER (ORDER BY t) * 1.25 AS error FROM b)
 SELECT 0.2::DOUBLE AS sampling_prob, 100.0::DOUBLE AS normalize_by, round(1.5 * 1.0 / 100 * sqrt(1.25), 10) AS stddev, round(1.5 / 2 * sqrt(avg(error)), 8) AS rmse, 10::BIGINT AS rounds FROM e""")
 def bandmf_plan(spark, sf):
     """What a plan of two bands over 20 steps and 1,000 examples says."""
@@ -525,7 +525,7 @@ def bandmf_plan(spark, sf):
     return _table(spark, [(config.sampling_prob, plan.normalize_by, plan.stddev, config.rmse, plan.event.count)], "sampling_prob double, normalize_by double, stddev double, rmse double, rounds long", stddev=10, rmse=8)
 
 
-@query("SELECT e AS epochs, i AS initial_epoch, b AS batch, ((e - i) * greatest(1, 1000 // b))::BIGINT AS steps FROM (VALUES (3), (10)) a(e), (VALUES (0), (2)) c(i), (VALUES (7), (64), (5000)) d(b)")
+@worked("SELECT e AS epochs, i AS initial_epoch, b AS batch, ((e - i) * greatest(1, 1000 // b))::BIGINT AS steps FROM (VALUES (3), (10)) a(e), (VALUES (0), (2)) c(i), (VALUES (7), (64), (5000)) d(b)")
 def steps_in_fit(spark, sf):
     from .plan import DPTrainConfig
 
@@ -596,6 +596,45 @@ def canary_eps_explicit(spark, sf):
     return _table(spark, [(audit.Frontier.of(_telling(spark, sf)).epsilon_clopper_pearson(0.05, threshold=2.0)[0],)], "epsilon double", epsilon=8)
 
 
+def _splits_sql(scores: str, splits: int, seed: int, level: float) -> str:
+    """split, threshold (null for none), epsilon: half of each side picks, by the smallest hashed draws, and the other half gives the bound."""
+    again = _BISECT.replace("u(id", "u2(id").replace("FROM asked", "FROM asked2").replace("FROM u ", "FROM u2 ").replace("b AS", "b2 AS")
+    return f"""WITH RECURSIVE s AS ({scores}),
+x AS (SELECT s.*, split, row_number() OVER (PARTITION BY split, is_in ORDER BY {uniform_sql(seed, "split", "canary_id", "split")}, canary_id) AS k, count(*) OVER (PARTITION BY split, is_in) AS size FROM s, range(0, {splits}) t(split)),
+y AS MATERIALIZED (SELECT split, score, is_in, k <= size // 2 AS picks FROM x),
+t AS (SELECT DISTINCT split, score AS threshold FROM y WHERE picks UNION SELECT split, 'infinity'::DOUBLE FROM range(0, {splits}) t(split)),
+c AS MATERIALIZED (SELECT split, threshold, count(*) FILTER (NOT is_in AND score < threshold) AS tn, count(*) FILTER (is_in AND score < threshold) AS fn FROM t JOIN y USING (split) WHERE picks GROUP BY ALL),
+h AS MATERIALIZED (SELECT * FROM c p WHERE NOT EXISTS (SELECT 1 FROM c a, c b WHERE a.split = p.split AND b.split = p.split AND (a.tn, a.fn) < (p.tn, p.fn) AND (p.tn, p.fn) < (b.tn, b.fn) AND (p.fn - a.fn) * (b.tn - p.tn) >= (b.fn - p.fn) * (p.tn - a.tn))),
+z AS (SELECT split, max(tn) AS n_out, max(fn) AS n_in, count(*) AS m FROM h GROUP BY split), q AS (SELECT h.*, n_in, n_out, m, row_number() OVER (ORDER BY split, threshold) AS id FROM h JOIN z USING (split)),
+asked AS (SELECT id, 0 AS side, fn AS x, n_in AS n, {level} / 2 / m AS level FROM q UNION ALL SELECT id, 1, n_out - tn, n_out, {level} / 2 / m FROM q), {_BISECT},
+f AS (SELECT split, arg_max(threshold, ln(1 - l.p) - ln(h.p)) FILTER (ln(1 - l.p) > ln(h.p)) AS threshold FROM q JOIN b l USING (id) JOIN b h USING (id) WHERE l.side = 0 AND h.side = 1 AND l.p < 1 GROUP BY split),
+g AS (SELECT split, any_value(threshold) AS threshold, count(*) FILTER (is_in AND score < coalesce(threshold, 'infinity')) AS missed, count(*) FILTER (is_in) AS n_in, count(*) FILTER (NOT is_in AND score >= coalesce(threshold, 'infinity')) AS wrong, count(*) FILTER (NOT is_in) AS n_out
+  FROM y LEFT JOIN f USING (split) WHERE NOT picks GROUP BY split),
+asked2 AS (SELECT split AS id, 0 AS side, missed AS x, n_in AS n, {level}::DOUBLE / 2 AS level FROM g UNION ALL SELECT split, 1, wrong, n_out, {level}::DOUBLE / 2 FROM g), {again}
+SELECT split::INTEGER AS split, threshold, round(CASE WHEN l.p < 1 THEN greatest(ln(1 - l.p) - ln(h.p), 0) ELSE 0 END, 6) AS epsilon FROM g JOIN b2 l ON l.id = split JOIN b2 h ON h.id = split WHERE l.side = 0 AND h.side = 1"""
+
+
+_NUMBERED = _TELLING[_TELLING.index("s AS (") + 6 : _TELLING.index("),\nt AS (")].replace("SELECT ", "SELECT doc_id AS canary_id, ", 1)
+
+
+def _numbered(spark, sf) -> DataFrame:
+    inside = F.col("doc_id") % 2
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("canary_id"), F.round(rng.normal(31, "canary", "doc_id") + 2 * inside, 1).alias("score"), (inside == 1).alias("is_in"))
+
+
+@query(_splits_sql(_NUMBERED, 9, 2, 0.025))
+def canary_split_bounds(spark, sf):
+    """Nine splits: the threshold that one half chose and the bound from the other."""
+    found = audit.split_bounds(_numbered(spark, sf), audit.MultiSplit(splits=9, seed=2), 0.05)
+    return found.select("split", F.when(F.col("threshold") < math.inf, F.col("threshold")).alias("threshold"), F.round("epsilon", 6).alias("epsilon"))
+
+
+_LABELLED = "SELECT doc_id AS canary_id, n_chars::DOUBLE AS score, toxic = 1 AS is_in FROM documents JOIN labels USING (doc_id)"
+ORACLES["canary_eps_splits"] = f"""SELECT 'bonferroni' AS strategy, epsilon FROM ({ORACLES["canary_eps_cp"]}) UNION ALL SELECT 'split', epsilon FROM ({_splits_sql(_LABELLED, 1, 2, 0.05)}) UNION ALL SELECT 'multi_split', median(epsilon) FROM ({_splits_sql(_LABELLED, 9, 2, 0.025)})
+UNION ALL SELECT 'explicit', epsilon FROM (WITH RECURSIVE {_HULL}, a AS (SELECT max(k) AS k FROM r WHERE threshold >= 2000), asked AS (SELECT k AS id, 0 AS side, n_in - tp AS x, n_in AS n, 0.025::DOUBLE AS level FROM r JOIN a USING (k), z UNION ALL SELECT k, 1, fp, n_out, 0.025 FROM r JOIN a USING (k), z), {_BISECT}
+  SELECT round(coalesce(greatest(max(ln(1 - l.p) - ln(h.p)), 0), 0), 6) AS epsilon FROM b l JOIN b h USING (id) WHERE l.side = 0 AND h.side = 1 AND l.p < 1)"""
+
+
 @query(f"""WITH RECURSIVE {_TELLING}, l AS (SELECT max(k) AS k FROM r, z WHERE fp <= 5), i AS (SELECT 5 / n_out::DOUBLE AS fpr, a.tpr + (5 / n_out::DOUBLE - a.fpr) / (b.fpr - a.fpr) * (b.tpr - a.tpr) AS tpr FROM z, l JOIN r a USING (k) JOIN r b ON b.k = a.k + 1),
 p AS (SELECT fpr, tpr FROM r WHERE fp >= 5 UNION ALL SELECT fpr, tpr FROM i) SELECT round(greatest(max(ln((tpr - 0.01) / fpr)), 0), 8) AS epsilon FROM p WHERE tpr > 0.01""")
 def canary_eps_raw_telling(spark, sf):
@@ -607,7 +646,7 @@ def canary_weighted_accuracy(spark, sf):
     return _table(spark, [(audit.Frontier.of(_scores(spark, sf)).max_accuracy(0.9),)], "accuracy double", accuracy=8)
 
 
-@query("SELECT * FROM (VALUES ('joint', round(0.5::DOUBLE / 10, 9)), ('leaves', round(sqrt(0.3::DOUBLE ** 2 + 0.4::DOUBLE ** 2), 9)), ('rescaled', round(sqrt(2.0::DOUBLE) / 4, 9)), ('grid', 1024.0::DOUBLE), ('tightened', round(0.5::DOUBLE - 8 * (0.5::DOUBLE / 1024) / 2, 9)), ('replaced', round(2 * 0.5::DOUBLE, 9))) t(kind, bound)")
+@worked("SELECT * FROM (VALUES ('joint', round(0.5::DOUBLE / 10, 9)), ('leaves', round(sqrt(0.3::DOUBLE ** 2 + 0.4::DOUBLE ** 2), 9)), ('rescaled', round(sqrt(2.0::DOUBLE) / 4, 9)), ('grid', 1024.0::DOUBLE), ('tightened', round(0.5::DOUBLE - 8 * (0.5::DOUBLE / 1024) / 2, 9)), ('replaced', round(2 * 0.5::DOUBLE, 9))) t(kind, bound)")
 def clip_bounds(spark, sf):
     """How far a row moves a sum under each way to clip."""
     leaves = {"a": 0.3, "b": 0.4}
@@ -624,9 +663,32 @@ def gathered_with_padding(spark, sf):
     return full.groupBy("step").agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT 40::INTEGER AS steps, 32.0::DOUBLE AS normalize_by, 0.0::DOUBLE AS stddev, true AS unbounded")
+@worked("SELECT 40::INTEGER AS steps, 32.0::DOUBLE AS normalize_by, 0.0::DOUBLE AS stddev, true AS unbounded")
 def non_private_plan(spark, sf):
     from .plan import NonPrivateConfig
 
     plan = NonPrivateConfig(40, 32).make()
     return spark.createDataFrame([(plan.sampler.iterations, plan.normalize_by, plan.stddev, math.isinf(plan.epsilon(1e-6)))], "steps int, normalize_by double, stddev double, unbounded boolean")
+
+
+# --- discrete noise ------------------------------------------------------------------------------------------------------------------
+
+_SIGMA = 20.0
+_KEEP = -math.expm1(-1 / (1.3 * _SIGMA))
+
+
+def _discrete_sql(column: str, source: str) -> str:
+    """The draw of every row (o_custkey) of a table."""
+    part = lambda name: f"greatest(ceil(ln({uniform_sql(41, f'discrete/{column}/{name}', 'o_custkey', 'k')}) / {math.log1p(-_KEEP)!r}::DOUBLE), 1)::BIGINT"
+    far = f"(abs(x) - {_SIGMA * _SIGMA / (1.3 * _SIGMA)!r}::DOUBLE)"
+    return f"""WITH RECURSIVE d(o_custkey, k, x, found) AS (SELECT o_custkey, 0, 0::BIGINT, false FROM {source} UNION ALL
+SELECT o_custkey, k, x, {uniform_sql(41, f"discrete/{column}/keep", "o_custkey", "k")} < exp(-({far} * {far}) / {2 * _SIGMA * _SIGMA!r}::DOUBLE) FROM (SELECT o_custkey, k + 1 AS k FROM d WHERE NOT found), LATERAL (SELECT {part("a")} - {part("b")} AS x))
+SELECT o_custkey, x FROM d WHERE found"""
+
+
+@query(f"""WITH g AS (SELECT o_custkey, count(*) AS orders, sum(floor(o_totalprice)::BIGINT)::BIGINT AS spend FROM orders GROUP BY o_custkey), a AS ({_discrete_sql("orders", "g")}), b AS ({_discrete_sql("spend", "g")})
+SELECT o_custkey, orders + a.x AS orders, spend + b.x AS spend FROM g JOIN a USING (o_custkey) JOIN b USING (o_custkey)""")
+def discrete_noise_by_customer(spark, sf):
+    """Whole-number noise of deviation 20 on each customer's orders and spend in whole units."""
+    sums = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.floor("o_totalprice")).alias("spend"))
+    return noise.discrete_gaussian_noise(sums, ["o_custkey"], ["orders", "spend"], _SIGMA, 41)

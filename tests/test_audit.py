@@ -89,3 +89,40 @@ def test_counts_over_many_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     t = [*np.unique(np.concatenate([inside, outside])).tolist(), float("inf")]
     assert got == [(x, int((outside < x).sum()), int((inside < x).sum())) for x in t]
+
+
+def canaries(spark, n=4000, shift=1.5):
+    g = np.random.default_rng(8)
+    rows = [(i, float(np.round(g.normal(shift * (i % 2)), 2)), i % 2 == 1) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "canary_id long, score double, is_in boolean")
+
+
+@pytest.mark.parametrize("held", [7, 10_000])
+def test_splits_have_exact_sizes(spark, held):
+    rows, df = canaries(spark, 501)
+    for share in (0.0, 0.3, 0.5, 1.0):
+        parted = A._parted(df, 3, share, 5, held=held).groupBy("split", "is_in").agg({"picks": "count_if", "score": "count"}).collect()
+        sizes = {True: 250, False: 251}
+        assert {(r.split, r.is_in, r["count_if(picks)"], r["count(score)"]) for r in parted} == {(k, s, int(n * share), n) for k in range(3) for s, n in sizes.items()}
+
+
+def test_split_bounds_against_arrays(spark):
+    rows, df = canaries(spark)
+    parted = A._parted(df, 4, 0.5, 5).collect()
+    for r in A.split_bounds(df, A.MultiSplit(splits=4, seed=5), 0.1).collect():
+        side = lambda picks, inside: [p.score for p in parted if p.split == r.split and p.picks == picks and p.is_in == inside]  # noqa: B023, E731
+        _, threshold = A.Frontier.of_arrays(side(True, True), side(True, False)).epsilon_clopper_pearson(0.05)
+        assert r.threshold == threshold
+        inside, outside = np.array(side(False, True)), np.array(side(False, False))
+        low, high = 1 - A.clopper_pearson_upper(int((inside < threshold).sum()), len(inside), 0.025), A.clopper_pearson_upper(int((outside >= threshold).sum()), len(outside), 0.025)
+        assert r.epsilon == pytest.approx(max(0, np.log(low) - np.log(high))) and r.epsilon > 0.5
+
+
+def test_jackknife_over_classes_is_that_over_canaries(spark):
+    rows, df = canaries(spark, 60)
+    inside, outside = ([x for _, x, i in rows if i == side] for side in (True, False))
+    values = [A.Frontier.of_arrays(inside[:k] + inside[k + 1 :], outside).auroc() for k in range(30)] + [A.Frontier.of_arrays(inside, outside[:k] + outside[k + 1 :]).auroc() for k in range(30)]
+    d = np.mean(values) - np.array(values)
+    score = np.unique(inside + outside)
+    shared = spark.sparkContext.broadcast((score, np.array([inside.count(x) for x in score]), np.array([outside.count(x) for x in score])))
+    assert A.acceleration(spark, shared, lambda f: f.auroc()) == pytest.approx((d**3).sum() / (6 * (d**2).sum() ** 1.5))

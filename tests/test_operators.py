@@ -273,6 +273,12 @@ def test_discrete_gaussian(spark):
     df = spark.range(100).select(F.col("id").alias("coord"), F.lit(5).cast("long").alias("value"))
     a, b = ({r.coord: r.value for r in noise.discrete_gaussian_noise(d, ["coord"], "value", 3.0, 7).collect()} for d in (df, df.repartition(5)))
     assert a == b and len(set(a.values())) > 3
+    # A row's draw hangs on its own keys only, and draws follow the law.
+    part = {r.coord: r.value for r in noise.discrete_gaussian_noise(df.where("coord % 7 = 3"), ["coord"], "value", 3.0, 7).collect()}
+    assert part == {c: v for c, v in a.items() if c % 7 == 3}
+    drawn = np.array([r.x for r in spark.range(20_000).select(noise.discrete_normal(3, "law", 2.0, "id").alias("x")).collect()])
+    assert [(drawn == v).mean() for v in k] == pytest.approx((p / p.sum()).tolist(), abs=0.012)
+    assert spark.range(3).select(noise.discrete_normal(3, "law", 0, "id").alias("x")).distinct().collect()[0].x == 0
 
 
 # --- Monte Carlo
