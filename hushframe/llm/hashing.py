@@ -31,9 +31,12 @@ class Ranges:
         every = np.ndarray((max(1, len(data)),), "<u8", data + bytes(8), strides=(1,))
         self.blocks = every[at] & _MASK[np.minimum(np.repeat(stops, self.sizes) - at, 8)]
 
-    def hashes(self) -> np.ndarray:
-        """Each block is mixed with its place before blocks are added up, so that nothing cancels out by its form."""
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """Each block is mixed with its place and a key before blocks are added up, so that nothing cancels out by its form.
+
+        Without the key, no texts can be made up whose hashes agree; for any two ranges they do with a chance of about 1 in 2^64.
+        """
         if not len(self.sizes):
             return np.empty(0, _U)
-        each = mixed(self.blocks ^ mixed(self.place.astype(_U) + _U(0x9E3779B97F4A7C15)))
+        each = mixed(self.blocks ^ mixed(self.place.astype(_U) + (_U(0x9E3779B97F4A7C15) ^ _U(key))))
         return mixed(np.add.reduceat(each, self.first) ^ mixed(self.lengths.astype(_U)))

@@ -13,8 +13,9 @@ classes of a bucket that are still unconnected are compared with each other.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,18 @@ _SPACE[[32, *range(9, 14)]] = True
 _STEP = 0x9E3779B97F4A7C15
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of the text, A-Z in lower case."""
+def word_hashes(text: str | None, key: int = 0) -> np.ndarray:
+    """A 64-bit keyed hash for each word of the text, A-Z in lower case."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~_SPACE[np.frombuffer(raw, np.uint8)]
     step = np.diff(inside)
-    return Ranges(raw, np.flatnonzero(step > 0), np.flatnonzero(step < 0)).hashes()
+    return Ranges(raw, np.flatnonzero(step > 0), np.flatnonzero(step < 0)).hashes(key)
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; a text with fewer words is one shingle, one without words none."""
-    h = word_hashes(text)
+def shingles(text: str | None, words: int = 5, key: int = 0) -> np.ndarray:
+    """Sorted distinct keyed hashes of the text's shingles; a text with fewer words is one shingle, one without words none."""
+    h = word_hashes(text, key)
     if len(h) < words:
         if not len(h):
             return h
@@ -66,6 +67,8 @@ class Family:
     bands: int = 32
     rows: int = 4
     bits: int = 4
+    #: Words are hashed with it. It is drawn anew for each family and known to tasks only, so that no text can be made to collide with another.
+    key: int = field(default_factory=lambda: secrets.randbits(64), repr=False)
 
     @property
     def size(self) -> int:
@@ -128,7 +131,7 @@ def _local_classes(docs: DataFrame, words: int, family: Family) -> DataFrame:
         found: dict[bytes | None, list] = {}
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = shingles(text, words)
+                values = shingles(text, words, family.key)
                 key = _key(values.tobytes()) if len(values) else None
                 if key in found:
                     found[key][0].append(doc_id)
@@ -146,12 +149,12 @@ def _local_classes(docs: DataFrame, words: int, family: Family) -> DataFrame:
     return written(docs.mapInArrow(run, "members array<bigint>, low long, n long, set_key binary, signature array<bigint>, bands array<bigint>"), "shingled")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int, hash_key: int) -> DataFrame:
     """id and sorted shingles (array) of the classes that `wanted` names, from the whole text of a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingles(x, words) for x in batch.column(1).to_pylist()]
+            values = [shingles(x, words, hash_key) for x in batch.column(1).to_pylist()]
             yield pa.record_batch({"set_key": pa.array([_key(x.tobytes()) for x in values], pa.binary()), "values": pa.array([x.view(np.int64) for x in values], pa.list_(pa.int64()))})
 
     named = classes.join(wanted.select("id"), "id", "left_semi").select("id", "set_key", "low")
@@ -207,7 +210,7 @@ def _found(docs: DataFrame, least: float, words: int, family: Family | None, par
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar by their full sets."""
-        values = _sets(source, pairs.select(F.explode(F.array("u", "v")).alias("id")), classes, words)
+        values = _sets(source, pairs.select(F.explode(F.array("u", "v")).alias("id")), classes, words, family.key)
         both = pairs.join(values.select(F.col("id").alias("u"), F.col("values").alias("a")), "u").join(values.select(F.col("id").alias("v"), F.col("values").alias("b")), "v")
         return checkpointed(both.where(_similar(F.col("a"), F.col("b"), least)).select("u", "v"))
 
@@ -225,7 +228,7 @@ def _found(docs: DataFrame, least: float, words: int, family: Family | None, par
     if not open_.isEmpty():
         dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.select("band", "id", "label", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-        more = _sets(source, open_.select("id"), classes, words).join(classes.select("id", "n", "signature", "bands"), "id")
+        more = _sets(source, open_.select("id"), classes, words, family.key).join(classes.select("id", "n", "signature", "bands"), "id")
         full = written(dealt.join(more, "id"), "meeting")
         left, right, col = full.alias("l"), full.alias("r"), F.col
         cell = (col("l.band") == col("r.band")) & (col("l.p") == col("r.p")) & (col("l.q") == col("r.q"))
@@ -248,7 +251,8 @@ def deduplicate(docs: DataFrame, *, least: float = 0.75, words: int = 5, doc_id:
 
     Null ids and texts, repeated rows and empty tables are as there. Where rows with different texts share an id, each stays or goes by its own text; equal rows stay or go together.
     """
-    found = written(_found(docs, least, words, None, 4096, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_set"), "kept"), "found")
+    family = Family()
+    found = written(_found(docs, least, words, family, 4096, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_set"), "kept"), "found")
     by_id = found.groupBy("_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
     # Columns are named by their tables, as documents may have any names.
     among = lambda rows, ids: rows.join(ids, rows[f"`{doc_id}`"].cast("long").eqNullSafe(ids["_id"]), "left_semi")
@@ -260,7 +264,7 @@ def deduplicate(docs: DataFrame, *, least: float = 0.75, words: int = 5, doc_id:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingles(x, words) for x in batch.column(at).to_pylist()]
+            values = [shingles(x, words, family.key) for x in batch.column(at).to_pylist()]
             yield batch.append_column("_set_of", pa.array([_key(x.tobytes()) if len(x) else None for x in values], pa.binary()))
 
     mine = among(docs, split).mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_set_of", BinaryType())]))

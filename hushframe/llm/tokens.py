@@ -2,11 +2,12 @@
 
 A text is cut where the pre-tokenizer always cuts, so that the ids of a text are the ids of its chunks put together; every chunk
 is encoded by the library itself. Chunks are found, hashed and looked up for many texts at once in NumPy; a chunk that is found by its
-64-bit hash is compared with the one remembered, byte for byte. Texts with unusual white space, where cutting could change the result, are handed to the library whole.
+64-bit hash is compared with the one remembered, byte for byte. Texts with unusual white space or with the string of a special token, where cutting could change the result, are handed to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
@@ -22,13 +23,14 @@ _DOUBLE = ("  ", " \n", "\n ", "\n\n")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
+
 @lru_cache(maxsize=4)
-def load(path: str):
-    """The tokenizer; strings of its special tokens inside a text are ordinary text."""
+def load(path: str, special_as_text: bool = False):
+    """The tokenizer. As the library has it, the string of a special token inside a text is that token's id; with `special_as_text` it is ordinary text."""
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found.encode_special_tokens = special_as_text
     return found
 
 
@@ -81,8 +83,11 @@ class ChunkEncoder:
     white space. About `remembered` chunks are kept; more only cost time.
     """
 
-    def __init__(self, path: str, *, spaces_matter: bool, remembered: int = 500_000) -> None:
-        self._tokenizer, self._spaces, self._limit = load(path), spaces_matter, remembered
+    def __init__(self, path: str, *, spaces_matter: bool, remembered: int = 500_000, special_as_text: bool = False) -> None:
+        self._tokenizer, self._spaces, self._limit = load(path, special_as_text), spaces_matter, remembered
+        special = [] if special_as_text else [x.content for x in self._tokenizer.get_added_tokens_decoder().values()]
+        # What all of them begin with is looked for first; case folding of chunks must not make one either.
+        self._sign, self._special = os.path.commonprefix(special), re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         # Its own cache would be full of words that are remembered here.
         getattr(self._tokenizer.model, "_resize_cache", lambda _: None)(0)
         vocab = self._tokenizer.get_vocab()
@@ -96,6 +101,8 @@ class ChunkEncoder:
 
     def _whole(self, text: str) -> bool:
         """Whether a text must not be cut."""
+        if self._special and self._sign in text and self._special.search(text):
+            return True
         return bool(_UNUSUAL.search(text)) or self._spaces and (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _DOUBLE))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -220,8 +227,6 @@ def _opens(first: np.ndarray, positions: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=2)
 def encoder(path: str, spaces_matter: bool) -> ChunkEncoder:
     """One encoder for all tasks of a Python worker."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path, spaces_matter=spaces_matter)
 

@@ -138,3 +138,12 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_words_that_agree_without_a_key(spark):
+    """Two words that were made up so that their hashes with the public constants agree: without a secret key one would be deleted for the other."""
+    a, b = "qw7b3pdkhx4py8gp", "q0jpede3e.,f)6;m"
+    assert N.word_hashes(a) == N.word_hashes(b) and N.word_hashes(a, 1) != N.word_hashes(b, 1)
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in N.near_duplicates(docs).collect()) == [(1, 1), (2, 2)]
+    assert N.deduplicate(docs).count() == 2

@@ -7,17 +7,22 @@ from tokenizers import Tokenizer
 from hushframe.llm import packing, wavelet
 from hushframe.llm.tokens import ChunkEncoder, default_path
 
-ODD = [None, "", " ", "a  b", "a\n\nb", " a", "a ", "a\tb", "it's  'll foo.", "Σας ΣΑΣ İstanbul, İ.", "é éx", "a <|endoftext|> b", "x" * 3000, "a\x1cb", "a b\nc d", "foo,\nBar!!. x²,", "a  b", "a\0b c"]
+ODD = [None, "", " ", "a  b", "a\n\nb", " a", "a ", "a\tb", "it's  'll foo.", "Σας ΣΑΣ İstanbul, İ.", "é éx", "a <|endoftext|> b", "a<|endoftext|>", "x <|ENDOFTEXT|> <|startoftext|>y z", "<|endoftext|><|EndOfText|>", "a <|endoftext b", "x" * 3000, "a\x1cb", "a b\nc d", "foo,\nBar!!. x²,", "a  b", "a\0b c"]
 
 
 @pytest.mark.parametrize(("file", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunks_give_the_library_ids(file, spaces):
     reference = Tokenizer.from_file(default_path(file))
-    reference.encode_special_tokens = True
     found = ChunkEncoder(default_path(file), spaces_matter=spaces).encode(ODD)
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [reference.encode(x or "", add_special_tokens=False).ids for x in ODD]
 
 
+@pytest.mark.parametrize(("file", "spaces", "n"), [("word_bpe_49k.json", False, 3), ("byte_bpe_50k.json", True, 4)])
+def test_special_tokens_are_one_id_unless_they_are_text(file, spaces, n):
+    plain, text = (ChunkEncoder(default_path(file), spaces_matter=spaces, special_as_text=x).encode(["ab <|endoftext|> cd"])[0] for x in (False, True))
+    assert len(plain) == 4 * n and len(text) > len(plain)
+
+
 def thue_morse(n, a="q", b="z"):
     """Two words of n letters on which every polynomial hash modulo a power of two agrees."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
@@ -40,7 +45,6 @@ def test_chunks_with_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(tokens.Ranges, "hashes", lambda self: self.lengths.astype(np.uint64) % np.uint64(3))
     for file, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         reference = Tokenizer.from_file(default_path(file))
-        reference.encode_special_tokens = True
         texts = [*ODD, "some words, of several sizes. and more of them", "of several words", "aaaaaaaaaaaaaaaa aaaaaaaaaaaaaaab aaaaaaaa", "x"]
         e = ChunkEncoder(default_path(file), spaces_matter=spaces)
         for _ in range(2):
@@ -54,7 +58,6 @@ def test_ids_of_the_table(spark, query):
 
     file, end = ("word_bpe_49k.json", 1) if query.startswith("op2") else ("byte_bpe_50k.json", 0)
     reference = Tokenizer.from_file(default_path(file))
-    reference.encode_special_tokens = True
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     ids = {i: np.array([*x.ids, end], "<u4") for i, x in zip(texts, reference.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
     rows, seen = QUERIES[query](spark, "/root/testdata/sf0.01").collect(), dict.fromkeys(texts, 0)
@@ -104,7 +107,6 @@ def test_shards_read_back(spark):
     assert shards.count() > 2
     got = wavelet.read_shards(shards).orderBy("doc_id").collect()
     reference, start = Tokenizer.from_file(tokenizer), 0
-    reference.encode_special_tokens = True
     for row, text in zip(got, texts, strict=True):
         ids = np.array([*reference.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
@@ -124,7 +126,6 @@ def test_packing_covers_every_id_once(spark):
     tokenizer = default_path("byte_bpe_50k.json")
     got = packing.pack(_docs(spark, texts).repartition(7), tokenizer, window=256, open_windows=4, fan_in=2).collect()
     reference = Tokenizer.from_file(tokenizer)
-    reference.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
