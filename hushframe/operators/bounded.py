@@ -66,7 +66,8 @@ def scale_for(length: Column, clip: float, *, rescale: bool = False) -> Column:
 
 
 def scaled(vector: Column, scale: Column) -> Column:
-    return F.transform(vector, lambda x: x * scale)
+    """The vector times a number that is worked out once, not for each coordinate."""
+    return F.transform(F.array(scale), lambda s: F.transform(vector, lambda x: x * s))[0]
 
 
 def with_clipped(df: DataFrame, leaves: Sequence[str], clip: float | Mapping[str, float], *, rescale: bool = False, nan_safe: bool = True, norm_column: str = "norm") -> DataFrame:
@@ -116,7 +117,7 @@ def to_grid(vector: Column, clip: float, grid: int, size: int) -> Column:
     """Whole numbers, ties to even, of norm at most `grid`."""
     tight = tightened_clip(clip, grid, size)
     scale = scale_for(norm(vector), tight)
-    return F.transform(vector, lambda x: F.rint(x * scale * (grid / clip)).cast("bigint"))
+    return F.transform(F.array(scale), lambda s: F.transform(vector, lambda x: F.rint(x * s * (grid / clip)).cast("bigint")))[0]
 
 
 @dataclass(frozen=True)
@@ -195,7 +196,7 @@ def gradients(df: DataFrame, kind: str, features: str, target: str, weights: Seq
         return df.withColumn("gradient", F.zip_with(w, x, lambda a, b: a - b))
     else:
         raise ValueError(f"unknown loss {kind!r}")
-    return df.withColumn("_factor", factor).withColumn("gradient", F.transform(x, lambda v: v * F.col("_factor"))).drop("_factor")
+    return df.withColumn("gradient", scaled(x, factor))
 
 
 def masked_mean(value: Column, is_padding: Column) -> Column:

@@ -12,7 +12,7 @@ from hushframe.account import events as ev
 from hushframe.account import rdp
 from hushframe.functions import rng
 from hushframe.functions.rng import normal_sql, uniform_sql
-from hushframe.operators import audit, bounded, montecarlo, noise, owners, padding, sampling, steps
+from hushframe.operators import audit, bounded, montecarlo, noise, owners, padding, rowwise, sampling, steps
 from hushframe.sources.tables import gather, read, scratch
 from hushframe.strategy import banded, blt, dense, sensitivity, toeplitz
 
@@ -692,3 +692,55 @@ def discrete_noise_by_customer(spark, sf):
     """Whole-number noise of deviation 20 on each customer's orders and spend in whole units."""
     sums = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.floor("o_totalprice")).alias("spend"))
     return noise.discrete_gaussian_noise(sums, ["o_custkey"], ["orders", "spend"], _SIGMA, 41)
+
+
+# --- clipped sums of functions -------------------------------------------------------------------------------------------------------
+
+
+def _moments(pdf):
+    """Of each embedding, itself less a tenth and its squares, and two numbers to look at."""
+    x = np.stack([np.asarray(v, float) for v in pdf.embedding])
+    return {"centred": x - 0.1, "squares": x * x, "mean": x.mean(axis=1), "largest": x.max(axis=1)}
+
+
+_MADE = """m AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE - 0.1) AS c, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS s, list_avg(list_transform(embedding, lambda x: x::DOUBLE)) AS mean, list_max(embedding)::DOUBLE AS largest FROM embeddings WHERE vec_id % 5 <> 0),
+n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x)) + list_sum(list_transform(s, lambda x: x * x))) AS norm FROM m)"""
+
+
+def _function_sum(spark, sf) -> rowwise.FunctionSum:
+    rows = read(spark, sf, "embeddings").withColumn("left_out", F.col("vec_id") % 5 == 0)
+    return rowwise.function_sum(rows, _moments, ["centred", "squares"], 1.2, aux=["mean", "largest"], by=["label"], padding="left_out")
+
+
+@query(f"WITH {_MADE}, e AS (SELECT label, 'centred' AS leaf, norm, unnest(c) AS x, unnest(range(0, 64)) AS coord FROM n UNION ALL SELECT label, 'squares', norm, unnest(s), unnest(range(0, 64)) FROM n) SELECT label, leaf, coord::INTEGER AS coord, round(sum(x * CASE WHEN norm > 1.2 THEN 1.2 / norm ELSE 1 END), 6) AS value FROM e GROUP BY ALL")
+def function_sum_by_label(spark, sf):
+    """The clipped sum of a user's function over embeddings, one row in five left out as padding."""
+    return _function_sum(spark, sf).sums._df.select("label", "leaf", "coord", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_MADE} SELECT label, count(*) AS n, round(avg(norm), 8) AS norm, count(*) FILTER (norm > 1.2) AS clipped, round(avg(mean), 8) AS mean, round(max(largest), 6) AS largest FROM n GROUP BY label")
+def function_outputs_by_label(spark, sf):
+    """Norms and auxiliary outputs of the same pass."""
+    rows = _function_sum(spark, sf).rows
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("norm"), 8).alias("norm"), F.count_if(F.col("norm") > 1.2).alias("clipped"), F.round(F.avg("mean"), 8).alias("mean"), F.round(F.max("largest"), 6).alias("largest"))
+
+
+def _spent(pdf):
+    return {"amount": pdf.value.to_numpy(float), "visits": np.ones(len(pdf)), "high": (pdf.value > 50).to_numpy(float)}
+
+
+_PER_USER = """p AS (SELECT user_id, event_type, sum(value) AS amount, count(*)::DOUBLE AS visits FROM events GROUP BY ALL), u AS (SELECT user_id, sqrt(sum(amount * amount)) AS a, sqrt(sum(visits * visits)) AS v FROM p GROUP BY user_id)"""
+
+
+@query(f"""WITH {_PER_USER} SELECT event_type, leaf, 0 AS coord, round(sum(x), 4) AS value FROM (SELECT event_type, 'amount' AS leaf, amount * CASE WHEN a > 100 THEN 100 / a ELSE 1 END AS x FROM p JOIN u USING (user_id)
+UNION ALL SELECT event_type, 'visits', visits * CASE WHEN v > 3 THEN 3 / v ELSE 1 END FROM p JOIN u USING (user_id)) GROUP BY ALL""")
+def function_sum_by_user(spark, sf):
+    """Each user's sums over event types clipped leaf by leaf."""
+    found = rowwise.function_sum(read(spark, sf, "events"), _spent, ["amount", "visits"], {"amount": 100.0, "visits": 3.0}, aux=["high"], by=["event_type"], unit="user_id")
+    return found.sums._df.select("event_type", "leaf", F.col("coord").cast("int").alias("coord"), F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {_PER_USER}, h AS (SELECT user_id, count(*) AS n, avg((value > 50)::INT) AS high FROM events GROUP BY user_id) SELECT user_id, n, round(sqrt(a * a + v * v), 6) AS norm, round(high, 8) AS high FROM u JOIN h USING (user_id)")
+def function_outputs_by_user(spark, sf):
+    found = rowwise.function_sum(read(spark, sf, "events"), _spent, ["amount", "visits"], 100.0, aux=["high"], by=["event_type"], unit="user_id")
+    return found.rows.select("user_id", "n", F.round("norm", 6).alias("norm"), F.round("high", 8).alias("high"))

@@ -3,7 +3,6 @@ as long as the model is wide. Plans and noise are replayed from seeds, so traini
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.operators import rowwise
+
 from .optimizers import Optimizer
 from .plan import Plan
 
@@ -50,34 +51,32 @@ def clipped_gradient_sum(rows: DataFrame, gradient: Gradient, params: np.ndarray
 
     Every task sends one partial sum.
     """
-    width = len(params)
-
-    def clipped(g: np.ndarray) -> np.ndarray:
-        g = g if scale is None else g * scale
-        norms = np.sqrt((g**2).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            factor = np.where(norms > clip, clip / norms, 1.0) if math.isfinite(clip) else np.ones(len(g))
-        factor = np.where(np.isfinite(norms), factor, 0.0)
-        return np.nan_to_num(g, nan=0.0, posinf=0.0, neginf=0.0) * factor[:, None]
-
-    def partial(batches):
-        total, n = np.zeros(width), 0
-        for pdf in batches:
-            if len(pdf):
-                total += clipped(gradient(pdf, params)).sum(axis=0)
-                n += len(pdf)
-        yield pd.DataFrame({"total": [total.tolist()], "n": [n]})
-
-    def user(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"total": [clipped(gradient(pdf, params).sum(axis=0, keepdims=True))[0].tolist()], "n": [1]})
-
-    schema = "total array<double>, n long"
-    parts = rows.mapInPandas(partial, schema) if unit is None else rows.groupBy(unit).applyInPandas(user, schema)
-    found = parts.select("n", F.posexplode("total").alias("coord", "x")).groupBy("coord").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    out = np.zeros(width)
+    def leaf(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {"gradient": gradient(pdf, params)}
+
+    scaled = None if scale is None else lambda leaves: {"gradient": leaves["gradient"] * scale}
+    if unit is None:
+        parts = rows.mapInPandas(lambda batches: _partial(batches, leaf, scaled, clip, len(params)), "total array<double>, n long")
+        found = parts.select("n", F.posexplode("total").alias("coord", "x")).groupBy("coord").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+        n = found[0].n if found else 0
+    else:
+        made = rowwise.function_sum(rows, leaf, ["gradient"], clip, unit=unit, pre_clip=scaled)
+        found, n = made.sums._df.select("coord", F.col("value").alias("x")).collect(), made.rows.count()
+    out = np.zeros(len(params))
     for r in found:
         out[r.coord] = r.x
-    return out, found[0].n if found else 0
+    return out, n
+
+
+def _partial(batches, leaf: rowwise.RowFunction, scaled: rowwise.PreClip | None, clip: float, width: int):
+    """A task's sum of clipped rows, and how many there were."""
+    total, n = np.zeros(width), 0
+    for pdf in batches:
+        if len(pdf):
+            vectors, _ = rowwise.outputs_of(leaf, pdf, ["gradient"], [], scaled)
+            total += rowwise.clipped(vectors, clip)[0]["gradient"].sum(axis=0)
+            n += len(pdf)
+    yield pd.DataFrame({"total": [total.tolist()], "n": [n]})
 
 
 @dataclass

@@ -3,12 +3,13 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators import bounded as B
 from hushframe.operators import montecarlo as M
-from hushframe.operators import noise, owners, padding, sampling
+from hushframe.operators import noise, owners, padding, rowwise, sampling
 from hushframe.sources import tables
 
 
@@ -53,6 +54,61 @@ def test_grid_norm_and_user_clip(spark):
     assert B.clipped_sum(grads, ["gradient"], 2.5)._df.first().value == pytest.approx(-3.5)
 
 
+# --- sums of functions
+
+
+def _both():
+    # Workers can't import this module, so the function is made here and sent by value.
+    def made(pdf):
+        x = np.stack([np.asarray(v, float) for v in pdf.v])
+        return {"a": x, "b": x[:, 0] ** 2, "first": x[:, 0]}
+
+    return made
+
+
+both = _both()
+
+
+VECTORS = [(0, 1, [3.0, 4.0], False), (1, 1, [0.0, 0.0], False), (2, 2, [1.0, math.nan], False), (3, 2, [6.0, 8.0], True), (4, None, [0.3, 0.4], False), (5, 1, [-1.0, 2.0], None)]
+
+
+@pytest.mark.parametrize(("clip", "rescale"), [(1.0, False), (1.0, True), (0.0, False), (math.inf, False), ({"a": 1.0, "b": 0.5}, False)])
+def test_function_sums(spark, clip, rescale):
+    df = spark.createDataFrame(VECTORS, "row long, user long, v array<double>, pad boolean").repartition(3)
+    found = rowwise.function_sum(df, both, ["a", "b"], clip, aux=["first"], padding="pad", rescale=rescale, normalize_by=2.0)
+    kept = [v for _, _, v, pad in VECTORS if not pad]
+    leaves = {"a": np.array(kept), "b": np.array([[v[0] ** 2] for v in kept])}
+    want, norms = {}, np.sqrt(sum((x * x).sum(axis=1) for x in leaves.values()))
+    for k, x in leaves.items():
+        for row, total in zip(x, norms, strict=True):
+            size, bound = (np.sqrt((row * row).sum()), clip[k]) if isinstance(clip, dict) else (total, clip)
+            scale = 1.0 if bound == math.inf or not np.isfinite(total) else 1 / max(size, bound) if rescale else min(1.0, bound / size if size else 1.0)
+            for i, y in enumerate(row if np.isfinite(total) else np.zeros(len(row))):
+                want[k, i] = want.get((k, i), 0.0) + y * scale / 2
+    got = {(r.leaf, r.coord): r.value for r in found.sums._df.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert sorted(r["first"] for r in found.rows.collect()) == sorted(v[0] for v in kept) and found.rows.count() == 5
+    assert found.sums.l2_bound == B.bound_of(clip, rescale=rescale, normalize_by=2.0)
+
+
+def test_function_sums_of_users(spark):
+    df = spark.createDataFrame([r for r in VECTORS if r[0] != 2], "row long, user long, v array<double>, pad boolean").repartition(4)
+    found = rowwise.function_sum(df, both, ["a"], 5.0, aux=["first"], unit="user")
+    own = {1: np.array([2.0, 6.0]), 2: np.array([6.0, 8.0]), None: np.array([0.3, 0.4])}
+    want = sum(v * min(1, 5 / np.linalg.norm(v)) for v in own.values())
+    assert [r.value for r in found.sums._df.orderBy("coord").collect()] == pytest.approx(want.tolist())
+    rows = {r.user: (r.n, r.norm, r["first"]) for r in found.rows.collect()}
+    assert rows[1] == (3, pytest.approx(40**0.5), pytest.approx(2 / 3)) and rows[None][0] == 1
+
+
+def test_function_sums_refuse(spark):
+    df = spark.createDataFrame(VECTORS, "row long, user long, v array<double>, pad boolean")
+    for bad in (lambda: rowwise.function_sum(df, both, ["a"], {"b": 1.0}), lambda: rowwise.function_sum(df, both, ["a"], -1.0).sums._df.collect(), lambda: rowwise.outputs_of(both, pd.DataFrame({"v": [[1.0]]}), ["c"], [])):
+        with pytest.raises(Exception, match=r"clip|no \['c'\]"):
+            bad()
+    assert rowwise.function_sum(df.limit(0), both, ["a"], 1.0).sums._df.count() == 0
+
+
 # --- sampling
 
 
