@@ -527,7 +527,7 @@ def private_training(spark, sf):
     from .train import Trainer, logistic_gradient
 
     data = read(spark, sf, "embeddings").select(F.col("vec_id").alias("example_id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") == 0).cast("double").alias("y"))
-    plan = BandMFConfig((1.0, 0.5), 5, 1.0, noise_multiplier=1.0, num_examples=500).make()
+    plan = BandMFConfig((1.0, 0.5), 5, 1.0, noise_multiplier=1.0, num_examples=data.count()).make()
     state = Trainer(plan, logistic_gradient, SGD(0.5), seed=1).fit(data, np.zeros(64))
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(state["params"])], "coord int, weight double")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.operators import rowwise
+from hushframe.sources.tables import checkpointed, scratch
 
 from .optimizers import Optimizer
 from .plan import Plan
@@ -123,19 +124,34 @@ class Trainer:
         update, inner = self.optimizer.update(total / self.plan.normalize_by + self.noise(state["step"], len(params)), inner, params)
         return {"step": state["step"] + 1, "params": (params + update).tolist(), "optimizer": _listed(inner)}
 
-    def fit(self, data: DataFrame, params: np.ndarray | None = None, *, state: dict | None = None, steps: int | None = None, callback: Callable[[dict], None] | None = None) -> dict:
-        """Train from parameters, or go on from a state. The drawn ids of all steps are one table, which isn't shown to anyone."""
+    def batches(self, data: DataFrame, path: str | None = None) -> str:
+        """Write the drawn rows of all steps to a folder, files by step, and return it; training from there reads what was drawn and nothing else.
+
+        The table is read once and the drawn rows are shuffled once. The folder's last file tells which steps have rows. It holds private rows: it isn't shown to anyone.
+        """
+        spark = data.sparkSession
+        path = path or scratch(spark, "batches")
+        drawn = checkpointed(self.plan.sampler.plan(data.select("example_id"), self.seed).select("step", "example_id"))
+        sizes = drawn.groupBy("step").agg(F.count("*").alias("rows"))
+        # A step is as many files as it has hundreds of thousands of rows.
+        files = F.pmod(F.xxhash64("example_id"), F.lit(1 + (sizes.agg(F.max("rows")).first()[0] or 0) // 200_000))
+        data.join(drawn.withColumnRenamed("step", "_step"), "example_id").repartition("_step", files).write.partitionBy("_step").parquet(f"{path}/rows")
+        sizes.coalesce(1).write.parquet(f"{path}/steps")
+        return path
+
+    def fit(self, data: DataFrame, params: np.ndarray | None = None, *, state: dict | None = None, steps: int | None = None, batches: str | None = None, callback: Callable[[dict], None] | None = None) -> dict:
+        """Train from parameters, or go on from a state. The rows of all steps are drawn at once, or come from the folder `batches` that was written for this plan and seed."""
         state = state or self.init(params)
-        drawn = self.plan.sampler.plan(data.select("example_id"), self.seed).persist()
         total = self.plan.sampler.iterations if steps is None else min(self.plan.sampler.iterations, state["step"] + steps)
-        try:
-            while state["step"] < total:
-                batch = data.join(drawn.where(F.col("step") == state["step"]).select("example_id"), "example_id")
-                state = self.step(state, batch)
-                if callback:
-                    callback(state)
-        finally:
-            drawn.unpersist()
+        spark = data.sparkSession
+        path = batches or self.batches(data)
+        drawn = {r.step for r in spark.read.schema("step int, rows long").parquet(f"{path}/steps").select("step").collect()}
+        while state["step"] < total:
+            at = state["step"]
+            batch = spark.read.schema(data.schema).parquet(f"{path}/rows/_step={at}") if at in drawn else data.limit(0)
+            state = self.step(state, batch)
+            if callback:
+                callback(state)
         return state
 
 

@@ -57,6 +57,19 @@ def test_resumed_training_is_the_same(spark):
         assert trainer.fit(data, state=half)["params"] == pytest.approx(whole["params"], rel=1e-12)
 
 
+def test_steps_read_only_what_was_drawn(spark, tmp_path):
+    data = linear_rows(spark, 200, [1.0, -2.0], 4).withColumn("step", F.lit("a column of the table"))
+    plan = BandMFConfig((1.0, 0.5), 6, 0.2, noise_multiplier=0.3, num_examples=200).make()
+    trainer = Trainer(plan, linear_gradient, SGD(0.1), seed=2)
+    path = trainer.batches(data, f"{tmp_path}/batches")
+    drawn = {(r.step, r.example_id) for r in plan.sampler.plan(data.select("example_id"), 2).collect()}
+    assert {(r._step, r.example_id) for r in spark.read.parquet(f"{path}/rows").collect()} == drawn
+    # The table itself isn't needed any more.
+    assert trainer.fit(data.limit(0), np.zeros(2), batches=path)["params"] == pytest.approx(trainer.fit(data, np.zeros(2))["params"], rel=1e-12)
+    none = Trainer(BandMFConfig((1.0,), 3, 1e-5, noise_multiplier=1.0, num_examples=200).make(), linear_gradient, SGD(0.1))
+    assert none.fit(data, np.zeros(2))["step"] == 3
+
+
 def test_baseline_learns_and_clip_holds(spark):
     data = linear_rows(spark, 400, [1.0, -2.0], 4, noise=0.01)
     state = Trainer(NonPrivateConfig(25, 100).make(), linear_gradient, SGD(0.3)).fit(data, np.zeros(2))
