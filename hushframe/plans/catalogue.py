@@ -308,10 +308,10 @@ s(filled, spot, cap, moved, progress, used, seen, round, slots) AS (
 p AS (SELECT unnest(slots) AS example_id, unnest(range(0, len(slots))) AS slot FROM s WHERE filled = {batch * steps}), plan AS (SELECT (slot // {batch})::INTEGER AS step, (slot % {batch})::INTEGER AS pos, example_id FROM p)"""
 
 
-@query(f"WITH {_schedule_sql(3, 40, 2)} SELECT * FROM plan")
+@query(f"WITH {_schedule_sql(2, 20, 2)} SELECT * FROM plan")
 def min_sep_schedule(spark, sf):
-    """Orders by supplier: 120 slots of three a step, no supplier twice within two steps."""
-    return owners.MinSepSchedule(3, 40, 2).plan(_edges(spark, sf))
+    """Orders by supplier: forty slots, two a step, no supplier twice within two steps."""
+    return owners.MinSepSchedule(2, 20, 2).plan(_edges(spark, sf))
 
 
 @query(f"""WITH {_schedule_sql(2, 20, 2)}, v AS (SELECT step, pos, step - lag(step) OVER (PARTITION BY u ORDER BY step, pos) AS gap FROM plan JOIN e ON id = example_id)
