@@ -67,18 +67,45 @@ def recurrent_noise_series(spark, sf):
 @query(f"""WITH s AS ({_SERIES}), z AS (SELECT event_type, step, {normal_sql(23, "stream", "event_type", "step")} AS z FROM s)
 SELECT s.event_type AS coord, s.step, round(any_value(s.value) + 3.0 * sum((-0.5) ** (s.step - z.step) * z.z), 4) AS noised FROM s JOIN z ON z.event_type = s.event_type AND z.step <= s.step GROUP BY s.event_type, s.step""")
 def streamed_noise_series(spark, sf):
-    """The series as a stream in two batches, noised by a state that is kept between them."""
+    """The series as a stream in three batches whose rows are in no order, noised by a state that is kept between them with the rows that came ahead of their step."""
     from hushframe.streaming.stateful import noised
 
     where = scratch(spark, "stream")
     rows = _series(spark, sf).select(F.col("event_type").alias("coord"), "step", "value")
-    for early in (True, False):
-        rows.where((F.col("step") < 12) == early).coalesce(1).write.mode("append").parquet(f"{where}/in")
-        stream = noised(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), toeplitz.inverse_operator([1.0, 0.5]), 23, 3.0)
+    part = F.floor(3 * rng.uniform(23, "batch", "coord", "step"))
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(f"{where}/in")
+        stream = noised(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), toeplitz.inverse_operator([1.0, 0.5]), 23, 3.0, blocks=8)
         stream.writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out").awaitTermination()
     return spark.read.parquet(f"{where}/out").select("coord", "step", F.round("noised", 4).alias("noised"))
 
 
+#: A strategy whose columns differ by more than a factor: column j has (1 + (j + k) % 3) / 2^k from the diagonal down, scaled to norm 1.
+_VARYING = banded.Banded(np.fromfunction(lambda j, k: (1 + (j + k) % 3) * 0.5**k, (400, 4)))
+_VARYING_SQL = """p AS (SELECT j, k, (1 + (j + k) % 3) * 0.5 ** k AS e FROM range(0, 400) a(j), range(0, 4) b(k) WHERE j + k < 400),
+c AS (SELECT j, list(e / norm ORDER BY k) AS col FROM (SELECT *, sqrt(sum(e * e) OVER (PARTITION BY j)) AS norm FROM p) GROUP BY j)"""
+_SOLVED_SQL = """y(event_type, step, l) AS (SELECT event_type, -1::BIGINT, []::DOUBLE[] FROM x GROUP BY event_type UNION ALL
+SELECT x.event_type, x.step, list_append(l, (x.value - coalesce(a.col[2] * l[x.step], 0) - coalesce(b.col[3] * l[x.step - 1], 0) - coalesce(d.col[4] * l[x.step - 2], 0)) / c.col[1])
+FROM y JOIN x ON x.event_type = y.event_type AND x.step = y.step + 1 JOIN c ON c.j = x.step LEFT JOIN c a ON a.j = x.step - 1 LEFT JOIN c b ON b.j = x.step - 2 LEFT JOIN c d ON d.j = x.step - 3)"""
+
+
+@query(f"WITH RECURSIVE s AS ({_SERIES}), x AS (SELECT * FROM s), {_VARYING_SQL}, {_SOLVED_SQL} SELECT event_type, step, round(l[step + 1], 6) AS value FROM y WHERE step >= 0")
+def banded_inverse_series(spark, sf):
+    """The inverse of a banded strategy with columns of its own at each step, over the daily sums."""
+    found = steps.applied(_series(spark, sf), _VARYING.inverse_operator(), "step", "value", "event_type")
+    return found.select("event_type", "step", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH RECURSIVE s AS ({_SERIES}), x AS (SELECT event_type, step, {normal_sql(24, "stream", "event_type", "step")} AS value FROM s), {_VARYING_SQL}, {_SOLVED_SQL}
+SELECT y.event_type AS coord, y.step, round(s.value + 3.0 * l[y.step + 1], 4) AS noised FROM y JOIN s USING (event_type, step)""")
+def banded_noise_series(spark, sf):
+    """The daily sums with noise through that inverse, by blocks of coordinates; a stream gives the same."""
+    from hushframe.streaming.stateful import batch_noised
+
+    rows = _series(spark, sf).select(F.col("event_type").alias("coord"), "step", "value")
+    return batch_noised(rows, _VARYING.inverse_operator(), 24, 3.0, blocks=8).select("coord", "step", F.round("noised", 4).alias("noised"))
+
+
 @query(f"SELECT event_type, step, round(value * {_list_sql([1, 0.5, 0.25, 0.125])}[least(step + 1, 4)], 6) AS value FROM ({_SERIES})")
 def diagonal_series(spark, sf):
     """A diagonal operator: the last factor holds."""

@@ -1,17 +1,13 @@
-import threading
-
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators.bounded import Relation
-from hushframe.operators.steps import BufferedToeplitz, ToeplitzInverse
 from hushframe.plans.optimizers import SGD, Adam, ScaleThenPrivatize, second_moment
 from hushframe.plans.plan import BandMFConfig, DPTrainConfig, NonPrivateConfig
 from hushframe.plans.train import Trainer, clipped_gradient_sum, linear_gradient, logistic_gradient, softmax_gradient
 from hushframe.sources.tables import linear_rows
-from hushframe.streaming import stateful
 
 
 def test_plans():
@@ -87,28 +83,6 @@ def test_states():
         ScaleThenPrivatize(Adam(0.1)).pre_clip_scale({})
 
 
-@pytest.mark.parametrize("operator", [ToeplitzInverse([1.0, 0.5, 0.25]), BufferedToeplitz([0.9, 0.5], [0.1, 0.2], True)])
-def test_stream_equals_batch_over_a_restart(spark, tmp_path, operator):
-    rows = pd.DataFrame([(c, s, float(10 * s)) for c in ("a", "b") for s in range(6)], columns=["coord", "step", "value"])
-    schema = "coord string, step long, value double"
-    got = []
-    lock = threading.Lock()
-
-    def take(df, _):
-        with lock:
-            got.extend(map(tuple, df.collect()))
-
-    for part in (rows[rows.step < 3], rows[rows.step >= 3]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        q = stateful.noised(stream, operator, 5, 2.0).writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    wanted = stateful.batch_noised(rows, operator, 5, 2.0)
-    wanted = sorted(wanted.itertuples(index=False, name=None))
-    assert [t[:3] for t in sorted(got)] == [t[:3] for t in wanted]
-    assert [t[3] for t in sorted(got)] == pytest.approx([t[3] for t in wanted], abs=1e-9)
-
-
 def test_banded_noise_by_recurrence_is_the_inverse_of_the_band():
     """Rows made from the last few are those made from all lags, also when steps are made out of order or anew."""
     import dataclasses
