@@ -13,6 +13,7 @@ from hushframe.account import rdp
 from hushframe.functions import rng
 from hushframe.functions.rng import normal_sql, uniform_sql
 from hushframe.operators import audit, bounded, montecarlo, noise, owners, padding, rowwise, sampling, steps
+from hushframe.sources.replay import poisson_steps, positions_sql
 from hushframe.sources.tables import gather, read, scratch
 from hushframe.strategy import banded, blt, dense, sensitivity, toeplitz
 
@@ -67,13 +68,13 @@ def recurrent_noise_series(spark, sf):
 @query(f"""WITH s AS ({_SERIES}), z AS (SELECT event_type, step, {normal_sql(23, "stream", "event_type", "step")} AS z FROM s)
 SELECT s.event_type AS coord, s.step, round(any_value(s.value) + 3.0 * sum((-0.5) ** (s.step - z.step) * z.z), 4) AS noised FROM s JOIN z ON z.event_type = s.event_type AND z.step <= s.step GROUP BY s.event_type, s.step""")
 def streamed_noise_series(spark, sf):
-    """The series as a stream in three batches whose rows are in no order, noised by a state that is kept between them with the rows that came ahead of their step."""
+    """The series as a stream in two batches whose rows are in no order, noised by a state that is kept between them with the rows that came ahead of their step."""
     from hushframe.streaming.stateful import noised
 
     where = scratch(spark, "stream")
     rows = _series(spark, sf).select(F.col("event_type").alias("coord"), "step", "value")
-    part = F.floor(3 * rng.uniform(23, "batch", "coord", "step"))
-    for k in range(3):
+    part = F.floor(2 * rng.uniform(23, "batch", "coord", "step"))
+    for k in range(2):
         rows.where(part == k).write.mode("append").parquet(f"{where}/in")
         stream = noised(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), toeplitz.inverse_operator([1.0, 0.5]), 23, 3.0, blocks=8)
         stream.writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out").awaitTermination()
@@ -372,6 +373,26 @@ def sparse_poisson(spark, sf):
     return sampling.sparse_poisson(_examples(spark, sf, "events", "event_id"), 0.02, 25, 15).select(F.col("step").cast("int").alias("step"), F.col("pos").cast("int").alias("pos"), "example_id")
 
 
+_READ = f"SELECT step, event_id, user_id, value FROM ({positions_sql(25, 0.02, 25, 'events.parquet', 'SELECT event_id AS place FROM events')}) d JOIN events e ON e.event_id = d.place"
+
+
+@query(_READ)
+def replayed_steps(spark, sf):
+    """25 steps read from the file itself as a stream that stops after the ninth and goes on from its checkpoint. Rows of `events` are numbered by position."""
+    where = scratch(spark, "replay")
+    for until in (9, 25):
+        stream = poisson_steps(spark, f"{sf}/events.parquet", 0.02, 25, until, columns=["event_id", "user_id", "value"], stream=True)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out").awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("step", "event_id", "user_id", "value")
+
+
+@query(f"SELECT event_type, step, count(*) AS n, round(sum(value), 4) AS total FROM ({_READ}) JOIN (SELECT event_id, event_type FROM events) USING (event_id) GROUP BY ALL")
+def replayed_sums(spark, sf):
+    """Sums of the same batches by event type, with the file read by the batch form of the source."""
+    rows = poisson_steps(spark, f"{sf}/events.parquet", 0.02, 25, 25, columns=["event_type", "value"])
+    return rows.groupBy("event_type", "step").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(f"WITH n AS (SELECT step, count(*) AS n FROM ({_BATCHES}) GROUP BY step) SELECT step, n::DOUBLE AS weight, ((n + 15) // 16) * 16 - n AS padding FROM n")
 def padding_weights(spark, sf):
     full = padding.padded(_batches(spark, sf), padding.padding_multiple(64, 16)).withColumn("w", padding.sample_weight(F.col("example_id")))
