@@ -19,14 +19,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -66,9 +67,6 @@ class Model:
     def shift(self) -> int:
         return self.id_bits + 2 * self.cut_bits
 
-    def length(self, value: Column) -> Column:
-        return F.shiftright(value, self.id_bits).bitwiseAND(F.lit((1 << self.cut_bits) - 1)).cast("int")
-
 
 def _merged(text: str, places: dict[str, int]) -> tuple[list[str], dict[str, tuple[int, int]]]:
     """A text's symbols after all merges; of each symbol made, its place and the length of its left part."""
@@ -132,123 +130,137 @@ def words(text: str | None, cut: re.Pattern[str]) -> list[str]:
     return cut.findall(_BLANK + text.replace(" ", _BLANK)) if text else []
 
 
-def _chunks(text: str) -> list[str] | None:
-    """What stands between single blanks, each of which can be cut into words by itself; nothing if there are signs or blanks in a row or at an end, whose runs no chunk may part."""
-    return None if "  " in text or _BLANK in text or text[0] == " " or text[-1] == " " else text.split(" ")
-
-
-def _bound(value: Column, f) -> Column:
-    """Give a value to a function through a lambda variable, so that it is computed once."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _before(end: Column, longest: int) -> Column:
-    """How many substrings up to the longest piece end at or before a position of a word."""
-    q = F.least(end, F.lit(longest))
-    return (end - q) * longest + F.shiftright(q * (q + 1), 1)
-
-
-def _apart(model: Model, lattice: Column, tops: Column, at: Column, before: Column, after: Column) -> Column:
-    """Whether the merges leave the pieces apart that meet at a position, given their lengths.
-
-    The merges of both are taken back from the last one on, until two characters are left. If at some time the two symbols that meet
-    make a piece with a better place than the merges that took them up, that one would have come first. Of equal places the left one comes first.
-    """
-    edge = lambda end, n: lattice[tops[end] - n]
-    place = lambda end, n: F.shiftright(edge(end, n), model.shift)
-    made = lambda end, n: F.when(n == 1, F.lit(-1).cast("long")).otherwise(place(end, n))
-    cut = lambda end, n: F.shiftright(edge(end, n), model.id_bits + model.cut_bits).bitwiseAND(F.lit((1 << model.cut_bits) - 1)).cast("int")
-    top = F.lit(model.none >> model.shift).cast("long")
-    never = F.lit((model.none >> model.shift) - 1).cast("long")
-
-    def state(left: Column, right: Column, taken_left: Column, taken_right: Column, done: Column) -> Column:
-        return F.struct(left.alias("l"), right.alias("r"), taken_left.alias("tl"), taken_right.alias("tr"), done.alias("done"))
-
-    def back(s: Column, _: Column) -> Column:
-        n, m = s["l"], s["r"]
-        joined = F.when(n + m > model.longest, top).otherwise(place(at + m, n + m))
-        undo_right = made(at + m, m) >= made(at, n)
-        one = F.when(undo_right, state(n, cut(at + m, m), s["tl"], place(at + m, m), F.lit(0))).otherwise(state(n - cut(at, n), m, place(at, n), s["tr"], F.lit(0)))
-        meet = (joined < s["tl"]) & (joined <= s["tr"])
-        return F.when(s["done"] != 0, s).when(meet, state(n, m, s["tl"], s["tr"], F.lit(1))).when((n == 1) & (m == 1), state(n, m, s["tl"], s["tr"], F.lit(2))).otherwise(one)
-
-    begin = state(before, after, never, never, F.lit(0))
-    most = F.least(before + after - 2, F.lit(model.depth))  # each step takes a merge back, and two characters have none
-    return F.aggregate(F.sequence(F.lit(0), most), begin, back, lambda s: s["done"] == 2)
-
-
-def _path(model: Model, n: Column, lattice: Column, tops: Column) -> Column:
-    """Viterbi: the last edge of the path to each position, and before them a zero for the start. A character that is no piece is an edge of its own.
-
-    `tops` says for each position how many substrings end there or before; those that end at one stand from long to short.
-    """
-
-    def step(best: Column, j: Column) -> Column:
-        def candidate(found: Column, edge: Column) -> Column:
-            size = model.length(edge)
-            fits = (size == j) | _apart(model, lattice, tops, j - size, model.length(best[j - size]), size)
-            return F.when(found.isNotNull(), found).when(((edge < model.none) | (size == 1)) & fits, edge)
-
-        ending = F.slice(lattice, tops[j - 1] + 1, tops[j] - tops[j - 1])
-        return F.concat(best, F.array(F.aggregate(ending, F.lit(None).cast("long"), candidate)))
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0).cast("long")), step)
-
-
-def _ids(model: Model, word: Column, n: Column, path: Column) -> Column:
-    """Ids of the path's edges from the last one back; characters without a piece become their bytes' ids."""
-    spelled = lambda j: F.hex(F.encode(F.substring(word, j, F.lit(1)), "UTF-8"))
-    in_bytes = lambda h: F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), lambda k: F.conv(F.substring(h, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + model.first_byte)
-
-    def take(s: Column, j: Column) -> Column:
-        known = F.array(path[j].bitwiseAND(F.lit((1 << model.id_bits) - 1)).cast("int"))
-        ids = F.when(path[j] < model.none, known).otherwise(_bound(spelled(j), in_bytes))
-        moved = F.struct((j - model.length(path[j])).alias("at"), F.concat(ids, s["ids"]).alias("ids"))
-        return F.when(s["at"] == j, moved).otherwise(s)
+def piece_table(spark: SparkSession, model: Model) -> DataFrame:
+    """piece and id of a model's ordinary pieces; as long as the vocabulary."""
+    ids = [v & (1 << model.id_bits) - 1 for _, v in model.pieces]
+    return spark.createDataFrame(pa.table({"piece": pa.array([p for p, _ in model.pieces], pa.string()), "id": pa.array(ids, pa.int64())}))
 
-    begin = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), begin, take, lambda s: s["ids"])
 
+#: An edge is a whole number: which word (from 1), where in it the piece ends, and the piece's id.
+_AT, _END = 40, 20
 
-def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """piece and value of a model's ordinary pieces; as long as the vocabulary."""
-    return spark.createDataFrame(pa.table({"piece": pa.array([p for p, _ in model.pieces], pa.string()), "value": pa.array([v for _, v in model.pieces], pa.int64())}))
 
-
-def segmented(rows: DataFrame, model: Model) -> DataFrame:
-    """bundle, part, other columns and ids (an array for each word) of rows with an array `words`, dealt out by `bundle` and told apart by bundle and part.
+def lattices(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows with `lattice`, the edges of their array `words`; rows are dealt out by `bundle` and told apart by bundle and part.
 
     The piece table is broadcast: it is bounded by the vocabulary. The lattice is grouped where its words are, so that it is never
-    shuffled, and carries words and other columns once. Words that share a row share a group, as many small ones cost more.
+    shuffled, and other columns are carried once, by an empty word in front. Substrings that are no piece go right after the join.
     """
     others = [c for c in rows.columns if c not in ("bundle", "part")]
-    size = model.longest
-    sizes = lambda w: _before(F.length(w), size)
-    bases = F.aggregate("words", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + sizes(w))))
-    whole = rows.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("")))).select("*", bases.alias("bases"))
-    each = whole.select("bundle", "part", *others, "bases", F.posexplode("words").alias("at", "word"))
-    each = each.select("bundle", "part", "at", "word", F.col("bases")[F.col("at")].alias("base"), *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in (*others, "bases")])
-    ends = each.select("*", F.explode_outer(F.when(F.col("word") != "", F.sequence(F.lit(1), F.length("word")))).alias("end"))
-    spans = ends.select("*", F.explode_outer(F.when(F.col("end").isNotNull(), F.sequence(F.least("end", F.lit(size)), F.lit(1), F.lit(-1)))).alias("size"))
-    once = F.coalesce(F.col("size") == F.least("end", F.lit(size)), F.lit(True)) & (F.coalesce("end", F.lit(1)) == 1) & (F.col("at") == 0)
-    pieces = spans.select(
-        "bundle", "part", "size", (F.col("base") + _before(F.col("end"), size) - F.col("size")).alias("pos"), F.expr("substring(word, end - size + 1, size)").alias("piece"),
-        F.when(once, F.struct(*others, "bases")).alias("held"),
-    )
-    edges = pieces.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left")
-    bits = model.none.bit_length()
-    entry = F.shiftleft(F.col("pos").cast("long"), bits) + F.coalesce("value", F.lit(model.none) + F.shiftleft(F.col("size").cast("long"), model.id_bits))
+    each = rows.select("bundle", "part", F.struct(*others).alias("held"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "word"))
+    each = each.select("bundle", "part", "at", "word", F.when(F.col("at") == 0, F.col("held")).alias("held"))
+    ends = each.where((F.col("at") == 0) | (F.col("word") != "")).select("*", F.explode_outer(F.when(F.col("at") > 0, F.sequence(F.lit(1), F.length("word")))).alias("end"))
+    spans = ends.select("*", F.explode_outer(F.when(F.col("at") > 0, F.sequence(F.lit(1), F.least("end", F.lit(model.longest))))).alias("size"))
+    pieces = spans.select("bundle", "part", "at", "end", "held", F.expr("substring(word, end - size + 1, size)").alias("piece"))
+    edges = pieces.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left").where(F.col("id").isNotNull() | (F.col("at") == 0))
+    edge = F.shiftleft(F.col("at").cast("long"), _AT) + F.shiftleft(F.col("end").cast("long"), _END) + F.col("id")
     # What is held once is collected, too: a first value would be copied for every row.
-    found = edges.groupBy("bundle", "part").agg(F.sort_array(F.collect_list(entry)).alias("lattice"), F.collect_list("held")[0].alias("held"))
-    ready = found.select("bundle", "part", "held.*", F.transform("lattice", lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))).alias("lattice"))
+    found = edges.groupBy("bundle", "part").agg(F.collect_list(edge).alias("lattice"), F.collect_list("held")[0].alias("held"))
+    return found.select("bundle", "part", "held.*", "lattice")
+
 
-    def ids_of(word: Column, i: Column) -> Column:
-        n = F.length(word)
-        tops = F.transform(F.sequence(F.lit(0), n), lambda j: F.col("bases")[i] + _before(j, size))
-        path = lambda t: _bound(_path(model, n, F.col("lattice"), t), lambda p: _ids(model, word, n, p))
-        return F.when(word != "", _bound(tops, path)).otherwise(F.array().cast("array<int>"))
+class Fold:
+    """Viterbi over lattices: from left to right, with the last piece of the path to each position.
 
-    return ready.select("bundle", "part", *others, F.transform("words", ids_of).alias("ids"))
+    Two pieces may meet if the merges leave them apart, which depends on these two alone, so it is remembered by pair; at most `remembered` of them.
+    """
+
+    def __init__(self, model: Model, remembered: int = 200_000) -> None:
+        mask = (1 << model.id_bits) - 1
+        self.model, self.values, self.remembered = model, dict(model.pieces), remembered
+        self.spelling = {v & mask: p for p, v in model.pieces}
+        #: The code of a character without a piece is its code point behind all ids.
+        self.unknown = len(model.spelled)
+        self.sizes = np.ones(self.unknown, np.int64)
+        self.sizes[list(self.spelling)] = [len(p) for p in self.spelling.values()]
+        self.met: dict[int, bool] = {}
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether the merges leave the pieces apart that meet.
+
+        The merges of both are taken back from the last one on, until two characters are left. If at some time the two symbols that meet
+        make a piece with a better place than the merges that took them up, that one would have come first. Of equal places the left one comes first.
+        """
+        model, values = self.model, self.values
+        top, cuts = model.none >> model.shift, (1 << model.cut_bits) - 1
+        taken_left = taken_right = top - 1
+        while True:
+            joined = values[left + right] >> model.shift if left + right in values else top
+            if joined < taken_left and joined <= taken_right:
+                return False
+            if len(left) == len(right) == 1:
+                return True
+            made_left = values[left] >> model.shift if len(left) > 1 else -1
+            made_right = values[right] >> model.shift if len(right) > 1 else -1
+            if made_right >= made_left:
+                taken_right, right = made_right, right[: values[right] >> model.id_bits + model.cut_bits & cuts]
+            else:
+                taken_left, left = made_left, left[values[left] >> model.id_bits + model.cut_bits & cuts :]
+
+    def _may_meet(self, left: int, right: int) -> bool:
+        if len(self.met) >= self.remembered:
+            self.met.clear()
+        a, b = (self.spelling[x] if x < self.unknown else chr(x - self.unknown) for x in (left, right))
+        found = self.met[left << 22 | right] = self.apart(a, b)
+        return found
+
+    def __call__(self, words: list[str], lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has. A character that is no piece is an edge of its own and becomes its bytes' ids."""
+        text = "".join(words)
+        stops = np.cumsum([0, *map(len, words)])
+        code = lattice & (1 << _END) - 1
+        at = stops[(lattice >> _AT) - 1] + (lattice >> _END & (1 << _AT - _END) - 1)
+        bare = np.ones(len(text) + 1, bool)
+        bare[0], bare[at[self.sizes[code] == 1]] = False, False
+        alone = np.flatnonzero(bare)
+        at, size = np.concatenate([at, alone]), np.concatenate([self.sizes[code], np.ones(len(alone), np.int64)])
+        code = np.concatenate([code, np.array([self.unknown + ord(text[i - 1]) for i in alone.tolist()], np.int64)])
+        order = np.argsort(at * (self.model.longest + 1) - size)
+        starts, met = bytearray(len(text) + 1), self.met
+        for x in stops.tolist():
+            starts[x] = 1
+        last, taken = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        for i, n, c in zip(at[order].tolist(), size[order].tolist(), code[order].tolist(), strict=True):
+            if last[i] < 0:
+                if not starts[i - n]:
+                    before = last[i - n]
+                    if before < 0:
+                        continue
+                    fits = met.get(before << 22 | c)
+                    if not (self._may_meet(before, c) if fits is None else fits):
+                        continue
+                last[i], taken[i] = c, n
+        # A word ends where the next one starts, so that one walk back takes them all.
+        i, path, places = len(text), [], []
+        while i:
+            if not taken[i]:
+                raise ValueError("a word has no path")
+            path.append(last[i])
+            places.append(i)
+            i -= taken[i]
+        ids, places = np.array(path[::-1], np.int64), np.array(places[::-1], np.int64)
+        if len(alone) and (strange := ids >= self.unknown).any():
+            spelled = [[x] if x < self.unknown else [self.model.first_byte + b for b in chr(x - self.unknown).encode()] for x in ids.tolist()]
+            places = np.repeat(places, [len(x) for x in spelled]) if strange.any() else places
+            ids = np.array(list(chain.from_iterable(spelled)), np.int64)
+        return ids.astype(np.int32), np.diff(np.searchsorted(places, stops, "right"))
+
+
+@lru_cache(maxsize=2)
+def _fold(model: Model) -> Fold:
+    return Fold(model)
+
+
+def _folded(fold: Fold, words: pa.Scalar, lattice: pa.Scalar, long: pa.Scalar) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Ids and sizes of a row's words; those that an empty word stands for are in `long`."""
+    texts = words.as_py()
+    ids, sizes = fold(texts, lattice.values.to_numpy(zero_copy_only=False))
+    if long.values.null_count == len(texts):
+        return [ids], [sizes]
+    ends, flat = np.concatenate([[0], np.cumsum(sizes)]), []
+    each = [ids[a:b] if x is None else np.array(x, np.int32) for a, b, x in zip(ends, ends[1:], long.as_py(), strict=False)]
+    flat.extend(each)
+    return flat, [np.array([len(x) for x in each], np.int64)]
 
 
 class _Link:
@@ -298,12 +310,45 @@ def long_word(word: str, model: Model) -> list[int]:
     return out
 
 
-def _counted(docs: DataFrame, cut: str, *, least: int, most: int = 500_000, longest: int | None = None) -> DataFrame:
+def _plain(texts: pa.Array, cut: str) -> tuple[pa.Array, pa.Array]:
+    """The chunks between single blanks of each text that can be cut into words chunk by chunk, and whether a text is one.
+
+    Texts with signs or with blanks in a row or at an end aren't, as no chunk may part their runs; nor are empty ones, which have no chunks.
+    """
+    if cut == _CUTS[-1]:
+        return pa.array([], pa.list_(pa.string())), pa.array([False] * len(texts), pa.bool_())
+    odd = pc.equal(pc.binary_length(texts), 0)
+    for found in (pc.match_substring(texts, "  "), pc.match_substring(texts, _BLANK), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
+        odd = pc.or_(odd, found)
+    plain = pc.invert(odd)
+    return pc.split_pattern(texts.filter(plain), " "), plain
+
+
+def _by_characters(batches: Iterator[pa.RecordBatch], column: int, characters: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about so many bytes of text and as many times 100 rows, whatever batches they come in; a row is never parted."""
+    waiting: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 100
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(ends, before + characters - held)) + 1, batch.num_rows)
+            waiting.append(batch.slice(at, stop - at))
+            held += int(ends[stop - 1]) - before
+            at = stop
+            if held >= characters:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting, held = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
+def _counted(docs: DataFrame, cut: str, *, least: int, most: int = 300_000, longest: int | None = None) -> DataFrame:
     """word and n; of every part of a partition that has `most` distinct words, those found `least` times in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, chunks, found = re.compile(cut), Counter(), Counter()
-        parting = cut != _CUTS[-1]
+        pattern, chunks, found = re.compile(cut), {}, Counter()
 
         def part() -> pa.RecordBatch:
             for chunk, n in chunks.items():
@@ -314,49 +359,56 @@ def _counted(docs: DataFrame, cut: str, *, least: int, most: int = 500_000, long
             found.clear()
             return pa.record_batch({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                each = _chunks(text) if parting else None
-                if each is None:
-                    found.update(words(text, pattern))
-                else:
-                    chunks.update(each)
-                if len(found) + len(chunks) > most:
-                    yield part()
+        for batch in _by_characters(batches, 0, 3_000_000):
+            texts = batch.column(0).fill_null("")
+            lists, plain = _plain(texts, cut)
+            counts = lists.flatten().value_counts()
+            for chunk, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
+                chunks[chunk] = chunks.get(chunk, 0) + n
+            for text in texts.filter(pc.invert(plain)).to_pylist():
+                found.update(words(text, pattern))
+            if len(found) + len(chunks) > most:
+                yield part()
         yield part()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _parts(found: list[str], model: Model) -> tuple[list[list[str]], list[list[str]], list[list[list[int] | None]]]:
+    """Words in parts of about `LONG` characters: the words, the words with an empty one for each that is very long, and the ids of those."""
+    parts, size = [[]], 0
+    for w in found:
+        if parts[-1] and size + len(w) > LONG:
+            parts.append([])
+            size = 0
+        parts[-1].append(w)
+        size += len(w)
+    long = [[long_word(w, model) if len(w) > LONG else None for w in part] for part in parts]
+    return parts, [["" if x else w for w, x in zip(part, done, strict=True)] for part, done in zip(parts, long, strict=True)], long
+
+
 def _vocabulary(counted: DataFrame, model: Model) -> DataFrame:
-    """word and ids of distinct words, in bundles of 512 or fewer."""
+    """word and ids of distinct words, in bundles."""
     table = written(counted, "words")
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[str] = []
-
-        def bundle(part: list[str]) -> pa.RecordBatch:
-            long = [long_word(w, model) if len(w) > LONG else None for w in part]
-            return pa.record_batch({"words": pa.array([["" if x else w for w, x in zip(part, long, strict=True)]], pa.list_(pa.string())), "texts": pa.array([part], pa.list_(pa.string())), "long": pa.array([long], pa.list_(pa.list_(pa.int32())))})
+        for batch in _by_characters(batches, 0, 500_000):
+            texts, short, long = _parts(batch.column(0).to_pylist(), model)
+            yield pa.record_batch({"words": pa.array(short, pa.list_(pa.string())), "texts": pa.array(texts, pa.list_(pa.string())), "long": pa.array(long, pa.list_(pa.list_(pa.int32())))})
 
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = _fold(model)
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                if len(waiting) == 512 or waiting and size + len(word) > LONG:
-                    yield bundle(waiting)
-                    waiting, size = [], 0
-                waiting.append(word)
-                size += len(word)
-        if waiting:
-            yield bundle(waiting)
+            for at in range(batch.num_rows):
+                texts, *row = (batch.column(i)[at] for i in range(4))
+                flat, sizes = _folded(fold, *row)
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+                yield pa.record_batch({"word": texts.values, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))})
 
     dealt = table.select("word").mapInArrow(bundles, "words array<string>, texts array<string>, long array<array<int>>")
     # Numbers given while reading a written table are the same when a task is run again. A task's bundles are few enough to be grouped by hashing.
     rows = dealt.select(F.monotonically_increasing_id().alias("bundle"), F.lit(0).alias("part"), "*").repartition(table.count() // 40_000 + 1, "bundle")
-    pairs = F.explode(F.arrays_zip("texts", "long", "ids")).alias("x")
-    return segmented(rows, model).select(pairs).select(F.col("x.texts").alias("word"), F.coalesce("x.long", "x.ids").alias("ids"))
+    return lattices(rows, model).select("texts", "words", "lattice", "long").mapInArrow(run, "word string, ids array<int>")
 
 
 def encode_vocabulary(docs: DataFrame, model: str, *, text: str = "text") -> DataFrame:
@@ -394,12 +446,15 @@ def _frequent(source: DataFrame, model: Model, remembered: int) -> bytes:
 
 @dataclass
 class _Dictionary:
-    number: dict[str, int]
+    words: pa.Array
     flat: np.ndarray
     ends: np.ndarray
-    #: Chunks met by this worker: the numbers of those whose words are all known, and the words of others.
+    #: Chunks met by this worker whose words are all known, and the words' numbers.
     whole: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    mixed: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
 
 _OPENED: dict[int, _Dictionary] = {}
@@ -412,7 +467,7 @@ def _opened(packed: bytes) -> _Dictionary:
         _OPENED.clear()
         table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all().combine_chunks()
         flat, ends = _ragged(table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())))
-        _OPENED[key] = _Dictionary({w: i for i, w in enumerate(table.column("word").to_pylist())}, flat, ends)
+        _OPENED[key] = _Dictionary(table.column("word"), flat, ends)
     return _OPENED[key]
 
 
@@ -432,88 +487,66 @@ def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(ends[at] - after + sizes, sizes) + np.arange(total)], sizes
 
 
-def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int = 400_000, most: int = 2_000) -> DataFrame:
-    """Documents in bundles of about so many characters: bundle, part, doc_ids, coded (numbers of each text's words, packed), words and long.
+def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int = 1_000_000) -> DataFrame:
+    """Documents in bundles of about so many characters: bundle, part, doc_ids, counts (words of each text), coded (the words' numbers, packed), words and long.
 
-    Words that aren't in the dictionary are numbered behind it, each once in a bundle, and spread over its parts, `most` to a part. The ids
+    Words that aren't in the dictionary are numbered behind it, each once in a bundle, and spread over its parts. The ids
     of very long ones are in `long`, and an empty word stands for them.
     """
     cut = model.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, known = re.compile(cut), _opened(dictionary.value)
-        number, whole, mixed = known.number, known.whole, known.mixed
-        size, parting = len(number), cut != _CUTS[-1]
-        pack = zstandard.ZstdCompressor(level=1).compress
-        doc_ids, coded, other, held = [], [], {}, 0
-
-        def coded_words(text: str) -> np.ndarray:
-            each = _chunks(text) if parting else None
-            if each is None:
-                found = [number[w] if w in number else size + other.setdefault(w, len(other)) for w in words(text, pattern)]
-                return np.array(found, "<i4")
-            if len(whole) + len(mixed) > 150_000:
+        number, whole = known.number, known.whole
+        size, pack = len(number), zstandard.ZstdCompressor(level=3).compress
+
+        for batch in _by_characters(batches, 2, characters):
+            other: dict[str, int] = {}
+            texts = batch.column(2).fill_null("")
+            lists, plain = _plain(texts, cut)
+            odd = pc.invert(plain)
+            chunks = lists.flatten().dictionary_encode()
+            if len(whole) > 150_000:
                 whole.clear()
-                mixed.clear()
-            found = list(map(whole.get, each))
-            if None in found:
-                for i, x in enumerate(found):
-                    if x is None:
-                        chunk = each[i]
-                        parts = mixed.get(chunk)
-                        if parts is None:
-                            parts = tuple(words(chunk, pattern)) if chunk else (_BLANK,)
-                            if all(w in number for w in parts):
-                                found[i] = whole[chunk] = tuple(number[w] for w in parts)
-                                continue
-                            mixed[chunk] = parts
-                        found[i] = [number[w] if w in number else size + other.setdefault(w, len(other)) for w in parts]
-            return np.fromiter(chain.from_iterable(found), "<i4")
-
-        def bundle() -> pa.RecordBatch:
-            """The bundle's parts, the first one with its documents."""
-            rare = list(other)
-            parts = [[]]
-            for w in rare:
-                if len(parts[-1]) >= most or parts[-1] and sum(map(len, parts[-1])) + len(w) > LONG:
-                    parts.append([])
-                parts[-1].append(w)
-            long = [[long_word(w, model) if len(w) > LONG else None for w in part] for part in parts]
-            short = [["" if x else w for w, x in zip(part, done, strict=True)] for part, done in zip(parts, long, strict=True)]
-            n = len(parts)
-            return pa.record_batch({
-                "part": pa.array(range(n), pa.int32()), "doc_ids": pa.array([doc_ids] + [None] * (n - 1), pa.list_(pa.int64())), "coded": pa.array([coded] + [None] * (n - 1), pa.list_(pa.binary())),
-                "words": pa.array(short, pa.list_(pa.string())), "long": pa.array(long, pa.list_(pa.list_(pa.int32()))), "bundle": pa.array([doc_rows[0]] * n, pa.int64()),
+            numbers = []
+            for chunk in chunks.dictionary.to_pylist():
+                found = whole.get(chunk)
+                if found is None:
+                    each = words(chunk, pattern) if chunk else [_BLANK]
+                    found = tuple([number[w] if w in number else size + other.setdefault(w, len(other)) for w in each])
+                    if max(found) < size:
+                        whole[chunk] = found
+                numbers.append(found)
+            sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
+            flat = np.fromiter(chain.from_iterable(numbers), "<i4", int(sizes.sum()))
+            body, each_size = _gather(flat, np.concatenate([[0], np.cumsum(sizes)]), chunks.indices.to_numpy().astype(np.int64))
+            counts = np.diff(np.concatenate([[0], np.cumsum(each_size)])[lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)]) if len(lists) else np.empty(0, np.int64)
+            strange = [[number[w] if w in number else size + other.setdefault(w, len(other)) for w in words(text, pattern)] for text in texts.filter(odd).to_pylist()]
+            body = np.concatenate([body, np.fromiter(chain.from_iterable(strange), "<i4")])
+            doc_ids = [*batch.column(1).filter(plain).to_pylist(), *batch.column(1).filter(odd).to_pylist()]
+            _, short, long = _parts(list(other), model)
+            rest = [None] * (len(short) - 1)
+            yield pa.record_batch({
+                "part": pa.array(range(len(short)), pa.int32()), "doc_ids": pa.array([doc_ids, *rest], pa.list_(pa.int64())), "counts": pa.array([[*counts.tolist(), *map(len, strange)], *rest], pa.list_(pa.int32())),
+                "coded": pa.array([pack(body.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()), *rest], pa.binary()),
+                "words": pa.array(short, pa.list_(pa.string())), "long": pa.array(long, pa.list_(pa.list_(pa.int32()))), "bundle": pa.array([batch.column(0)[0].as_py()] * len(short), pa.int64()),
             })
 
-        doc_rows: list[int] = []
-        for batch in batches:
-            for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = coded_words(text) if text else np.empty(0, "<i4")
-                coded.append(pack(found.view(np.uint8).reshape(-1, 4).T.tobytes()))
-                doc_ids.append(doc_id)
-                doc_rows.append(row)
-                held += len(text or "") + 100
-                if held > characters:
-                    yield bundle()
-                    for x in (doc_ids, coded, other, doc_rows):
-                        x.clear()
-                    held = 0
-        if doc_ids:
-            yield bundle()
-
-    schema = "part int, doc_ids array<bigint>, coded array<binary>, words array<string>, long array<array<int>>, bundle long"
+    schema = "part int, doc_ids array<bigint>, counts array<int>, coded binary, words array<string>, long array<array<int>>, bundle long"
     return source.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _spell(flat: np.ndarray, sizes: np.ndarray, spelled: tuple[bytes, ...]) -> list[str]:
-    """The texts of ids, `sizes` to a text: their spellings in a row, signs as blanks, without the first one."""
-    data, ends = np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
-    body, each = _gather(data, ends, flat)
-    raw = body.tobytes()
-    bounds = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-    texts = (raw[a:b].decode("utf-8", "replace").replace(_BLANK, " ") for a, b in zip(bounds, bounds[1:], strict=False))
-    return [x.removeprefix(" ") for x in texts]
+def _spell(lists: pa.ListArray, spelled: tuple[bytes, ...]) -> pa.Array:
+    """The texts of ids: their spellings in a row, signs as blanks, without the first one."""
+    pieces = pc.take(pa.array(spelled, pa.binary()), lists.flatten())
+    offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces), b"")
+    try:
+        texts = raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+    texts = pc.replace_substring(texts, _BLANK, " ")
+    return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
 
 
 def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", remembered: int = 250_000) -> DataFrame:
@@ -521,40 +554,32 @@ def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str
 
     Null and empty texts have no ids and decode to an empty text; signs in a text come back as blanks. Rows that repeat or share an id are taken each; an empty table gives no rows; other
     columns are not read. The dictionary of the `remembered` most frequent words is broadcast, 32 characters to a word at most; all
-    other words go through the lattice once per document.
+    other words go through the lattice once per bundle of documents.
     """
     m, spark = load(model), docs.sparkSession
     source = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"), F.monotonically_increasing_id().alias("row"))
     dictionary = spark.sparkContext.broadcast(_frequent(source, m, remembered))
     # Tasks have few bundles, so that they are grouped by hashing.
     coded = _looked_up(source, m, dictionary).repartition(2 * max(1, docs.rdd.getNumPartitions()), "bundle")
-    rare = F.sort_array(F.collect_list(F.struct("part", F.zip_with("ids", "long", lambda x, done: F.coalesce(done, x)).alias("ids")))).alias("rare")
-    whole = segmented(coded, m).groupBy("bundle").agg(F.collect_list("doc_ids")[0].alias("doc_ids"), F.collect_list("coded")[0].alias("coded"), rare)
-    ready = whole.select("doc_ids", "coded", F.flatten(F.transform("rare", lambda x: x["ids"])).alias("rare"))
     spelled = m.spelled
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _opened(dictionary.value)
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(batch.num_rows):
-                doc_ids, coded, rare = (batch.column(i)[at] for i in range(3))
-                numbers = [np.ascontiguousarray(np.frombuffer(unpack(x.as_py()), np.uint8).reshape(4, -1).T).view("<i4").ravel() for x in coded]
-                local, local_ends = _ragged(rare.values)
-                number = np.concatenate(numbers).astype(np.int64)
-                is_rare = number >= len(known.number)
-                head, head_sizes = _gather(known.flat, known.ends, number[~is_rare])
-                tail, tail_sizes = _gather(local, local_ends, number[is_rare] - len(known.number))
-                sizes = np.empty(len(number), np.int64)
-                sizes[~is_rare], sizes[is_rare] = head_sizes, tail_sizes
-                from_rare = np.repeat(is_rare, sizes)
-                ids = np.empty(len(from_rare), np.int32)
-                ids[~from_rare], ids[from_rare] = head, tail
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.record_batch({"doc_id": pa.array(doc_ids.as_py(), pa.int64()), "ids": lists, "text": pa.array(_spell(ids, np.diff(ends), spelled), pa.string())})
-
-    return ready.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    def run(parts: pa.Table) -> pa.Table:
+        """A bundle's documents from the ids of its words."""
+        known, fold = _opened(dictionary.value), _fold(m)
+        flat, sizes, rows = [known.flat], [np.diff(known.ends)], parts.sort_by("part").combine_chunks()
+        for at in range(rows.num_rows):
+            ids, each = _folded(fold, rows["words"][at], rows["lattice"][at], rows["long"][at])
+            flat += ids
+            sizes += each
+        number = np.frombuffer(zstandard.ZstdDecompressor().decompress(rows["coded"][0].as_py()), np.uint8).reshape(4, -1).T
+        number = np.ascontiguousarray(number).view("<i4").ravel().astype(np.int64)
+        ids, each = _gather(np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), number)
+        counts = rows["counts"][0].values.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        return pa.table({"doc_id": rows["doc_ids"][0].values, "ids": lists, "text": _spell(lists, spelled)})
+
+    return lattices(coded, m).groupBy("bundle").applyInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -569,7 +594,8 @@ def decode(rows: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = _ragged(batch.column(1))
-            yield pa.record_batch({key: batch.column(0), "text": pa.array(_spell(flat, np.diff(ends), spelled), pa.string())})
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.record_batch({key: batch.column(0), "text": _spell(lists, spelled)})
 
     source = rows.select(rows[f"`{key}`"].alias(key), rows[f"`{ids}`"].cast("array<int>").alias("ids"))
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, text string")
