@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
@@ -131,9 +130,10 @@ def words(text: str | None, cut: re.Pattern[str]) -> list[str]:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """piece and id of a model's ordinary pieces; as long as the vocabulary."""
+    """key (a hash), spelled and id of a model's ordinary pieces; as long as the vocabulary."""
     ids = [v & (1 << model.id_bits) - 1 for _, v in model.pieces]
-    return spark.createDataFrame(pa.table({"piece": pa.array([p for p, _ in model.pieces], pa.string()), "id": pa.array(ids, pa.int64())}))
+    table = spark.createDataFrame(pa.table({"spelled": pa.array([p for p, _ in model.pieces], pa.string()), "id": pa.array(ids, pa.int64())}))
+    return table.select(F.xxhash64("spelled").alias("key"), "spelled", "id")
 
 
 #: An edge is a whole number: which word (from 1), where in it the piece ends, and the piece's id.
@@ -144,15 +144,17 @@ def lattices(rows: DataFrame, model: Model) -> DataFrame:
     """The rows with `lattice`, the edges of their array `words`; rows are dealt out by `bundle` and told apart by bundle and part.
 
     The piece table is broadcast: it is bounded by the vocabulary. The lattice is grouped where its words are, so that it is never
-    shuffled, and other columns are carried once, by an empty word in front. Substrings that are no piece go right after the join.
+    shuffled, and other columns are carried once, by an empty word in front. Substrings that are no piece go right after the join,
+    whose keys are whole numbers; what they find is compared letter for letter.
     """
     others = [c for c in rows.columns if c not in ("bundle", "part")]
     each = rows.select("bundle", "part", F.struct(*others).alias("held"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "word"))
     each = each.select("bundle", "part", "at", "word", F.when(F.col("at") == 0, F.col("held")).alias("held"))
     ends = each.where((F.col("at") == 0) | (F.col("word") != "")).select("*", F.explode_outer(F.when(F.col("at") > 0, F.sequence(F.lit(1), F.length("word")))).alias("end"))
-    spans = ends.select("*", F.explode_outer(F.when(F.col("at") > 0, F.sequence(F.lit(1), F.least("end", F.lit(model.longest))))).alias("size"))
+    spans = ends.select("*", F.explode_outer(F.when(F.col("at") > 0, F.sequence(F.least("end", F.lit(model.longest)), F.lit(1), F.lit(-1)))).alias("size"))
     pieces = spans.select("bundle", "part", "at", "end", "held", F.expr("substring(word, end - size + 1, size)").alias("piece"))
-    edges = pieces.join(F.broadcast(piece_table(rows.sparkSession, model)), "piece", "left").where(F.col("id").isNotNull() | (F.col("at") == 0))
+    keyed = pieces.withColumn("key", F.when(F.col("at") > 0, F.xxhash64("piece")))
+    edges = keyed.join(F.broadcast(piece_table(rows.sparkSession, model)), "key", "left").where((F.col("at") == 0) | (F.col("spelled") == F.col("piece")))
     edge = F.shiftleft(F.col("at").cast("long"), _AT) + F.shiftleft(F.col("end").cast("long"), _END) + F.col("id")
     # What is held once is collected, too: a first value would be copied for every row.
     found = edges.groupBy("bundle", "part").agg(F.collect_list(edge).alias("lattice"), F.collect_list("held")[0].alias("held"))
@@ -215,12 +217,15 @@ class Fold:
         alone = np.flatnonzero(bare)
         at, size = np.concatenate([at, alone]), np.concatenate([self.sizes[code], np.ones(len(alone), np.int64)])
         code = np.concatenate([code, np.array([self.unknown + ord(text[i - 1]) for i in alone.tolist()], np.int64)])
-        order = np.argsort(at * (self.model.longest + 1) - size)
+        place = at * (self.model.longest + 1) - size
+        if (place[1:] < place[:-1]).any():
+            order = np.argsort(place)
+            at, size, code = at[order], size[order], code[order]
         starts, met = bytearray(len(text) + 1), self.met
         for x in stops.tolist():
             starts[x] = 1
         last, taken = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        for i, n, c in zip(at[order].tolist(), size[order].tolist(), code[order].tolist(), strict=True):
+        for i, n, c in zip(at.tolist(), size.tolist(), code.tolist(), strict=True):
             if last[i] < 0:
                 if not starts[i - n]:
                     before = last[i - n]
@@ -239,9 +244,9 @@ class Fold:
             places.append(i)
             i -= taken[i]
         ids, places = np.array(path[::-1], np.int64), np.array(places[::-1], np.int64)
-        if len(alone) and (strange := ids >= self.unknown).any():
+        if len(alone) and (ids >= self.unknown).any():
             spelled = [[x] if x < self.unknown else [self.model.first_byte + b for b in chr(x - self.unknown).encode()] for x in ids.tolist()]
-            places = np.repeat(places, [len(x) for x in spelled]) if strange.any() else places
+            places = np.repeat(places, [len(x) for x in spelled])
             ids = np.array(list(chain.from_iterable(spelled)), np.int64)
         return ids.astype(np.int32), np.diff(np.searchsorted(places, stops, "right"))
 
@@ -253,14 +258,13 @@ def _fold(model: Model) -> Fold:
 
 def _folded(fold: Fold, words: pa.Scalar, lattice: pa.Scalar, long: pa.Scalar) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids and sizes of a row's words; those that an empty word stands for are in `long`."""
-    texts = words.as_py()
+    texts = _strings(words.values)
     ids, sizes = fold(texts, lattice.values.to_numpy(zero_copy_only=False))
     if long.values.null_count == len(texts):
         return [ids], [sizes]
-    ends, flat = np.concatenate([[0], np.cumsum(sizes)]), []
+    ends = np.concatenate([[0], np.cumsum(sizes)])
     each = [ids[a:b] if x is None else np.array(x, np.int32) for a, b, x in zip(ends, ends[1:], long.as_py(), strict=False)]
-    flat.extend(each)
-    return flat, [np.array([len(x) for x in each], np.int64)]
+    return each, [np.array([len(x) for x in each], np.int64)]
 
 
 class _Link:
@@ -310,6 +314,21 @@ def long_word(word: str, model: Model) -> list[int]:
     return out
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cut_all(chunks: list[str], pattern: re.Pattern[str]) -> tuple[list[str], np.ndarray]:
+    """The words of chunks one after the other, and how many each chunk has. Chunks are cut in one go between tabs, which are always words of their own."""
+    text = _BLANK + f"\t{_BLANK}".join(chunks)
+    if not chunks or text.count("\t") >= len(chunks):
+        each = [words(x, pattern) if x else [_BLANK] for x in chunks]
+        return list(chain.from_iterable(each)), np.array([len(x) for x in each], np.int64)
+    found = pattern.findall(text)
+    tabs = np.flatnonzero(np.fromiter(map("\t".__eq__, found), bool, len(found)))
+    return [w for w in found if w != "\t"], np.diff(np.concatenate([[-1], tabs, [len(found)]])) - 1
+
+
 def _plain(texts: pa.Array, cut: str) -> tuple[pa.Array, pa.Array]:
     """The chunks between single blanks of each text that can be cut into words chunk by chunk, and whether a text is one.
 
@@ -344,32 +363,24 @@ def _by_characters(batches: Iterator[pa.RecordBatch], column: int, characters: i
         yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
-def _counted(docs: DataFrame, cut: str, *, least: int, most: int = 300_000, longest: int | None = None) -> DataFrame:
-    """word and n; of every part of a partition that has `most` distinct words, those found `least` times in it."""
+def _counted(docs: DataFrame, cut: str, *, least: int, longest: int | None = None, characters: int = 12_000_000) -> DataFrame:
+    """word and n; of every part of a partition with about so many characters, words found `least` times in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, chunks, found = re.compile(cut), {}, Counter()
-
-        def part() -> pa.RecordBatch:
-            for chunk, n in chunks.items():
-                for word in words(chunk, pattern) if chunk else [_BLANK]:
-                    found[word] += n
-            kept = [(w, n) for w, n in found.items() if n >= least and (longest is None or len(w) <= longest)]
-            chunks.clear()
-            found.clear()
-            return pa.record_batch({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
-
-        for batch in _by_characters(batches, 0, 3_000_000):
+        pattern = re.compile(cut)
+        for batch in _by_characters(batches, 0, characters):
             texts = batch.column(0).fill_null("")
             lists, plain = _plain(texts, cut)
-            counts = lists.flatten().value_counts()
-            for chunk, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
-                chunks[chunk] = chunks.get(chunk, 0) + n
-            for text in texts.filter(pc.invert(plain)).to_pylist():
-                found.update(words(text, pattern))
-            if len(found) + len(chunks) > most:
-                yield part()
-        yield part()
+            chunks = lists.flatten().value_counts()
+            found, sizes = _cut_all(_strings(chunks.field(0)), pattern)
+            each = [words(text, pattern) for text in texts.filter(pc.invert(plain)).to_pylist()]
+            times = np.concatenate([np.repeat(chunks.field(1).to_numpy(), sizes), np.ones(sum(map(len, each)), np.int64)])
+            coded = pa.array(chain(found, chain.from_iterable(each)), pa.string()).dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), times, len(coded.dictionary)).astype(np.int64)
+            kept = n >= least
+            if longest is not None:
+                kept &= pc.utf8_length(coded.dictionary).to_numpy() <= longest
+            yield pa.record_batch({"word": coded.dictionary.filter(pa.array(kept)), "n": pa.array(n[kept])})
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -487,7 +498,7 @@ def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(ends[at] - after + sizes, sizes) + np.arange(total)], sizes
 
 
-def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int = 1_000_000) -> DataFrame:
+def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int = 3_000_000) -> DataFrame:
     """Documents in bundles of about so many characters: bundle, part, doc_ids, counts (words of each text), coded (the words' numbers, packed), words and long.
 
     Words that aren't in the dictionary are numbered behind it, each once in a bundle, and spread over its parts. The ids
@@ -508,15 +519,19 @@ def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int =
             chunks = lists.flatten().dictionary_encode()
             if len(whole) > 150_000:
                 whole.clear()
-            numbers = []
-            for chunk in chunks.dictionary.to_pylist():
-                found = whole.get(chunk)
-                if found is None:
-                    each = words(chunk, pattern) if chunk else [_BLANK]
-                    found = tuple([number[w] if w in number else size + other.setdefault(w, len(other)) for w in each])
-                    if max(found) < size:
-                        whole[chunk] = found
-                numbers.append(found)
+            distinct = _strings(chunks.dictionary)
+            numbers = list(map(whole.get, distinct))
+            missing = [i for i, x in enumerate(numbers) if x is None]
+            each, sizes = _cut_all([distinct[i] for i in missing], pattern)
+            found = list(map(number.get, each))
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = size + other.setdefault(each[i], len(other))
+            ends = np.cumsum(sizes)
+            frequent = np.maximum.reduceat(np.array(found, np.int64), ends - sizes) < size if missing else []
+            for i, a, b, known_all in zip(missing, (ends - sizes).tolist(), ends.tolist(), frequent, strict=True):
+                numbers[i] = tuple(found[a:b])
+                if known_all:
+                    whole[distinct[i]] = numbers[i]
             sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
             flat = np.fromiter(chain.from_iterable(numbers), "<i4", int(sizes.sum()))
             body, each_size = _gather(flat, np.concatenate([[0], np.cumsum(sizes)]), chunks.indices.to_numpy().astype(np.int64))
@@ -560,7 +575,7 @@ def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str
     source = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"), F.monotonically_increasing_id().alias("row"))
     dictionary = spark.sparkContext.broadcast(_frequent(source, m, remembered))
     # Tasks have few bundles, so that they are grouped by hashing.
-    coded = _looked_up(source, m, dictionary).repartition(2 * max(1, docs.rdd.getNumPartitions()), "bundle")
+    coded = _looked_up(source, m, dictionary).repartition(4 * max(1, docs.rdd.getNumPartitions()), "bundle")
     spelled = m.spelled
 
     def run(parts: pa.Table) -> pa.Table:
