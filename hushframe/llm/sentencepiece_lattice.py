@@ -14,11 +14,14 @@ others go through the lattice by document. Which words are in the dictionary cha
 
 from __future__ import annotations
 
+import atexit
 import re
-import zlib
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cached_property, lru_cache
+from dataclasses import dataclass
+from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -26,10 +29,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
+from .hashing import Ranges
+from .tokens import Known
 
 _BLANK = "▁"
 #: Words of more characters are put together by `long_word`: an array of all their substrings would be too large.
@@ -432,8 +438,8 @@ def encode_vocabulary(docs: DataFrame, model: str, *, text: str = "text") -> Dat
     return counted.join(_vocabulary(counted, m), "word")
 
 
-def _frequent(source: DataFrame, model: Model, remembered: int) -> bytes:
-    """The dictionary, packed: at most `remembered` words of at most 32 characters, the most frequent first.
+def _frequent(source: DataFrame, model: Model, remembered: int) -> str:
+    """The dictionary, at most `remembered` words of at most 32 characters, the most frequent first, as files that Spark brings to each executor once; their name.
 
     Counts leave out what is rare within a partition. The threshold comes from a histogram of at most 10,000 counts.
     """
@@ -448,45 +454,61 @@ def _frequent(source: DataFrame, model: Model, remembered: int) -> bytes:
     frequent = counted.where(F.col("n") >= least)
     table = frequent.join(_vocabulary(frequent, model), "word").select("word", "n", "ids").toArrow()
     order = np.argsort(-table.column("n").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.select(["word", "ids"]).schema) as out:
-        out.write_table(table.select(["word", "ids"]))
-    return zstandard.ZstdCompressor().compress(sink.getvalue().to_pybytes())
+    table = table.select(["word", "ids"]).take(pa.array(order)).combine_chunks()
+    known = Known()
+    known.add(_hashes(pa.concat_arrays([pa.array([], pa.string()), *table.column("word").chunks])))
+    name, where = f"pieces-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="hushframe-")
+    atexit.register(shutil.rmtree, where, True)
+    slots, numbers = known.slots()
+    for suffix, part in (("words", table), ("slots", pa.table({"slot": slots, "number": numbers}))):
+        with pa.OSFile(f"{where}/{name}-{suffix}", "wb") as sink, pa.ipc.new_file(sink, part.schema) as out:
+            out.write_table(part)
+        source.sparkSession.sparkContext.addFile(f"{where}/{name}-{suffix}")
+    return name
+
+
+def _hashes(values: pa.Array) -> np.ndarray:
+    """Hashes of non-empty strings."""
+    if not len(values):
+        return np.empty(0, np.uint64)
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return Ranges(data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes(), ends[:-1] - ends[0], ends[1:] - ends[0]).hashes()
 
 
-@dataclass
 class _Dictionary:
-    words: pa.Array
-    flat: np.ndarray
-    ends: np.ndarray
-    #: Chunks met by this worker whose words are all known, and the words' numbers.
-    whole: dict[str, tuple[int, ...]] = field(default_factory=dict)
-
-    @cached_property
-    def number(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.words.to_pylist())}
-
-
-_OPENED: dict[int, _Dictionary] = {}
-
-
-def _opened(packed: bytes) -> _Dictionary:
+    """Words and their ids, mapped from an executor's files, so that its workers share the memory."""
+
+    def __init__(self, name: str) -> None:
+        words, slots = (pa.ipc.open_file(pa.memory_map(SparkFiles.get(f"{name}-{x}"))).read_all() for x in ("words", "slots"))
+        self.name, self.size = name, words.num_rows
+        self.words = words.column("word").chunk(0) if self.size else pa.array([], pa.string())
+        self.flat, self.ends = _ragged(words.column("ids").chunk(0) if self.size else pa.array([], pa.list_(pa.int32())))
+        self.known = Known(slots.column("slot").chunk(0).to_numpy(), slots.column("number").chunk(0).to_numpy())
+        #: Chunks met by this worker whose words are all known, and the words' numbers.
+        self.whole: dict[str, tuple[int, ...]] = {}
+
+    def find(self, found: list[str]) -> np.ndarray:
+        """The words' numbers, -1 for those that aren't there. What a hash finds is compared letter for letter."""
+        asked = pa.array(found, pa.string())
+        numbers = self.known.find(_hashes(asked)).astype(np.int64)
+        hits = np.flatnonzero(numbers >= 0)
+        same = pc.equal(asked.take(pa.array(hits)), self.words.take(pa.array(numbers[hits]))).to_numpy(zero_copy_only=False)
+        numbers[hits[~same.astype(bool)]] = -1
+        return numbers
+
+
+@lru_cache(maxsize=1)
+def _opened(name: str) -> _Dictionary:
     """The dictionary, once for all tasks of a worker."""
-    key = zlib.crc32(packed)
-    if key not in _OPENED:
-        _OPENED.clear()
-        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all().combine_chunks()
-        flat, ends = _ragged(table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())))
-        _OPENED[key] = _Dictionary(table.column("word"), flat, ends)
-    return _OPENED[key]
+    return _Dictionary(name)
 
 
 def _ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values of an array of lists, and where each list ends, after a zero."""
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
-    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     return lists.flatten().to_numpy(zero_copy_only=False), ends
 
 
@@ -498,7 +520,7 @@ def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(ends[at] - after + sizes, sizes) + np.arange(total)], sizes
 
 
-def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int = 3_000_000) -> DataFrame:
+def _looked_up(source: DataFrame, model: Model, dictionary: str, *, characters: int = 2_000_000) -> DataFrame:
     """Documents in bundles of about so many characters: bundle, part, doc_ids, counts (words of each text), coded (the words' numbers, packed), words and long.
 
     Words that aren't in the dictionary are numbered behind it, each once in a bundle, and spread over its parts. The ids
@@ -507,9 +529,14 @@ def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int =
     cut = model.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, known = re.compile(cut), _opened(dictionary.value)
-        number, whole = known.number, known.whole
-        size, pack = len(number), zstandard.ZstdCompressor(level=3).compress
+        pattern, known = re.compile(cut), _opened(dictionary)
+        whole, size, pack = known.whole, known.size, zstandard.ZstdCompressor(level=3).compress
+
+        def numbered(each: list[str], other: dict[str, int]) -> np.ndarray:
+            found = known.find(each)
+            for i in np.flatnonzero(found < 0).tolist():
+                found[i] = size + other.setdefault(each[i], len(other))
+            return found
 
         for batch in _by_characters(batches, 2, characters):
             other: dict[str, int] = {}
@@ -517,17 +544,15 @@ def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int =
             lists, plain = _plain(texts, cut)
             odd = pc.invert(plain)
             chunks = lists.flatten().dictionary_encode()
-            if len(whole) > 150_000:
+            if len(whole) > 120_000:
                 whole.clear()
             distinct = _strings(chunks.dictionary)
             numbers = list(map(whole.get, distinct))
             missing = [i for i, x in enumerate(numbers) if x is None]
             each, sizes = _cut_all([distinct[i] for i in missing], pattern)
-            found = list(map(number.get, each))
-            for i in [i for i, x in enumerate(found) if x is None]:
-                found[i] = size + other.setdefault(each[i], len(other))
-            ends = np.cumsum(sizes)
-            frequent = np.maximum.reduceat(np.array(found, np.int64), ends - sizes) < size if missing else []
+            found, ends = numbered(each, other), np.cumsum(sizes)
+            frequent = (np.maximum.reduceat(found, ends - sizes) < size).tolist() if missing else []
+            found = found.tolist()
             for i, a, b, known_all in zip(missing, (ends - sizes).tolist(), ends.tolist(), frequent, strict=True):
                 numbers[i] = tuple(found[a:b])
                 if known_all:
@@ -536,8 +561,8 @@ def _looked_up(source: DataFrame, model: Model, dictionary, *, characters: int =
             flat = np.fromiter(chain.from_iterable(numbers), "<i4", int(sizes.sum()))
             body, each_size = _gather(flat, np.concatenate([[0], np.cumsum(sizes)]), chunks.indices.to_numpy().astype(np.int64))
             counts = np.diff(np.concatenate([[0], np.cumsum(each_size)])[lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)]) if len(lists) else np.empty(0, np.int64)
-            strange = [[number[w] if w in number else size + other.setdefault(w, len(other)) for w in words(text, pattern)] for text in texts.filter(odd).to_pylist()]
-            body = np.concatenate([body, np.fromiter(chain.from_iterable(strange), "<i4")])
+            strange = [words(text, pattern) for text in texts.filter(odd).to_pylist()]
+            body = np.concatenate([body, numbered(list(chain.from_iterable(strange)), other)])
             doc_ids = [*batch.column(1).filter(plain).to_pylist(), *batch.column(1).filter(odd).to_pylist()]
             _, short, long = _parts(list(other), model)
             rest = [None] * (len(short) - 1)
@@ -564,31 +589,38 @@ def _spell(lists: pa.ListArray, spelled: tuple[bytes, ...]) -> pa.Array:
     return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
 
 
-def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", remembered: int = 250_000) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", remembered: int = 1_000_000) -> DataFrame:
     """doc_id, ids and text, one row per input row: every whole text encoded, and the text that those ids decode to.
 
     Null and empty texts have no ids and decode to an empty text; signs in a text come back as blanks. Rows that repeat or share an id are taken each; an empty table gives no rows; other
-    columns are not read. The dictionary of the `remembered` most frequent words is broadcast, 32 characters to a word at most; all
+    columns are not read. The dictionary of the `remembered` most frequent words is a file on each executor, 32 characters to a word at most; all
     other words go through the lattice once per bundle of documents.
     """
-    m, spark = load(model), docs.sparkSession
+    m = load(model)
     source = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"), F.monotonically_increasing_id().alias("row"))
-    dictionary = spark.sparkContext.broadcast(_frequent(source, m, remembered))
+    dictionary = _frequent(source, m, remembered)
     # Tasks have few bundles, so that they are grouped by hashing.
     coded = _looked_up(source, m, dictionary).repartition(4 * max(1, docs.rdd.getNumPartitions()), "bundle")
     spelled = m.spelled
 
     def run(parts: pa.Table) -> pa.Table:
         """A bundle's documents from the ids of its words."""
-        known, fold = _opened(dictionary.value), _fold(m)
-        flat, sizes, rows = [known.flat], [np.diff(known.ends)], parts.sort_by("part").combine_chunks()
+        known, fold = _opened(dictionary), _fold(m)
+        local, local_sizes, rows = [], [], parts.sort_by("part").combine_chunks()
         for at in range(rows.num_rows):
             ids, each = _folded(fold, rows["words"][at], rows["lattice"][at], rows["long"][at])
-            flat += ids
-            sizes += each
+            local += ids
+            local_sizes += each
         number = np.frombuffer(zstandard.ZstdDecompressor().decompress(rows["coded"][0].as_py()), np.uint8).reshape(4, -1).T
         number = np.ascontiguousarray(number).view("<i4").ravel().astype(np.int64)
-        ids, each = _gather(np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), number)
+        rare = number >= known.size
+        head, head_sizes = _gather(known.flat, known.ends, number[~rare])
+        tail, tail_sizes = _gather(np.concatenate(local), np.concatenate([[0], np.cumsum(np.concatenate(local_sizes))]), number[rare] - known.size)
+        each = np.empty(len(number), np.int64)
+        each[~rare], each[rare] = head_sizes, tail_sizes
+        from_rare = np.repeat(rare, each)
+        ids = np.empty(len(from_rare), np.int32)
+        ids[~from_rare], ids[from_rare] = head, tail
         counts = rows["counts"][0].values.to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))

@@ -34,16 +34,20 @@ def load(path: str, special_as_text: bool = False):
     return found
 
 
-class _Known:
+class Known:
     """Hashes of chunks by open addressing, many at a time; a chunk's number is the order in which it came."""
 
-    def __init__(self) -> None:
-        self._slots, self._numbers, self.size = np.zeros(1 << 16, _U), np.full(1 << 16, -1, np.int32), 0
+    def __init__(self, slots: np.ndarray | None = None, numbers: np.ndarray | None = None) -> None:
+        """Empty, or with the slots of another one, to be searched only."""
+        self._slots, self._numbers, self.size = np.zeros(1 << 16, _U) if slots is None else slots, np.full(1 << 16, -1, np.int32) if numbers is None else numbers, 0
         self._keys = np.empty(0, _U)
 
     def _at(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(65 - len(self._slots).bit_length())).astype(np.int64)
 
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._slots, self._numbers
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The chunks' numbers, -1 for unknown ones."""
         at, mask = self._at(keys), len(self._slots) - 1
@@ -96,7 +100,7 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known, self._ids, self._used, self._ends = _Known(), np.empty(1 << 20, "<u4"), 0, np.zeros(1, np.int64)
+        self._known, self._ids, self._used, self._ends = Known(), np.empty(1 << 20, "<u4"), 0, np.zeros(1, np.int64)
         self._blocks, self._first, self._sizes = np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _whole(self, text: str) -> bool:
