@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding as relational work.
 
 Texts are cut into words that no piece can cross. A word's substrings up to the longest piece are exploded and joined to the piece table;
-the edges are grouped by word again, and a fold of higher-order functions finds the path through that lattice.
+the edges are grouped again, and a fold finds the path through each word's lattice.
 
 The models at hand are BPE models: their encoder merges the neighbours whose piece has the best score until none is left, and the
 path with the largest sum of scores is another one. But the merges leave two neighbours apart or not whatever stands around them, so the path they
 leave is the only one in which every two neighbours stay apart. The fold is a Viterbi search for it: over end
-positions, with the last piece of the best path to each of them, and with transitions allowed or not by `_apart`. It takes one pass.
+positions, with the last piece of the best path to each of them, and with transitions allowed or not by `Fold.apart`. It takes one pass.
 
-Most occurrences are of few words. The most frequent words are encoded once, in a dictionary of bounded size that every task gets; the
-others go through the lattice by document. Which words are in the dictionary changes no result.
+Most occurrences are of few words. The most frequent words are encoded once, in a dictionary of bounded size that every executor gets; the
+others go through the lattice by bundle of documents. Which words are in the dictionary changes no result.
 """
 
 from __future__ import annotations
@@ -151,13 +151,13 @@ def lattices(rows: DataFrame, model: Model) -> DataFrame:
 
     The piece table is broadcast: it is bounded by the vocabulary. The lattice is grouped where its words are, so that it is never
     shuffled, and other columns are carried once, by an empty word in front. Substrings that are no piece go right after the join,
-    whose keys are whole numbers; what they find is compared letter for letter.
+    whose keys are whole numbers; what they find is compared letter for letter. Single characters are edges whether they are pieces or not, and are left to the fold.
     """
     others = [c for c in rows.columns if c not in ("bundle", "part")]
     each = rows.select("bundle", "part", F.struct(*others).alias("held"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "word"))
     each = each.select("bundle", "part", "at", "word", F.when(F.col("at") == 0, F.col("held")).alias("held"))
-    ends = each.where((F.col("at") == 0) | (F.col("word") != "")).select("*", F.explode_outer(F.when(F.col("at") > 0, F.sequence(F.lit(1), F.length("word")))).alias("end"))
-    spans = ends.select("*", F.explode_outer(F.when(F.col("at") > 0, F.sequence(F.least("end", F.lit(model.longest)), F.lit(1), F.lit(-1)))).alias("size"))
+    ends = each.where((F.col("at") == 0) | (F.col("word") != "")).select("*", F.explode_outer(F.when(F.length("word") > 1, F.sequence(F.lit(2), F.length("word")))).alias("end"))
+    spans = ends.select("*", F.explode_outer(F.when(F.col("end") > 1, F.sequence(F.least("end", F.lit(model.longest)), F.lit(2), F.lit(-1)))).alias("size"))
     pieces = spans.select("bundle", "part", "at", "end", "held", F.expr("substring(word, end - size + 1, size)").alias("piece"))
     keyed = pieces.withColumn("key", F.when(F.col("at") > 0, F.xxhash64("piece")))
     edges = keyed.join(F.broadcast(piece_table(rows.sparkSession, model)), "key", "left").where((F.col("at") == 0) | (F.col("spelled") == F.col("piece")))
@@ -181,6 +181,10 @@ class Fold:
         self.unknown = len(model.spelled)
         self.sizes = np.ones(self.unknown, np.int64)
         self.sizes[list(self.spelling)] = [len(p) for p in self.spelling.values()]
+        self.single = np.arange(self.unknown, self.unknown + 0x110000, dtype=np.int32)
+        for code, piece in self.spelling.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = code
         self.met: dict[int, bool] = {}
 
     def apart(self, left: str, right: str) -> bool:
@@ -218,15 +222,11 @@ class Fold:
         stops = np.cumsum([0, *map(len, words)])
         code = lattice & (1 << _END) - 1
         at = stops[(lattice >> _AT) - 1] + (lattice >> _END & (1 << _AT - _END) - 1)
-        bare = np.ones(len(text) + 1, bool)
-        bare[0], bare[at[self.sizes[code] == 1]] = False, False
-        alone = np.flatnonzero(bare)
-        at, size = np.concatenate([at, alone]), np.concatenate([self.sizes[code], np.ones(len(alone), np.int64)])
-        code = np.concatenate([code, np.array([self.unknown + ord(text[i - 1]) for i in alone.tolist()], np.int64)])
-        place = at * (self.model.longest + 1) - size
-        if (place[1:] < place[:-1]).any():
-            order = np.argsort(place)
-            at, size, code = at[order], size[order], code[order]
+        single = self.single[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        at, size = np.concatenate([at, np.arange(1, len(text) + 1)]), np.concatenate([self.sizes[code], np.ones(len(text), np.int64)])
+        # Both are mostly in order, which a stable sort merges.
+        order = np.argsort(at * (self.model.longest + 1) - size, kind="stable")
+        at, size, code = at[order], size[order], np.concatenate([code, single])[order]
         starts, met = bytearray(len(text) + 1), self.met
         for x in stops.tolist():
             starts[x] = 1
@@ -250,7 +250,7 @@ class Fold:
             places.append(i)
             i -= taken[i]
         ids, places = np.array(path[::-1], np.int64), np.array(places[::-1], np.int64)
-        if len(alone) and (ids >= self.unknown).any():
+        if (ids >= self.unknown).any():
             spelled = [[x] if x < self.unknown else [self.model.first_byte + b for b in chr(x - self.unknown).encode()] for x in ids.tolist()]
             places = np.repeat(places, [len(x) for x in spelled])
             ids = np.array(list(chain.from_iterable(spelled)), np.int64)
@@ -369,7 +369,7 @@ def _by_characters(batches: Iterator[pa.RecordBatch], column: int, characters: i
         yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
-def _counted(docs: DataFrame, cut: str, *, least: int, longest: int | None = None, characters: int = 12_000_000) -> DataFrame:
+def _counted(docs: DataFrame, cut: str, *, least: int, longest: int | None = None, characters: int = 3_000_000) -> DataFrame:
     """word and n; of every part of a partition with about so many characters, words found `least` times in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,6 +400,9 @@ def _parts(found: list[str], model: Model) -> tuple[list[list[str]], list[list[s
             size = 0
         parts[-1].append(w)
         size += len(w)
+    long = [[None] * len(part) for part in parts]
+    if max(map(len, found), default=0) <= LONG:
+        return parts, parts, long
     long = [[long_word(w, model) if len(w) > LONG else None for w in part] for part in parts]
     return parts, [["" if x else w for w, x in zip(part, done, strict=True)] for part, done in zip(parts, long, strict=True)], long
 
@@ -439,19 +442,21 @@ def encode_vocabulary(docs: DataFrame, model: str, *, text: str = "text") -> Dat
 
 
 def _frequent(source: DataFrame, model: Model, remembered: int) -> str:
-    """The dictionary, at most `remembered` words of at most 32 characters, the most frequent first, as files that Spark brings to each executor once; their name.
+    """The dictionary, about `remembered` words of at most 32 characters, the most frequent first, as files that Spark brings to each executor once; their name.
 
     Counts leave out what is rare within a partition. The threshold comes from a histogram of at most 10,000 counts.
     """
     counted = written(_counted(source, model.cut, least=2, longest=32), "frequent")
     sizes = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("size")).collect()
-    total, least = 0, 1 << 62
+    total, least, share = 0, 1 << 62, 0
     for r in sorted(sizes, reverse=True):
-        total += r["size"]
-        if total > remembered:
+        if total + r["size"] > remembered:
+            share = 1000 * (remembered - total) // r["size"]
             break
-        least = r["n"]
-    frequent = counted.where(F.col("n") >= least)
+        total, least = total + r["size"], r["n"]
+    # Of the words just below the threshold, as many as there is room for.
+    n = F.least("n", F.lit(10_000))
+    frequent = counted.where((n >= least) | (n == (r["n"] if share else 0)) & (F.pmod(F.xxhash64("word"), F.lit(1000)) < share))
     table = frequent.join(_vocabulary(frequent, model), "word").select("word", "n", "ids").toArrow()
     order = np.argsort(-table.column("n").to_numpy(), kind="stable")
     table = table.select(["word", "ids"]).take(pa.array(order)).combine_chunks()
@@ -485,8 +490,6 @@ class _Dictionary:
         self.words = words.column("word").chunk(0) if self.size else pa.array([], pa.string())
         self.flat, self.ends = _ragged(words.column("ids").chunk(0) if self.size else pa.array([], pa.list_(pa.int32())))
         self.known = Known(slots.column("slot").chunk(0).to_numpy(), slots.column("number").chunk(0).to_numpy())
-        #: Chunks met by this worker whose words are all known, and the words' numbers.
-        self.whole: dict[str, tuple[int, ...]] = {}
 
     def find(self, found: list[str]) -> np.ndarray:
         """The words' numbers, -1 for those that aren't there. What a hash finds is compared letter for letter."""
@@ -520,57 +523,51 @@ def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(ends[at] - after + sizes, sizes) + np.arange(total)], sizes
 
 
-def _looked_up(source: DataFrame, model: Model, dictionary: str, *, characters: int = 2_000_000) -> DataFrame:
-    """Documents in bundles of about so many characters: bundle, part, doc_ids, counts (words of each text), coded (the words' numbers, packed), words and long.
+def _looked_up(source: DataFrame, model: Model, dictionary: str, *, characters: int = 1_000_000, most: int = 400_000) -> DataFrame:
+    """Documents in bundles of about `most` words: bundle, part, doc_ids, counts (words of each text), coded (the words' numbers, packed), words and long.
 
-    Words that aren't in the dictionary are numbered behind it, each once in a bundle, and spread over its parts. The ids
+    Distinct chunks are cut and looked up once in about so many `characters`. Words that aren't in the dictionary are numbered behind it, each once in a bundle, and spread over its parts. The ids
     of very long ones are in `long`, and an empty word stands for them.
     """
     cut = model.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, known = re.compile(cut), _opened(dictionary)
-        whole, size, pack = known.whole, known.size, zstandard.ZstdCompressor(level=3).compress
-
-        def numbered(each: list[str], other: dict[str, int]) -> np.ndarray:
-            found = known.find(each)
-            for i in np.flatnonzero(found < 0).tolist():
-                found[i] = size + other.setdefault(each[i], len(other))
-            return found
-
+        pattern, known, pack = re.compile(cut), _opened(dictionary), zstandard.ZstdCompressor(level=3).compress
         for batch in _by_characters(batches, 2, characters):
-            other: dict[str, int] = {}
             texts = batch.column(2).fill_null("")
             lists, plain = _plain(texts, cut)
             odd = pc.invert(plain)
             chunks = lists.flatten().dictionary_encode()
-            if len(whole) > 120_000:
-                whole.clear()
-            distinct = _strings(chunks.dictionary)
-            numbers = list(map(whole.get, distinct))
-            missing = [i for i, x in enumerate(numbers) if x is None]
-            each, sizes = _cut_all([distinct[i] for i in missing], pattern)
-            found, ends = numbered(each, other), np.cumsum(sizes)
-            frequent = (np.maximum.reduceat(found, ends - sizes) < size).tolist() if missing else []
-            found = found.tolist()
-            for i, a, b, known_all in zip(missing, (ends - sizes).tolist(), ends.tolist(), frequent, strict=True):
-                numbers[i] = tuple(found[a:b])
-                if known_all:
-                    whole[distinct[i]] = numbers[i]
-            sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            flat = np.fromiter(chain.from_iterable(numbers), "<i4", int(sizes.sum()))
-            body, each_size = _gather(flat, np.concatenate([[0], np.cumsum(sizes)]), chunks.indices.to_numpy().astype(np.int64))
-            counts = np.diff(np.concatenate([[0], np.cumsum(each_size)])[lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)]) if len(lists) else np.empty(0, np.int64)
+            found, sizes = _cut_all(_strings(chunks.dictionary), pattern)
             strange = [words(text, pattern) for text in texts.filter(odd).to_pylist()]
-            body = np.concatenate([body, numbered(list(chain.from_iterable(strange)), other)])
-            doc_ids = [*batch.column(1).filter(plain).to_pylist(), *batch.column(1).filter(odd).to_pylist()]
-            _, short, long = _parts(list(other), model)
-            rest = [None] * (len(short) - 1)
-            yield pa.record_batch({
-                "part": pa.array(range(len(short)), pa.int32()), "doc_ids": pa.array([doc_ids, *rest], pa.list_(pa.int64())), "counts": pa.array([[*counts.tolist(), *map(len, strange)], *rest], pa.list_(pa.int32())),
-                "coded": pa.array([pack(body.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()), *rest], pa.binary()),
-                "words": pa.array(short, pa.list_(pa.string())), "long": pa.array(long, pa.list_(pa.list_(pa.int32()))), "bundle": pa.array([batch.column(0)[0].as_py()] * len(short), pa.int64()),
-            })
+            cut_words = len(found)
+            found += chain.from_iterable(strange)
+            number = known.find(found)
+            unknown = np.flatnonzero(number < 0)
+            rare = pa.array([found[i] for i in unknown.tolist()], pa.string()).dictionary_encode()
+            number[unknown] = known.size + rare.indices.to_numpy().astype(np.int64)
+            number = number.astype("<i4")
+            body, each = _gather(number[:cut_words], np.concatenate([[0], np.cumsum(sizes)]), chunks.indices.to_numpy().astype(np.int64))
+            offsets = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int64)
+            counts = np.concatenate([np.diff(np.concatenate([[0], np.cumsum(each)])[offsets]), np.array([len(x) for x in strange], np.int64)])
+            body = np.concatenate([body, number[cut_words:]])
+            rows, doc_ids = (pa.concat_arrays([batch.column(i).filter(plain), batch.column(i).filter(odd)]) for i in (0, 1))
+            ends = np.cumsum(counts)
+            weight = np.cumsum(counts + 20)
+            bundle = (weight - 1) * (-(-int(weight[-1]) // most)) // int(weight[-1])
+            first = np.flatnonzero(np.diff(bundle, prepend=-1)).tolist()
+            for a, b in zip(first, [*first[1:], len(counts)], strict=True):
+                mine = body[ends[a] - counts[a] : ends[b - 1]].copy()
+                behind = mine >= known.size
+                other, place = np.unique(mine[behind], return_inverse=True)
+                mine[behind] = known.size + place
+                _, short, long = _parts(_strings(rare.dictionary.take(pa.array(other - known.size))), model)
+                rest = [None] * (len(short) - 1)
+                yield pa.record_batch({
+                    "part": pa.array(range(len(short)), pa.int32()), "doc_ids": pa.array([doc_ids[a:b].to_pylist(), *rest], pa.list_(pa.int64())), "counts": pa.array([counts[a:b], *rest], pa.list_(pa.int32())),
+                    "coded": pa.array([pack(mine.view(np.uint8).reshape(-1, 4).T.tobytes()), *rest], pa.binary()),
+                    "words": pa.array(short, pa.list_(pa.string())), "long": pa.array(long, pa.list_(pa.list_(pa.int32()))), "bundle": pa.array([rows[a].as_py()] * len(short), pa.int64()),
+                })
 
     schema = "part int, doc_ids array<bigint>, counts array<int>, coded binary, words array<string>, long array<array<int>>, bundle long"
     return source.select("row", "doc_id", "text").mapInArrow(run, schema)
@@ -589,7 +586,7 @@ def _spell(lists: pa.ListArray, spelled: tuple[bytes, ...]) -> pa.Array:
     return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
 
 
-def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", remembered: int = 1_000_000) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", remembered: int = 520_000) -> DataFrame:
     """doc_id, ids and text, one row per input row: every whole text encoded, and the text that those ids decode to.
 
     Null and empty texts have no ids and decode to an empty text; signs in a text come back as blanks. Rows that repeat or share an id are taken each; an empty table gives no rows; other

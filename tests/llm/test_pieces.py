@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -141,6 +142,19 @@ def test_query_encodes_and_decodes_every_document(spark, tmp_path):
     assert all(r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(",".join(map(str, r.ids)).encode()) for r in got)
 
 
+def test_lattices_hold_found_pieces_only(spark):
+    """Edges that aren't pieces are dropped by the join, and the fold's ids are the library's, unknown characters included."""
+    m, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), L.load(MODEL)
+    words = ["▁the", "▁qzx\U0001f600ing", "漢", "▁erblewhes"]
+    rows = spark.createDataFrame([(0, 0, words, "x")], "bundle long, part int, words array<string>, note string")
+    [r] = L.lattices(rows, model).collect()
+    ids = {p: v & (1 << model.id_bits) - 1 for p, v in model.pieces}
+    want = [(i << 40) + (j << 20) + ids[w[j - n : j]] for i, w in enumerate(words, 1) for j in range(1, len(w) + 1) for n in range(2, j + 1) if w[j - n : j] in ids]
+    assert (sorted(r.lattice), r.words, r.note) == (sorted(want), words, "x")
+    found, sizes = L.Fold(model)(words, np.array(r.lattice, np.int64))
+    assert [x.tolist() for x in np.split(found, np.cumsum(sizes)[:-1])] == [library_ids(m, w) for w in words]
+
+
 @pytest.mark.parametrize("word", ["", "▁"])
 def test_empty_words(word):
     assert W.Automaton(["▁"], []).count(word) == len(word)
