@@ -28,18 +28,20 @@ class Partition(Enum):
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows numbered from 1 by an order, without a window over all rows in one task.
 
-    Rows are dealt out by ranges of the order; every range numbers its own, and adds the sizes of the ranges before it,
-    of which there are as many as partitions.
+    Rows are dealt out by ranges of the order and sorted there; every range numbers its own, and adds the sizes of the ranges before it,
+    of which there are as many as partitions. The numbered ranges are written once: Spark draws a range's borders by sampling and merges
+    small ranges, so ranges that are made twice, for the rows and for the sizes, need not be the same.
     """
     keys = {f"_k{i}": c for i, c in enumerate(order)}
-    part = df.withColumns(keys)
-    part = part.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*keys)
-    ranked = part.withColumn("_n", F.row_number().over(within))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranked.join(before.select("_part", "_before"), "_part")
-    return out.withColumn(name, (F.col("_n") + F.col("_before")).cast("bigint")).drop(*keys, "_part", "_n", "_before")
+    ranges = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The partition in the upper bits, the row's place in it in the lower 33.
+    rows = checkpointed(ranges.drop(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    rows = rows.withColumns({"_part": part, "_n": place}).drop("_at")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_n") + F.col("_before") + 1).drop("_part", "_n", "_before")
 
 
 def groups(examples: DataFrame, n: int, partition: Partition, seed: int, *, total: int | None = None) -> DataFrame:

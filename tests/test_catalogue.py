@@ -33,3 +33,20 @@ def test_same_as_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES | catalogue.WORKED) - set(catalogue.ORACLES | catalogue.WORKED_SQL)))
 def test_others_give_rows(spark, name):
     assert (catalogue.QUERIES | catalogue.WORKED)[name](spark, SF).count() > 0
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges stay as many as shuffle partitions, and their borders come from few samples, as they do on large tables."""
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "5"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["owner_edges_from_users"])
+def test_same_as_duckdb_over_many_ranges(spark, duck, many_ranges, name):
+    assert rows(catalogue.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalogue.ORACLES[name]).df())
