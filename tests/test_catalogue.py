@@ -47,6 +47,6 @@ def many_ranges(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["owner_edges_from_users", "cyclic_poisson_truncated", "fixed_batch_of_most", "fixed_batch", "fixed_batch_replace", "cyclic_poisson_equal_split"])
+@pytest.mark.parametrize("name", ["owner_edges_from_users", "cyclic_poisson_truncated", "fixed_batch_of_most", "fixed_batch", "fixed_batch_replace", "cyclic_poisson_equal_split", "fixed_order_epochs"])
 def test_same_as_duckdb_over_many_ranges(spark, duck, many_ranges, name):
     assert rows(catalogue.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalogue.ORACLES[name]).df())
